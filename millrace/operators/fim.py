@@ -32,7 +32,7 @@ class Fim:
     decode: Callable[[Column], Column] = _joined
 
 
-def permuted(text: Column, unchanged: Column, fim: Fim, rate: float, *keys: Column) -> Column:
+def permuted(text: Column, unchanged: Column, fim: Fim, rate: float | Column, *keys: Column) -> Column:
     """Tokens of one text: prefix, suffix and middle around two random cuts, or ``unchanged``."""
     length = F.length(text)
     a = seeded_below(length + 1, fim.seed, F.lit("cut0"), *keys).cast("int")
@@ -57,42 +57,65 @@ def fim_permute(df: DataFrame, fim: Fim, text_col: str = "text", key: str = "doc
     return df.withColumn(out, permuted(text, fim.encode(text), fim, fim.rate, F.col(key)))
 
 
-def _rejoin(parts: Column, marker) -> Column:
-    """Concatenate parts with the marker between; empty parts before the last vanish with their marker."""
-    last = F.size(parts) - 1
-    kept = F.filter(parts, lambda p, i: (F.size(p) > 0) | (i == last))
-    n = F.size(kept) - 1
-    return F.flatten(F.transform(kept, lambda p, i: F.when(i < n, F.concat(p, F.array(F.lit(marker)))).otherwise(p)))
+def _parts(segments: Column, split_id) -> Column:
+    """Flat list of a sample's parts: segments, or their fragments around ``split_id``.
 
+    ``i`` and ``j`` number segment and fragment; ``end`` marks the last fragment of its segment and
+    ``last`` the last segment; ``split`` says that the segment holds the split token.
+    """
+    count = F.size(segments)
+
+    def describe(part, i, j, end, split):
+        return F.struct(
+            part.alias("part"), i.alias("i"), j.alias("j"), end.alias("end"), (i == count - 1).alias("last"),
+            split.alias("split"),
+        )
 
-def _permute_parts(parts: Column, change: Callable[[Column, Column], Column]) -> Column:
-    last = F.size(parts) - 1
-    return F.transform(parts, lambda p, i: F.when((F.size(p) > 0) | (i == last), change(p, i)).otherwise(p))
+    if split_id is None:
+        return F.transform(segments, lambda s, i: describe(s, i, F.lit(0), F.lit(True), F.lit(False)))
+    cut = F.transform(segments, lambda s: split_before(s, split_id))
+    return F.flatten(F.transform(
+        cut,
+        lambda parts, i: F.transform(
+            parts, lambda p, j: describe(p, i, j, j == F.size(parts) - 1, F.size(parts) > 1)
+        ),
+    ))
 
 
 def fim_sample(samples: DataFrame, fim: Fim, eos="<eos>", pad="<pad>", key: str = "sample", ids_col: str = "ids",
                split_id=None, fragment_rate: float = 0.0) -> DataFrame:
     """Permute every document segment of a packed sample, then cut or pad to the old length.
 
-    With ``split_id`` (``fim_fragments``) a segment holding that token is drawn once at the rate and
-    its fragments are then permuted one by one at ``fragment_rate``.
+    Empty segments vanish with their end token, but for the last.  With ``split_id``
+    (``fim_fragments``) a segment holding that token is drawn once at the rate; its fragments are
+    then permuted one by one at ``fragment_rate``, empty ones vanish with their token.
     """
-    ids = F.col(ids_col)
-
-    def segment(seg: Column, i: Column) -> Column:
-        whole = permuted(fim.decode(seg), seg, fim, fim.rate, F.col(key), i)
-        if split_id is None:
-            return whole
-        def fragment(part: Column, j: Column) -> Column:
-            return permuted(fim.decode(part), part, fim, fragment_rate, F.col(key), i, j)
-
-        changed = _rejoin(_permute_parts(split_before(seg, split_id), fragment), split_id)
-        drawn = seeded_unit(fim.seed, F.lit("frag"), F.col(key), i) < fim.rate
-        return F.when(~F.array_contains(seg, split_id), whole).when(drawn, changed).otherwise(seg)
-
-    mixed = _rejoin(_permute_parts(split_before(ids, eos), segment), eos)
-    width = F.size(ids)
-    return samples.withColumn(ids_col, F.slice(pad_to(mixed, width, F.lit(pad)), F.lit(1), width))
+    k = F.col(key)
+    staged = samples.withColumn("_segments", split_before(F.col(ids_col), eos))
+    staged = staged.withColumn("_parts", _parts(F.col("_segments"), split_id))
+
+    def with_text(p):
+        drawn = seeded_unit(fim.seed, F.lit("frag"), k, p["i"]) < fim.rate
+        rate = F.when(~p["split"], F.lit(fim.rate)).when(drawn, F.lit(fragment_rate)).otherwise(F.lit(0.0))
+        gone = (F.size(p["part"]) == 0) & F.when(p["split"], drawn & ~p["end"]).otherwise(~p["last"])
+        tail = F.when(~p["end"], F.array(F.lit(split_id if split_id is not None else eos))).when(
+            ~p["last"], F.array(F.lit(eos))).otherwise(F.slice(p["part"], 1, 0))
+        return F.struct(
+            p["part"].alias("part"), fim.decode(p["part"]).alias("text"), p["i"].alias("i"), p["j"].alias("j"),
+            rate.alias("rate"), gone.alias("gone"), tail.alias("tail"),
+        )
+
+    staged = staged.withColumn("_parts", F.filter(F.transform("_parts", with_text), lambda p: ~p["gone"]))
+    mixed = F.flatten(F.transform(
+        "_parts",
+        lambda p: F.concat(permuted(p["text"], p["part"], fim, p["rate"], k, p["i"], p["j"]), p["tail"]),
+    ))
+    width = F.size(ids_col)
+    return (
+        staged.withColumn("_mixed", mixed)
+        .withColumn(ids_col, F.slice(pad_to(F.col("_mixed"), width, F.lit(pad)), F.lit(1), width))
+        .drop("_segments", "_parts", "_mixed")
+    )
 
 
 def fim_fragments(samples: DataFrame, fim: Fim, split_id, fragment_rate: float, **options) -> DataFrame:
