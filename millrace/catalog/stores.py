@@ -1 +1,180 @@
+"""Queries that write and read back: stores, manifests, logs, JSON lines."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.catalog.registry import (
+    CHAT_SOURCES, EOS, GATE, GRADED, JOBS, KEPT, PIECES_SQL, STREAM, TOK, WINDOW, digest, graded_of, hash_sql, jobs_of,
+    joined, kept_of, new_folder, recipe_of, register,
+)
+from millrace.functions import text as X
+from millrace.operators import evals, pack, quality, tokens
+from millrace.plans import prepare
+from millrace.session import table
+from millrace.sources import corpora, stores
+
+
+@register("read_text", "SELECT doc_id, length(text)::BIGINT AS chars, md5(text) AS content FROM documents")
+def read_text(spark, sf):
+    folder = new_folder(spark, "jsonl")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
+    docs.repartition(4).write.option("compression", "gzip").json(folder)
+    back = corpora.read_text(spark, folder, "body", "*.gz", [T.StructField("doc_id", T.LongType())])
+    return back.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("content"))
+
+
+@register("read_sources", """
+SELECT 'docs' AS source, count(*) AS rows, sum(length(text))::BIGINT AS chars FROM documents
+UNION ALL SELECT 'bench', count(*), sum(length(text))::BIGINT FROM benchmark""")
+def read_sources(spark, sf):
+    readers = {
+        "docs": lambda s: table(s, sf, "documents").select("text"),
+        "bench": lambda s: table(s, sf, "benchmark").select("text"),
+    }
+    return corpora.read_sources(spark, ["docs", "bench"], readers).groupBy("source").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars"))
+
+
+@register("write_tokens", f"""WITH {KEPT}
+SELECT source, shard::INT AS shard, doc_id, take, md5(array_to_string(list_slice(list_append(ids, '{EOS}'), 1, take), ' ')) AS content
+FROM kept WHERE NOT dropped""")
+def write_tokens(spark, sf):
+    folder = new_folder(spark, "tokens")
+    stores.write_tokens(pack.cut_to_take(kept_of(spark, sf), eos=EOS).drop("text"), folder, block=128)
+    return stores.read_tokens(spark, folder).select("source", "shard", "doc_id", "take", digest("ids").alias("content"))
+
+
+@register("read_tokens", f"""WITH {KEPT}
+SELECT source, count(*) AS docs, sum(take)::BIGINT AS tokens FROM kept WHERE NOT dropped AND source IN ('src1', 'src7') GROUP BY source""")
+def read_tokens(spark, sf):
+    folder = new_folder(spark, "tokens")
+    stores.write_tokens(pack.cut_to_take(kept_of(spark, sf), eos=EOS).drop("text"), folder, block=128)
+    return stores.read_tokens(spark, folder, ["src1", "src7"]).groupBy("source").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids")).alias("tokens"))
+
+
+def _code_sql(tok: str) -> str:
+    return f"({hash_sql('0', tok)} % 60000)"
+
+
+def _coded(kept):
+    """Budgeted documents as 16-bit ids (hash of the piece)."""
+    from millrace.functions.seeded import seeded_below
+
+    cut = pack.cut_to_take(kept, eos=EOS)
+    return cut.withColumn("ids", F.transform("ids", lambda t: seeded_below(F.lit(60000), 0, t).cast("int")))
+
+
+@register("write_token_bytes", f"""WITH {STREAM}
+SELECT source || '_p' || shard AS folder, count(*) * 2 AS bytes FROM stream GROUP BY source, shard""")
+def write_token_bytes(spark, sf):
+    folder = new_folder(spark, "bytes")
+    stores.write_token_bytes(_coded(kept_of(spark, sf)).select("source", "shard", "doc_id", "ids"), folder, 2, 256)
+    files = corpora.list_files(spark, folder, "*.ds")
+    return files.groupBy(F.regexp_extract("path", r"([^/]+)/part-[0-9]+\.ds$", 1).alias("folder")).agg(
+        F.sum("length").alias("bytes"))
+
+
+@register("read_token_bytes", f"""WITH {STREAM}
+SELECT source || '_p' || shard AS folder, (place // 65)::BIGINT AS win, md5(string_agg({_code_sql("tok")}::VARCHAR, ' ' ORDER BY place)) AS content
+FROM stream GROUP BY source, shard, place // 65 HAVING count(*) = 65""")
+def read_token_bytes(spark, sf):
+    folder = new_folder(spark, "bytes")
+    stores.write_token_bytes(_coded(kept_of(spark, sf)).select("source", "shard", "doc_id", "ids"), folder, 4, 1 << 40)
+    win = stores.read_token_bytes(spark, folder, 64, 4, range_bytes=1 << 14)
+    return win.select(F.regexp_extract("file", r"([^/]+)/part-[0-9]+\.ds$", 1).alias("folder"), "win", digest("ids").alias("content"))
+
+
+@register("write_manifest", f"""WITH {KEPT}
+SELECT source, shard::INT AS shard, max(name) AS name, sum(take)::BIGINT AS tokens, count(*) FILTER (WHERE NOT dropped) AS docs,
+       count(*) FILTER (WHERE dropped) AS dropped_too_long, max(kept.budget)::BIGINT AS budget, {GATE} AS max_doc_tokens,
+       'pieces' AS tokenizer, max(weight) AS weight
+FROM kept JOIN jobs USING (source, shard) GROUP BY source, shard""")
+def write_manifest(spark, sf):
+    folder = new_folder(spark, "manifest")
+    info = quality.shard_info(kept_of(spark, sf), "pieces")
+    stores.write_manifest(info, jobs_of(table(spark, sf, "documents")), folder)
+    return stores.read_manifest(spark, folder)
+
+
+@register("prepare_corpus", f"""WITH {KEPT}
+SELECT source, shard::INT AS shard, sum(take)::BIGINT AS tokens, count(*) FILTER (WHERE NOT dropped) AS docs,
+       count(*) FILTER (WHERE dropped) AS dropped_too_long
+FROM kept GROUP BY source, shard""")
+def prepare_corpus(spark, sf):
+    """The whole job: documents to stored ids, placements and manifest."""
+    docs = table(spark, sf, "documents")
+    manifest = prepare.prepare_corpus(
+        spark, docs, recipe_of(docs), new_folder(spark, "corpus"), "pieces", CHAT_SOURCES, 2000)
+    return manifest.select("source", "shard", "tokens", "docs", "dropped_too_long")
+
+
+@register("append_run_log", "SELECT event_type AS run, count(*) * 2 AS rows, round(sum(value) * 2, 4) AS seconds FROM events GROUP BY 1")
+def append_run_log(spark, sf):
+    folder = new_folder(spark, "log")
+    log = table(spark, sf, "events").select("event_type", "event_id", "value")
+    for _ in range(2):
+        stores.append_run_log(log, folder)
+    back = stores.read_run_log(spark, folder, "event_type string, event_id bigint, value double")
+    return back.groupBy(F.col("event_type").alias("run")).agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("seconds"))
+
+
+@register("write_graded", f"""WITH {GRADED}
+SELECT bench, count(*) AS samples, sum(correct::INT)::BIGINT AS correct, sum(tokens)::BIGINT AS tokens FROM graded GROUP BY bench""")
+def write_graded(spark, sf):
+    folder = new_folder(spark, "graded")
+    graded = graded_of(spark, sf)
+    stores.write_graded(graded, evals.eval_summary(graded), folder)
+    back = spark.read.schema("bench string, correct boolean, tokens bigint").json(f"{folder}/graded")
+    return back.groupBy("bench").agg(
+        F.count(F.lit(1)).alias("samples"), F.sum(F.col("correct").cast("int")).alias("correct"), F.sum("tokens").alias("tokens"))
+
+
+@register("synthetic_tokens", f"""
+WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents),
+x AS (SELECT row, i, {hash_sql("8", "row", "i")} % 1000 AS tok,
+             CASE WHEN row > 0 OR i < 4 THEN i WHEN i < 10 THEN i - 4 ELSE i - 10 END AS pos FROM r, (SELECT unnest(range(33)) AS i))
+SELECT row, md5(string_agg(tok::VARCHAR, ' ' ORDER BY i)) AS ids, md5(string_agg(pos::VARCHAR, ' ' ORDER BY i)) AS positions FROM x GROUP BY row""")
+def synthetic_tokens(spark, sf):
+    n = table(spark, sf, "documents").count()
+    return corpora.synthetic_tokens(spark, n, 32, 1000, 8, True).select("row", digest("ids").alias("ids"), digest("positions").alias("positions"))
+
+
+@register("list_files", """SELECT 'documents' AS file, 4 AS files UNION ALL SELECT 'labels', 4""")
+def list_files(spark, sf):
+    folder = new_folder(spark, "files")
+    for name in ("documents", "labels"):
+        table(spark, sf, name).repartition(4).write.parquet(f"{folder}/{name}")
+    return corpora.list_files(spark, folder, "*.parquet").groupBy(
+        F.regexp_extract("path", r"([^/]+)/part-[^/]+$", 1).alias("file")).agg(F.count(F.lit(1)).cast("int").alias("files"))
+
+
+@register("read_partial_jsonl", """
+SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS tokens FROM documents WHERE doc_id % 7 <> 6""")
+def read_partial_jsonl(spark, sf):
+    """Lines of one run per file; every third key was written twice, every seventh line is torn."""
+    folder = new_folder(spark, "partial")
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    line = lambda tokens: F.to_json(F.struct(F.concat(F.lit("k"), F.col("doc_id")).alias("key"), tokens.alias("tokens")))
+    whole = line(F.col("n_chars"))
+    torn = F.when(F.col("doc_id") % 7 == 6, F.substr(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole)
+    lines = F.when(
+        (F.col("doc_id") % 3 == 0) & (F.col("doc_id") % 7 != 6), F.array(torn, line(F.col("n_chars") + 1))
+    ).otherwise(F.array(torn))
+    docs.select(F.explode(lines).alias("value")).write.text(folder)
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("tokens", T.LongType())])
+    return corpora.read_partial_jsonl(spark, folder, schema, "key")
+
+
+@register("check_token_metadata", """
+SELECT source AS folder, 'other' AS tokenizer, 2 AS width FROM documents WHERE source IN ('src3', 'src11') GROUP BY source""")
+def check_token_metadata(spark, sf):
+    folder = new_folder(spark, "metadata")
+    names = table(spark, sf, "documents").select("source").distinct()
+    odd = F.col("source").isin("src3", "src11")
+    names.select("source", F.when(odd, "other|2").otherwise("pieces|4").alias("value")).write.partitionBy("source").text(folder)
+    folders = {r["source"]: f"{folder}/source={r['source']}" for r in names.collect()}
+    return corpora.check_token_metadata(spark, folders)
