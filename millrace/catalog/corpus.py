@@ -74,6 +74,11 @@ def build_vocab(spark, sf):
     return tokens.build_vocab(table(spark, sf, "documents"), 500)
 
 
+@register("vocab_fits", f"WITH {VOCAB} SELECT token, id, n FROM vocab WHERE id >= 400")
+def vocab_fits(spark, sf):
+    return tokens.vocab_fits(tokens.build_vocab(table(spark, sf, "documents"), 500), 400)
+
+
 ENCODED = f"""{VOCAB},
 long AS (
   SELECT doc_id, unnest({PIECES_SQL}) AS token, generate_subscripts({PIECES_SQL}, 1) AS ix

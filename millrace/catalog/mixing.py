@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.catalog.registry import LANGS, SOURCES, TOK, hash_sql, langs_of, register, sources_of
+from millrace.catalog.registry import LANGS, SOURCES, TOK, digest, hash_sql, langs_of, register, sources_of
 from millrace.operators import batches, joins, mixture, ordering
-from millrace.plans import prepare
+from millrace.plans import prepare, training
 from millrace.session import table
 
 
@@ -187,7 +187,7 @@ def locate_window(spark, sf):
     docs = _docs(spark, sf)
     pos = ordering.global_row_index(docs, "doc_id", ["lang"], "pos", 1 << 10).select(
         F.col("lang").alias("source"), "doc_id", "pos")
-    return joins.locate_window(pos, _files(docs), width=32).select("source", "doc_id", "pos", "file", "inner_pos")
+    return joins.locate_window(pos, _files(docs)).select("source", "doc_id", "pos", "file", "inner_pos")
 
 
 @register("files_needed", f"""WITH {FILES}, {LANGS},
@@ -366,3 +366,31 @@ def micro_batches(spark, sf):
     from millrace.operators.pack import micro_batches as chunks
 
     return chunks(_numbered(_docs(spark, sf)), 24, 5)
+
+
+# The whole training plan: windows per source in shuffled order, fixed-bin blend, batch slots.
+@register("training_samples", f"""WITH {TOK}, {SOURCES},
+long AS (SELECT source, doc_id, unnest(list_append(ids, '<eos>')) AS tok, generate_subscripts(list_append(ids, '<eos>'), 1) AS offs FROM tok),
+stream AS (SELECT source, tok, row_number() OVER (PARTITION BY source ORDER BY doc_id, offs) - 1 AS place FROM long),
+win AS (SELECT source, place // 65 AS win, list(tok ORDER BY place) AS ids FROM stream GROUP BY 1, 2 HAVING count(*) = 65),
+lens AS (SELECT source, count(*) AS len FROM win GROUP BY source),
+shuffled AS (SELECT source, ids, row_number() OVER (PARTITION BY source ORDER BY md5('31:' || right(source, 16) || ':' || win), win) - 1 AS place FROM win),
+b AS (SELECT ds, source, floor(docs / (SELECT sum(docs) FROM sources) * 100)::BIGINT AS bins FROM sources),
+c AS (SELECT ds, source, CASE WHEN ds = (SELECT max(ds) FROM b) THEN 100 - (SELECT sum(bins) FROM b) + bins ELSE bins END::BIGINT AS bins FROM b),
+bin AS (SELECT ds, source, bins, unnest(range(bins)) AS bias FROM c),
+numbered AS (SELECT *, row_number() OVER (ORDER BY ds, bias) - 1 AS bin FROM bin),
+blend AS (
+  SELECT p.pos, n.ds, n.source, ((n.bias + (p.pos // 100) * n.bins) % l.len)::BIGINT AS place
+  FROM (SELECT unnest(range((SELECT count(*) FROM documents))) AS pos) p JOIN numbered n ON p.pos % 100 = n.bin JOIN lens l USING (source))
+SELECT pos AS sample, pos // 32 AS step, (pos % 32) // 16 AS micro, (pos % 16) // 4 AS rank, pos % 4 AS slot, ds,
+       md5(array_to_string(list_slice(ids, 1, 64), ' ')) AS inputs, md5(array_to_string(list_slice(ids, 2, 65), ' ')) AS labels
+FROM blend JOIN shuffled USING (source, place) WHERE pos < (SELECT count(*) FROM documents) // 16 * 16""")
+def training_samples(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    tok = prepare.tokenized(docs).drop("text").withColumn("ids", F.concat("ids", F.array(F.lit("<eos>"))))
+    sized = tok.withColumn("_n", F.col("n_tokens") + 1)
+    stream = ordering.running_offset(sized, ["source"], "doc_id", "_n", "start", 1 << 10)
+    sources = sources_of(docs).select("source", "ds", F.col("docs").alias("weight"))
+    out = training.training_samples(spark, stream, sources, 64, docs.count(), "<eos>", 31, 4, 4, 32, greedy=False)
+    return out.select("sample", "step", "micro", "rank", "slot", "ds", digest("input_ids").alias("inputs"),
+                      digest("label_ids").alias("labels"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import mixture
+from millrace.operators.ordering import plan_table
 from millrace.plans import prepare
 from millrace.session import shared_folder, table
 
@@ -61,7 +62,7 @@ def recipe_of(docs: DataFrame) -> DataFrame:
 
 
 def jobs_of(docs: DataFrame) -> DataFrame:
-    return mixture.plan_shards(recipe_of(docs))
+    return plan_table(mixture.plan_shards(recipe_of(docs)))
 
 
 def kept_of(spark: SparkSession, sf: str, block: int = 1 << 10) -> DataFrame:
@@ -81,21 +82,17 @@ def graded_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def sources_of(docs: DataFrame) -> DataFrame:
     """(source, ds, docs): sources numbered by name."""
-    from pyspark.sql import Window
-
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
-    return counts.withColumn("ds", F.row_number().over(Window.orderBy("source")) - 1)
+    return plan_table(counts.withColumn("ds", F.row_number().over(Window.orderBy("source")) - 1))
 
 
 def langs_of(docs: DataFrame) -> DataFrame:
     """(lang, ds, docs, weight): languages numbered by name, weight = tenths of the rows, at least 1."""
-    from pyspark.sql import Window
-
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
     total = F.sum("docs").over(Window.partitionBy())
-    return counts.withColumn("ds", F.row_number().over(Window.orderBy("lang")) - 1).withColumn(
+    return plan_table(counts.withColumn("ds", F.row_number().over(Window.orderBy("lang")) - 1).withColumn(
         "weight", F.greatest(F.expr("1L"), F.floor(F.col("docs") * 10 / total)).cast("bigint")
-    )
+    ))
 
 
 # SQL fragments --------------------------------------------------------------------------------

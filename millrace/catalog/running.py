@@ -71,7 +71,7 @@ def _stages(spark, sf):
 SELECT o_orderkey AS step, name FROM orders ASOF JOIN stage_table ON o_orderkey >= start_step""")
 def stage_for_step(spark, sf):
     steps = table(spark, sf, "orders").select(F.col("o_orderkey").alias("step"))
-    return joins.stage_for_step(steps, _stages(spark, sf), last_step=1 << 22, width=1 << 10).select("step", "name")
+    return joins.stage_for_step(steps, _stages(spark, sf)).select("step", "name")
 
 
 @register("next_stage_start", f"WITH {STAGE_TABLE} SELECT name, start_step, lead(start_step) OVER (ORDER BY start_step) AS next_start FROM stage_table")

@@ -82,18 +82,22 @@ def last_boxed(text: Column) -> Column:
     opened = F.locate("{", tail)
     body = F.substr(tail, opened)
     runs = F.regexp_extract_all(body, F.lit(r"[^{}]*[{}]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(False).alias("closed"))
+    start = F.struct(
+        body.alias("body"), F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(False).alias("closed")
+    )
 
     def step(state, run):
         depth = state["depth"] + F.when(F.endswith(run, F.lit("{")), 1).otherwise(-1)
         moved = F.struct(
-            depth.alias("depth"), (state["seen"] + F.length(run)).alias("seen"), (depth == 0).alias("closed")
+            state["body"].alias("body"), depth.alias("depth"), (state["seen"] + F.length(run)).alias("seen"),
+            (depth == 0).alias("closed"),
         )
         return F.when(state["closed"], state).otherwise(moved)
 
-    end = F.aggregate(runs, start, step)
-    inner = F.when(end["closed"], F.substr(body, F.lit(2), end["seen"] - 2))
-    return F.when((F.instr(text, BOXED) > 0) & (opened > 0), inner)
+    def inner(state):
+        return F.when(state["closed"], F.substr(state["body"], F.lit(2), state["seen"] - 2))
+
+    return F.when((F.instr(text, BOXED) > 0) & (opened > 0), F.aggregate(runs, start, step, inner))
 
 
 def pred_answer(text: Column) -> Column:
@@ -135,13 +139,16 @@ def math_number(plain: Column) -> Column:
     )
 
 
+def same_math(pred: Column, gold: Column, pred_number: Column, gold_number: Column) -> Column:
+    """Equal as cleaned text, or equal as numbers; anything that cannot be decided is wrong."""
+    same = (pred == gold) & (pred != "")
+    close = F.abs(pred_number - gold_number) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(gold_number))
+    return F.coalesce(same, F.lit(False)) | F.coalesce(close, F.lit(False))
+
+
 def math_correct(pred: Column, gold: Column) -> Column:
-    """Equal after cleaning, or equal as numbers; anything that cannot be decided is wrong."""
     p, g = plain_math(pred), plain_math(gold)
-    pn, gn = math_number(p), math_number(g)
-    same = (p == g) & (p != "")
-    close = F.abs(pn - gn) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(gn))
-    return F.coalesce(same, F.lit(False)) | F.coalesce(close, F.lit(False))
+    return same_math(p, g, math_number(p), math_number(g))
 
 
 def slug(name: Column) -> Column:

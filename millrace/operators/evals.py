@@ -95,10 +95,16 @@ def settings_differ(stored: DataFrame, wanted: DataFrame, keys: tuple[str, ...])
 def grade(gens: DataFrame, verifier: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Add ``pred`` and ``correct``; ``verifier(gold, pred)`` replaces the built-in comparison."""
     out = gens.withColumn("pred", X.pred_answer(F.col("text")))
-    gold, pred = F.col("answer"), F.col("pred")
-    math = F.coalesce(verifier(gold, pred), F.lit(False)) if verifier else X.math_correct(pred, gold)
-    return out.withColumn(
-        "correct", F.when(F.col("bench") == CHOICE_BENCH, X.choice_correct(pred, gold)).otherwise(math)
+    if verifier:
+        math = F.coalesce(verifier(F.col("answer"), F.col("pred")), F.lit(False))
+    else:
+        # Step by step, so that every cleaned text and number is worked out once.
+        out = out.withColumn("_p", X.plain_math(F.col("pred"))).withColumn("_g", X.plain_math(F.col("answer")))
+        out = out.withColumn("_pn", X.math_number(F.col("_p"))).withColumn("_gn", X.math_number(F.col("_g")))
+        math = X.same_math(F.col("_p"), F.col("_g"), F.col("_pn"), F.col("_gn"))
+    choice = X.choice_correct(F.col("pred"), F.col("answer"))
+    return out.withColumn("correct", F.when(F.col("bench") == CHOICE_BENCH, choice).otherwise(math)).drop(
+        "_p", "_g", "_pn", "_gn"
     )
 
 

@@ -7,36 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import plan_table
+
 
 def interval_join(
     points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, keys: Sequence[str] = (),
-    width: int = 1 << 16, how: str = "inner",
+    width: int | None = None, how: str = "inner",
 ) -> DataFrame:
     """Match each point with the ranges ``[start, end)`` that hold it.
 
     Every range is repeated once per cell of ``width`` it touches, so the match is an equality on
-    the cell and the comparison only removes neighbours inside one cell.
+    the cell and the comparison only removes neighbours inside one cell.  By default the cell is as
+    wide as the average range, which bounds the repeated ranges by twice their number.
     """
-    cells = (
-        ranges.where(F.col(start) < F.col(end))
-        .withColumn(
-            "_cell",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col(start) / F.lit(width)).cast("bigint"),
-                    F.floor((F.col(end) - 1) / F.lit(width)).cast("bigint"),
-                )
-            ),
-        )
+    ranges = ranges.where(F.col(start) < F.col(end))
+    if width is None:
+        cell = F.coalesce(ranges.agg(F.ceil(F.avg(F.col(end) - F.col(start)))).scalar(), F.lit(1))
+    else:
+        cell = F.lit(width)
+    cells = ranges.withColumn(
+        "_cell",
+        F.explode(F.sequence(
+            F.floor(F.col(start) / cell).cast("bigint"), F.floor((F.col(end) - 1) / cell).cast("bigint")
+        )),
     )
-    located = points.withColumn("_cell", F.floor(F.col(point) / F.lit(width)).cast("bigint"))
+    located = points.withColumn("_cell", F.floor(F.col(point) / cell).cast("bigint"))
     right = cells.select(
-        "_cell", *[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in ranges.columns if c not in keys]
+        F.col("_cell").alias("_r_cell"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *[c for c in ranges.columns if c not in keys],
     )
-    cond = (located["_cell"] == right["_cell"]) & (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
+    cond = (F.col("_cell") == F.col("_r_cell")) & (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_k_{k}"))
-    return located.join(right, cond, how).drop("_cell", *[f"_k_{k}" for k in keys])
+    return located.join(right, cond, how).drop("_cell", "_r_cell", *[f"_k_{k}" for k in keys])
 
 
 def cumulative_ranges(lens: DataFrame, by: Sequence[str], order: str, size: str = "len") -> DataFrame:
@@ -47,7 +50,7 @@ def cumulative_ranges(lens: DataFrame, by: Sequence[str], order: str, size: str
 
 
 def locate_window(pos: DataFrame, lens: DataFrame, by: Sequence[str] = ("source",), order: str = "file",
-                  width: int = 1 << 10) -> DataFrame:
+                  width: int | None = None) -> DataFrame:
     """File of every stream position and the position inside it."""
     ranges = cumulative_ranges(lens, by, order).select(*by, order, "start", "end")
     return interval_join(pos, ranges, "pos", "start", "end", by, width).withColumn(
@@ -76,10 +79,10 @@ def blend_fetch(blend: DataFrame, windows: DataFrame, lens: DataFrame, offsets:
     ``windows`` is keyed by (ds, ``row``) with dense rows; the join key is close to unique, so a
     popular source does not make a hot key.
     """
-    wide = blend.join(lens.select("ds", "len"), "ds")
+    wide = blend.join(plan_table(lens.select("ds", "len")), "ds")
     shift: Column = F.lit(0)
     if offsets is not None:
-        wide = wide.join(offsets.select("ds", "offset"), "ds", "left")
+        wide = wide.join(plan_table(offsets.select("ds", "offset")), "ds", "left")
         shift = F.coalesce("offset", F.lit(0))
     keyed = wide.withColumn(row, F.pmod(F.col("sample") + shift, F.col("len")).cast("bigint")).drop("offset", "len")
     return keyed.join(windows, ["ds", row])
@@ -94,15 +97,13 @@ def grade_items(gens: DataFrame, items: DataFrame) -> DataFrame:
     return gens.join(items.select("id", F.col("answer").alias("gold")), "id")
 
 
-def stage_for_step(steps: DataFrame, stages: DataFrame, last_step: int = 1 << 40, width: int = 1 << 12) -> DataFrame:
-    """Latest stage starting at or before each step.
-
-    ``last_step`` closes the last stage (steps beyond it find none); ``width`` is the cell of the
-    interval match and should be near the usual stage length.
-    """
+def stage_for_step(steps: DataFrame, stages: DataFrame, width: int | None = None) -> DataFrame:
+    """Latest stage starting at or before each step; the last stage reaches to the last step there is."""
     w = Window.orderBy("start_step")
+    open_end = F.coalesce(steps.agg(F.max("step") + 1).scalar(), F.lit(0))
     ranges = stages.select(
-        "name", "start_step", F.coalesce(F.lead("start_step").over(w), F.lit(last_step)).alias("_end")
+        "name", "start_step",
+        F.coalesce(F.lead("start_step").over(w), F.greatest(open_end, F.col("start_step") + 1)).alias("_end"),
     )
     return interval_join(steps, ranges, "step", "start_step", "_end", (), width).drop("_end")
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from millrace.functions.seeded import seeded_int
 from millrace.functions.text import shard_name
 from millrace.operators.ordering import (
-    DEFAULT_BLOCK, dense_index, global_row_index, hash_order, repeat_epochs, running_offset,
+    DEFAULT_BLOCK, expand_counts, global_row_index, hash_order, plan_table, repeat_epochs, running_offset,
 )
 
 QUOTA_MARGIN = 1.005  # fixed value: samples asked for beyond the exact share
@@ -174,8 +174,8 @@ def blend_greedy(spark: SparkSession, w: DataFrame, n: int, limit: int = BLEND_S
     base = spark.range(n).withColumnRenamed("id", "pos").withColumn("place", place.cast("bigint")).withColumn(
         "turns", turns.cast("bigint")
     )
-    # The cycle table has at most `limit` rows of four numbers, which bounds the broadcast.
-    return base.join(F.broadcast(cycle), "place").select(
+    # A local table of at most `limit` rows: Spark sees its size and broadcasts it if it is small.
+    return base.join(cycle, "place").select(
         "pos", "ds", (F.col("first") + F.col("turns") * F.col("per_cycle")).cast("bigint").alias("sample")
     )
 
@@ -192,7 +192,8 @@ def epoch_index(spark: SparkSession, w: DataFrame | None, lens: DataFrame, n: in
     """
     epoch = lens.agg(F.sum("len").cast("bigint")).first()[0]
     weights = w if w is not None else lens.select("ds", F.col("len").alias("weight"))
-    base = blend_greedy(spark, weights, epoch, limit).join(lens.select("ds", "len"), "ds")
+    lens = plan_table(lens.select("ds", "len"))
+    base = blend_greedy(spark, weights, epoch, limit).join(lens, "ds")
     base = base.select(F.col("pos").alias("place"), "ds", F.pmod("sample", "len").cast("bigint").alias("sample"))
     mixed = hash_order(base, seed, ["place"]).drop("place")
     return repeat_epochs(mixed, nanoset_epochs(n, epoch)).select(
@@ -205,8 +206,7 @@ nanoset_index = epoch_index
 
 def quota_index(w: DataFrame, n, seed: int) -> DataFrame:
     """Exact quotas in random order; every source is read in sequence."""
-    quotas = largest_remainder(w, n).where(F.col("quota") > 0)
-    slots = quotas.select("ds", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1)).alias("slot"))
+    slots = expand_counts(largest_remainder(w, n).select("ds", "quota"), "quota", "slot")
     placed = hash_order(slots, seed, ["ds", "slot"]).drop("slot")
     return global_row_index(placed, "pos", ["ds"], "sample")
 
@@ -235,13 +235,12 @@ def bin_table(w: DataFrame, bins: int) -> DataFrame:
 def blend_bins(spark: SparkSession, w: DataFrame, lens: DataFrame, n: int, bins: int = 100) -> DataFrame:
     """Blend order by arithmetic on the position: no state, any length."""
     bins = min(bins, n)
-    table = bin_table(w, bins).join(lens.select("ds", "len"), "ds")
+    table = plan_table(bin_table(w, bins).join(lens.select("ds", "len"), "ds"))
     pos = spark.range(n).select(
         F.col("id").alias("pos"), F.pmod("id", F.lit(bins)).cast("bigint").alias("bin"),
         F.expr(f"id div {bins}").alias("_round"),
     )
-    # `bins` rows: bounded by the argument.
-    return pos.join(F.broadcast(table), "bin").select(
+    return pos.join(table, "bin").select(
         "pos", F.col("ds").cast("int").alias("ds"),
         F.pmod(F.col("bias") + F.col("_round") * F.col("bins_of_ds"), F.col("len")).cast("bigint").alias("sample"),
     )
@@ -259,6 +258,15 @@ def blend_report(blend: DataFrame, w: DataFrame) -> DataFrame:
 # Orders of windows, files, documents ----------------------------------------------------------
 
 
+def window_order(lens: DataFrame, seed: int, by: str = "source") -> DataFrame:
+    """(source, place, win): the order of ``shuffle_windows`` from window counts alone.
+
+    Only numbers are shuffled; the windows themselves are fetched once, when a blend asks for them.
+    """
+    rows = expand_counts(lens.select(by, "len"), "len", "win")
+    return hash_order(rows, seed, ["win"], [by], "place", name=F.right(F.col(by), F.lit(NAME_TAIL)))
+
+
 def shuffle_windows(win: DataFrame, seed: int, by: str = "source", row: str = "win", out: str = "place") -> DataFrame:
     """Fixed random order of each source's windows, from the seed and the end of the source's name."""
     return hash_order(win, seed, [row], [by], out, name=F.right(F.col(by), F.lit(NAME_TAIL)))
@@ -329,7 +337,7 @@ def mix_fractions(df: DataFrame, fractions: DataFrame, seed: int = 42, by: str =
         F.raise_error(F.lit("fractions must not be negative"))
     )
     limits = counts.select(by, F.floor(checked * F.col("_n")).cast("bigint").alias("_limit"))
-    kept = global_row_index(df, key, [by], "_row", block).join(limits, by).where(F.col("_row") < F.col("_limit"))
+    kept = global_row_index(df, key, [by], "_row", block).join(plan_table(limits), by).where(F.col("_row") < F.col("_limit"))
     return hash_order(kept.drop("_row", "_limit"), seed, [key], (), "pos")
 
 

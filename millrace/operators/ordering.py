@@ -3,8 +3,9 @@
 ``Window.partitionBy(source)`` - or no partition at all - puts everything of a source on one
 task.  The operators here work in two levels: rows are split into fixed blocks that follow the
 order (``order_col div block``, or the leading digits of a hash), each block is numbered on its
-own, and block totals - one row per block - are summed and joined back.  The join uses the block
-keys the rows are already partitioned and sorted by, so it adds no shuffle of the rows.
+own, and block totals - one row per block - are summed and joined back.  Rows are partitioned by group
+and block on purpose (an input that happens to be partitioned by the group alone would keep a big
+group in one task); the join back uses the same keys, so the rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,49 @@ from millrace.functions.seeded import seeded_md5
 
 DEFAULT_BLOCK = 1 << 16
 HASH_DIGITS = 3
+PLAN_ROWS = 100_000
+EXPAND_CHUNK = 1 << 16
+
+
+def plan_table(df: DataFrame, max_rows: int = PLAN_ROWS) -> DataFrame:
+    """Fix a planning table (sources, jobs, weights, lengths) so that Spark knows its size.
+
+    At most ``max_rows + 1`` rows are fetched.  A table within the bound becomes a local relation, which
+    joins by broadcast only if its real size is below Spark's threshold; a larger one is returned as
+    it was and joins by shuffle.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def expand_counts(df: DataFrame, count: str, out: str, chunk: int = EXPAND_CHUNK) -> DataFrame:
+    """``count`` rows numbered from 0 for every input row.
+
+    Chunk numbers are exploded and spread first, so a row that stands for billions is expanded by
+    many tasks.
+    """
+    keep = [c for c in df.columns if c != count]
+    rows = F.col(count).cast("bigint")
+    chunks = df.where(rows > 0).select(
+        *keep, rows.alias("_rows"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((rows - 1) / F.lit(chunk)))).alias("_chunk")
+    )
+    first = F.col("_chunk") * chunk
+    last = F.least(first + chunk, F.col("_rows")) - 1
+    return chunks.repartition(*keep, "_chunk").select(*keep, F.explode(F.sequence(first, last)).alias(out))
+
+
+def block_width(df: DataFrame, order: str, rows_per_block: int = DEFAULT_BLOCK) -> int:
+    """Key width of blocks that hold ``rows_per_block`` rows on average, whatever the spread of the keys.
+
+    Reads the minimum, maximum and count of one column; use it where keys are not dense.
+    """
+    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    if not n:
+        return rows_per_block
+    blocks = max(1, -(-n // rows_per_block))
+    return max(1, -(-(int(high) - int(low) + 1) // blocks))
 
 
 def _block_starts(totals: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -61,7 +105,7 @@ def running_offset(
     blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
     totals = blocked.groupBy(*by, "_block").agg(F.sum(size).cast("bigint").alias("_total"))
     w = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = blocked.withColumn("_local", (F.sum(size).over(w) - F.col(size)).cast("bigint"))
+    local = blocked.repartition(*by, "_block").withColumn("_local", (F.sum(size).over(w) - F.col(size)).cast("bigint"))
     return _attach(local, _block_starts(totals, by), by, out)
 
 
@@ -73,7 +117,7 @@ def dense_index(
     blocked = df.withColumn("_block", block)
     totals = blocked.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_total"))
     w = Window.partitionBy(*by, "_block").orderBy(*order)
-    local = blocked.withColumn("_local", F.row_number().over(w).cast("bigint") - 1)
+    local = blocked.repartition(*by, "_block").withColumn("_local", F.row_number().over(w).cast("bigint") - 1)
     return _attach(local, _block_starts(totals, by), by, out)
 
 

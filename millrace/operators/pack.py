@@ -75,6 +75,7 @@ def assemble_windows(
     )
     return (
         parts.select(*by, "p.win", "p.at", "p.part")
+        .repartition(*by, "win")
         .groupBy(*by, "win")
         .agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
         .select(*by, "win", F.flatten(F.transform("parts", lambda p: p["part"])).alias("ids"))

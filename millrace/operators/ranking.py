@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordering import dense_index
-
 
 def topk_per_group(df: DataFrame, by: Sequence[str], score: str, k: int, temperature: float = 1.0,
                    key: str = "id") -> DataFrame:
@@ -24,38 +22,43 @@ def topk_per_group(df: DataFrame, by: Sequence[str], score: str, k: int, tempera
     return top.withColumn("_w", weight).withColumn("prob", F.col("_w") / F.sum("_w").over(group)).drop("_w")
 
 
-def group_softmax(df: DataFrame, by: Sequence[str], score: str, temperature: float = 1.0) -> DataFrame:
-    """Softmax over whole groups from two small aggregates, never by gathering a group."""
-    peak = df.groupBy(*by).agg(F.max(score).alias("_peak"))
-    raised = df.join(peak, list(by)).withColumn("_w", F.exp((F.col(score) - F.col("_peak")) / F.lit(temperature)))
-    mass = raised.groupBy(*by).agg(F.sum("_w").alias("_mass"))
-    return raised.join(mass, list(by)).withColumn("prob", F.col("_w") / F.col("_mass")).drop("_w", "_mass", "_peak")
-
-
 def topp_per_group(df: DataFrame, by: Sequence[str], score: str, p: float, temperature: float = 1.0, keep: int = 1,
                    key: str = "id", step: float = 0.05) -> DataFrame:
     """Candidates whose ascending cumulative probability is above ``1 - p``, and the best ``keep``.
 
-    The cumulative sum is two-level over score steps of ``step``, so a group can be spread.
+    Groups are cut into blocks of scores ``step`` wide.  One small table per (group, block) - mass and
+    rows, from a map-side combined aggregate - gives the group's total mass and what lies below and
+    above each block; rows are only ever sorted inside a block, so a big group is spread.
     """
     by = list(by)
-    probs = group_softmax(df, by, score, temperature).withColumn(
-        "_block", F.floor(F.col(score) / F.lit(step)).cast("bigint")
-    )
-    totals = probs.groupBy(*by, "_block").agg(F.sum("prob").alias("_total"))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = totals.select(*by, "_block", (F.sum("_total").over(before) - F.col("_total")).alias("_before"))
-    local = Window.partitionBy(*by, "_block").orderBy(F.col(score), F.col(key).desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    base = df.withColumn("_block", F.floor(F.col(score) / F.lit(step)).cast("bigint"))
+    # Weights relative to the block's own lower edge stay between 1 and exp(step / temperature).
+    weight = F.exp((F.col(score) - F.col("_block") * F.lit(step)) / F.lit(temperature))
+    blocks = base.groupBy(*by, "_block").agg(F.sum(weight).alias("_mass"), F.count(F.lit(1)).alias("_rows"))
+    group = Window.partitionBy(*by)
+    rising = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    falling = group.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scale = F.exp((F.col("_block") - F.max("_block").over(group)) * F.lit(step) / F.lit(temperature))
+    table = (
+        blocks.withColumn("_scale", scale)
+        .withColumn("_total", F.sum(F.col("_mass") * F.col("_scale")).over(group))
+        .withColumn("_share", F.col("_mass") * F.col("_scale") / F.col("_total"))
+        .withColumn("_below", F.sum("_share").over(rising) - F.col("_share"))
+        .withColumn("_above", F.sum("_rows").over(falling) - F.col("_rows"))
+        .select(*by, "_block", (F.col("_scale") / F.col("_total")).alias("_factor"), "_below", "_above")
     )
-    summed = probs.withColumn("_local", F.sum("prob").over(local)).join(starts, [*by, "_block"]).withColumn(
-        "cumulative", F.col("_local") + F.col("_before")
+    rows = base.withColumn("_weight", weight).repartition(*by, "_block").join(table, [*by, "_block"])
+    inside = Window.partitionBy(*by, "_block")
+    up = inside.orderBy(F.col(score), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = inside.orderBy(F.col(score).desc(), F.col(key))
+    ranked = (
+        rows.withColumn("prob", F.col("_weight") * F.col("_factor"))
+        .withColumn("cumulative", F.col("_below") + F.sum("prob").over(up))
+        .withColumn("_place", F.col("_above") + F.row_number().over(down))
     )
-    ranked = dense_index(
-        summed.drop("_local", "_before").withColumn("_step", F.col("_block")), -F.col("_step"),
-        [F.col(score).desc(), F.col(key)], by, "_place"
+    return ranked.where((F.col("cumulative") > 1 - p) | (F.col("_place") <= keep)).drop(
+        "_block", "_weight", "_factor", "_below", "_above", "_place"
     )
-    return ranked.where((F.col("cumulative") > 1 - p) | (F.col("_place") < keep)).drop("_step", "_place")
 
 
 def best_per_group(df: DataFrame, by: Sequence[str], score: str, key: str = "id") -> DataFrame:

@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import running_offset
+
 
 def consumed_tokens(blend: DataFrame, gb: int, L: int) -> DataFrame:
     """Tokens each source gave per step and up to that step."""
     per_step = blend.withColumn("step", F.expr(f"pos div {gb}")).groupBy("step", "ds").agg(
         (F.count(F.lit(1)) * L).cast("bigint").alias("tokens")
     )
-    w = Window.partitionBy("ds").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_step.withColumn("cumulative", F.sum("tokens").over(w).cast("bigint"))
+    return running_offset(per_step, ["ds"], "step", "tokens", "_earlier").withColumn(
+        "cumulative", F.col("_earlier") + F.col("tokens")
+    ).drop("_earlier")
 
 
 def consumption_faults(consumed: DataFrame, stages: DataFrame) -> DataFrame:

@@ -12,16 +12,15 @@ from millrace.functions.arrays import PAD, counting, int_slice, pad_to
 
 
 def chat_pairs(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, prompt, completion): each user turn with the assistant turn right after it."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    ahead = turns.select(
-        "conv_id", "turn", "role", F.col("text").alias("prompt"),
-        F.lead("turn").over(w).alias("_turn"), F.lead("role").over(w).alias("_role"),
-        F.lead("text").over(w).alias("completion"),
+    """(conv_id, turn, prompt, completion): each user turn with the assistant turn right after it.
+
+    A join on (conversation, turn) instead of a window: no conversation is gathered in one task.
+    """
+    asked = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    given = turns.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion")
     )
-    return ahead.where(
-        (F.col("role") == "user") & (F.col("_role") == "assistant") & (F.col("_turn") == F.col("turn") + 1)
-    ).select("conv_id", "turn", "prompt", "completion")
+    return asked.join(given, ["conv_id", "turn"])
 
 
 def sft_encode(

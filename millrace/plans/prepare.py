@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import mixture, pack, quality, tokens
-from millrace.operators.ordering import DEFAULT_BLOCK
+from millrace.operators.ordering import DEFAULT_BLOCK, block_width, plan_table
 from millrace.sources import stores
 
 
@@ -17,9 +17,9 @@ def tokenized(docs: DataFrame, min_chars: int = 50) -> DataFrame:
 
 def assign_shards(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Shard of every document by its source's number of shards; sources without a job are left out."""
-    counts = jobs.groupBy("source").agg(
+    counts = plan_table(jobs.groupBy("source").agg(
         F.count(F.lit(1)).alias("_shards"), F.max("max_doc_tokens").alias("max_doc_tokens")
-    )
+    ))
     return mixture.shard_source(docs.join(counts, "source"), F.col("_shards")).drop("_shards")
 
 
@@ -30,7 +30,7 @@ def budgeted(docs: DataFrame, jobs: DataFrame, chat_sources: tuple[str, ...] = (
     if vocab is not None:
         tok = tokens.encode_ids(tok, vocab)
     flagged = tokens.flag_long(tok, F.col("max_doc_tokens"), F.col("source").isin(list(chat_sources)))
-    return pack.budget_tokens(flagged, jobs.select("source", "shard", "budget"), block=block)
+    return pack.budget_tokens(flagged, plan_table(jobs.select("source", "shard", "budget")), block=block)
 
 
 def prepare_corpus(spark: SparkSession, docs: DataFrame, recipe: DataFrame, path: str, tokenizer: str,
@@ -43,7 +43,7 @@ def prepare_corpus(spark: SparkSession, docs: DataFrame, recipe: DataFrame, path
     faults = mixture.recipe_faults(recipe).take(1)
     if faults:
         raise ValueError(f"recipe: {faults[0]}")
-    jobs = mixture.plan_shards(recipe)
+    jobs = plan_table(mixture.plan_shards(recipe))
     columns = ["doc_id", "source", "text"]
     vocab_path = f"{path}/vocab"
     tokens.build_vocab(docs.select("text"), vocab_size).write.mode("overwrite").parquet(vocab_path)
@@ -54,7 +54,8 @@ def prepare_corpus(spark: SparkSession, docs: DataFrame, recipe: DataFrame, path
     flagged = tokens.flag_long(coded, F.col("max_doc_tokens"), F.col("source").isin(list(chat_sources)))
     stores.write_tokens(flagged, staged)
     stored = stores.read_tokens(spark, staged)
-    kept = pack.budget_tokens(stored.drop("ids"), jobs.select("source", "shard", "budget"))
+    width = block_width(stored, "doc_id")
+    kept = pack.budget_tokens(stored.drop("ids"), jobs.select("source", "shard", "budget"), block=width)
     kept.write.mode("overwrite").parquet(f"{path}/placements")
     kept = spark.read.parquet(f"{path}/placements")
     ids = stored.select("source", "shard", "doc_id", "ids")

@@ -6,32 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import batches, joins, mixture, pack
+from millrace.operators.ordering import plan_table
 
 
-def number_windows(win: DataFrame, sources: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Windows keyed by (ds, win) in their shuffled order, and the number of windows per source."""
-    lens = win.groupBy("source").agg(F.count(F.lit(1)).alias("len")).join(sources, "source")
-    placed = mixture.shuffle_windows(win, seed).join(sources.select("source", "ds"), "source")
-    rows = placed.drop("win").withColumnRenamed("place", "win")
-    return rows, lens.select("ds", "source", "len")
+def source_lengths(stream: DataFrame, sources: DataFrame, L: int) -> DataFrame:
+    """(source, ds, len): whole windows of every source, from token counts only."""
+    counts = stream.groupBy("source").agg(F.sum(F.size("ids")).cast("bigint").alias("_tokens"))
+    return plan_table(counts.join(sources.select("source", "ds"), "source").select(
+        "source", "ds", F.floor(F.col("_tokens") / (L + 1)).cast("bigint").alias("len")
+    ))
 
 
 def training_samples(
     spark: SparkSession, stream: DataFrame, sources: DataFrame, L: int, n: int, eos, seed: int, mb: int, dp: int,
-    gb: int, greedy: bool = True, consumed: int = 0,
+    gb: int, greedy: bool = True, consumed: int = 0, bins: int = 100,
 ) -> DataFrame:
     """(step, micro, rank, slot, ids, masks ...) of ``n`` blended samples.
 
-    ``stream`` holds placed documents per source; ``sources`` has (source, ds, weight).
+    ``stream`` holds placed documents per source; ``sources`` has (source, ds, weight).  Blend positions
+    are matched with shuffled window numbers first - numbers only - and then fetch their windows in
+    one join on (ds, window).
     """
-    win = pack.pack_windows(stream, L, ["source"])
-    rows, lens = number_windows(win, sources, seed)
+    sources = plan_table(sources)
+    lens = source_lengths(stream, sources, L)
     weights = sources.select("ds", "weight")
     blend = (
-        mixture.blend_greedy(spark, weights, n) if greedy else mixture.blend_bins(spark, weights, lens, n)
+        mixture.blend_greedy(spark, weights, n) if greedy else mixture.blend_bins(spark, weights, lens, n, bins)
     )
-    fetched = joins.blend_fetch(blend, rows.drop("source"), lens)
-    shaped = pack.shift_labels(pack.positions_from_eos(fetched, eos), L)
+    order = mixture.window_order(lens, seed).join(lens.select("source", "ds"), "source").drop("source")
+    wanted = joins.blend_fetch(blend, order, lens, row="place").select("pos", "ds", "win")
+    windows = pack.pack_windows(stream, L, ["source"]).join(lens.select("source", "ds"), "source").drop("source")
+    shaped = pack.shift_labels(pack.positions_from_eos(wanted.join(windows, ["ds", "win"]), eos), L)
     plan = batches.batch_plan(spark, n, consumed, mb, dp, gb)
     return plan.join(
         shaped.select(F.col("pos").alias("sample"), "ds", "input_ids", "position_ids", "label_ids", "label_mask"),
