@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import (
-    CHAT_SOURCES, EOS, GATE, JOBS, KEPT, PIECES_SQL, RECIPE, STREAM, TOK, WINDOW, digest, hash_sql, jobs_of, joined,
+    CHAT_SOURCES, EOS, GATE, JOBS, KEPT, PIECES_SQL, RECIPE, STREAM, TOK, WINDOW, digest, documents, hash_sql, jobs_of, joined,
     kept_of, recipe_of, register,
 )
 from millrace.functions import text as X
@@ -58,7 +58,7 @@ SELECT doc_id, len({PIECES_SQL})::BIGINT AS n_tokens,
        md5(array_to_string(list_append({PIECES_SQL}, '{EOS}'), ' ')) AS content
 FROM documents WHERE length(text) >= 50""")
 def tokenize(spark, sf):
-    docs = tokens.drop_short_text(table(spark, sf, "documents"))
+    docs = tokens.drop_short_text(documents(spark, sf))
     return tokens.tokenize(docs, eos=EOS).select("doc_id", "n_tokens", digest("ids").alias("content"))
 
 
@@ -71,12 +71,12 @@ vocab AS (
 
 @register("build_vocab", f"WITH {VOCAB} SELECT token, id, n FROM vocab")
 def build_vocab(spark, sf):
-    return tokens.build_vocab(table(spark, sf, "documents"), 500)
+    return tokens.build_vocab(documents(spark, sf), 500)
 
 
 @register("vocab_fits", f"WITH {VOCAB} SELECT token, id, n FROM vocab WHERE id >= 400")
 def vocab_fits(spark, sf):
-    return tokens.vocab_fits(tokens.build_vocab(table(spark, sf, "documents"), 500), 400)
+    return tokens.vocab_fits(tokens.build_vocab(documents(spark, sf), 500), 400)
 
 
 ENCODED = f"""{VOCAB},
@@ -92,7 +92,7 @@ SELECT doc_id, count(*) AS n_tokens, (count(*) FILTER (WHERE id = 1)) AS unknown
        md5(string_agg(id::VARCHAR, ' ' ORDER BY ix)) AS content
 FROM coded GROUP BY doc_id""")
 def encode_ids(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     coded = tokens.encode_ids(prepare.tokenized(docs.select("doc_id", "text")).drop("text"), tokens.build_vocab(docs, 500))
     return coded.where(F.size("ids") > 0).select(
         "doc_id", "n_tokens", F.size(F.filter("ids", lambda i: i == tokens.UNKNOWN_ID)).cast("bigint").alias("unknown"),
@@ -103,7 +103,7 @@ def encode_ids(spark, sf):
 SELECT doc_id, count(*) AS n_tokens, md5(string_agg(id::VARCHAR, ' ' ORDER BY ix)) AS content
 FROM coded GROUP BY doc_id""")
 def encode_ids_by_join(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     tok = prepare.tokenized(docs.select("doc_id", "text")).drop("text")
     coded = tokens.encode_ids_by_join(tok, tokens.build_vocab(docs, 500), "ids", "doc_id", "ids")
     return coded.where(F.size("ids") > 0).select("doc_id", "n_tokens", digest("ids").alias("content"))
@@ -113,7 +113,7 @@ def encode_ids_by_join(spark, sf):
 SELECT c.doc_id, md5(string_agg(v.token, ' ' ORDER BY ix)) AS content
 FROM coded c JOIN vocab v USING (id) GROUP BY c.doc_id""")
 def ids_to_tokens(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     vocab = tokens.build_vocab(docs, 500)
     coded = tokens.encode_ids(prepare.tokenized(docs.select("doc_id", "text")).drop("text"), vocab)
     return tokens.ids_to_tokens(coded, vocab).select("doc_id", F.md5("text").alias("content"))
@@ -123,7 +123,7 @@ def ids_to_tokens(spark, sf):
 SELECT source, count(*) AS docs, max(n) AS longest, sum(n)::BIGINT AS tokens
 FROM tok WHERE NOT (source IN ('src0', 'src1', 'src2') AND n >= {GATE}) GROUP BY source""")
 def gate_long(spark, sf):
-    tok = prepare.tokenized(table(spark, sf, "documents"))
+    tok = prepare.tokenized(documents(spark, sf))
     kept = tokens.gate_long(tok, GATE, F.col("source").isin(list(CHAT_SOURCES)))
     return kept.groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"), F.max("n_tokens").alias("longest"), F.sum("n_tokens").alias("tokens"))
@@ -134,7 +134,7 @@ docs AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM docu
 SELECT doc_id, left(string_agg(v.token, ' ' ORDER BY ix), 400) AS preview
 FROM coded JOIN vocab v USING (id) JOIN docs USING (doc_id) WHERE (pos // 8) % 10 = 0 GROUP BY doc_id""")
 def preview_text(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     vocab = tokens.build_vocab(docs, 500)
     coded = tokens.encode_ids(prepare.tokenized(docs.select("doc_id", "text")).drop("text"), vocab)
     numbered = ordering.global_row_index(coded, "doc_id", block=1 << 10).withColumn("batch", F.expr("pos div 8"))
@@ -334,7 +334,7 @@ def context_slices(spark, sf):
 @register("running_offset", f"""WITH {TOK}
 SELECT doc_id, source, (sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n)::BIGINT AS start FROM tok""")
 def running_offset(spark, sf):
-    tok = prepare.tokenized(table(spark, sf, "documents")).select("doc_id", "source", "n_tokens")
+    tok = prepare.tokenized(documents(spark, sf)).select("doc_id", "source", "n_tokens")
     return ordering.running_offset(tok, ["source"], "doc_id", "n_tokens", block=128).drop("n_tokens")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.catalog.registry import LANGS, SOURCES, TOK, digest, hash_sql, langs_of, register, sources_of
+from millrace.catalog.registry import LANGS, SOURCES, TOK, digest, hash_sql, documents, langs_of, register, sources_of
 from millrace.operators import batches, joins, mixture, ordering
 from millrace.plans import prepare, training
 from millrace.session import table
@@ -36,7 +36,7 @@ SELECT source || '_p' || j AS folder, (3 + j)::DOUBLE AS weight FROM spec, (SELE
 UNION ALL
 SELECT source, CASE k % 4 WHEN 1 THEN 5.0 WHEN 2 THEN tokens::DOUBLE ELSE 1.0 END FROM spec JOIN info USING (source) WHERE k % 4 > 0""")
 def resolve_weights(spark, sf):
-    info = prepare.tokenized(table(spark, sf, "documents")).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    info = prepare.tokenized(documents(spark, sf)).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     k = F.substr("source", F.lit(4)).cast("int") % 4
     specs = info.select(F.col("source").alias("folder"), F.when(k == 1, F.lit(5.0)).alias("weight"))
     held = info.where(k == 2).select(F.col("source").alias("folder"), "tokens")
@@ -233,7 +233,7 @@ t AS (SELECT source, sum(n)::BIGINT AS tokens, count(*) AS docs FROM tok GROUP B
 e AS (SELECT source, tokens, docs, unnest(range(1, 200)) AS e FROM t)
 SELECT source, min(e)::BIGINT AS epochs FROM e WHERE (e * tokens - 1) // 128 >= docs * 40 GROUP BY source""")
 def num_epochs(spark, sf):
-    tok = prepare.tokenized(table(spark, sf, "documents")).groupBy("source").agg(
+    tok = prepare.tokenized(documents(spark, sf)).groupBy("source").agg(
         F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     return tok.select("source", mixture.num_epochs_col(F.col("tokens"), 128, F.col("docs") * 40).alias("epochs"))
 
@@ -386,7 +386,7 @@ SELECT pos AS sample, pos // 32 AS step, (pos % 32) // 16 AS micro, (pos % 16) /
        md5(array_to_string(list_slice(ids, 1, 64), ' ')) AS inputs, md5(array_to_string(list_slice(ids, 2, 65), ' ')) AS labels
 FROM blend JOIN shuffled USING (source, place) WHERE pos < (SELECT count(*) FROM documents) // 16 * 16""")
 def training_samples(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf).select("doc_id", "source", "text")
     tok = prepare.tokenized(docs).drop("text").withColumn("ids", F.concat("ids", F.array(F.lit("<eos>"))))
     sized = tok.withColumn("_n", F.col("n_tokens") + 1)
     stream = ordering.running_offset(sized, ["source"], "doc_id", "_n", "start", 1 << 10)

@@ -12,7 +12,7 @@ from millrace.functions import text as X
 from millrace.operators import mixture
 from millrace.operators.ordering import plan_table
 from millrace.plans import prepare
-from millrace.session import shared_folder, table
+from millrace.session import shared_folder, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +52,11 @@ WINDOW = 256
 EOS = "<eos>"
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work on their texts."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def recipe_of(docs: DataFrame) -> DataFrame:
     """A recipe from the documents themselves: budget by number of rows, shards and weight by name."""
     number = F.substr("source", F.lit(4)).cast("int")
@@ -66,13 +71,13 @@ def jobs_of(docs: DataFrame) -> DataFrame:
 
 
 def kept_of(spark: SparkSession, sf: str, block: int = 1 << 10) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return prepare.budgeted(docs.select("doc_id", "source", "text"), jobs_of(docs), CHAT_SOURCES, block=block)
+    jobs = jobs_of(table(spark, sf, "documents"))
+    return prepare.budgeted(documents(spark, sf).select("doc_id", "source", "text"), jobs, CHAT_SOURCES, block=block)
 
 
 def graded_of(spark: SparkSession, sf: str) -> DataFrame:
     """Graded answers: a document is an answer, its language the benchmark, its source the question."""
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    docs, labels = documents(spark, sf), table(spark, sf, "labels")
     rows = docs.join(labels, "doc_id").select(
         "doc_id", F.col("lang").alias("bench"), F.col("source").alias("id"), (F.col("quality") == 1).alias("correct"),
         F.size(X.pieces(F.col("text"))).cast("bigint").alias("tokens"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalog.mixing import BINS, _lens, _weights
-from millrace.catalog.registry import LANGS, TOK, langs_of, register
+from millrace.catalog.registry import LANGS, TOK, documents, langs_of, register
 from millrace.operators import joins, mixture, quality, runs
 from millrace.plans import prepare
 from millrace.session import table
@@ -173,6 +173,6 @@ def masked_mean(spark, sf):
 @register("epochs_used", f"""WITH {TOK}
 SELECT source, (count(*) * 9000) // sum(n)::BIGINT AS epochs, count(*) * 9000 * 256 AS planned_tokens FROM tok GROUP BY source""")
 def epochs_used(spark, sf):
-    lens = prepare.tokenized(table(spark, sf, "documents")).groupBy("source").agg(
+    lens = prepare.tokenized(documents(spark, sf)).groupBy("source").agg(
         F.sum("n_tokens").alias("len"), (F.count(F.lit(1)) * 9000).alias("requested"))
     return runs.epochs_used(lens, L=256).select("source", "epochs", "planned_tokens")

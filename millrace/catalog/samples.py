@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.catalog.registry import EOS, PIECES_SQL, TOK, digest, hash_sql, joined, register
+from millrace.catalog.registry import EOS, PIECES_SQL, TOK, digest, documents, hash_sql, joined, register
 from millrace.functions import text as X
 from millrace.operators import fim, mixture, ordering, pack, sft, spans
 from millrace.plans import prepare
@@ -14,7 +14,7 @@ L = 200
 
 
 def _tok(spark, sf):
-    return prepare.tokenized(table(spark, sf, "documents").select("doc_id", "source", "text")).drop("text")
+    return prepare.tokenized(documents(spark, sf).select("doc_id", "source", "text")).drop("text")
 
 
 def _order(tok):
@@ -166,7 +166,7 @@ SELECT doc_id, md5(array_to_string(CASE
          ELSE ['<pre>'] || p || ['<suf>'] || s || ['<mid>'] || m END, ' ')) AS content, drawn
 FROM parts""")
 def fim_permute(spark, sf):
-    out = fim.fim_permute(table(spark, sf, "documents").select("doc_id", "text"), FIM)
+    out = fim.fim_permute(documents(spark, sf).select("doc_id", "text"), FIM)
     return out.select("doc_id", digest("ids").alias("content"), F.array_contains("ids", "<pre>").alias("drawn"))
 
 
@@ -230,7 +230,7 @@ sent AS (SELECT doc_id, sent_ord::INT AS sent_ord, {_pieces("s")} AS ids, len(id
 
 
 def _sent(spark, sf):
-    return spans.sentences_table(table(spark, sf, "documents").select("doc_id", "text"))
+    return spans.sentences_table(documents(spark, sf).select("doc_id", "text"))
 
 
 @register("sentences_table", f"""WITH {SENTENCES}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.catalog.registry import (
-    CHAT_SOURCES, EOS, GATE, GRADED, JOBS, KEPT, PIECES_SQL, STREAM, TOK, WINDOW, digest, graded_of, hash_sql, jobs_of,
+    CHAT_SOURCES, EOS, GATE, GRADED, JOBS, KEPT, PIECES_SQL, STREAM, TOK, WINDOW, digest, documents, graded_of, hash_sql, jobs_of,
     joined, kept_of, new_folder, recipe_of, register,
 )
 from millrace.functions import text as X
@@ -105,7 +105,7 @@ SELECT source, shard::INT AS shard, sum(take)::BIGINT AS tokens, count(*) FILTER
 FROM kept GROUP BY source, shard""")
 def prepare_corpus(spark, sf):
     """The whole job: documents to stored ids, placements and manifest."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     manifest = prepare.prepare_corpus(
         spark, docs, recipe_of(docs), new_folder(spark, "corpus"), "pieces", CHAT_SOURCES, 2000)
     return manifest.select("source", "shard", "tokens", "docs", "dropped_too_long")

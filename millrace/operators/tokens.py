@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -87,11 +88,9 @@ def id_width(vocab_size: int) -> int:
 def _lookup_encoder(tokens: pa.Array, ids: pa.Array, pieces_col: str, out: str):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index(pieces_col))
-            found = pc.take(ids, pc.index_in(col.flatten(), value_set=tokens))
-            flat = pc.fill_null(found, pa.scalar(UNKNOWN_ID, pa.int32()))
-            offsets = pc.subtract(col.offsets, col.offsets[0]) if len(col.offsets) else col.offsets
-            coded = pa.ListArray.from_arrays(offsets, flat)
+            offsets, values = _list_parts(batch.column(batch.schema.get_field_index(pieces_col)))
+            found = pc.take(ids, pc.index_in(values, value_set=tokens))
+            coded = pa.ListArray.from_arrays(offsets, pc.fill_null(found, pa.scalar(UNKNOWN_ID, pa.int32())))
             names = [n for n in batch.schema.names if n != pieces_col]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(n)) for n in names] + [coded], [*names, out]
@@ -111,15 +110,12 @@ def encode_ids(
     back together by document.
     """
     out = out or pieces_col
-    held = vocab.select("token", "id").limit(max_broadcast + 1).toArrow()
-    if held.num_rows > max_broadcast:
+    small = _small_vocab(vocab, max_broadcast)
+    if small is None:
         return encode_ids_by_join(df, vocab, pieces_col, key, out)
-    table = held.combine_chunks()
-    tokens = table.column("token").combine_chunks().cast(pa.string())
-    ids = table.column("id").combine_chunks().cast(pa.int32())
     schema = [f for f in df.schema.fields if f.name != pieces_col]
     return df.mapInArrow(
-        _lookup_encoder(tokens, ids, pieces_col, out),
+        _lookup_encoder(*small, pieces_col, out),
         T.StructType([*schema, T.StructField(out, T.ArrayType(T.IntegerType()))]),
     )
 
@@ -141,17 +137,59 @@ def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, key: st
     )
 
 
-def ids_to_tokens(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key: str = "doc_id") -> DataFrame:
-    """Ids back to one text per row, pieces joined by a blank; special ids decode to nothing."""
-    long = df.select(key, F.posexplode(ids_col).alias("at", "id"))
+def _small_vocab(vocab: DataFrame, max_rows: int) -> tuple[pa.Array, pa.Array] | None:
+    """(tokens, ids) of a vocabulary within the bound, else None."""
+    held = vocab.select("token", "id").limit(max_rows + 1).toArrow()
+    if held.num_rows > max_rows:
+        return None
+    table = held.combine_chunks()
+    columns = [table.column("token").cast(pa.string()), table.column("id").cast(pa.int32())]
+    tokens, ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
+    return tokens, ids
+
+
+def _list_parts(col: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Offsets from zero and the values of a list column."""
+    return pc.subtract(col.offsets, col.offsets[0]), col.flatten()
+
+
+def _text_decoder(tokens: pa.Array, ids: pa.Array, ids_col: str, keep: list[str]):
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            offsets, flat = _list_parts(batch.column(batch.schema.get_field_index(ids_col)))
+            found = pc.take(tokens, pc.index_in(flat.cast(pa.int32()), value_set=ids))
+            # Special ids have no text: cut them out and move the offsets accordingly.
+            known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(known)])
+            moved = pa.array(before[offsets.to_numpy()].astype(np.int32))
+            joined = pc.binary_join(pa.ListArray.from_arrays(moved, found.drop_null()), " ")
+            kept = [batch.column(batch.schema.get_field_index(n)) for n in keep]
+            yield pa.RecordBatch.from_arrays([*kept, joined], [*keep, "text"])
+
+    return decode
+
+
+def ids_to_tokens(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key: str = "doc_id",
+                  max_broadcast: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
+    """Ids back to one text per row, pieces joined by a blank; special ids decode to nothing.
+
+    Looked up batch-wise in Arrow while the vocabulary is within the bound, joined beyond it.
+    """
+    small = _small_vocab(vocab, max_broadcast)
+    if small is not None:
+        schema = T.StructType([df.schema[key], T.StructField("text", T.StringType())])
+        return df.select(key, ids_col).mapInArrow(_text_decoder(*small, ids_col, [key]), schema)
+    return ids_to_tokens_by_join(df, vocab, ids_col, key)
+
+
+def ids_to_tokens_by_join(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key: str = "doc_id") -> DataFrame:
+    """The same for a vocabulary of any size: one group per row."""
+    long = df.select(key, F.posexplode_outer(ids_col).alias("at", "id"))
     return (
-        long.join(vocab.select("id", "token"), "id")
+        long.join(vocab.select("id", "token"), "id", "left")
         .groupBy(key)
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda s: s["token"]), " "
-            ).alias("text")
-        )
+        .agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", "token")))).alias("_p"))
+        .select(key, F.array_join(F.transform("_p", lambda s: s["token"]), " ").alias("text"))
     )
 
 
