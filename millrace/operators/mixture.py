@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,16 +160,14 @@ def blend_greedy(spark: SparkSession, w: DataFrame, n: int, limit: int = BLEND_S
         raise ValueError("the greedy blend needs positive integer weights for ds = 0..k-1")
     order, loop_start = blend_cycle(weights, limit)
     period = len(order) - loop_start
-    counts = [0] * len(weights)
-    table = []
-    for place, ds in enumerate(order):
-        table.append((place, ds, counts[ds]))
-        counts[ds] += 1
-    in_loop = [0] * len(weights)
-    for ds in order[loop_start:]:
-        in_loop[ds] += 1
-    schema = "place bigint, ds int, first bigint, per_cycle bigint"
-    cycle = spark.createDataFrame([(p, d, s, in_loop[d]) for p, d, s in table], schema)
+    ds = np.array(order)
+    first = np.empty(len(order), dtype=np.int64)
+    for d in range(len(weights)):
+        first[ds == d] = np.arange(np.count_nonzero(ds == d))
+    per_cycle = np.bincount(ds[loop_start:], minlength=len(weights))[ds]
+    cycle = spark.createDataFrame(pa.table({
+        "place": np.arange(len(order)), "ds": ds.astype(np.int32), "first": first, "per_cycle": per_cycle,
+    }))
     pos = F.col("pos")
     place = F.when(pos < loop_start, pos).otherwise(F.pmod(pos - loop_start, F.lit(period)) + loop_start)
     turns = F.when(pos < loop_start, F.lit(0)).otherwise(F.expr(f"(pos - {loop_start}) div {period}"))

@@ -30,10 +30,8 @@ def plan_table(df: DataFrame, max_rows: int = PLAN_ROWS) -> DataFrame:
     joins by broadcast only if its real size is below Spark's threshold; a larger one is returned as
     it was and joins by shuffle.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    rows = df.limit(max_rows + 1).toArrow()
+    return df if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def expand_counts(df: DataFrame, count: str, out: str, chunk: int = EXPAND_CHUNK) -> DataFrame:
