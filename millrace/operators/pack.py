@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import PAD, counting, int_slice, pad_to, restart_positions
@@ -41,44 +41,29 @@ def cut_to_take(kept: DataFrame, ids_col: str = "ids", eos=None) -> DataFrame:
     return kept.where(~F.col("dropped")).withColumn(ids_col, int_slice(ids, 0, F.col("take")))
 
 
-def _window_parts(start: Column, ids: Column, stride: int, width: int) -> Column:
-    """Struct per window a document touches: (window, offset in the window, its part)."""
-    n = F.size(ids)
-    first = F.greatest(F.floor((start - F.lit(width)) / F.lit(stride)) + 1, F.lit(0)).cast("bigint")
-    last = F.floor((start + n - 1) / F.lit(stride)).cast("bigint")
-    parts = F.transform(
-        F.sequence(first, F.greatest(first, last)),
-        lambda w: F.struct(
-            w.alias("win"),
-            F.greatest(start - w * stride, F.lit(0)).cast("int").alias("at"),
-            int_slice(
-                ids,
-                F.greatest(w * stride - start, F.lit(0)),
-                F.least(F.lit(width), width + w * stride - start),
-            ).alias("part"),
-        ),
-    )
-    return F.when(n > 0, parts)
-
-
 def assemble_windows(
     stream: DataFrame, stride: int, width: int, by: Sequence[str] = SHARD_KEYS, ids_col: str = "ids",
     start_col: str = "start",
 ) -> DataFrame:
     """Windows of ``width`` tokens every ``stride`` tokens over a stream of placed documents.
 
-    Each document emits only its own parts, so a shuffled row carries at most ``width`` tokens and
-    a group holds exactly one window.
+    A document is repeated once per window it touches and cut in the same generated code, so a shuffled
+    row carries at most ``width`` tokens and cutting costs as much as the tokens taken (a slice inside
+    an array lambda would copy the whole document for every window).  A group holds one window.
     """
-    parts = stream.select(
-        *by, F.explode(_window_parts(F.col(start_col), F.col(ids_col), stride, width)).alias("p")
-    )
+    ids, start, win = F.col(ids_col), F.col(start_col), F.col("win")
+    n = F.size(ids)
+    first = F.greatest(F.floor((start - F.lit(width)) / F.lit(stride)) + 1, F.lit(0)).cast("bigint")
+    last = F.greatest(first, F.floor((start + n - 1) / F.lit(stride)).cast("bigint"))
+    touched = stream.select(*by, ids, start, F.explode(F.when(n > 0, F.sequence(first, last))).alias("win"))
+    begin = win * stride
+    part = int_slice(ids, F.greatest(begin - start, F.lit(0)), F.least(F.lit(width), width + begin - start))
+    parts = touched.select(*by, "win", F.greatest(start - begin, F.lit(0)).cast("int").alias("at"), part.alias("part"))
     return (
-        parts.select(*by, "p.win", "p.at", "p.part")
-        .repartition(*by, "win")
+        parts.repartition(*by, "win")
         .groupBy(*by, "win")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
-        .select(*by, "win", F.flatten(F.transform("parts", lambda p: p["part"])).alias("ids"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
+        .select(*by, "win", F.flatten(F.col("parts.part")).alias("ids"))
     )
 
 

@@ -89,7 +89,7 @@ def _spans(sizes: Column, closes: Callable[[Column, Column, Column], Column], ta
 def _sizes_by_document(sent: DataFrame) -> DataFrame:
     """One row per document with its sentence sizes in order (numbers only, no text)."""
     return sent.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("sent_ord", "size"))), lambda s: s["size"]).alias("sizes")
+        F.sort_array(F.collect_list(F.struct("sent_ord", "size"))).getField("size").alias("sizes")
     )
 
 

@@ -125,10 +125,9 @@ def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, key: st
     rest = df.drop(pieces_col)
     long = df.select(key, F.posexplode(pieces_col).alias("at", "token"))
     coded = long.join(vocab.select("token", "id"), "token", "left").groupBy(key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("at", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))),
-            lambda s: s["id"],
-        ).alias("_coded")
+        F.sort_array(F.collect_list(F.struct("at", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))).getField("id").alias(
+            "_coded"
+        )
     )
     return (
         rest.join(coded, key, "left")
@@ -188,8 +187,8 @@ def ids_to_tokens_by_join(df: DataFrame, vocab: DataFrame, ids_col: str = "ids",
     return (
         long.join(vocab.select("id", "token"), "id", "left")
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", "token")))).alias("_p"))
-        .select(key, F.array_join(F.transform("_p", lambda s: s["token"]), " ").alias("text"))
+        .agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", "token")))).alias("_p"))
+        .select(key, F.array_join(F.col("_p.token"), " ").alias("text"))
     )
 
 

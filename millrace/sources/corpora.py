@@ -20,7 +20,7 @@ def messages_from_turns(turns: DataFrame, conv_col: str = "conv_id") -> DataFram
     """One row per conversation with its messages in turn order; no messages, no row."""
     return turns.groupBy(conv_col).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))),
+            F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))),
             lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")),
         ).alias("messages")
     )
