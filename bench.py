@@ -13,7 +13,7 @@ import time
 
 HEADLINE = [
     "corpus_windows", "budget_tokens", "pack_windows", "shift_labels", "encode_ids", "build_vocab", "shuffle_windows",
-    "blend_greedy", "nanoset_index", "blend_bins", "blend_fetch", "training_samples", "sample_index", "sample_text",
+    "blend_greedy", "epoch_index", "blend_bins", "blend_fetch", "training_samples", "sample_index", "sample_text",
     "doc_order", "mix_fractions", "batch_plan", "sft_encode", "fim_permute", "fim_sample", "sentence_spans", "grade",
     "eval_summary", "token_quantiles", "paired_diff_ci", "consumed_tokens", "column_profile", "table_fingerprint",
     "topk_per_group", "topp_per_group", "stage_for_step", "prepare_corpus",

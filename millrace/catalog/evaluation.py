@@ -14,11 +14,11 @@ from millrace.session import table
 # end of the thinking part, an empty one after it, a choice, and one with an early brace.
 ANSWER_SQL = r"""answers AS (
   SELECT doc_id, CASE doc_id % 8
-    WHEN 0 THEN left(text, 40) || ' \boxed{\frac{' || n_chars || '}{2}} so'
-    WHEN 1 THEN left(text, 40) || ' \boxed{1} then \boxed{' || n_chars || '}.'
-    WHEN 2 THEN left(text, 40) || ' \boxed{' || n_chars
+    WHEN 0 THEN text || ' \boxed{\frac{' || n_chars || '}{2}} so'
+    WHEN 1 THEN text || ' \boxed{1} then \boxed{' || n_chars || '}.'
+    WHEN 2 THEN text || ' \boxed{' || n_chars
     WHEN 3 THEN text
-    WHEN 4 THEN ' \boxed{' || n_chars || '}</think> ' || left(text, 30)
+    WHEN 4 THEN ' \boxed{' || n_chars || '}</think> ' || text
     WHEN 5 THEN '\boxed{' || n_chars || '}</think>so \boxed{}'
     WHEN 6 THEN 'x</think>The answer is \boxed{' || substr('ABCD', (1 + doc_id % 4)::INT, 1) || '}'
     ELSE 'a } b \boxed x { ' || n_chars || ' {y} } z' END AS text, n_chars FROM documents)"""
@@ -26,13 +26,13 @@ ANSWER_SQL = r"""answers AS (
 
 def _answers(spark, sf):
     k, n = F.col("doc_id") % 8, F.col("n_chars").cast("string")
-    head = F.left("text", F.lit(40))
+    head = F.col("text")
     text = (
         F.when(k == 0, F.concat(head, F.lit(" \\boxed{\\frac{"), n, F.lit("}{2}} so")))
         .when(k == 1, F.concat(head, F.lit(" \\boxed{1} then \\boxed{"), n, F.lit("}.")))
         .when(k == 2, F.concat(head, F.lit(" \\boxed{"), n))
         .when(k == 3, F.col("text"))
-        .when(k == 4, F.concat(F.lit(" \\boxed{"), n, F.lit("}</think> "), F.left("text", F.lit(30))))
+        .when(k == 4, F.concat(F.lit(" \\boxed{"), n, F.lit("}</think> "), F.col("text")))
         .when(k == 5, F.concat(F.lit("\\boxed{"), n, F.lit("}</think>so \\boxed{}")))
         .when(k == 6, F.concat(F.lit("x</think>The answer is \\boxed{"),
                                F.substr(F.lit("ABCD"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1)), F.lit("}")))
@@ -107,13 +107,13 @@ def _bench_tables(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("question"), F.length("text").alias("answer"))
     return {
         "amc23": items,
-        "gsm8k": docs.select(F.col("doc_id").alias("key"), F.left("text", F.lit(60)).alias("question"), F.col("n_chars").alias("answer")),
+        "gsm8k": docs.select(F.col("doc_id").alias("key"), F.col("text").alias("question"), F.col("n_chars").alias("answer")),
     }
 
 
 ITEMS = """items AS (
   SELECT 'amc23' AS bench, 'amc23/' || item_id AS id, text AS question, length(text)::VARCHAR AS answer, 8 AS n FROM benchmark
-  UNION ALL SELECT 'gsm8k', 'gsm8k/' || doc_id, left(text, 60), n_chars::VARCHAR, 1 FROM documents)"""
+  UNION ALL SELECT 'gsm8k', 'gsm8k/' || doc_id, text, n_chars::VARCHAR, 1 FROM documents)"""
 
 
 @register("bench_items", f"WITH {ITEMS} SELECT bench, id, md5(question) AS question, answer, n::INT AS n FROM items")
@@ -157,7 +157,14 @@ def unknown_benchmarks(spark, sf):
     return evals.unknown_benchmarks(names, ("fr",))
 
 
-_OPT = "[left(text, 12), substr(text, 20, 12), substr(text, 40, 12), substr(text, 60, 12)]"
+_OPT = "list_transform(range(4), lambda i: substr(text, 1 + i * (length(text) // 4), CASE WHEN i < 3 THEN length(text) // 4 ELSE length(text) END))"
+
+
+def _quarters():
+    """The text in four parts."""
+    step = F.expr("length(text) div 4").cast("int")
+    size = lambda i: step if i < 3 else F.length("text")
+    return F.array(*[F.substr(F.col("text"), F.lit(1) + step * i, size(i)) for i in range(4)])
 
 
 @register("shuffle_options", f"""
@@ -168,17 +175,16 @@ SELECT item_id, max(substr('ABCD', place::INT, 1)) FILTER (WHERE i = 0) AS answe
            || 'Answer with the letter of the correct option.') AS question
 FROM r GROUP BY item_id""")
 def shuffle_options(spark, sf):
-    options = F.array(*[F.substr("text", F.lit(a), F.lit(12)) for a in (1, 20, 40, 60)])
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), options.alias("options"))
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"), _quarters().alias("options"))
     return evals.shuffle_options(items, 0).select("item_id", "answer", F.md5("question").alias("question"))
 
 
-@register("normalize_mcq", """
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN doc_id % 4 WHEN 1 THEN doc_id % 4 ELSE doc_id % 4 END::INT AS gold_idx, 4 AS choices FROM documents""")
+@register("normalize_mcq", f"""
+SELECT doc_id, (doc_id % 4)::INT AS gold_idx, md5(array_to_string({_OPT}, '|')) AS choices FROM documents""")
 def normalize_mcq(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     place = (F.col("doc_id") % 4).cast("int")
-    choices = F.array(*[F.substr("text", F.lit(1 + 5 * i), F.lit(5)) for i in range(4)])
+    choices = _quarters()
     letter = F.substr(F.lit("ABCD"), place + 1, F.lit(1))
     key = F.when(F.col("doc_id") % 3 == 0, (place + 1).cast("string")).otherwise(F.concat(F.lit(" "), letter))
     two = docs.where(F.col("doc_id") % 3 < 2)
@@ -186,7 +192,8 @@ def normalize_mcq(spark, sf):
     labels = F.array(*[F.lit(x) for x in ("p", "q", "r", "s")])
     by_label = evals.normalize_mcq(docs.where(F.col("doc_id") % 3 == 2), F.col("text"), choices,
                                    F.get(labels, place), labels)
-    return by_key.unionByName(by_label).select("doc_id", "gold_idx", F.size("choices").alias("choices"))
+    return by_key.unionByName(by_label).select(
+        "doc_id", "gold_idx", F.md5(F.array_join("choices", "|")).alias("choices"))
 
 
 @register("grade_items", """
@@ -337,7 +344,7 @@ def flatten_results(spark, sf):
 
 
 SCORES = """long AS (
-  SELECT label % 3 AS bench, vec_id AS item_id, unnest(embedding[1:5]) AS logprob, unnest(range(5)) AS choice FROM embeddings),
+  SELECT label % 3 AS bench, vec_id AS item_id, unnest(embedding) AS logprob, unnest(range(len(embedding))) AS choice FROM embeddings),
 scores AS (SELECT bench, item_id, choice, logprob::DOUBLE - 1 AS logprob, 1 + (choice + item_id) % 4 AS n_tokens, 3 + (choice * item_id) % 7 AS n_chars,
                   logprob::DOUBLE * choice AS base_logprob, item_id % 5 AS gold_idx FROM long)"""
 
@@ -345,7 +352,7 @@ scores AS (SELECT bench, item_id, choice, logprob::DOUBLE - 1 AS logprob, 1 + (c
 def _scores(spark, sf):
     long = table(spark, sf, "embeddings").select(
         F.pmod("label", F.lit(3)).alias("bench"), F.col("vec_id").alias("item_id"),
-        F.posexplode(F.slice("embedding", 1, 5)).alias("choice", "x"))
+        F.posexplode("embedding").alias("choice", "x"))
     x = F.col("x").cast("double")
     return long.select(
         "bench", "item_id", "choice", (x - 1).alias("logprob"), (1 + (F.col("choice") + F.col("item_id")) % 4).alias("n_tokens"),

@@ -86,14 +86,14 @@ def blend_greedy(spark, sf):
     return mixture.blend_greedy(spark, _weights(docs), docs.count())
 
 
-@register("nanoset_index", f"""WITH RECURSIVE {GREEDY},
+@register("epoch_index", f"""WITH RECURSIVE {GREEDY},
 mixed AS (
   SELECT row_number() OVER (ORDER BY md5('11:' || pos), pos) - 1 AS pos, ds, sample % docs AS sample
   FROM blend JOIN langs USING (ds)),
 everything AS (
   SELECT e * n + pos AS pos, ds, sample FROM mixed, (SELECT unnest(range(3)) AS e), (SELECT count(*) AS n FROM documents))
 SELECT pos::BIGINT AS pos, ds, sample::BIGINT AS sample FROM everything, (SELECT count(*) AS n FROM documents) WHERE pos < 2 * n + 50""")
-def nanoset_index(spark, sf):
+def epoch_index(spark, sf):
     docs = _docs(spark, sf)
     return mixture.epoch_index(spark, _weights(docs), _lens(docs), 2 * docs.count() + 50, 11)
 

@@ -215,7 +215,36 @@ def fim_sample(spark, sf):
         "sample", F.size("ids").alias("width"), digest("ids").alias("content"))
 
 
-@register("fim_fragments")
+# The same with every segment cut at full stops: one draw per segment, then one per fragment.
+FIM_FRAGMENTS = FIM_SAMPLE[:FIM_SAMPLE.index("text_ AS (")] + f"""cutat AS (
+  SELECT *, list_filter(range(1, len(part) + 1), lambda k: part[k] = '.') AS dots FROM segs),
+bounds AS (SELECT *, [0] || dots AS lo, dots || [len(part) + 1] AS hi FROM cutat),
+frag AS (
+  SELECT sample, i, last, len(dots) > 0 AS split, unnest(range(len(lo))) AS j, len(lo) - 1 AS final,
+         unnest(list_transform(range(1, len(lo) + 1), lambda k: part[lo[k] + 1 : hi[k] - 1])) AS part FROM bounds),
+rule AS (SELECT *, {hash_sql("17", "'frag'", "sample", "i")} < 0.5 * 4294967296 AS opened FROM frag),
+text_ AS (
+  SELECT *, coalesce(array_to_string(part, ' '), '') AS text FROM rule
+  WHERE len(part) > 0 OR (CASE WHEN split THEN NOT opened OR j = final ELSE i = last END)),
+cuts AS (
+  SELECT *, {hash_sql("17", "'cut0'", "sample", "i", "j")} % (length(text) + 1) AS a,
+         {hash_sql("17", "'cut1'", "sample", "i", "j")} % (length(text) + 1) AS b,
+         {hash_sql("17", "'fim'", "sample", "i", "j")} < (CASE WHEN split AND NOT opened THEN 0 ELSE 0.5 END) * 4294967296 AS drawn,
+         {hash_sql("17", "'spm'", "sample", "i", "j")} < 0.5 * 4294967296 AS spm FROM text_),
+parts AS (
+  SELECT *, {_pieces("substr(text, 1, least(a, b))")} AS p,
+         {_pieces("substr(text, least(a, b) + 1, greatest(a, b) - least(a, b))")} AS m,
+         {_pieces("substr(text, greatest(a, b) + 1)")} AS s FROM cuts),
+mixed AS (
+  SELECT sample, i, j, CASE WHEN NOT drawn THEN part WHEN spm THEN ['<pre>', '<suf>'] || s || ['<mid>'] || p || m
+                            ELSE ['<pre>'] || p || ['<suf>'] || s || ['<mid>'] || m END
+                       || CASE WHEN j < final THEN ['.'] WHEN i < last THEN ['{EOS}'] ELSE [] END AS toks FROM parts)
+SELECT sample, {L + 1}::INT AS width,
+       md5(array_to_string(list_slice(flatten(list(toks ORDER BY i, j)) || list_transform(range({L + 1}), lambda z: '<pad>'), 1, {L + 1}), ' ')) AS content
+FROM mixed GROUP BY sample"""
+
+
+@register("fim_fragments", f"WITH {FIM_FRAGMENTS}")
 def fim_fragments(spark, sf):
     return fim.fim_fragments(_packed(spark, sf), FIM, ".", 0.5).select(
         "sample", F.size("ids").alias("width"), digest("ids").alias("content"))

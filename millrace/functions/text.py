@@ -81,7 +81,8 @@ def last_boxed(text: Column) -> Column:
     tail = after_last(text, BOXED)
     opened = F.locate("{", tail)
     body = F.substr(tail, opened)
-    runs = F.regexp_extract_all(body, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    # Anchored at the last match, so a long rest without braces is looked through once only.
+    runs = F.regexp_extract_all(body, F.lit(r"\G[^{}]*+[{}]"), F.lit(0))
     start = F.struct(
         body.alias("body"), F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(False).alias("closed")
     )

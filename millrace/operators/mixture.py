@@ -180,7 +180,7 @@ def blend_greedy(spark: SparkSession, w: DataFrame, n: int, limit: int = BLEND_S
     )
 
 
-def nanoset_epochs(n: int, epoch: int) -> int:
+def epochs_for(n: int, epoch: int) -> int:
     return n // epoch + 1
 
 
@@ -196,14 +196,11 @@ def epoch_index(spark: SparkSession, w: DataFrame | None, lens: DataFrame, n: in
     base = blend_greedy(spark, weights, epoch, limit).join(lens, "ds")
     base = base.select(F.col("pos").alias("place"), "ds", F.pmod("sample", "len").cast("bigint").alias("sample"))
     mixed = hash_order(base, seed, ["place"]).drop("place")
-    return repeat_epochs(mixed, nanoset_epochs(n, epoch)).select(
+    return repeat_epochs(mixed, epochs_for(n, epoch)).select(
         (F.col("epoch") * F.lit(epoch) + F.col("pos")).cast("bigint").alias("pos"), "ds", "sample"
     ).where(F.col("pos") < n)
 
 
-nanoset_index = epoch_index
-
-
 def quota_index(w: DataFrame, n, seed: int) -> DataFrame:
     """Exact quotas in random order; every source is read in sequence."""
     slots = expand_counts(largest_remainder(w, n).select("ds", "quota"), "quota", "slot")
