@@ -107,7 +107,7 @@ def prepare_corpus(spark, sf):
     """The whole job: documents to stored ids, placements and manifest."""
     docs = documents(spark, sf)
     manifest = prepare.prepare_corpus(
-        spark, docs, recipe_of(docs), new_folder(spark, "corpus"), "pieces", CHAT_SOURCES, 2000)
+        spark, docs, recipe_of(docs), new_folder(spark, "corpus"), "pieces", CHAT_SOURCES, vocab_size=2000)
     return manifest.select("source", "shard", "tokens", "docs", "dropped_too_long")
 
 

@@ -33,27 +33,91 @@ def budgeted(docs: DataFrame, jobs: DataFrame, chat_sources: tuple[str, ...] = (
     return pack.budget_tokens(flagged, plan_table(jobs.select("source", "shard", "budget")), block=block)
 
 
+def _id_ranges(docs: DataFrame, jobs: DataFrame) -> dict[str, dict]:
+    """Per planned source: first id, end of its ids, rows, and budget (one row per source)."""
+    spans = docs.groupBy("source").agg(
+        F.min("doc_id").alias("first"), (F.max("doc_id") + 1).alias("end"), F.count(F.lit(1)).alias("rows")
+    )
+    wanted = jobs.groupBy("source").agg(F.sum("budget").alias("budget"))
+    return {r["source"]: r.asDict() for r in spans.join(wanted, "source").collect()}
+
+
+def _read_range(docs: DataFrame, bounds: dict[str, tuple[int, int]]) -> DataFrame:
+    """Documents with ids in their source's range; the outer range and the names reach the scan."""
+    spark = docs.sparkSession
+    rows = spark.createDataFrame([(s, a, b) for s, (a, b) in bounds.items()], "source string, _a bigint, _b bigint")
+    low, high = min(a for a, _ in bounds.values()), max(b for _, b in bounds.values())
+    near = docs.where(
+        F.col("source").isin(list(bounds)) & (F.col("doc_id") >= low) & (F.col("doc_id") < high)
+    )
+    return near.join(plan_table(rows), "source").where(
+        (F.col("doc_id") >= F.col("_a")) & (F.col("doc_id") < F.col("_b"))
+    ).drop("_a", "_b")
+
+
+def tokens_until_full(
+    docs: DataFrame, jobs: DataFrame, path: str, chat_sources: tuple[str, ...], vocab: DataFrame,
+    tokens_per_doc: float = 500.0,
+) -> DataFrame:
+    """Store tokens of as many documents, in id order, as the budgets need, and no more than about that.
+
+    Every round tokenizes the next range of ids of the sources that still have an unfilled shard; the
+    range follows from the tokens found so far and grows until each shard is full or its source is at
+    its end.  No document is read twice, and every document before the last one needed is there, so
+    the budgets cut from the result are exact.
+    """
+    spark = docs.sparkSession
+    sources = _id_ranges(docs, jobs)
+    done = {s: r["first"] for s, r in sources.items()}
+
+    def reach(source: str, share: float) -> int:
+        """End of the first ``share`` of the source's ids; most of it is as good as all of it."""
+        first, end = sources[source]["first"], sources[source]["end"]
+        return end if share >= 0.75 else max(done[source] + 1, first + int((end - first) * share))
+
+    goal = {s: reach(s, 1.25 * r["budget"] / (tokens_per_doc * r["rows"])) for s, r in sources.items()}
+    mode = "overwrite"
+    while goal:
+        part = _read_range(docs, {s: (done[s], goal[s]) for s in goal})
+        coded = tokens.encode_ids(tokenized(assign_shards(part, jobs)), vocab).drop("text")
+        flagged = tokens.flag_long(coded, F.col("max_doc_tokens"), F.col("source").isin(list(chat_sources)))
+        stores.write_tokens(flagged, path, mode=mode)
+        mode = "append"
+        done.update(goal)
+        held = stores.read_tokens(spark, path).groupBy("source", "shard").agg(
+            F.sum(F.when(F.col("dropped"), 0).otherwise(F.col("n_tokens") + 1)).alias("held")
+        )
+        filled = jobs.select("source", "shard", "budget").join(held, ["source", "shard"], "left").groupBy("source").agg(
+            F.min(F.coalesce("held", F.lit(0)) / F.col("budget")).alias("least")
+        )
+        goal = {}
+        for r in filled.collect():
+            s, span = r["source"], sources.get(r["source"])
+            if span and r["least"] < 1 and done[s] < span["end"]:
+                growth = min(8.0, max(1.3, 1.2 / r["least"])) if r["least"] else 8.0
+                goal[s] = reach(s, growth * (done[s] - span["first"]) / (span["end"] - span["first"]))
+    return stores.read_tokens(spark, path)
+
+
 def prepare_corpus(spark: SparkSession, docs: DataFrame, recipe: DataFrame, path: str, tokenizer: str,
-                   chat_sources: tuple[str, ...] = (), vocab_size: int = 50_000, mixed: bool = True) -> DataFrame:
+                   chat_sources: tuple[str, ...] = (), vocab: DataFrame | None = None, vocab_size: int = 50_000,
+                   tokens_per_doc: float = 500.0) -> DataFrame:
     """Write tokens and manifest below ``path`` and return the manifest.
 
-    Text is read and tokenized once into ``path/all_tokens``; budgets are then cut from the stored
-    lengths (a few bytes per document), and only documents inside a budget are read again.
+    Text is read and tokenized once, as far as the budgets need it, into ``path/all_tokens``; budgets are
+    then cut from the stored lengths (a few bytes per document), and only documents inside a budget
+    are read again.  Without a ``vocab`` (columns token, id) one is built from all texts first.
     """
     faults = mixture.recipe_faults(recipe).take(1)
     if faults:
         raise ValueError(f"recipe: {faults[0]}")
     jobs = plan_table(mixture.plan_shards(recipe))
-    columns = ["doc_id", "source", "text"]
-    vocab_path = f"{path}/vocab"
-    tokens.build_vocab(docs.select("text"), vocab_size).write.mode("overwrite").parquet(vocab_path)
-    vocab = spark.read.parquet(vocab_path)
-    staged = f"{path}/all_tokens"
-    sharded = assign_shards(docs.select(*columns), jobs)
-    coded = tokens.encode_ids(tokenized(sharded), vocab).drop("text")
-    flagged = tokens.flag_long(coded, F.col("max_doc_tokens"), F.col("source").isin(list(chat_sources)))
-    stores.write_tokens(flagged, staged)
-    stored = stores.read_tokens(spark, staged)
+    if vocab is None:
+        tokens.build_vocab(docs.select("text"), vocab_size).write.mode("overwrite").parquet(f"{path}/vocab")
+        vocab = spark.read.parquet(f"{path}/vocab")
+    stored = tokens_until_full(
+        docs.select("doc_id", "source", "text"), jobs, f"{path}/all_tokens", chat_sources, vocab, tokens_per_doc
+    )
     width = block_width(stored, "doc_id")
     kept = pack.budget_tokens(stored.drop("ids"), jobs.select("source", "shard", "budget"), block=width)
     kept.write.mode("overwrite").parquet(f"{path}/placements")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrays import split_before
 from millrace.operators import batches, evals, fim, joins, mixture, ordering, pack, quality, ranking, spans, tokens
-from millrace.plans import prepare, training
+from millrace.plans import evaluation, prepare, training
 from millrace.session import table
 from millrace.sources import corpora, stores
 
@@ -289,3 +289,35 @@ def test_training_plan_is_whole(spark, sf):
     rows = training.training_samples(spark, stream, sources, 32, 128, "<eos>", 1, 4, 2, 16).collect()
     assert len(rows) == 128 and len({(r["step"], r["micro"], r["rank"], r["slot"]) for r in rows}) == 128
     assert all(len(r.input_ids) == len(r.label_ids) == len(r.label_mask) == 32 for r in rows)
+
+
+def test_preparation_reads_only_what_budgets_need(spark, sf, tmp_path):
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("source"),
+        F.repeat(F.lit("word "), (F.col("id") % 40 + 12).cast("int")).alias("text"))
+    recipe = spark.createDataFrame([("hot", 900, 2, 1.0, 0), ("cold", 10**7, 1, 1.0, 0)], mixture.RECIPE_SCHEMA)
+    vocab = spark.createDataFrame([("word", 2)], "token string, id int")
+    out = str(tmp_path / "corpus")
+    manifest = {r.name: (r.tokens, r.docs) for r in prepare.prepare_corpus(spark, docs, recipe, out, "t", (), vocab, tokens_per_doc=300).collect()}
+    read = {r.source: r["count"] for r in stores.read_tokens(spark, f"{out}/all_tokens").groupBy("source").count().collect()}
+    assert read["hot"] < 400 and read["cold"] == docs.where("source = 'cold'").count()
+    jobs = mixture.plan_shards(recipe)
+    want = quality.shard_info(prepare.budgeted(docs, jobs, (), vocab, 512), "t").join(jobs.select("source", "shard", "name"), ["source", "shard"])
+    assert manifest == {r.name: (r.tokens, r.docs) for r in want.collect()}
+    ids = stores.read_tokens(spark, f"{out}/tokens").groupBy("source", "shard").agg(F.sum(F.size("ids")).alias("n"))
+    assert {(r.source, r.shard): r.n for r in ids.collect()} == {(r.source, r.shard): r.tokens for r in want.collect()}
+
+
+def test_evaluation_plan(spark):
+    items = spark.createDataFrame([("amc23", "amc23/1", 0, "q", "7", 2), ("gpqa", "gpqa/1", 1, "q", "B", 1)],
+                                  "bench string, id string, idx bigint, question string, answer string, n int")
+    done = spark.createDataFrame([("amc23/1#0",)], "key string")
+    assert {(r.key, r.seed) for r in evaluation.open_requests(items, done).collect()} == {("amc23/1#1", 1), ("gpqa/1#0", 1000)}
+    gens = spark.createDataFrame(
+        [("amc23", "amc23/1", "7", r"x</think>\boxed{7.0}", 5, False), ("amc23", "amc23/1", "7", r"\boxed{8}", 9, True), ("gpqa", "gpqa/1", "B", r"\boxed{B}", 3, False)],
+        "bench string, id string, answer string, text string, tokens bigint, truncated boolean")
+    tables = evaluation.summarize(gens)
+    assert {r.bench: (r.accuracy, r.samples, r.mean_tokens, r.truncated) for r in tables["summary"].collect()} == {
+        "amc23": (50.0, 2, 7, 50.0), "gpqa": (100.0, 1, 3, 0.0)}
+    assert {r.bench: (r.questions, r.accuracy) for r in tables["avg_at_n"].collect()} == {"amc23": (1, 50.0), "gpqa": (1, 100.0)}
+    assert {r.bench: r.median_tokens for r in tables["quantiles"].collect()} == {"amc23": 7.0, "gpqa": 3.0}

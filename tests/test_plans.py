@@ -68,4 +68,17 @@ def test_topk_is_limited_before_the_shuffle(spark, sf):
 
 def test_windows_carry_ids_once(spark):
     docs = spark.createDataFrame([("s", 0, [1, 2, 3], 0)], "source string, shard int, ids array<int>, start bigint")
-    assert plan(pack.pack_windows(docs, 4)).count("Exchange (") <= 2
+    out = pack.pack_windows(docs, 4)
+    assert plan(out).count("Exchange (") <= 2
+    # The document is cut in the same generated code that repeats it, so no row carries it twice.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = io.StringIO()
+        with contextlib.redirect_stdout(made):
+            pack.pack_windows(docs, 4).explain()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = made.getvalue().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    stage = re.search(r"\*\((\d+)\) Generate explode", lines[at])
+    assert stage and f"*({stage.group(1)}) Project" in lines[at - 1] and "slice(" in lines[at - 1], made.getvalue()
