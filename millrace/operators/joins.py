@@ -52,7 +52,7 @@ def cumulative_ranges(lens: DataFrame, by: Sequence[str], order: str, size: str
 def locate_window(pos: DataFrame, lens: DataFrame, by: Sequence[str] = ("source",), order: str = "file",
                   width: int | None = None) -> DataFrame:
     """File of every stream position and the position inside it."""
-    ranges = cumulative_ranges(lens, by, order).select(*by, order, "start", "end")
+    ranges = cumulative_ranges(plan_table(lens), by, order).select(*by, order, "start", "end")
     return interval_join(pos, ranges, "pos", "start", "end", by, width).withColumn(
         "inner_pos", F.col("pos") - F.col("start")
     )
@@ -60,7 +60,7 @@ def locate_window(pos: DataFrame, lens: DataFrame, by: Sequence[str] = ("source"
 
 def files_needed(files: DataFrame, need: DataFrame, by: str = "source", order: str = "file") -> DataFrame:
     """Files of each source that overlap the wanted range ``[now, until)``; one range per source."""
-    ranges = cumulative_ranges(files, [by], order)
+    ranges = cumulative_ranges(plan_table(files), [by], order)
     lo, hi = F.greatest("now", "start"), F.least("until", "end")
     return ranges.join(need, by).where(lo < hi).select(by, order, lo.alias("from_sample"), hi.alias("to_sample"))
 
@@ -101,7 +101,7 @@ def stage_for_step(steps: DataFrame, stages: DataFrame, width: int | None = None
     """Latest stage starting at or before each step; the last stage reaches to the last step there is."""
     w = Window.orderBy("start_step")
     open_end = F.coalesce(steps.agg(F.max("step") + 1).scalar(), F.lit(0))
-    ranges = stages.select(
+    ranges = plan_table(stages).select(
         "name", "start_step",
         F.coalesce(F.lead("start_step").over(w), F.greatest(open_end, F.col("start_step") + 1)).alias("_end"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from millrace.functions import text as X
 
 BROADCAST_VOCAB_ROWS = 1_000_000
+JOIN_SALTS = 16
 UNKNOWN_ID = 1
 EOS_ID = 0
 FIRST_ID = 2
@@ -120,11 +121,22 @@ def encode_ids(
     )
 
 
-def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, key: str, out: str) -> DataFrame:
-    """Vocabulary of any size: a shuffle join on the piece, then one group per document."""
+def _salted(vocab: DataFrame, salts: int) -> DataFrame:
+    """Every vocabulary row once per salt."""
+    return vocab.select("token", "id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, key: str, out: str,
+                       salts: int = JOIN_SALTS) -> DataFrame:
+    """Vocabulary of any size: a shuffle join on the piece, then one group per document.
+
+    A frequent piece may be a large part of all rows, so the join key is salted with the place.
+    """
     rest = df.drop(pieces_col)
-    long = df.select(key, F.posexplode(pieces_col).alias("at", "token"))
-    coded = long.join(vocab.select("token", "id"), "token", "left").groupBy(key).agg(
+    long = df.select(key, F.posexplode(pieces_col).alias("at", "token")).withColumn(
+        "_salt", F.pmod(F.col("at"), F.lit(salts)).cast("int")
+    )
+    coded = long.join(_salted(vocab, salts), ["token", "_salt"], "left").groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("at", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))).getField("id").alias(
             "_coded"
         )
@@ -183,9 +195,11 @@ def ids_to_tokens(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key: st
 
 def ids_to_tokens_by_join(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key: str = "doc_id") -> DataFrame:
     """The same for a vocabulary of any size: one group per row."""
-    long = df.select(key, F.posexplode_outer(ids_col).alias("at", "id"))
+    long = df.select(key, F.posexplode_outer(ids_col).alias("at", "id")).withColumn(
+        "_salt", F.pmod(F.coalesce("at", F.lit(0)), F.lit(JOIN_SALTS)).cast("int")
+    )
     return (
-        long.join(vocab.select("id", "token"), "id", "left")
+        long.join(_salted(vocab, JOIN_SALTS), ["id", "_salt"], "left")
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", "token")))).alias("_p"))
         .select(key, F.array_join(F.col("_p.token"), " ").alias("text"))
