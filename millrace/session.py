@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "millrace", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -20,8 +21,10 @@ def local_session(name: str = "millrace", cores: str = "8", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="millrace-shared-"))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -41,9 +44,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the session names it; a local one only where it is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="millrace-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder.rstrip("/")
