@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import token_files
+from millrace.llm import packing, token_files
 from millrace.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's place, length and checksum, from the files that hold its ids."""
     manifest = token_files.write_tokens(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
     return with_crc(token_files.read_documents(manifest)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@register("op8_packing")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 ids."""
+    docs = table(spark, sf, "documents")
+    rows = packing.pieces(docs, vocabulary("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(rows, packing.groups_for(docs.count())).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
