@@ -95,6 +95,7 @@ def pack(rows: DataFrame, groups: int, size: int = SIZE, keys: tuple[str, ...] =
     length = F.coalesce(F.col(length_col).cast("bigint"), F.lit(0))
     dealt = rows.withColumns({"_pack_group": F.pmod(F.xxhash64(*keys, length_col), F.lit(groups)), "_pack_length": length})
     placed = dealt.repartition(min(groups, tasks(rows.sparkSession)), "_pack_group").sortWithinPartitions("_pack_group", F.col("_pack_length").desc(), *keys)
+    kept = rows.columns
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +112,8 @@ def pack(rows: DataFrame, groups: int, size: int = SIZE, keys: tuple[str, ...] =
                 else:
                     ids.append(None)
                     offsets.append(None)
-            keep = [batch.column(f.name) for f in rows.schema.fields]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], schema.names)
+            keep = [batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], [*kept, "sequence_id", "offset"])
 
     return placed.mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, token_files
+from millrace.llm import mixing, packing, quality_rules, sql, token_files
 from millrace.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,16 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(rows, packing.groups_for(docs.count())).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@register("op2_quality_rules", sql.QUALITY)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    judged = quality_rules.apply_rules(table(spark, sf, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op4_mixing", sql.MIXING)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
