@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, quality_rules, sql, token_files
+from millrace.llm import mixing, packing, quality_rules, sql, token_files, warc
 from millrace.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,14 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op6_warc", sql.WARC)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as its archive record tells it; sizes and digests of responses are taken from the payload read."""
+    records = warc.read_records(warc.write_archives(table(spark, sf, "pages")))
+    payload = F.col("payload")
+    return records.select(
+        "page_id", F.coalesce(F.octet_length(payload).cast("bigint"), F.col("payload_bytes")).alias("payload_bytes"),
+        F.coalesce(F.sha2(payload, 256), F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
+    )
