@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, quality_rules, sql, token_files, warc
+from millrace.llm import mixing, near_dedup, packing, quality_rules, sql, token_files, warc
 from millrace.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", F.coalesce(F.octet_length(payload).cast("bigint"), F.col("payload_bytes")).alias("payload_bytes"),
         F.coalesce(F.sha2(payload, 256), F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
     )
+
+
+@register("op7_near_dedup", sql.NEAR)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Component of every document under links of 80 % of shared word pairs."""
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), 80, 2).select("doc_id", "n_shingles", "component_id", "kept")
