@@ -24,7 +24,7 @@ from millrace.llm.common import stored
 from millrace.operators.ordering import plan_table
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_BLOCK = 1 << 16
+ROWS_PER_BLOCK = 1 << 12
 MAX_EPOCHS = 3
 SEED = "mix"
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, near_dedup, packing, quality_rules, sql, token_files, warc
+from millrace.llm import language_id, mixing, near_dedup, packing, quality_rules, sql, token_files, warc
+from millrace.llm.sampling import fold
 from millrace.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,16 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     """Component of every document under links of 80 % of shared word pairs."""
     return near_dedup.near_duplicates(table(spark, sf, "documents"), 80, 2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def language_model(docs: DataFrame) -> language_id.Model | None:
+    """Learned outside the held-out fifth of the documents."""
+    return language_id.train(docs.where(fold("doc_id", 5) != 0))
+
+
+@register("op3_language_id")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = language_id.predict(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
