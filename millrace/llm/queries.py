@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, mixing, near_dedup, packing, quality_rules, sql, token_files, warc
+from millrace.llm import language_id, mixing, near_dedup, packing, quality_rules, sql, token_files, toxicity, warc
 from millrace.llm.sampling import fold
 from millrace.session import table
 
@@ -95,3 +95,12 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     found = language_id.predict(docs.select("doc_id", "text"), language_model(docs))
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register("op10_toxicity")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").where(fold("doc_id", 3) != 1)
+    found = toxicity.predict(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "matches")
