@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, mixing, near_dedup, packing, quality_rules, sql, token_files, toxicity, warc
+from millrace.llm import language_id, mixing, near_dedup, packing, quality_model, quality_rules, sql, token_files, toxicity, warc
 from millrace.llm.sampling import fold
 from millrace.session import table
 
@@ -104,3 +104,12 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").where(fold("doc_id", 3) != 1)
     found = toxicity.predict(docs, toxicity.train(docs, labels))
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "matches")
+
+
+@register("op9_quality_model")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    seen = fold("doc_id", 3) != 1
+    model = quality_model.train(docs.where(seen), table(spark, sf, "labels").where(seen).where("quality = 1"))
+    return quality_model.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
