@@ -5,10 +5,11 @@ equal form a class, and only one row per class goes on.  Of each class 160 minim
 buckets for candidates (a pair at similarity 0.8 misses all with probability 3e-6), and the low four bits of each are
 packed into 80 bytes, from which bit counts, corrected for chance collisions, estimate the similarity of a pair.
 
-Links are found without listing the pairs of a bucket.  A few star rounds propose to every class its most similar pivot of another
-component, confirm that one pair on the full sets and join components.  Buckets that still span several components
-then compare the members outside their largest component with all others by packed bits, block by block, and every pair whose
-estimate could reach the threshold is confirmed, so no link between components is left out.  Blocks bound what a task
+Links are found without listing the pairs of a bucket.  Star rounds propose to every class its most similar pivot of another
+component, confirm that one pair on the full sets and join components.  In buckets that still span several components the
+members outside the largest one are compared with all others by packed bits, block by block, and tied into clusters by
+those estimates that could reach the threshold; inside a cluster the same is done on full sets, which decides every
+such pair.  Both give a forest of edges per block.  Blocks bound what a task
 holds, keys are salted, and components are joined by alternating star contractions on stored tables.
 
 Null texts and texts without words have an empty set, link with nothing and stand alone.  Rows that share a doc_id but not
@@ -26,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import encoded, passes, stored, tasks, utf8, words
+from millrace.llm.common import encoded, gather, passes, stored, tasks, utf8, words
 
 BANDS, ROWS, BITS = 32, 5, 4
 MINIMA = BANDS * ROWS
-STAR_ROUNDS = 3
-BLOCK = 4096
+STAR_ROUNDS = 2
+BLOCK, SET_BLOCK = 4096, 512
 #: Estimates this far below the threshold are still confirmed: 4.5 standard deviations of 160 minima at 0.8.
 MARGIN = 0.15
 COLUMN_STEP = 2048
@@ -229,55 +230,99 @@ def open_buckets(members: DataFrame, comp: DataFrame, seed: int) -> tuple[DataFr
     return met, wide.where("low <> high").select("bucket", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp"), "n")
 
 
-def remaining_pairs(met: DataFrame, wide: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of one bucket, in two components, whose estimate can reach the threshold; each in its first common bucket.
+def crossing(rows: DataFrame, key: str, payload: str, block: int) -> DataFrame:
+    """Rows (key, id, comp, payload) laid out so that members outside their key's largest component (role 0) stand before
+    all members (role 1) of the same (key, x, y); x and y are blocks by hash of about ``block`` rows."""
+    shares = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = shares.groupBy(key).agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = rows.join(main.select(key, F.col("m.comp").alias("main"), "n"), key)
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    own, every = F.pmod(F.xxhash64("id"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
+    cols = [F.col(key).alias("key"), "x", "y", "role", "id", "comp", payload]
+    asked = met.where("comp <> main").select("*", own.alias("x"), F.explode(every).alias("y"), F.lit(0).alias("role")).select(*cols)
+    told = met.select("*", F.explode(every).alias("x"), own.alias("y"), F.lit(1).alias("role")).select(*cols)
+    return asked.unionByName(told).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "role")
 
-    b is outside the largest component of the bucket.  Both sides are cut into blocks by hash.
+
+def spanning(rows: DataFrame, payload: str, load, compare, joined: bool) -> DataFrame:
+    """Edges (a, b) that join what ``compare`` finds alike across components: a forest per block, never all pairs.
+
+    ``load`` turns a payload column into something that ``compare(asked, i, told)`` can read, which gives a mask of told rows.
+    With ``joined`` the rows of a component count as tied already.
     """
-    inside = met.join(wide.select("bucket", "n"), "bucket")
-    shares = inside.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = shares.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
-    rows = inside.join(main, "bucket").join(signed.select("id", "sig", "bands"), "id")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    cols = ["bucket", "x", "y", "role", "id", "comp", "sig", "bands"]
-    asked = rows.where("comp <> main").select("*", own.alias("x"), F.explode(every).alias("y"), F.lit(0).alias("role")).select(*cols)
-    told = rows.select("*", F.explode(every).alias("x"), own.alias("y"), F.lit(1).alias("role")).select(*cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, asking = None, []
         for batch in batches:
-            # Stretches of equal (bucket, x, y, role) inside the batch.
-            k = np.stack([batch.column(c).to_numpy() for c in ("bucket", "x", "y", "role")])
+            k = np.stack([batch.column(c).to_numpy() for c in ("key", "x", "y", "role")])
             cut = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, [k.shape[1]]])
             ids, comps = batch.column("id").to_numpy(), batch.column("comp").to_numpy()
-            sigs = unpacked(batch.column("sig"))
-            bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
             left, right = [], []
-            for a, b in zip(cut[:-1], cut[1:]):
-                here = tuple(k[:3, a])
-                if here != key:
-                    key, asking = here, []
-                part = (ids[a:b], comps[a:b], sigs[a:b], bands[a:b])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if tuple(k[:3, a]) != key:
+                    key, asking = tuple(k[:3, a]), []
+                part = (ids[a:b].copy(), comps[a:b].copy(), load(batch.column(payload).slice(a, b - a)))
                 if k[3, a] == 0:
-                    asking.append(tuple(x.copy() for x in part))
+                    asking.append(part)
                     continue
-                for qi, qc, qs, qb in asking:
+                root = np.unique(part[1], return_inverse=True)[1] if joined else np.arange(b - a)
+                for qi, qc, ql in asking:
                     for i in range(len(qi)):
-                        ok = np.flatnonzero((part[1] != qc[i]) & (estimates(qs[i], part[2]) >= least))
+                        ok = np.flatnonzero(compare(ql, i, part[2]) & (part[1] != qc[i]))
                         if len(ok):
-                            same = part[3][ok] == qb[i]
-                            ok = ok[qb[i][same.argmax(1)] == key[0]]
-                            left.append(part[0][ok])
-                            right.append(np.full(len(ok), qi[i]))
+                            roots, first = np.unique(root[ok], return_index=True)
+                            left.append(part[0][ok[first]])
+                            right.append(np.full(len(first), qi[i]))
+                            if len(roots) > 1:
+                                root[np.isin(root, roots)] = roots[0]
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    met = asked.unionByName(told).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "role")
-    pairs = met.mapInArrow(run, "a bigint, b bigint")
-    # Two members outside the largest component find each other twice.
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+class Postings:
+    """Sets of a block, and for every shingle the rows that hold it."""
+
+    def __init__(self, column: pa.Array):
+        bodies = column.to_pylist()
+        self.size = np.fromiter((len(b) // 8 for b in bodies), np.int64, len(bodies))
+        self.flat = np.frombuffer(b"".join(bodies), np.uint64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.order = None
+
+    def shared(self, asked: np.ndarray) -> np.ndarray:
+        """Shingles in common with every row."""
+        if self.order is None:
+            order = np.argsort(self.flat, kind="stable")
+            self.sorted = self.flat[order]
+            self.order = np.repeat(np.arange(len(self.size)), self.size)[order]
+        low, high = np.searchsorted(self.sorted, asked), np.searchsorted(self.sorted, asked, "right")
+        return np.bincount(gather(self.order, low, high - low), minlength=len(self.size))
+
+
+def close_sets(percent: int):
+    def compare(asked: Postings, i: int, told: Postings) -> np.ndarray:
+        own = asked.flat[asked.at[i] : asked.at[i + 1]]
+        both = told.shared(own)
+        return 100 * both >= percent * (len(own) + told.size - both)
+
+    return compare
+
+
+def last_links(members: DataFrame, comp: DataFrame, signed: DataFrame, sets: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links that join all components which any candidate pair of a bucket joins.
+
+    Estimates first tie the members of buckets into clusters; inside a cluster full sets are compared, so every pair
+    whose estimate could reach the threshold is decided exactly.
+    """
+    rows = members.join(comp, "id").join(signed.select("id", "sig"), "id")
+    compare = lambda asked, i, told: estimates(asked[i], told) >= least
+    ties = spanning(crossing(rows, "bucket", "sig", BLOCK), "sig", unpacked, compare, False)
+    labels = components(ties)
+    cluster = labels.select("id", F.col("label").alias("cluster")).unionByName(labels.select(F.col("label").alias("id"), F.col("label").alias("cluster")).distinct())
+    whole = stored(cluster, "clusters").join(comp, "id").join(sets, "id")
+    return spanning(crossing(whole, "cluster", "shingles", SET_BLOCK), "shingles", Postings, close_sets(percent), True)
 
 
 # Operator -------------------------------------------------------------------------------------
@@ -296,14 +341,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, id_col:
     members = stored(spread.join(shared, "bucket"), "members")
     candidates = members.select("id").distinct()
     sets = stored(full_sets(source.join(candidates, source["doc_id"] == candidates["id"], "left_semi"), width), "sets")
-    some = stored(classes.join(candidates, "id", "left_semi").select("id", "sig", "bands"), "candidates")
+    some = stored(classes.join(candidates, "id", "left_semi").select("id", "sig"), "candidates")
     comp = stored(candidates.select("id", F.col("id").alias("comp")), "components")
     for seed in range(STAR_ROUNDS):
         met, wide = open_buckets(members, comp, seed)
         proposed = met.join(wide, "bucket").where("comp <> pivot_comp").select("id", "pivot").distinct()
         comp = relabelled(comp, stored(confirmed(best_pivots(proposed, some, least), sets, percent), "links"))
-    met, wide = open_buckets(members, comp, STAR_ROUNDS)
-    comp = relabelled(comp, stored(confirmed(remaining_pairs(met, wide, some, least), sets, percent), "links"))
+    comp = relabelled(comp, stored(last_links(members, comp, some, sets, percent, least), "links"))
     labels = classes.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"))
     out = ["doc_id", "n_shingles", "component_id"]
     alone = signed.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
