@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,13 +104,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(rows: pa.Table, seed: int = 7) -> Model | None:
     """Train on (label, buckets, counts)."""
-    rows = rows.filter(pa.compute.greater(pa.compute.list_value_length(rows["buckets"]), 0))
+    rows = rows.filter(pc.greater(pc.list_value_length(rows["buckets"]), 0))
     labels = rows["label"].to_pylist()
     if not labels:
         return None
     languages = sorted(set(labels))
     y = np.asarray([languages.index(x) for x in labels])
-    parts = [(np.asarray(b), np.asarray(c, np.float32) / sum(c)) for b, c in zip(rows["buckets"].to_pylist(), rows["counts"].to_pylist())]
+    rows = rows.combine_chunks()
+    buckets, counts = rows["buckets"].combine_chunks(), rows["counts"].combine_chunks()
+    at = buckets.offsets.to_numpy() - buckets.offsets[0].as_py()
+    places, n = buckets.flatten().to_numpy(), counts.flatten().to_numpy()
+    parts = [(places[a:b], n[a:b] / n[a:b].sum()) for a, b in zip(at[:-1], at[1:])]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]

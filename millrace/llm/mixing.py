@@ -107,19 +107,17 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def expand(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mixed documents themselves: a row per epoch, and the edge document of a source cut to its part."""
+    """The mixed documents themselves: a row per epoch, and the edge document of a source cut to its part.
+
+    Rows that share id, source and size share their words evenly.
+    """
     columns = docs.columns
     taken = mix(docs, max_epochs, seed, id_col, source_col, text_col)
-    # One row per distinct (id, size): repeated rows take their sum evenly and the first of them what is left.
-    plan = taken.where(F.col("taken") > 0).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("_taken"))
+    plan = taken.groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken")).where("_taken > 0")
     rows = docs.withColumns({"_size": n_words(F.col(text_col)), "_id": F.col(id_col), "_source": F.col(source_col)})
     per = plan.select(F.col("doc_id").alias("_pid"), F.col("source").alias("_psource"), F.col("size").alias("_psize"), "_taken")
     met = rows.join(per, F.col("_id").eqNullSafe(F.col("_pid")) & F.col("_source").eqNullSafe(F.col("_psource")) & (F.col("_size") == F.col("_psize")))
-    same = Window.partitionBy("_id", "_source", "_size").orderBy(text_col)
-    many = met.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy("_id", "_source", "_size")), "_i": F.row_number().over(same) - 1})
-    # The k-th copy of a document takes words k * size .. (k + 1) * size of all that its rows take together.
-    later = F.sequence(F.col("_i").cast("bigint"), F.ceil(F.col("_taken") / F.col("_size")) - 1, F.col("_n"))
-    copies = many.where(F.col("_i") * F.col("_size") < F.col("_taken")).withColumn("_k", F.explode(later))
+    copies = met.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_taken") / F.col("_size")) - 1)))
     words = F.least(F.col("_size"), F.col("_taken") - F.col("_k") * F.col("_size"))
     text = F.when(words < F.col("_size"), first_words(F.col(text_col), words.cast("int"))).otherwise(F.col(text_col))
     return copies.withColumn(text_col, text).select(*columns)

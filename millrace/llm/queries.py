@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, mixing, near_dedup, packing, quality_model, quality_rules, sql, token_files, toxicity, warc
+from millrace.llm import language_id, mixing, near_dedup, nearest, packing, quality_model, quality_rules, sql, token_files, toxicity, warc
 from millrace.llm.sampling import fold
 from millrace.session import table
 
@@ -113,3 +113,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     seen = fold("doc_id", 3) != 1
     model = quality_model.train(docs.where(seen), table(spark, sf, "labels").where(seen).where("quality = 1"))
     return quality_model.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@register("op1_nearest")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth vector."""
+    return nearest.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
