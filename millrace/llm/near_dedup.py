@@ -63,7 +63,8 @@ def shingle_sets(text: pa.Array, width: int) -> list[np.ndarray]:
     own = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))[codes]
     n, rolled = len(own), np.zeros(len(own), np.uint64)
     for k in range(width):
-        rolled[: n - k] = mixed(rolled[: n - k] * np.uint64(0x9E3779B97F4A7C15) + own[k:])
+        m = max(0, n - k)
+        rolled[:m] = mixed(rolled[:m] * np.uint64(0x9E3779B97F4A7C15) + own[k:])
     out = []
     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
         if b - a >= width:

@@ -77,14 +77,15 @@ class Lexicon:
 
 
 def uncopied(*classes: list[list[str]]) -> list[list[list[str]]]:
-    """One text per rare word of smallest checksum: copies and near copies mostly share it, other texts do not."""
+    """One text per pair of rare words of smallest checksum: copies and near copies mostly share it, other texts do not."""
     often = Counter(w for texts in classes for text in texts for w in text)
     most = max(2, RARE * sum(map(len, classes)))
     out = []
     for texts in classes:
         seen = {}
         for i, text in enumerate(texts):
-            seen.setdefault(min((crc32(w.encode("utf-8", "surrogatepass")) for w in text if often[w] <= most), default=-1 - i), text)
+            rare = sorted(crc32(w.encode("utf-8", "surrogatepass")) for w in text if often[w] <= most)
+            seen.setdefault(tuple(rare[:2]) if len(rare) > 1 else i, text)
         out.append(list(seen.values()))
     return out
 
