@@ -104,7 +104,7 @@ def test_quality_counts_against_loops(spark, odd, none):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(r.text)
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
     assert got.count() == len(ODD) and quality_rules.apply_rules(none).count() == 0
-    assert quality_rules.apply_rules(odd).where("kept = 'x'").count() == 0
+    assert dict(quality_rules.apply_rules(odd).dtypes)["kept"] == "boolean"
 
 
 def test_quality_rules_are_expressions(odd):
@@ -397,7 +397,7 @@ def test_toxicity_held_out_and_context(spark, odd, none):
         ws = prose(rng, int(rng.integers(10, 60))).split()
         bad = i % 7 == 0
         if bad:
-            ws.insert(len(ws) // 2, ["idiot", "scumbag", "worthless"][i % 3])
+            ws.insert(len(ws) // 2, ["idiot", "scumbag", "worthless"][i // 21 % 3])
         rows.append((i, " ".join(ws), "en"))
         marks.append((i, int(bad)))
     docs, labels = table_of(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")
