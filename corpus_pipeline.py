@@ -23,8 +23,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the table of rules."""
-    whole = docs.select(F.col("text").alias("_body"), F.struct(*docs.columns).alias("_own"))
-    return quality_rules.apply_rules(whole, text_col="_body").where("kept").select("_own.*")
+    return quality_rules.keep_good(docs)
 
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

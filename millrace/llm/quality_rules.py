@@ -117,3 +117,14 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     return judged.withColumns({"base_failed": base_failed(), "failed_rules": names}).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)
     )
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The documents that are kept, with their own columns.
+
+    The verdict is a column of its own before it selects: as a filter it would be pushed into the projection, with all measures
+    written out again for every rule.
+    """
+    whole = docs.select(F.col(text_col).alias("_body"), F.struct(*[F.col(c) for c in docs.columns]).alias("_own"))
+    judged = apply_rules(whole, rules, "_body")
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_own"))).alias("_own")).select("_own.*")

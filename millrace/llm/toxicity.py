@@ -46,7 +46,7 @@ COVER, RARE = 3, 0.05
 WINDOW = 6
 #: Intercept, any plain match, log of their number, best misspelled match, quoted only, aimed at someone, one weak stem,
 #: further weak stems (up to 5), log of weak stems per 200 words.
-PRIOR = np.array([-4.5, 6.5, 0.5, 5.5, 2.0, 1.0, 0.5, 1.0, 0.5])
+PRIOR = np.array([-4.5, 6.5, 0.5, 6.5, 2.0, 1.0, 0.5, 1.0, 0.5])
 #: Fixed word lists of the context rules.
 REPORTING = set("said says called calls wrote writes quote quoted quotes word term dit disait sagte nannte wort dijo llamó palabra".split())
 ADDRESS = set("you your you're youre du dich dir dein ihr tu te toi ton vous tú usted eres bist es-tu".split())
