@@ -84,34 +84,35 @@ long AS (
   SELECT doc_id, unnest({PIECES_SQL}) AS token, generate_subscripts({PIECES_SQL}, 1) AS ix
   FROM documents WHERE length(text) >= 50),
 coded AS (
-  SELECT doc_id, ix, coalesce(id, 1) AS id FROM long LEFT JOIN vocab USING (token))"""
+  SELECT doc_id, ix, coalesce(id, 1) AS id FROM long LEFT JOIN vocab USING (token)),
+kept AS (SELECT doc_id FROM documents WHERE length(text) >= 50)"""
 
 
 @register("encode_ids", f"""WITH {ENCODED}
-SELECT doc_id, count(*) AS n_tokens, (count(*) FILTER (WHERE id = 1)) AS unknown,
-       md5(string_agg(id::VARCHAR, ' ' ORDER BY ix)) AS content
-FROM coded GROUP BY doc_id""")
+SELECT doc_id, count(ix) AS n_tokens, (count(ix) FILTER (WHERE id = 1)) AS unknown,
+       md5(coalesce(string_agg(id::VARCHAR, ' ' ORDER BY ix), '')) AS content
+FROM kept LEFT JOIN coded USING (doc_id) GROUP BY doc_id""")
 def encode_ids(spark, sf):
     docs = documents(spark, sf)
     coded = tokens.encode_ids(prepare.tokenized(docs.select("doc_id", "text")).drop("text"), tokens.build_vocab(docs, 500))
-    return coded.where(F.size("ids") > 0).select(
+    return coded.select(
         "doc_id", "n_tokens", F.size(F.filter("ids", lambda i: i == tokens.UNKNOWN_ID)).cast("bigint").alias("unknown"),
         digest("ids").alias("content"))
 
 
 @register("encode_ids_by_join", f"""WITH {ENCODED}
-SELECT doc_id, count(*) AS n_tokens, md5(string_agg(id::VARCHAR, ' ' ORDER BY ix)) AS content
-FROM coded GROUP BY doc_id""")
+SELECT doc_id, count(ix) AS n_tokens, md5(coalesce(string_agg(id::VARCHAR, ' ' ORDER BY ix), '')) AS content
+FROM kept LEFT JOIN coded USING (doc_id) GROUP BY doc_id""")
 def encode_ids_by_join(spark, sf):
     docs = documents(spark, sf)
     tok = prepare.tokenized(docs.select("doc_id", "text")).drop("text")
-    coded = tokens.encode_ids_by_join(tok, tokens.build_vocab(docs, 500), "ids", "doc_id", "ids")
-    return coded.where(F.size("ids") > 0).select("doc_id", "n_tokens", digest("ids").alias("content"))
+    coded = tokens.encode_ids_by_join(tok, tokens.build_vocab(docs, 500), "ids", "ids")
+    return coded.select("doc_id", "n_tokens", digest("ids").alias("content"))
 
 
 @register("ids_to_tokens", f"""WITH {ENCODED}
-SELECT c.doc_id, md5(string_agg(v.token, ' ' ORDER BY ix)) AS content
-FROM coded c JOIN vocab v USING (id) GROUP BY c.doc_id""")
+SELECT k.doc_id, md5(coalesce(string_agg(v.token, ' ' ORDER BY ix), '')) AS content
+FROM kept k LEFT JOIN coded c USING (doc_id) LEFT JOIN vocab v USING (id) GROUP BY k.doc_id""")
 def ids_to_tokens(spark, sf):
     docs = documents(spark, sf)
     vocab = tokens.build_vocab(docs, 500)

@@ -19,9 +19,9 @@ ANSWER_SQL = r"""answers AS (
     WHEN 2 THEN text || ' \boxed{' || n_chars
     WHEN 3 THEN text
     WHEN 4 THEN ' \boxed{' || n_chars || '}</think> ' || text
-    WHEN 5 THEN '\boxed{' || n_chars || '}</think>so \boxed{}'
-    WHEN 6 THEN 'x</think>The answer is \boxed{' || substr('ABCD', (1 + doc_id % 4)::INT, 1) || '}'
-    ELSE 'a } b \boxed x { ' || n_chars || ' {y} } z' END AS text, n_chars FROM documents)"""
+    WHEN 5 THEN text || ' \boxed{' || n_chars || '}</think>so \boxed{}'
+    WHEN 6 THEN text || ' x</think>The answer is \boxed{' || substr('ABCD', (1 + doc_id % 4)::INT, 1) || '}'
+    ELSE text || ' a } b \boxed x { ' || n_chars || ' {y} } z' END AS text, n_chars FROM documents)"""
 
 
 def _answers(spark, sf):
@@ -33,10 +33,10 @@ def _answers(spark, sf):
         .when(k == 2, F.concat(head, F.lit(" \\boxed{"), n))
         .when(k == 3, F.col("text"))
         .when(k == 4, F.concat(F.lit(" \\boxed{"), n, F.lit("}</think> "), F.col("text")))
-        .when(k == 5, F.concat(F.lit("\\boxed{"), n, F.lit("}</think>so \\boxed{}")))
-        .when(k == 6, F.concat(F.lit("x</think>The answer is \\boxed{"),
+        .when(k == 5, F.concat(head, F.lit(" \\boxed{"), n, F.lit("}</think>so \\boxed{}")))
+        .when(k == 6, F.concat(head, F.lit(" x</think>The answer is \\boxed{"),
                                F.substr(F.lit("ABCD"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1)), F.lit("}")))
-        .otherwise(F.concat(F.lit("a } b \\boxed x { "), n, F.lit(" {y} } z")))
+        .otherwise(F.concat(head, F.lit(" a } b \\boxed x { "), n, F.lit(" {y} } z")))
     )
     return table(spark, sf, "documents").select("doc_id", text.alias("text"), "n_chars")
 
@@ -304,7 +304,7 @@ def compare_runs(spark, sf):
 SELECT a.bench, a.step::BIGINT AS step, round(100.0 * a.correct / a.samples - 100.0 * b.correct / b.samples, 9) AS difference
 FROM points a JOIN points b ON a.bench = b.bench AND a.step * 3 = b.step * 2 WHERE a.series = 's0' AND b.series = 's1'""")
 def compare_runs_at_compute(spark, sf):
-    return joins.compare_runs(_points(spark, sf), "s0", "s1", 1.5).select("bench", "step", F.round("difference", 9).alias("difference"))
+    return joins.compare_runs(_points(spark, sf), "s0", "s1", (3, 2)).select("bench", "step", F.round("difference", 9).alias("difference"))
 
 
 @register("validate_points", f"""WITH {POINTS},

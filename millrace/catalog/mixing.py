@@ -98,6 +98,23 @@ def epoch_index(spark, sf):
     return mixture.epoch_index(spark, _weights(docs), _lens(docs), 2 * docs.count() + 50, 11)
 
 
+@register("epoch_index_unweighted", f"""WITH {LANGS},
+lens AS (SELECT ds, sum(length(text))::BIGINT AS len FROM documents JOIN langs USING (lang) GROUP BY ds),
+slots AS (SELECT ds, unnest(range(len)) AS sample FROM lens),
+mixed AS (SELECT row_number() OVER (ORDER BY md5('11:' || ds || ':' || sample), ds, sample) - 1 AS pos, ds, sample FROM slots),
+everything AS (SELECT e * (SELECT sum(len) FROM lens) + pos AS pos, ds, sample FROM mixed, (SELECT unnest(range(2)) AS e))
+SELECT ds, (pos // 65536)::BIGINT AS stretch, count(*) AS n, sum(pos % 65536 * (sample % 1000 + 1))::BIGINT AS mark
+FROM everything WHERE pos < (SELECT sum(len) + 50 FROM lens) GROUP BY ALL""")
+def epoch_index_unweighted(spark, sf):
+    """Lengths are the characters of each language, so an epoch is long; summed up by stretches of positions."""
+    docs = table(spark, sf, "documents")
+    lens = docs.join(langs_of(docs).select("lang", "ds"), "lang").groupBy("ds").agg(F.sum(F.length("text")).alias("len"))
+    n = lens.agg(F.sum("len")).first()[0] + 50
+    order = mixture.epoch_index(spark, None, lens, n, 11)
+    return order.groupBy("ds", F.expr("pos div 65536").alias("stretch")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("pos") % 65536 * (F.col("sample") % 1000 + 1)).alias("mark"))
+
+
 @register("quota_index", f"""WITH {LANGS},
 x AS (SELECT ds, weight / (SELECT sum(weight) FROM langs) * (SELECT count(*) FROM documents) AS exact FROM langs),
 f AS (SELECT *, floor(exact)::BIGINT AS fl, row_number() OVER (ORDER BY exact - floor(exact) DESC, ds DESC) AS r FROM x),

@@ -102,7 +102,7 @@ def langs_of(docs: DataFrame) -> DataFrame:
 
 # SQL fragments --------------------------------------------------------------------------------
 
-PIECES_SQL = r"regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')"
+PIECES_SQL = r"regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]')"
 
 
 def hash_sql(*parts: str) -> str:

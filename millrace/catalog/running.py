@@ -97,12 +97,12 @@ def stage_faults(spark, sf):
 
 
 @register("run_throughput", """
-WITH s AS (SELECT event_type AS run, event_id AS step, value AS seconds FROM events WHERE value > 0)
+WITH s AS (SELECT event_type AS run, event_id AS step, value AS seconds FROM events)
 SELECT run, count(*) AS steps, round(count(*) * 512.0 * 1024 / sum(seconds), 4) AS tokens_per_sec,
        round(count(*) * 512.0 * 1024 / sum(seconds) / 8, 4) AS tokens_per_sec_per_device,
        round((200000 - max(step)) * sum(seconds) / count(*), 2) AS eta_seconds FROM s GROUP BY run""")
 def run_throughput(spark, sf):
-    log = table(spark, sf, "events").where(F.col("value") > 0).select(
+    log = table(spark, sf, "events").select(
         F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("seconds"))
     out = runs.run_throughput(log, 512, 1024, 8, total_steps=200000)
     return out.select("run", "steps", F.round("tokens_per_sec", 4).alias("tokens_per_sec"),
@@ -158,7 +158,7 @@ f AS (SELECT count(*) AS rows, bit_xor(('0x' || substr(h, 1, 15))::BIGINT) AS x,
 SELECT rows, sha256(rows || ':' || x || ':' || s) AS fingerprint FROM f""".replace("\\\\N", "\\N"))
 def table_fingerprint(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return quality.table_fingerprint(docs.repartition(5))
+    return quality.table_fingerprint(docs)
 
 
 @register("masked_mean", """

@@ -89,15 +89,16 @@ def chunk_batch(spark, sf):
 
 @register("chunk_batch_short", f"WITH {CHUNKS} SELECT batch, chunk, content FROM chunks WHERE chunk < greatest((t - 1) // {L} - 1, 0)")
 def chunk_batch_short(spark, sf):
-    return pack.chunk_batch(_batched(spark, sf), L, reference_count=True).select("batch", "chunk", digest("ids").alias("content"))
+    return pack.chunk_batch(_batched(spark, sf), L, drop_last=True).select("batch", "chunk", digest("ids").alias("content"))
 
 
 @register("leftpad_positions", f"""WITH {TOK},
 long AS (SELECT doc_id, unnest(ids) AS tok, generate_subscripts(ids, 1) - 1 AS ix FROM tok),
 lead AS (SELECT doc_id, coalesce(max(ix + 1) FILTER (WHERE tok = ','), 0) AS lead FROM long GROUP BY doc_id)
-SELECT doc_id, md5(string_agg((greatest(ix - lead, 0))::VARCHAR, ' ' ORDER BY ix)) AS positions FROM long JOIN lead USING (doc_id) GROUP BY doc_id""")
+SELECT t.doc_id, md5(coalesce(string_agg((greatest(ix - lead, 0))::VARCHAR, ' ' ORDER BY ix), '')) AS positions
+FROM tok t LEFT JOIN long USING (doc_id) LEFT JOIN lead USING (doc_id) GROUP BY t.doc_id""")
 def leftpad_positions(spark, sf):
-    return pack.leftpad_positions(_tok(spark, sf), ",").where(F.size("ids") > 0).select("doc_id", digest("positions").alias("positions"))
+    return pack.leftpad_positions(_tok(spark, sf), ",").select("doc_id", digest("positions").alias("positions"))
 
 
 # Supervised fine-tuning -----------------------------------------------------------------------

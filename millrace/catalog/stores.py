@@ -20,7 +20,7 @@ from millrace.sources import corpora, stores
 def read_text(spark, sf):
     folder = new_folder(spark, "jsonl")
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
-    docs.repartition(4).write.option("compression", "gzip").json(folder)
+    docs.write.option("compression", "gzip").json(folder)
     back = corpora.read_text(spark, folder, "body", "*.gz", [T.StructField("doc_id", T.LongType())])
     return back.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("content"))
 
@@ -82,9 +82,9 @@ SELECT source || '_p' || shard AS folder, (place // 65)::BIGINT AS win, md5(stri
 FROM stream GROUP BY source, shard, place // 65 HAVING count(*) = 65""")
 def read_token_bytes(spark, sf):
     folder = new_folder(spark, "bytes")
-    stores.write_token_bytes(_coded(kept_of(spark, sf)).select("source", "shard", "doc_id", "ids"), folder, 4, 1 << 40)
+    stores.write_token_bytes(_coded(kept_of(spark, sf)).select("source", "shard", "doc_id", "ids"), folder, 4, 256)
     win = stores.read_token_bytes(spark, folder, 64, 4, range_bytes=1 << 14)
-    return win.select(F.regexp_extract("file", r"([^/]+)/part-[0-9]+\.ds$", 1).alias("folder"), "win", digest("ids").alias("content"))
+    return win.select(F.regexp_extract("folder", r"([^/]+)$", 1).alias("folder"), "win", digest("ids").alias("content"))
 
 
 @register("write_manifest", f"""WITH {KEPT}
@@ -143,13 +143,17 @@ def synthetic_tokens(spark, sf):
     return corpora.synthetic_tokens(spark, n, 32, 1000, 8, True).select("row", digest("ids").alias("ids"), digest("positions").alias("positions"))
 
 
-@register("list_files", """SELECT 'documents' AS file, 4 AS files UNION ALL SELECT 'labels', 4""")
+@register("list_files", """
+SELECT 'documents' AS file, count(*)::BIGINT AS rows, true AS sized FROM documents UNION ALL SELECT 'labels', count(*)::BIGINT, true FROM labels""")
 def list_files(spark, sf):
     folder = new_folder(spark, "files")
     for name in ("documents", "labels"):
-        table(spark, sf, name).repartition(4).write.parquet(f"{folder}/{name}")
-    return corpora.list_files(spark, folder, "*.parquet").groupBy(
-        F.regexp_extract("path", r"([^/]+)/part-[^/]+$", 1).alias("file")).agg(F.count(F.lit(1)).cast("int").alias("files"))
+        table(spark, sf, name).write.parquet(f"{folder}/{name}")
+    listed = corpora.list_files(spark, folder, "*.parquet").groupBy(
+        F.regexp_extract("path", r"([^/]+)/part-[^/]+$", 1).alias("file")).agg((F.min("length") > 0).alias("sized"))
+    rows = [spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("file")) for name in ("documents", "labels")]
+    held = rows[0].unionByName(rows[1]).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    return listed.join(held, "file").select("file", "rows", "sized")
 
 
 @register("read_partial_jsonl", """

@@ -15,7 +15,7 @@ THINK_END = "</think>"
 BOXED = "\\boxed"
 CHOICE_LETTERS = "ABCD"
 MIN_CHARS = 50
-PIECE_PATTERN = r"\w+|[^\w\s]"
+PIECE_PATTERN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
 NUMBER_SUFFIXES = ["", "K", "M", "B", "T", "P", "E"]
 BOXED_INSTRUCTION = "Please reason step by step, and put your final answer within \\boxed{}."
 CHOICE_INSTRUCTION = "Answer with the letter of the correct option."

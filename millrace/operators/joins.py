@@ -108,15 +108,14 @@ def stage_for_step(steps: DataFrame, stages: DataFrame, width: int | None = None
     return interval_join(steps, ranges, "step", "start_step", "_end", (), width).drop("_end")
 
 
-def compare_runs(points: DataFrame, a: str, b: str, ratio: float = 1.0) -> DataFrame:
-    """Accuracy of series ``a`` minus ``b`` per benchmark at equal steps, or at ``ratio`` times the steps."""
+def compare_runs(points: DataFrame, a: str, b: str, ratio: tuple[int, int] = (1, 1)) -> DataFrame:
+    """Accuracy of series ``a`` minus ``b`` per benchmark where ``a.step * ratio[0] == b.step * ratio[1]``, in integers."""
     left = points.where(F.col("series") == a).select("bench", "step", F.col("accuracy").alias("accuracy_a"))
     right = points.where(F.col("series") == b).select(
-        "bench", (F.col("step") / F.lit(ratio)).alias("_at"), F.col("accuracy").alias("accuracy_b")
+        F.col("bench").alias("_bench"), (F.col("step").cast("bigint") * ratio[1]).alias("_at"), F.col("accuracy").alias("accuracy_b")
     )
     return (
-        left.join(right.withColumnRenamed("_at", "_step").withColumnRenamed("bench", "_bench"),
-                  (F.col("bench") == F.col("_bench")) & (F.col("step").cast("double") == F.col("_step")))
+        left.join(right, (F.col("bench") == F.col("_bench")) & (F.col("step").cast("bigint") * ratio[0] == F.col("_at")))
         .select("bench", "step", "accuracy_a", "accuracy_b",
                 (F.col("accuracy_a") - F.col("accuracy_b")).alias("difference"))
     )

@@ -186,16 +186,19 @@ def epochs_for(n: int, epoch: int) -> int:
 
 def epoch_index(spark: SparkSession, w: DataFrame | None, lens: DataFrame, n: int, seed: int,
                 limit: int = BLEND_STEP_LIMIT) -> DataFrame:
-    """Shuffled epoch of the greedy blend, repeated and cut to ``n`` positions.
+    """Shuffled epoch of the blend, repeated and cut to ``n`` positions.
 
-    ``lens`` has (ds, len).  Samples wrap at the source's length; without weights the lengths are used.
+    ``lens`` has (ds, len).  With weights the epoch is that of the greedy blend, and samples wrap at the source's
+    length.  Without, every sample of every source is in the epoch once, whatever the lengths are.
     """
     epoch = lens.agg(F.sum("len").cast("bigint")).first()[0]
-    weights = w if w is not None else lens.select("ds", F.col("len").alias("weight"))
     lens = plan_table(lens.select("ds", "len"))
-    base = blend_greedy(spark, weights, epoch, limit).join(lens, "ds")
-    base = base.select(F.col("pos").alias("place"), "ds", F.pmod("sample", "len").cast("bigint").alias("sample"))
-    mixed = hash_order(base, seed, ["place"]).drop("place")
+    if w is None:
+        mixed = hash_order(expand_counts(lens, "len", "sample"), seed, ["ds", "sample"])
+    else:
+        base = blend_greedy(spark, w, epoch, limit).join(lens, "ds")
+        base = base.select(F.col("pos").alias("place"), "ds", F.pmod("sample", "len").cast("bigint").alias("sample"))
+        mixed = hash_order(base, seed, ["place"]).drop("place")
     return repeat_epochs(mixed, epochs_for(n, epoch)).select(
         (F.col("epoch") * F.lit(epoch) + F.col("pos")).cast("bigint").alias("pos"), "ds", "sample"
     ).where(F.col("pos") < n)

@@ -141,18 +141,18 @@ def pad_sample(df: DataFrame, width: int, pad=PAD, ids_col: str = "ids") -> Data
 
 
 def chunk_batch(
-    tok: DataFrame, L: int, batch_col: str = "batch", order: str = "pos", reference_count: bool = False,
+    tok: DataFrame, L: int, batch_col: str = "batch", order: str = "pos", drop_last: bool = False,
     ids_col: str = "ids", block: int | None = None,
 ) -> DataFrame:
     """Concatenate the rows of a batch and cut chunks of ``L + 1`` with one token of overlap.
 
-    ``reference_count`` keeps the historical count, which is one chunk short per batch.
+    ``drop_last`` keeps the historical count, which is one chunk short per batch.
     A batch has a fixed number of rows, so its running offset is a local window.
     """
     sized = tok.withColumn("_size", F.size(ids_col).cast("bigint"))
     placed = running_offset(sized, [batch_col], order, "_size", "start", block)
     chunks = sample_text(placed, L, [batch_col], 1, True, ids_col).withColumnRenamed("sample", "chunk")
-    if not reference_count:
+    if not drop_last:
         return chunks
     totals = sized.groupBy(batch_col).agg(F.sum("_size").alias("_n"))
     return (

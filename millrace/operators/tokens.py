@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from millrace.functions import text as X
 
 BROADCAST_VOCAB_ROWS = 1_000_000
-JOIN_SALTS = 16
 UNKNOWN_ID = 1
 EOS_ID = 0
 FIRST_ID = 2
@@ -101,19 +100,19 @@ def _lookup_encoder(tokens: pa.Array, ids: pa.Array, pieces_col: str, out: str):
 
 
 def encode_ids(
-    df: DataFrame, vocab: DataFrame, pieces_col: str = "ids", key: str = "doc_id", out: str | None = None,
+    df: DataFrame, vocab: DataFrame, pieces_col: str = "ids", out: str | None = None,
     max_broadcast: int = BROADCAST_VOCAB_ROWS,
 ) -> DataFrame:
     """Replace the array of pieces by an array of ids; unseen pieces get the unknown id.
 
     A vocabulary of at most ``max_broadcast`` rows (counted first) travels to the tasks once and is
     looked up batch-wise in Arrow.  A larger one is joined: pieces are exploded, joined, and put
-    back together by document.
+    back together by row.  Both give the same rows.
     """
     out = out or pieces_col
     small = _small_vocab(vocab, max_broadcast)
     if small is None:
-        return encode_ids_by_join(df, vocab, pieces_col, key, out)
+        return encode_ids_by_join(df, vocab, pieces_col, out)
     schema = [f for f in df.schema.fields if f.name != pieces_col]
     return df.mapInArrow(
         _lookup_encoder(*small, pieces_col, out),
@@ -126,25 +125,31 @@ def _salted(vocab: DataFrame, salts: int) -> DataFrame:
     return vocab.select("token", "id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, key: str, out: str,
-                       salts: int = JOIN_SALTS) -> DataFrame:
-    """Vocabulary of any size: a shuffle join on the piece, then one group per document.
+def _row_key(df: DataFrame) -> Column:
+    """128 bits of all columns: rows that share it are equal, whatever their ids are."""
+    return F.struct(F.xxhash64(*df.columns), F.xxhash64(*df.columns, F.lit(1)))
 
-    A frequent piece may be a large part of all rows, so the join key is salted with the place.
+
+def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, out: str, salts: int | None = None) -> DataFrame:
+    """Vocabulary of any size: a shuffle join on the piece, then one group per distinct row.
+
+    A frequent piece may be a large part of all rows, so the join key is salted with the place, by as many salts
+    as there are shuffle partitions.
     """
-    rest = df.drop(pieces_col)
-    long = df.select(key, F.posexplode(pieces_col).alias("at", "token")).withColumn(
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_row", _row_key(df))
+    long = keyed.select("_row", F.posexplode(pieces_col).alias("at", "token")).withColumn(
         "_salt", F.pmod(F.col("at"), F.lit(salts)).cast("int")
     )
-    coded = long.join(_salted(vocab, salts), ["token", "_salt"], "left").groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("at", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))).getField("id").alias(
+    coded = long.join(_salted(vocab, salts), ["token", "_salt"], "left").groupBy("_row").agg(
+        F.sort_array(F.collect_set(F.struct("at", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))).getField("id").alias(
             "_coded"
         )
     )
     return (
-        rest.join(coded, key, "left")
+        keyed.drop(pieces_col).join(coded, "_row", "left")
         .withColumn(out, F.coalesce("_coded", F.array().cast("array<int>")))
-        .drop("_coded")
+        .drop("_coded", "_row")
     )
 
 
@@ -194,16 +199,14 @@ def ids_to_tokens(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key: st
 
 
 def ids_to_tokens_by_join(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key: str = "doc_id") -> DataFrame:
-    """The same for a vocabulary of any size: one group per row."""
-    long = df.select(key, F.posexplode_outer(ids_col).alias("at", "id")).withColumn(
-        "_salt", F.pmod(F.coalesce("at", F.lit(0)), F.lit(JOIN_SALTS)).cast("int")
-    )
-    return (
-        long.join(_salted(vocab, JOIN_SALTS), ["id", "_salt"], "left")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", "token")))).alias("_p"))
-        .select(key, F.array_join(F.col("_p.token"), " ").alias("text"))
-    )
+    """The same for a vocabulary of any size: one group per distinct row."""
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(key, ids_col)
+    keyed = rows.withColumn("_row", _row_key(rows))
+    long = keyed.select("_row", F.posexplode(ids_col).alias("at", "id")).withColumn("_salt", F.pmod(F.col("at"), F.lit(salts)).cast("int"))
+    texts = long.join(_salted(vocab, salts), ["id", "_salt"]).groupBy("_row").agg(
+        F.sort_array(F.collect_set(F.struct("at", "token"))).alias("_p"))
+    return keyed.drop(ids_col).join(texts, "_row", "left").select(key, F.coalesce(F.array_join(F.col("_p.token"), " "), F.lit("")).alias("text"))
 
 
 def flag_long(tok: DataFrame, max_doc_tokens: int | Column, is_chat: Column) -> DataFrame:

@@ -36,11 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash a small input over the cores before CPU-heavy work.
 
-    A table of fewer files than cores would keep tokenizing on a few tasks.  Inputs with enough files,
-    which is every big one, are returned unchanged and are not shuffled.
+    A scan of fewer splits than cores would keep tokenizing on a few tasks; it holds at most as many times
+    ``spark.sql.files.maxPartitionBytes``.  A scan of more splits, however few its files are, is returned unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 def shared_folder(spark: SparkSession) -> str:

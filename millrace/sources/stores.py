@@ -6,11 +6,13 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_DOCS = 1 << 16
+READ_BYTES = 4 << 20
 
 
 def write_tokens(tok: DataFrame, path: str, order: str = "doc_id", block: int = BLOCK_DOCS, mode: str = "overwrite") -> None:
@@ -103,40 +105,61 @@ def write_token_bytes(tok: DataFrame, path: str, width: int = 4, rows_per_file:
 
 
 def read_token_bytes(spark: SparkSession, path: str, L: int, width: int = 4, range_bytes: int = 64 << 20) -> DataFrame:
-    """Windows (file, win, ids) of ``L + 1`` ids of flat token files; an open tail is left out.
+    """Windows (folder, win, ids) of ``L + 1`` ids of the streams of flat token files; a stream's open tail is left out.
 
-    Spark lists the files (lengths only), cuts them into ranges of whole windows, and tasks read
-    their ranges by seeking, so one huge file is spread over many tasks.
+    The stream of a folder is its files one after the other, by name.  Spark lists the files (lengths only), lengths are summed
+    along the stream, and the stream is cut into ranges of whole windows; a task reads its range from as many files as
+    hold a part of it, so neither many small files nor a huge one lose a window or hold up a task.
     """
     dtype, record = _little_endian(width), (L + 1) * width
-    per_range, per_read = max(1, range_bytes // record), max(1, (4 << 20) // record)
+    span = max(1, range_bytes // record) * record
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
         "pathGlobFilter", "*.ds"
-    ).load(path).select("path", "length")
-    ranges = files.withColumn("_windows", F.expr(f"length div {record}")).where(F.col("_windows") > 0).select(
-        "path", "_windows",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_windows - 1) div {per_range}"))).alias("_range"),
-    ).repartition("path", "_range")
-
-    def read(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            for name, windows, part in zip(pdf["path"], pdf["_windows"], pdf["_range"]):
-                first = int(part) * per_range
-                end = min(first + per_range, int(windows))
+    ).load(path).select("path", F.col("length").alias("size")).where(F.col("size") > 0)
+    files = files.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]+$", 1))
+    stream = Window.partitionBy("folder").orderBy("path")
+    placed = files.withColumns({
+        "start": F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"),
+        "total": F.sum("size").over(Window.partitionBy("folder")),
+    })
+    reach = F.sequence(F.expr(f"start div {span}"), F.expr(f"(start + size - 1) div {span}"))
+    pieces = placed.select("folder", "path", "start", "size", "total", F.explode(reach).alias("part")).repartition(
+        "folder", "part").sortWithinPartitions("folder", "part", "start")
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        key, held, win = None, b"", 0
+        for batch in batches:
+            for folder, name, start, size, total, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if (folder, part) != key:
+                    key, held, win = (folder, part), b"", part * span // record
+                end = min((part + 1) * span, total // record * record)
+                at, last = max(start, part * span), min(start + size, end)
                 system, local = _file_system(name)
                 with system.open_input_file(local) as f:
-                    f.seek(first * record)
-                    for at in range(first, end, per_read):
-                        k = min(per_read, end - at)
-                        block = np.frombuffer(f.read(k * record), dtype=dtype).reshape(k, L + 1).astype(np.int32)
-                        yield pd.DataFrame({"file": name, "win": np.arange(at, at + k), "ids": list(block)})
-
-    return ranges.mapInPandas(read, "file string, win bigint, ids array<int>")
+                    while at < last:
+                        body = f.read_at(min(READ_BYTES, last - at), at - start)
+                        at += len(body)
+                        held += body
+                        k = len(held) // record
+                        if k:
+                            ids = np.frombuffer(held, dtype, k * (L + 1)).astype(np.int32)
+                            places = pa.array(np.arange(0, (k + 1) * (L + 1), L + 1, dtype=np.int32))
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([folder] * k), pa.array(np.arange(win, win + k)), pa.ListArray.from_arrays(places, pa.array(ids))],
+                                ["folder", "win", "ids"])
+                            held, win = held[k * record:], win + k
+
+    return pieces.mapInArrow(read, "folder string, win bigint, ids array<int>")
 
 
 def write_manifest(info: DataFrame, jobs: DataFrame, path: str, by: Sequence[str] = ("source", "shard")) -> None:
-    """One manifest row per shard: its record and its sampling weight; published by the commit protocol."""
-    rows = info.join(jobs.select(*by, "name", "weight", "max_doc_tokens"), list(by))
+    """One manifest row per planned shard: its record and its sampling weight; published by the commit protocol.
+
+    A planned shard without a record, or without tokens, fails the job before anything is published.
+    """
+    rows = jobs.select(*by, "name", "weight", "max_doc_tokens").join(info, list(by), "left")
+    missing = F.raise_error(F.concat(F.lit("no tokens for planned shard "), F.col("name")))
+    rows = rows.withColumn("tokens", F.when(F.coalesce("tokens", F.lit(0)) > 0, F.col("tokens")).otherwise(missing.cast("bigint")))
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 

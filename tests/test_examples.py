@@ -152,7 +152,7 @@ def test_chunks(spark):
     tok = spark.createDataFrame([(0, 0, [*range(8)]), (0, 1, [*range(8, 13)])], "batch int, pos int, ids array<int>")
     rows = pack.chunk_batch(tok, 4).orderBy("chunk").collect()
     assert [r.ids for r in rows] == [[*range(0, 5)], [*range(4, 9)], [*range(8, 13)]]
-    assert pack.chunk_batch(tok, 4, reference_count=True).count() == 2
+    assert pack.chunk_batch(tok, 4, drop_last=True).count() == 2
 
 
 def test_positions_and_labels(spark):
