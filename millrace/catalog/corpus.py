@@ -138,7 +138,7 @@ def preview_text(spark, sf):
     docs = documents(spark, sf)
     vocab = tokens.build_vocab(docs, 500)
     coded = tokens.encode_ids(prepare.tokenized(docs.select("doc_id", "text")).drop("text"), vocab)
-    numbered = ordering.global_row_index(coded, "doc_id", block=1 << 10).withColumn("batch", F.expr("pos div 8"))
+    numbered = ordering.global_row_index(coded, "doc_id").withColumn("batch", F.expr("pos div 8"))
     return tokens.preview_text(numbered, vocab, 10, "batch", 400, "doc_id")
 
 
@@ -336,7 +336,7 @@ def context_slices(spark, sf):
 SELECT doc_id, source, (sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n)::BIGINT AS start FROM tok""")
 def running_offset(spark, sf):
     tok = prepare.tokenized(documents(spark, sf)).select("doc_id", "source", "n_tokens")
-    return ordering.running_offset(tok, ["source"], "doc_id", "n_tokens", block=128).drop("n_tokens")
+    return ordering.running_offset(tok, ["source"], "doc_id", "n_tokens").drop("n_tokens")
 
 
 @register("global_row_index", """

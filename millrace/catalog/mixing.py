@@ -157,7 +157,7 @@ def blend_report(spark, sf):
 
 def _rows_by_lang(docs):
     """Documents numbered inside their language: (ds, win, doc_id)."""
-    numbered = ordering.global_row_index(docs, "doc_id", ["lang"], "win", 1 << 10)
+    numbered = ordering.global_row_index(docs, "doc_id", ["lang"], "win")
     return numbered.join(langs_of(docs).select("lang", "ds"), "lang").select("ds", "win", "doc_id")
 
 
@@ -202,7 +202,7 @@ SELECT p.source, p.doc_id, p.pos, r.file, (p.pos - r.start)::BIGINT AS inner_pos
 FROM pos p JOIN ranges r ON p.source = r.source AND p.pos >= r.start AND p.pos < r.stop""")
 def locate_window(spark, sf):
     docs = _docs(spark, sf)
-    pos = ordering.global_row_index(docs, "doc_id", ["lang"], "pos", 1 << 10).select(
+    pos = ordering.global_row_index(docs, "doc_id", ["lang"], "pos").select(
         F.col("lang").alias("source"), "doc_id", "pos")
     return joins.locate_window(pos, _files(docs)).select("source", "doc_id", "pos", "file", "inner_pos")
 
@@ -262,6 +262,20 @@ def doc_order(spark, sf):
     return mixture.doc_order(_docs(spark, sf).select("doc_id"), 3, 2, True)
 
 
+@register("doc_order_auto", """
+WITH t AS (SELECT sum(length(text))::BIGINT AS tokens FROM documents),
+n AS (SELECT tokens, (tokens * 9 // 4) // 256 AS n FROM t),
+e AS (SELECT tokens, n, greatest(1, (n * 256 + 1 + tokens - 1) // tokens) AS epochs FROM n),
+a AS (
+  SELECT epochs, epochs > 1 AND n - ((epochs - 1) * tokens - 1) // 256 < floor(0.8::DOUBLE * ((tokens - 1) // 256)) AS apart FROM e)
+SELECT doc_id, e::INT AS epoch, row_number() OVER (ORDER BY apart AND e = epochs - 1, md5('2:' || e || ':' || doc_id), e, doc_id) - 1 AS pos
+FROM documents, (SELECT epochs, apart, unnest(range(epochs)) AS e FROM a)""")
+def doc_order_auto(spark, sf):
+    docs = _docs(spark, sf)
+    tokens = table(spark, sf, "documents").agg(F.sum(F.length("text"))).first()[0]
+    return mixture.doc_order_auto(docs.select("doc_id"), tokens, 256, tokens * 9 // 4 // 256, 2)
+
+
 @register("sample_order", """
 WITH n AS (SELECT count(*) AS n FROM documents)
 SELECT sample, row_number() OVER (ORDER BY sample >= n * 3 // 4, md5('6:' || sample), sample) - 1 AS pos
@@ -280,7 +294,7 @@ def mix_fractions(spark, sf):
     docs = _docs(spark, sf)
     k = F.substr("source", F.lit(4)).cast("int") % 5
     fractions = sources_of(docs).select("source", (k / 4.0).alias("fraction"))
-    return mixture.mix_fractions(docs, fractions, 42, block=1 << 10).select("doc_id", "source", "pos")
+    return mixture.mix_fractions(docs, fractions, 42).select("doc_id", "source", "pos")
 
 
 @register("skip_limit_tokens", """
@@ -288,7 +302,7 @@ SELECT doc_id, source, win FROM (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS win FROM documents)
 WHERE win >= 4 AND win < 4 + 23""")
 def skip_limit_tokens(spark, sf):
-    win = ordering.global_row_index(_docs(spark, sf), "doc_id", ["source"], "win", 1 << 10)
+    win = ordering.global_row_index(_docs(spark, sf), "doc_id", ["source"], "win")
     return mixture.skip_limit_tokens(win, 256, 900, 256 * 23 + 100).select("doc_id", "source", "win")
 
 
@@ -309,7 +323,7 @@ NUMBERED = "numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1
 
 
 def _numbered(docs):
-    return ordering.global_row_index(docs.select("doc_id"), "doc_id", block=1 << 10)
+    return ordering.global_row_index(docs.select("doc_id"), "doc_id")
 
 
 @register("rank_split", f"""WITH {NUMBERED}
@@ -406,7 +420,7 @@ def training_samples(spark, sf):
     docs = documents(spark, sf).select("doc_id", "source", "text")
     tok = prepare.tokenized(docs).drop("text").withColumn("ids", F.concat("ids", F.array(F.lit("<eos>"))))
     sized = tok.withColumn("_n", F.col("n_tokens") + 1)
-    stream = ordering.running_offset(sized, ["source"], "doc_id", "_n", "start", 1 << 10)
+    stream = ordering.running_offset(sized, ["source"], "doc_id", "_n", "start")
     sources = sources_of(docs).select("source", "ds", F.col("docs").alias("weight"))
     out = training.training_samples(spark, stream, sources, 64, docs.count(), "<eos>", 31, 4, 4, 32, greedy=False)
     return out.select("sample", "step", "micro", "rank", "slot", "ds", digest("input_ids").alias("inputs"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import mixture
-from millrace.operators.ordering import plan_table
+from millrace.operators.ordering import DEFAULT_BLOCK, plan_table
 from millrace.plans import prepare
 from millrace.session import shared_folder, spread, table
 
@@ -70,7 +70,7 @@ def jobs_of(docs: DataFrame) -> DataFrame:
     return plan_table(mixture.plan_shards(recipe_of(docs)))
 
 
-def kept_of(spark: SparkSession, sf: str, block: int = 1 << 10) -> DataFrame:
+def kept_of(spark: SparkSession, sf: str, block: int = DEFAULT_BLOCK) -> DataFrame:
     jobs = jobs_of(table(spark, sf, "documents"))
     return prepare.budgeted(documents(spark, sf).select("doc_id", "source", "text"), jobs, CHAT_SOURCES, block=block)
 

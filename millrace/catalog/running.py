@@ -51,9 +51,7 @@ def check_consumption(spark, sf):
 @register("consumed_total", f"""WITH {STAGES}
 SELECT source, sum(tokens)::BIGINT AS tokens, sum(tokens // 64)::BIGINT AS sample_offset FROM consumed GROUP BY source""")
 def consumed_total(spark, sf):
-    maps = _consumed(spark, sf).groupBy("stage").agg(
-        F.map_from_entries(F.collect_list(F.struct("source", "tokens"))).alias("consumed")).withColumn("seq_len", F.lit(64))
-    return runs.consumed_total(maps)
+    return runs.consumed_total(_consumed(spark, sf).withColumn("seq_len", F.lit(64)))
 
 
 # A stage starts where a quarter of the orders begins.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import EOS, PIECES_SQL, TOK, digest, documents, hash_sql, joined, register
@@ -34,7 +36,7 @@ total AS (SELECT count(*) AS t FROM stream)"""
 @register("sample_index", f"""WITH {ORDER}
 SELECT place // {L} AS sample, pos, offs::BIGINT AS "offset" FROM stream, total WHERE place % {L} = 0 AND place <= t - 1""")
 def sample_index(spark, sf):
-    return pack.sample_index(_order(_tok(spark, sf)), L, block=256)
+    return pack.sample_index(_order(_tok(spark, sf)), L)
 
 
 @register("sample_index_open", f"""WITH {ORDER}
@@ -42,13 +44,13 @@ SELECT place // {L} AS sample, pos, offs::BIGINT AS "offset" FROM stream, total
 UNION ALL
 SELECT ceil((t - 1) / {L})::BIGINT, pos, size - 1 FROM ord, total WHERE pos = (SELECT max(pos) FROM ord) AND (t - 1) % {L} <> 0""")
 def sample_index_open(spark, sf):
-    return pack.sample_index(_order(_tok(spark, sf)), L, drop_last=False, block=256)
+    return pack.sample_index(_order(_tok(spark, sf)), L, drop_last=False)
 
 
 def _stream(spark, sf):
     tok = _tok(spark, sf)
     placed = ordering.running_offset(
-        _order(tok).withColumn("_g", F.lit(0)), ["_g"], "pos", "size", "start", 256).drop("_g")
+        _order(tok).withColumn("_g", F.lit(0)), ["_g"], "pos", "size", "start").drop("_g")
     return placed.join(tok.select("doc_id", "ids"), "doc_id")
 
 
@@ -79,7 +81,7 @@ chunks AS (SELECT batch, chunk::BIGINT AS chunk, md5(string_agg(tok, ' ' ORDER B
 
 
 def _batched(spark, sf):
-    return ordering.global_row_index(_tok(spark, sf), "doc_id", block=1 << 10).withColumn("batch", F.expr("pos div 16"))
+    return ordering.global_row_index(_tok(spark, sf), "doc_id").withColumn("batch", F.expr("pos div 16"))
 
 
 @register("chunk_batch", f"WITH {CHUNKS} SELECT batch, chunk, content FROM chunks")
@@ -171,10 +173,25 @@ def fim_permute(spark, sf):
     return out.select("doc_id", digest("ids").alias("content"), F.array_contains("ids", "<pre>").alias("drawn"))
 
 
+@register("fim_permute_fixed", f"""WITH {FIM_TEXT},
+sized AS (SELECT *, {_pieces("text")} AS u, len(p) + len(m) + len(s) + 3 - len({_pieces("text")}) AS d FROM parts),
+fitted AS (
+  SELECT doc_id, u, p, m, spm, drawn AND (d <= 0 OR len(s) > d) AS drawn,
+         CASE WHEN d > 0 THEN list_slice(s, 1, len(s) - d) ELSE s || list_transform(range(-d), lambda x: '<pad>') END AS s FROM sized)
+SELECT doc_id, md5(array_to_string(CASE
+         WHEN NOT drawn THEN u
+         WHEN spm THEN ['<pre>', '<suf>'] || s || ['<mid>'] || p || m
+         ELSE ['<pre>'] || p || ['<suf>'] || s || ['<mid>'] || m END, ' ')) AS content, len(u)::INT AS n
+FROM fitted""")
+def fim_permute_fixed(spark, sf):
+    out = fim.fim_permute(documents(spark, sf).select("doc_id", "text"), replace(FIM, keep_length=True))
+    return out.select("doc_id", digest("ids").alias("content"), F.size("ids").alias("n"))
+
+
 def _packed(spark, sf):
     """Samples of several documents with end tokens inside, one stream per source."""
     tok = _tok(spark, sf).withColumn("ids", F.concat("ids", F.array(F.lit(EOS)))).withColumn("_n", F.col("n_tokens") + 1)
-    placed = ordering.running_offset(tok, ["source"], "doc_id", "_n", "start", 256)
+    placed = ordering.running_offset(tok, ["source"], "doc_id", "_n", "start")
     return pack.pack_windows(placed, L, ["source"]).withColumn("sample", F.concat_ws("/", "source", "win"))
 
 

@@ -42,7 +42,7 @@ SELECT source, shard::INT AS shard, doc_id, take, md5(array_to_string(list_slice
 FROM kept WHERE NOT dropped""")
 def write_tokens(spark, sf):
     folder = new_folder(spark, "tokens")
-    stores.write_tokens(pack.cut_to_take(kept_of(spark, sf), eos=EOS).drop("text"), folder, block=128)
+    stores.write_tokens(pack.cut_to_take(kept_of(spark, sf), eos=EOS).drop("text"), folder)
     return stores.read_tokens(spark, folder).select("source", "shard", "doc_id", "take", digest("ids").alias("content"))
 
 
@@ -50,7 +50,7 @@ def write_tokens(spark, sf):
 SELECT source, count(*) AS docs, sum(take)::BIGINT AS tokens FROM kept WHERE NOT dropped AND source IN ('src1', 'src7') GROUP BY source""")
 def read_tokens(spark, sf):
     folder = new_folder(spark, "tokens")
-    stores.write_tokens(pack.cut_to_take(kept_of(spark, sf), eos=EOS).drop("text"), folder, block=128)
+    stores.write_tokens(pack.cut_to_take(kept_of(spark, sf), eos=EOS).drop("text"), folder)
     return stores.read_tokens(spark, folder, ["src1", "src7"]).groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids")).alias("tokens"))
 

@@ -19,7 +19,10 @@ def _joined(pieces: Column) -> Column:
 
 @dataclass(frozen=True)
 class Fim:
-    """Rates and special tokens of the permutation."""
+    """Rates and special tokens of the permutation.
+
+    ``keep_length`` cuts or pads the suffix, so that a sample is as long after as before.
+    """
 
     rate: float
     spm_rate: float
@@ -28,6 +31,8 @@ class Fim:
     middle: object = "<mid>"
     suffix: object = "<suf>"
     no_fim_prefix: str | None = None
+    keep_length: bool = False
+    pad: object = "<pad>"
     encode: Callable[[Column], Column] = X.pieces
     decode: Callable[[Column], Column] = _joined
 
@@ -41,11 +46,17 @@ def permuted(text: Column, unchanged: Column, fim: Fim, rate: float | Column, *k
     pre = fim.encode(F.substr(text, F.lit(1), lo))
     mid = fim.encode(F.substr(text, lo + 1, hi - lo))
     suf = fim.encode(F.substr(text, hi + 1, length - hi))
+    drawn = seeded_unit(fim.seed, F.lit("fim"), *keys) < rate
+    if fim.keep_length:
+        # The suffix gives way for what the three marks and the cuts add; a text without room stays as it is.
+        over = F.size(pre) + F.size(mid) + F.size(suf) + 3 - F.size(unchanged)
+        drawn = drawn & ((over <= 0) | (F.size(suf) > over))
+        suf = F.when(over > 0, F.slice(suf, 1, F.greatest(F.size(suf) - over, F.lit(0)))).otherwise(
+            F.concat(suf, F.array_repeat(F.lit(fim.pad), F.greatest(-over, F.lit(0)))))
     p, m, s = (F.array(F.lit(x)) for x in (fim.prefix, fim.middle, fim.suffix))
     order = F.when(
         seeded_unit(fim.seed, F.lit("spm"), *keys) < fim.spm_rate, F.concat(p, s, suf, m, pre, mid)
     ).otherwise(F.concat(p, pre, s, suf, m, mid))
-    drawn = seeded_unit(fim.seed, F.lit("fim"), *keys) < rate
     if fim.no_fim_prefix is not None:
         drawn = drawn & ~F.startswith(text, F.lit(fim.no_fim_prefix))
     return F.when(drawn, order).otherwise(unchanged)

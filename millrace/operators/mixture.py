@@ -323,6 +323,12 @@ def doc_order(docs: DataFrame, epochs: int, seed: int, split_last: bool, key: st
     return hash_order(copies, seed, ["epoch", key], (), "pos", rank)
 
 
+def doc_order_auto(docs: DataFrame, tokens: int, L: int, n: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """``doc_order`` with the epochs that ``n`` samples of ``L`` tokens need; a short last epoch is shuffled apart."""
+    epochs = num_epochs(tokens, L, n)
+    return doc_order(docs, epochs, seed, last_epoch_apart(tokens, L, n, epochs)[0], key)
+
+
 def sample_order(spark: SparkSession, n: int, k: int, seed: int) -> DataFrame:
     """Random order of samples 0..n-1 with the first ``k`` shuffled apart from the rest."""
     rows = spark.range(n).withColumnRenamed("id", "sample")

@@ -20,14 +20,6 @@ def consumed_tokens(blend: DataFrame, gb: int, L: int) -> DataFrame:
     ).drop("_earlier")
 
 
-def consumption_faults(consumed: DataFrame, stages: DataFrame) -> DataFrame:
-    """Stages where samples times length differs from the tokens of its sources."""
-    by_stage = consumed.groupBy("stage").agg(F.sum("tokens").cast("bigint").alias("tokens"))
-    want = stages.select("stage", (F.col("consumed_samples") * F.col("seq_len")).cast("bigint").alias("expected"))
-    both = want.join(by_stage, "stage", "full_outer").na.fill(0, ["tokens", "expected"])
-    return both.where(F.col("tokens") != F.col("expected"))
-
-
 def check_consumption(consumed: DataFrame, stages: DataFrame) -> DataFrame:
     """Per stage: expected and counted tokens, and whether they agree."""
     by_stage = consumed.groupBy("stage").agg(F.sum("tokens").cast("bigint").alias("tokens"))
@@ -36,10 +28,12 @@ def check_consumption(consumed: DataFrame, stages: DataFrame) -> DataFrame:
     return both.withColumn("ok", F.col("tokens") == F.col("expected"))
 
 
-def consumed_total(stages: DataFrame, map_col: str = "consumed") -> DataFrame:
-    """Tokens per source over all stages and the sample offset they leave (``seq_len`` per stage)."""
-    long = stages.select("seq_len", F.explode(map_col).alias("source", "tokens"))
-    return long.groupBy("source").agg(
+def consumed_total(consumed: DataFrame) -> DataFrame:
+    """Tokens per source over all stages and the sample offset they leave.
+
+    ``consumed`` has a row (source, tokens, seq_len) per stage and source; ``F.explode`` makes such rows of a map.
+    """
+    return consumed.groupBy("source").agg(
         F.sum("tokens").cast("bigint").alias("tokens"),
         F.sum(F.expr("tokens div seq_len")).cast("bigint").alias("sample_offset"),
     )

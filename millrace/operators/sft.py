@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.functions.arrays import PAD, counting, int_slice, pad_to
+from millrace.functions.arrays import PAD, counting, pad_to
 
 
 def chat_pairs(turns: DataFrame) -> DataFrame:
@@ -70,10 +70,3 @@ def sft_report(df: DataFrame) -> DataFrame:
 def debug_limit(df: DataFrame, k: int, order: str = "doc_id") -> DataFrame:
     """The first ``min(k, n)`` rows."""
     return df.orderBy(order).limit(k)
-
-
-def masked_tokens(df: DataFrame, L: int) -> DataFrame:
-    """Inputs and labels one apart, as the collator hands them on."""
-    return df.select(
-        "*", int_slice(F.col("input_ids"), 0, L).alias("inputs"), int_slice(F.col("label_ids"), 1, L).alias("targets")
-    )
