@@ -15,6 +15,7 @@ manifest; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh_folder, passes, stored, tasks
+from millrace.llm.common import ENCODE_BYTES, fresh_folder, passes, stored, tasks
 from millrace.llm.tokenizing import encoder, share
 from millrace.operators.ordering import running_offset
 
@@ -122,18 +123,29 @@ def read_bytes(path: str) -> bytes:
 # Writing --------------------------------------------------------------------------------------
 
 
+def id_type(vocabulary: Broadcast, end: int) -> np.dtype:
+    """Two bytes where every id fits, else four."""
+    told = json.loads(vocabulary.value)
+    most = max([end, *told["model"]["vocab"].values(), *(x["id"] for x in told["added_tokens"])])
+    return np.dtype("<u2" if most < 1 << 16 else "<u4")
+
+
 def encoded_documents(docs: DataFrame, vocabulary: Broadcast, end: int, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(shard, doc_id, ids): little-endian ids of whole texts with the end id, and the range of the document's id."""
+    """(shard, doc_id, ids): little-endian ids of whole texts with the end id, and the range of the document's id.
+
+    Ids take the bytes that the largest of the vocabulary needs, see ``id_type``.
+    """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = id_type(vocabulary, end)
     cuts = [(i + 1) / shards for i in range(shards - 1)]
     found = source.select(F.percentile_approx("doc_id", cuts, 10_000).alias("c")).first()["c"] if cuts else []
     bounds = np.unique(np.asarray(found or [], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in passes(batches):
+        for batch in passes(batches, most=ENCODE_BYTES):
             ids, starts = encode.encode(batch.column("text"), end)
-            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(starts * 4), pa.py_buffer(ids.astype("<u4"))])
+            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(starts * kind.itemsize), pa.py_buffer(ids.astype(kind))])
             number = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.searchsorted(bounds, number).astype(np.int32)), batch.column("doc_id"), body.cast(pa.binary())],
@@ -151,7 +163,9 @@ def write_tokens(
     spark = docs.sparkSession
     folder = folder or fresh_folder(spark, "token-files")
     shards = tasks(spark)
-    rows = encoded_documents(docs, share(spark, vocabulary_path), end, shards, id_col, text_col)
+    vocabulary = share(spark, vocabulary_path)
+    kind = id_type(vocabulary, end)
+    rows = encoded_documents(docs, vocabulary, end, shards, id_col, text_col)
     if "://" not in folder and not folder.startswith("file:"):
         folder = "file://" + os.path.abspath(folder)
 
@@ -163,8 +177,8 @@ def write_tokens(
             shard = held[0][0]
             known = np.asarray([d is not None for _, d, _ in held])
             numbers = np.asarray([d or 0 for _, d, _ in held], np.int64)
-            starts = np.concatenate([[0], np.cumsum([len(b) // 4 for _, _, b in held])])
-            ids = np.frombuffer(b"".join(b for _, _, b in held), "<u4")
+            starts = np.concatenate([[0], np.cumsum([len(b) // kind.itemsize for _, _, b in held])])
+            ids = np.frombuffer(b"".join(b for _, _, b in held), kind)
             path = f"{folder}/{shard:08d}-{uuid4().hex}.dac"
             system, at = fs.FileSystem.from_uri(path)
             system.create_dir(at.rpartition("/")[0], recursive=True)
@@ -176,11 +190,11 @@ def write_tokens(
 
         for batch in batches:
             for shard, doc, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (held[0][0] != shard or size + len(ids) // 4 > ids_per_file):
+                if held and (held[0][0] != shard or size + len(ids) // kind.itemsize > ids_per_file):
                     yield flush()
                     held, size = [], 0
                 held.append((shard, doc, ids))
-                size += len(ids) // 4
+                size += len(ids) // kind.itemsize
         if held:
             yield flush()
 
