@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import shared_folder
 
-#: Bytes of text that one numpy pass works on; only a single longer text makes a larger pass.
-PASS_BYTES = 8 << 20
+#: Bytes of text that one numpy pass works on, and one that encodes tokens; only a single longer text makes a larger pass.
+PASS_BYTES, ENCODE_BYTES = 2 << 20, 6 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -46,15 +46,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def passes(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of each stay near PASS_BYTES."""
+def passes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each stay near ``most`` bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, at = utf8(batch.column(text))
         first = 0
         while first < batch.num_rows:
-            last = int(np.searchsorted(at, at[first] + PASS_BYTES, "right")) - 1
+            last = int(np.searchsorted(at, at[first] + most, "right")) - 1
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last

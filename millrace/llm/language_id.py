@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 from millrace.llm.common import encoded, passes, utf8, words
 from millrace.llm.sampling import bounded
 
-SAMPLE = 4000
+SAMPLE = 2500
 BUCKETS = 1 << 14
 RUNS = (2, 3, 4)
 WIDTH = 16
@@ -78,7 +77,7 @@ def has_letter(column: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(label, buckets, counts) of every row of (text, label): how often a bucket occurs."""
+    """(key, label, buckets, counts) of every row of (key, text, label) with a word: how often a bucket occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches):
@@ -90,11 +89,11 @@ def counted(docs: DataFrame) -> DataFrame:
                 buckets, n = np.unique(runs_of(found[a:b])[0], return_counts=True)
                 out.append((buckets.astype(np.int32), n.astype(np.float32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([x for x, _ in out], pa.list_(pa.int32())), pa.array([y for _, y in out], pa.list_(pa.float32()))],
-                ["label", "buckets", "counts"],
+                [batch.column("key"), batch.column("label"), pa.array([x for x, _ in out], pa.list_(pa.int32())), pa.array([y for _, y in out], pa.list_(pa.float32()))],
+                ["key", "label", "buckets", "counts"],
             )
 
-    return docs.mapInArrow(run, "label string, buckets array<int>, counts array<float>")
+    return docs.mapInArrow(run, "key string, label string, buckets array<int>, counts array<float>").where(F.size("buckets") > 0)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -103,18 +102,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: pa.Table, seed: int = 7) -> Model | None:
-    """Train on (label, buckets, counts)."""
-    rows = rows.filter(pc.greater(pc.list_value_length(rows["buckets"]), 0))
+    """Train on (key, label, buckets, counts); the keys fix the order, so that reruns agree."""
     labels = rows["label"].to_pylist()
     if not labels:
         return None
     languages = sorted(set(labels))
     y = np.asarray([languages.index(x) for x in labels])
-    rows = rows.combine_chunks()
+    by_key = np.argsort(np.asarray(rows["key"].to_pylist()), kind="stable")
+    y = y[by_key]
     buckets, counts = rows["buckets"].combine_chunks(), rows["counts"].combine_chunks()
     at = buckets.offsets.to_numpy() - buckets.offsets[0].as_py()
     places, n = buckets.flatten().to_numpy(), counts.flatten().to_numpy()
-    parts = [(places[a:b], n[a:b] / n[a:b].sum()) for a, b in zip(at[:-1], at[1:])]
+    parts = [(places[a:b], n[a:b] / n[a:b].sum()) for a, b in zip(at[by_key], at[by_key + 1])]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
@@ -157,8 +156,10 @@ def fit(rows: pa.Table, seed: int = 7) -> Model | None:
 
 def train(labelled: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model | None:
     """Fit on a bounded sample of the rows that have a label and an id."""
-    rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
-    return fit(counted(bounded(rows.where("label is not null"), most).select("text", "label")).toArrow())
+    rows = labelled.select(F.col(id_col).cast("string").alias("key"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
+    model = fit(counted(bounded(rows.where("label is not null"), most, "key").select("key", "text", "label")).toArrow())
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import passes, tasks
+from millrace.llm.common import ENCODE_BYTES, passes, tasks
 from millrace.llm.tokenizing import encoder, share
 
 SIZE = 2048
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, end: int = 0, size: int = SIZE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in passes(batches):
+        for batch in passes(batches, most=ENCODE_BYTES):
             ids, at = encode.encode(batch.column("text"), end)
             lengths = np.diff(at)
             count = -(-lengths // size)

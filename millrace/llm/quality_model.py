@@ -114,7 +114,7 @@ class Model:
 
 
 def vectors(docs: DataFrame) -> DataFrame:
-    """(kind, x) of every row of (text, kind): means and ratios as 32-bit floats."""
+    """(key, kind, x) of every row of (key, text, kind): means and ratios as 32-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches):
@@ -130,9 +130,9 @@ def vectors(docs: DataFrame) -> DataFrame:
                 x = np.bincount(places[own, 0], minlength=MEANS) / (len(own) + PULL)
                 x += np.bincount(places[codes[a:b], 1:].ravel(), minlength=MEANS) / (b - a + PULL)
                 out.append(np.concatenate([x, extra[i]]).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(out, pa.binary())], ["kind", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("kind"), pa.array(out, pa.binary())], ["key", "kind", "x"])
 
-    return docs.mapInArrow(run, "kind int, x binary")
+    return docs.mapInArrow(run, "key string, kind int, x binary")
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
@@ -204,8 +204,9 @@ def train(docs: DataFrame, positives: DataFrame, most_positive: int = POSITIVES,
     chosen = bounded(positives.select("doc_id").withColumn("kind", F.lit(1)), most_positive).unionByName(
         bounded(docs.select("doc_id").withColumn("kind", F.lit(0)), most_unlabelled, seed=1))
     # At most 2 * (positives + unlabelled) rows of two numbers.
-    sample = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "kind"), "quality-sample")
-    rows = vectors(sample).toArrow()
+    sample = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("key"), "text", "kind"), "quality-sample")
+    # Sorted by key, so that reruns agree.
+    rows = vectors(sample).toArrow().sort_by("key")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(rows.num_rows, MEANS + RATIOS).astype(np.float64)
     kind = rows["kind"].to_numpy() if rows.num_rows else np.zeros(0)
     return fit(x[kind == 1], x[kind == 0])

@@ -340,7 +340,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 2.0) -> np.ndarr
 
 
 def normal_words(docs: DataFrame) -> DataFrame:
-    """(toxic, terms): the distinct normal words of every row of (text, toxic)."""
+    """(key, toxic, terms): the distinct normal words of every row of (key, text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches):
@@ -348,9 +348,9 @@ def normal_words(docs: DataFrame) -> DataFrame:
             codes, distinct = encoded(found)
             shapes = np.asarray([normal(w) for w in distinct.to_pylist()], object)
             own = [sorted({*shapes[np.unique(codes[a:b])]} - {""}) if b > a else [] for a, b in zip(rows[:-1], rows[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.string()))], ["toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(own, pa.list_(pa.string()))], ["key", "toxic", "terms"])
 
-    return docs.mapInArrow(run, "toxic int, terms array<string>")
+    return docs.mapInArrow(run, "key string, toxic int, terms array<string>")
 
 
 def scored_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -360,9 +360,9 @@ def scored_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         automaton = Automaton(shared.value)
         for batch in passes(batches):
             x = features(automaton, shared.value, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["key", "toxic", "x"])
 
-    return docs.mapInArrow(run, "toxic int, x array<double>")
+    return docs.mapInArrow(run, "key string, toxic int, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Model:
@@ -370,12 +370,13 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = bounded(marks.where("toxic = 1"), toxic).unionByName(bounded(marks.where("toxic = 0"), clean))
     # At most 2 * (toxic + clean) rows of two numbers.
-    sample = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
-    sets = normal_words(sample).toArrow()
+    sample = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("key"), "text", "toxic"), "toxicity-sample")
+    # Sorted by key, so that reruns agree.
+    sets = normal_words(sample).toArrow().sort_by("key")
     marked = sets["toxic"].to_numpy() if sets.num_rows else np.zeros(0)
     texts = sets["terms"].to_pylist()
     lexicon = mine([t for t, m in zip(texts, marked) if m == 1], [t for t, m in zip(texts, marked) if m == 0])
-    rows = scored_features(sample, lexicon).toArrow()
+    rows = scored_features(sample, lexicon).toArrow().sort_by("key")
     if not rows.num_rows:
         return Model(lexicon, PRIOR.copy())
     return Model(lexicon, fit_weights(np.asarray(rows["x"].to_pylist()), rows["toxic"].to_numpy()))
