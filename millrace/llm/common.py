@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.session import shared_folder
 
 #: Bytes of text that one numpy pass works on, and one that encodes tokens; only a single longer text makes a larger pass.
-PASS_BYTES, ENCODE_BYTES = 2 << 20, 6 << 20
+PASS_BYTES, ENCODE_BYTES = 2 << 20, 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -58,6 +58,8 @@ def passes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PA
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+    # A worker lives on after its task; what Arrow keeps for later would add to the next stage's needs.
+    pa.default_memory_pool().release_unused()
 
 
 def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:

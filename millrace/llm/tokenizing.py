@@ -21,7 +21,7 @@ from pyspark.sql import SparkSession
 from millrace.llm.common import encoded, gather, strings, utf8
 
 #: Stretches a worker remembers; when full, it forgets all and goes on.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 _LOADED: dict[int, "Encoder"] = {}
 
