@@ -2,10 +2,10 @@
 
 ``mine`` finds lexicon terms in labelled rows: words, or stems with several endings, that are far more frequent in toxic
 texts, chosen greedily so that each explains toxic texts no earlier term explains; stems that clean texts use now and then
-count by repetition.  ``Automaton`` walks the Levenshtein
+count by repetition; the whole words that a stem covers stay in the lexicon (``covered``).  ``Automaton`` walks the Levenshtein
 automata of all terms through the trie of the lexicon at once: a state is the set of (trie node, edits) a prefix of the word
 can have reached, states and steps are made when first met, and all distinct words of a batch are walked together.  Words of
-five letters may differ by one edit, of nine by two; stems must be met exactly.  Spellings that also occur in texts
+five letters may differ by one edit, of nine by two, also those that a stem covers; stems themselves must be met exactly.  Spellings that also occur in texts
 labelled clean are cleared.
 
 Every match is looked at in a window of words: inside quotation marks, or after a word of reporting, it counts as
@@ -41,6 +41,8 @@ LEAST_TEXTS = 3
 #: How much more frequent in toxic texts a term must be: of its own, or (stems) when it counts only by repetition.
 STRONG_RATIO, WEAK_RATIO = 20.0, 5.0
 MOST_TERMS = 400
+#: Letters of a covered word that is kept for its misspellings; a longer one is met by its stem alone.
+LONGEST = 32
 #: Terms that explain a toxic text before it asks for no more, and how common a word may be to tell copies apart.
 COVER, RARE = 3, 0.05
 WINDOW = 6
@@ -90,6 +92,24 @@ def uncopied(*classes: list[list[str]]) -> list[list[list[str]]]:
     return out
 
 
+def covered(stem: str, bad: Counter, known: list[str], strong: set[str]) -> set[str]:
+    """The words of toxic texts that begin with ``stem`` and that no clean text has, to be met with edits.
+
+    Terms of their own all stay.  A rarer word is left out where clean texts have words within its edits, and a word of
+    a single text also where it is another one misspelt: edits of it would be two steps away.
+    """
+    seen = set(known)
+    own = sorted(w for w in bad if w.startswith(stem) and not w.endswith("*") and w not in seen and w not in strong and len(w) <= LONGEST)
+    near = {0}
+    while near:
+        # A clean word names its nearest term only, so those left are asked again.
+        near = {*Automaton(Lexicon(own, [])).walk(known)[0].tolist()} - {-1}
+        own = [w for i, w in enumerate(own) if i not in near]
+    kept = sorted({w for w in strong if w.startswith(stem)} | {w for w in own if bad[w] > 1})
+    once = [w for w in own if bad[w] == 1]
+    return {*kept, *(w for w, t in zip(once, Automaton(Lexicon(kept, [])).walk(once)[0].tolist()) if t < 0)}
+
+
 def mine(toxic: list[list[str]], clean: list[list[str]]) -> Lexicon:
     """Terms from the distinct normal words of toxic and clean texts."""
 
@@ -120,6 +140,7 @@ def mine(toxic: list[list[str]], clean: list[list[str]]) -> Lexicon:
                 if n < len(w) and len(endings[w[:n] + "*"]) < LEAST_ENDINGS:
                     endings[w[:n] + "*"].add(w)
     terms = {f for f in terms if not f.endswith("*") or len(endings[f]) >= LEAST_ENDINGS}
+    strong = {f for f in terms if not f.endswith("*")}
     left = {i: (COVER, own & terms) for i, own in enumerate(held)}
     chosen, least, least_weak = [], max(LEAST_TEXTS, len(toxic) // 100), max(8, len(toxic) // 30)
     terms -= {f for f in terms if ratio[f] < STRONG_RATIO and bad[f] < least_weak}
@@ -139,6 +160,17 @@ def mine(toxic: list[list[str]], clean: list[list[str]]) -> Lexicon:
         left = {i: (n - (best in own), own - met) for i, (n, own) in left.items() if n > (best in own)}
     lexicon = Lexicon(sorted(f for f in chosen if not f.endswith("*")), sorted(f[:-1] for f in chosen if f.endswith("*")))
     lexicon.weak = {f[:-1] for f in chosen if f.endswith("*") and ratio[f] < STRONG_RATIO}
+    known = sorted({w for text in clean for w in text})
+    kept = set(lexicon.words)
+    for stem in lexicon.stems:
+        if stem in lexicon.weak:
+            # Terms frequent enough to be chosen without the stem; misspelt they count as weakly as it does.
+            own = {f for f in strong if f.startswith(stem) and bad[f] >= least} - kept
+            lexicon.weak |= own
+        else:
+            own = covered(stem, bad, known, strong)
+        kept |= own
+    lexicon.words = sorted(kept)
     return weighed(lexicon, toxic, clean)
 
 

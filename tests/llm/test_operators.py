@@ -413,6 +413,18 @@ def test_toxicity_held_out_and_context(spark, odd, none):
     assert toxicity.predict(odd, toxicity.train(none, labels)).where("predicted = 1").count() == 0
 
 
+def test_terms_under_a_stem_keep_their_edits():
+    rng = np.random.default_rng(13)
+    toxic = [[*prose(rng, 30).split(), w] for k in range(6) for w in ("idiot", "idiots", "idiotic", "idiott", "idioot")]
+    clean = [prose(rng, 30).split() for _ in range(60)]
+    lexicon = toxicity.mine([sorted(set(t)) for t in toxic], [sorted(set(t)) for t in clean])
+    assert "idiot".startswith(tuple(lexicon.stems))
+    automaton = toxicity.Automaton(lexicon)
+    tried = ["idiot", "idiotically", "idi0t", "1diot", "id1otic", "idi0ts", "tha", "shoer"]
+    term, edit = automaton.walk(tried)
+    assert {w: int(e) for w, t, e in zip(tried, term, edit) if t >= 0} == {"idiot": 0, "idiotically": 0, "idi0t": 1, "1diot": 1, "id1otic": 1, "idi0ts": 1}
+
+
 def test_crc_of_tokens_is_unsigned(spark):
     body = np.array([1, 2, 70000], "<u4").tobytes()
     df = spark.createDataFrame([(bytearray(body),)], "ids binary")
