@@ -12,8 +12,8 @@ keeps a vector shared by many rows from growing into pairs.  Queries probe the n
 ``RECALL`` of their neighbours.  Clusters are cut into blocks of vectors and of queries.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those without an id or of another
-length than most.  Repeated rows (equal id and vector) may each be found; a query never finds its own id.  An empty table,
-or no query, gives an empty result.  Other columns are ignored.
+length than most.  Repeated rows (equal id and vector) count once, as queries and as neighbours; an id with several different
+vectors counts with each.  A query never finds its own id.  An empty table, or no query, gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -292,7 +292,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], empty)
     size = sizes["size"]
-    whole = stored(packed_vectors(rows.where(F.size("v") == size)), "vectors")
+    # Without repeated rows the k + 1 of one vector are k + 1 ids.
+    whole = stored(packed_vectors(rows.where(F.size("v") == size)).dropDuplicates(["vec_id", "body"]), "vectors")
     index = build(first(whole, k + 1, ["body"], ["vec_id"], "_n").drop("_n"), size)
     queries = whole.where(is_query).select(F.col("vec_id").alias("query_id"), "body")
     asked = stored(queries.select("body").distinct(), "asked")

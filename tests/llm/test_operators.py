@@ -76,6 +76,21 @@ def test_nearest_few_and_no_rows(spark):
     assert nearest.nearest(df, F.lit(False)).count() == 0
 
 
+def test_nearest_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=(60, 8))
+    v[30] = v[0]
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    rows += [rows[0]] * 11 + [rows[20]] + [rows[7]] * 11  # 0 and 7 twelve times, 20 twice
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, F.col("vec_id").isin(0, 20), probes=100).collect()
+    for q in (0, 20):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        want = [i for _, i in sorted((d[i], i) for i in range(60) if i != q)[:10]]
+        own = sorted((r["rank"], r.vec_id) for r in got if r.query_id == q)
+        assert own == list(enumerate(want, 1))
+
+
 def test_estimates_stay_inside_their_bounds():
     rng = np.random.default_rng(2)
     x, q = rng.normal(size=(4000, 64)), rng.normal(size=64)
