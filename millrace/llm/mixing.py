@@ -11,7 +11,8 @@ source that holds most rows is spread over tasks; only (source, block) totals me
 relation within a bound, beyond it joins by shuffle.
 
 A null text has size 0.  Null is a source of its own, last in order.  Documents of size 0 take 0.  Equal keys fall
-back on doc_id, then size; repeated rows share a key and are taken one after the other.  An empty table gives an empty
+back on doc_id, then size; repeated rows share a key and are taken one after the other.  ``expand`` numbers the rows, so that
+the decision on a row reaches that row, with or without an id; ties beyond size go by a hash of the row.  An empty table gives an empty
 result.  The text, id and source columns are named by parameters; all others are ignored (``mix``) or kept (``expand``).
 """
 
@@ -74,11 +75,14 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 def mix(
     docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
-    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_cols: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): ``taken`` words of every document, repeats counted."""
+    """(doc_id, source, size, source_size, target, taken): ``taken`` words of every document, repeats counted.
+
+    ``row_cols`` tell rows of equal id and size apart: they order such ties and are added to the result.
+    """
     symbols = F.length(F.regexp_replace(F.coalesce(F.col("_text"), F.lit("")), r"[^#*$%&|<>]+", "")).cast("bigint")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"), *row_cols)
     sized = rows.withColumns({"size": n_words(F.col("_text")), "_symbols": symbols}).drop("_text")
     keyed = stored(sized.withColumn("_key", exponential_key(F.col("doc_id"), quality_weight(F.col("size"), F.col("_symbols")), seed)).drop("_symbols"), "mix-keys")
     sizes = keyed.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -92,12 +96,12 @@ def mix(
     totals = blocked.groupBy("_rank", "_block").agg(F.sum("size").alias("_total"))
     by_block = Window.partitionBy("_rank").orderBy("_block")
     starts = totals.select("_rank", "_block", (F.sum("_total").over(by_block) - F.col("_total")).alias("_start"))
-    inside = Window.partitionBy("_rank", "_block").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_rank", "_block").orderBy("_key", "doc_id", "size", *row_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = blocked.repartition("_rank", "_block").withColumn("_before", F.sum("size").over(inside) - F.col("size"))
     before = F.col("_start") + F.col("_before")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - before))
     return local.join(starts, ["_rank", "_block"]).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).cast("bigint").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).cast("bigint").alias("taken"), *row_cols
     )
 
 
@@ -107,16 +111,13 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def expand(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mixed documents themselves: a row per epoch, and the edge document of a source cut to its part.
-
-    Rows that share id, source and size share their words evenly.
-    """
+    """The mixed documents themselves: a row per epoch, and the edge document of a source cut to its part."""
     columns = docs.columns
-    taken = mix(docs, max_epochs, seed, id_col, source_col, text_col)
-    plan = taken.groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken")).where("_taken > 0")
-    rows = docs.withColumns({"_size": n_words(F.col(text_col)), "_id": F.col(id_col), "_source": F.col(source_col)})
-    per = plan.select(F.col("doc_id").alias("_pid"), F.col("source").alias("_psource"), F.col("size").alias("_psize"), "_taken")
-    met = rows.join(per, F.col("_id").eqNullSafe(F.col("_pid")) & F.col("_source").eqNullSafe(F.col("_psource")) & (F.col("_size") == F.col("_psize")))
+    # Maps have no hash.
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = stored(docs.withColumns({"_mix_tie": F.xxhash64(*hashed), "_mix_row": F.monotonically_increasing_id()}), "mix-rows")
+    taken = mix(rows, max_epochs, seed, id_col, source_col, text_col, ("_mix_tie", "_mix_row"))
+    met = rows.join(taken.where("taken > 0").select("_mix_row", F.col("size").alias("_size"), F.col("taken").alias("_taken")), "_mix_row")
     copies = met.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_taken") / F.col("_size")) - 1)))
     words = F.least(F.col("_size"), F.col("_taken") - F.col("_k") * F.col("_size"))
     text = F.when(words < F.col("_size"), first_words(F.col(text_col), words.cast("int"))).otherwise(F.col(text_col))

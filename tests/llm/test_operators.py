@@ -193,6 +193,22 @@ def test_first_words_keeps_the_text_as_it_stands(spark):
     assert df.select(mixing.first_words(F.col("t"), F.lit(2)).alias("x")).first().x == "  a\tb"
 
 
+def test_mixing_takes_whole_documents_without_ids(spark):
+    rows = [(None, f"t{i} " + "w " * 99, "en") for i in range(200)] + [(7, f"u{i} " + "w " * 99, "en") for i in range(100)] + [(8, "same " * 100, "en")] * 20
+    docs = table_of(spark, rows, lambda k: "ab"[k % 2])
+    taken, sizes = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += r.taken
+        sizes[r.source] += r.size
+    assert any(0 < n % sizes[s] for s, n in taken.items())
+    got = mixing.expand(docs)
+    out = got.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n")).collect()
+    for s in "ab":
+        own = [r.n for r in out if r.source == s]
+        assert sum(own) == taken[s] and sum(n < 100 for n in own) <= 1
+    assert got.columns == docs.columns and same_rows(got.collect(), mixing.expand(docs.repartition(7)).collect())
+
+
 # 5 --------------------------------------------------------------------------------------------
 
 
