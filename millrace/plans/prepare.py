@@ -1,4 +1,8 @@
-"""Corpus preparation: read -> render -> filter -> tokenize -> gate -> budget -> tokens, records, manifest."""
+"""Corpus preparation: filter -> tokenize -> gate -> budget -> tokens, records, manifest.
+
+Texts come in as they are to be tokenized: nothing is read from files or rendered here.  Pieces outside the vocabulary get
+the id for unknown ones.
+"""
 
 from __future__ import annotations
 
