@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, mixing, near_dedup, nearest, packing, quality_model, quality_rules, sql, token_files, toxicity, warc
+from millrace.llm import (
+    byte_pairs, language_id, mixing, near_dedup, nearest, packing, periodic_runs, quality_model, quality_rules, sql, token_files, toxicity,
+    warc,
+)
 from millrace.llm.sampling import fold
 from millrace.session import table
 
@@ -119,3 +122,39 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     """Ten nearest vectors of every hundredth vector."""
     return nearest.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@register("op12_byte_pairs")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Number and digest of every document's ids, and the digest of what they decode to."""
+    from public_tokenizers import PATTERN
+
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    ids = byte_pairs.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, PATTERN, keep=["doc_id"])
+    back = byte_pairs.decode(ids, ranks)
+    return back.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def repeated_tail(g: int, n: int) -> tuple[int, int]:
+    """First word and period of the tail that a planted repetition takes in a text of n words."""
+    first = g % n
+    return first, 1 + (n - first) // (3 + g % 8)
+
+
+@register("op13_periodic_runs", sql.RUNS)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of every document, a tenth of which get a repeated tail first, and the text without the repetitions."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.when(h % 10 == 0, F.floor(h / 10)).alias("g"))
+    found = periodic_runs.periodic_runs(docs, tail=("g", repeated_tail), keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

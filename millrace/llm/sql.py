@@ -89,3 +89,34 @@ sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, sides.y FROM reach JOIN sides ON reach.r = sides.x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII string expression."""
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda a, b: list_reduce(range(8), lambda c, k: {bit}, xor(a, b)), 4294967295::BIGINT), 4294967295)"
+
+
+RUNS = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {crc32("doc_id::VARCHAR")} AS h
+  FROM documents),
+g AS (SELECT r, doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS hit, h // 10 AS g, (h // 10) % greatest(len(ws), 1) AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+places AS (SELECT *, unnest(range(n)) AS i FROM p),
+w AS (SELECT r, n, i, ws[1 + CASE WHEN hit AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM places),
+matches AS (
+  SELECT x.r, x.i, x.i - y.i AS q FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM matches),
+stretches AS (SELECT r, q, min(i) - q AS s, max(i) + 1 AS e FROM islands GROUP BY r, q, island HAVING max(i) + 1 - min(i) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, s, e - s AS l, min(q) AS q FROM stretches GROUP BY r, s, e),
+told AS (
+  SELECT r, count(*) AS n_runs, first(struct_pack(s := s, l := l, q := q) ORDER BY l DESC, s, q) AS best,
+         string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS body FROM w ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period,
+       (1000 * best.l // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (r) LEFT JOIN kept USING (r)"""
