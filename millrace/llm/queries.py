@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    byte_pairs, language_id, mixing, near_dedup, nearest, packing, periodic_runs, quality_model, quality_rules, sql, token_files, toxicity,
-    warc,
+    byte_pairs, conversation_repair, language_id, mixing, near_dedup, nearest, packing, periodic_runs, quality_model, quality_rules, sql, token_files,
+    toxicity, warc,
 )
 from millrace.llm.sampling import fold
 from millrace.session import table
@@ -158,3 +158,29 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
         (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults planted by a hash of conversation and turn; nulls are read as one blank."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in rows.columns}
+    fault = F.pmod(F.crc32(F.concat_ws(":", text["conv_id"], text["turn"]).cast("binary")), F.lit(20))
+    told = rows.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(text["role"]).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text["text"], "[.!?]", "")).otherwise(text["text"]).alias("text"), fault.alias("fault"),
+    ).where("fault != 0")
+    copies = F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return told.withColumn("copy", F.explode(copies)).drop("fault", "copy")
+
+
+@register("op11_conversation_repair", sql.REPAIR)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired text of every conversation, after planted damage."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.results(conversation_repair.repair(damaged(rows))).alias("f")
+    every = rows.select("conv_id").distinct().alias("e")
+    told = every.join(found, F.col("e.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return told.select(
+        "e.conv_id", *(F.coalesce(f"f.{c}", F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", nothing).alias("repaired_sha256"),
+    )

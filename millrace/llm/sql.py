@@ -120,3 +120,70 @@ kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS body FROM w ANTI JOIN gon
 SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period,
        (1000 * best.l // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
 FROM d LEFT JOIN told USING (r) LEFT JOIN kept USING (r)"""
+
+
+def _cell(state: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r || {line}}}"
+
+
+def _least(*cells: str) -> str:
+    return f"list_min([{', '.join(cells)}])"
+
+
+def _step(state: str, edits: list[tuple[str, str, str]]) -> str:
+    """State after a row: it goes, or (state before, initial, role) tells how it stays."""
+    line = "role || ':' || text || chr(10)"
+    found = [_cell(state, "3", "D")]
+    for before, initial, role in edits:
+        found.append(f"CASE WHEN NOT gone AND initial = '{initial}' THEN {_cell(before, 'cut', 'K', line)} END")
+        if role:
+            found.append(f"CASE WHEN NOT gone THEN {_cell(before, '2 + cut', 'R', f"'{role}:' || text || chr(10)")} END")
+    return _least(*found)
+
+
+def _inserted(before: str, role: str) -> str:
+    return _cell(before, "2", "I", f"'{role}:' || chr(10)")
+
+
+_NEVER = "{'c': 1000000000::BIGINT, 'a': '', 'r': ''}"
+_START = "{'c': 0::BIGINT, 'a': '', 'r': ''}"
+_FAULT = crc32("concat_ws(':', coalesce(c.conv_id::VARCHAR, ' '), coalesce(turn::VARCHAR, ' '))")
+
+#: A shortest path over the states of the role pattern, row by row; conversations are numbered so that a null id joins.
+REPAIR = rf"""
+WITH RECURSIVE ids AS (SELECT conv_id, row_number() OVER () AS v FROM (SELECT DISTINCT conv_id FROM conversations)),
+told AS (
+  SELECT v, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_FAULT} % 20 AS fault
+  FROM conversations c JOIN ids ON c.conv_id IS NOT DISTINCT FROM ids.conv_id),
+damaged AS (
+  SELECT v, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM told WHERE fault <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY v ORDER BY turn NULLS FIRST, role, text, copy) AS k, substr(role, 1, 1) AS initial,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM damaged),
+marked AS (SELECT *, last = '' AS blank, row_number() OVER (PARTITION BY v, role, text ORDER BY k) > 1 AS again FROM numbered),
+judged AS (
+  SELECT *, blank OR again AS gone, NOT blank AND again AS duplicate, NOT blank AND NOT again AND last NOT IN ('.', '!', '?') AS truncated,
+         (NOT blank AND NOT again AND last NOT IN ('.', '!', '?'))::BIGINT AS cut,
+         coalesce(lag(initial) OVER (PARTITION BY v ORDER BY k) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM marked),
+counts AS (
+  SELECT v, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n
+  FROM judged GROUP BY v),
+paths AS (
+  SELECT v, 0::BIGINT AS k, {_START} AS s0, {_NEVER} AS s1, {_inserted(_START, "user")} AS s2,
+         {{'c': 4::BIGINT, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS s3 FROM ids
+  UNION ALL
+  SELECT v, k, t0, t1, t2, {_least("t3", _inserted("t2", "assistant"))}
+  FROM (SELECT v, k, t0, t1, {_least("u2", *(_inserted(s, "user") for s in ("t0", "t1", "t3")))} AS t2, t3
+        FROM (SELECT p.v, j.k, {_step("s0", [])} AS t0, {_step("s1", [("s0", "s", "")])} AS t1,
+                     {_step("s2", [(s, "u", "user") for s in ("s0", "s1", "s3")])} AS u2, {_step("s3", [("s2", "a", "assistant")])} AS t3
+              FROM paths p JOIN judged j ON p.v = j.v AND j.k = p.k + 1))),
+ends AS (SELECT v, {_least("s0", "s3")} AS best FROM paths p WHERE k = coalesce((SELECT n FROM counts c WHERE c.v = p.v), 0))
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit,
+       sha256(CASE WHEN best.r = '' THEN '' ELSE left(best.r, -1) END) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (v) JOIN ends USING (v)"""
