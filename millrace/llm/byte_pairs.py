@@ -1,8 +1,8 @@
 """Byte-level byte-pair encoding and decoding as reductions over a tree.
 
 Encodings of byte strings form a monoid: ``encode(a + b)`` comes from ``encode(a)`` and ``encode(b)`` alone.  A match
-of the pattern is cut into halves down to short leaves, whose pairs are merged lowest rank first, and neighbours are
-joined up the tree.  A join encodes a window of tokens around the seam anew and widens it until its first and last tokens
+of the pattern is cut into halves down to short leaves, whose pairs are merged lowest rank first (many leaves in one numpy pass), and
+neighbours are joined up the tree.  A join encodes a window of tokens around the seam anew and widens it until its first and last tokens
 are those that stood there before.  That proves the rest stable: a token sequence is an encoding if and only if each two
 neighbours are the encoding of their own bytes, and then every pair of neighbours lies inside the left part, inside
 the right part or inside the window.  Decoding concatenates the bytes of the ids up the same kind of tree.
@@ -33,10 +33,10 @@ from millrace.llm.common import ENCODE_BYTES, encoded, gather, passes, utf8
 from millrace.llm.tokenizing import share, stretches
 
 #: Bytes of a leaf of the tree, bytes that are merged without a heap, and ids whose bytes are gathered at once.
-LEAF, SHORT, BLOCK = 12, 64, 1 << 18
+LEAF, SHORT, BLOCK = 16, 64, 1 << 18
 
-#: Stands above every rank.
-NEVER = 1 << 62
+#: Stands above every rank; leaves that one numpy pass merges.
+NEVER, ROUND = 1 << 62, 1 << 14
 
 #: Stretches and bytes of them that a worker remembers; when full, it forgets all and goes on.
 REMEMBERED, REMEMBERED_BYTES = 1 << 18, 16 << 20
@@ -51,6 +51,8 @@ class Ranks:
         pairs = (line.split() for line in lines.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.pairs = self.pair_table()
 
     def merge(self, body: bytes) -> list[int]:
         """Merge the neighbours of lowest rank, the leftmost among equals, until none has a rank."""
@@ -121,10 +123,69 @@ class Ranks:
         half = len(body) // 2
         return self.join(self.tree(body[:half]), self.tree(body[half:]))
 
-    def match(self, body: bytes) -> list[int]:
-        """Ids of one match of the pattern; a match that is a token stays one."""
-        whole = self.ranks.get(body)
-        return self.tree(body) if whole is None else [whole]
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of all pairs of tokens whose bytes have a rank, and these ranks."""
+        rank, found = self.ranks.get, {}
+        for token, own in self.ranks.items():
+            for cut in range(1, len(token)):
+                a, b = rank(token[:cut]), rank(token[cut:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = own
+        keys = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(keys)
+        return keys[order], np.fromiter(found.values(), np.int64, len(found))[order]
+
+    def leaves(self, bodies: list[bytes]) -> np.ndarray:
+        """Ids of many leaves, a row each, -1 behind its end: every round merges the least pair of every row."""
+        width = LEAF + 1
+        keys, values = self.pairs
+        data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in bodies), np.uint8).reshape(-1, width)
+        at = np.arange(width)
+        own = np.where(at < np.fromiter(map(len, bodies), np.int64, len(bodies))[:, None], self.single[data], -1)
+
+        def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = np.where((a < 0) | (b < 0), -1, a << 32 | b)
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[place] == key, values[place], NEVER)
+
+        if not len(keys):
+            return own
+        pairs = np.full(own.shape, NEVER)
+        pairs[:, :-1] = ranks(own[:, :-1], own[:, 1:])
+        rows = np.arange(len(own))
+        while len(rows):
+            least = np.argmin(pairs[rows], 1)
+            found = pairs[rows, least]
+            rows, least, found = rows[found < NEVER], least[found < NEVER], found[found < NEVER]
+            take = at + (at > least[:, None])
+            take[:, -1] = width - 1  # always behind the end
+            own[rows] = np.take_along_axis(own[rows], take, 1)
+            pairs[rows] = np.take_along_axis(pairs[rows], take, 1)
+            own[rows, least] = found
+            pairs[rows, least] = ranks(found, own[rows, least + 1])
+            inner = least > 0
+            r, i = rows[inner], least[inner]
+            pairs[r, i - 1] = ranks(own[r, i - 1], own[r, i])
+        return own
+
+    def matches(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many matches of the pattern one after the other, and the number of each; a match that is a token stays one."""
+        whole = np.fromiter(map(self.ranks.get, bodies, repeat(-1)), np.int64, len(bodies))
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+        short = np.flatnonzero((whole < 0) & (sizes <= LEAF))
+        trees = {k: self.tree(bodies[k]) for k in np.flatnonzero((whole < 0) & (sizes > LEAF)).tolist()}
+        parts = [self.leaves([bodies[k] for k in short[i : i + ROUND].tolist()]) for i in range(0, len(short), ROUND)]
+        leaves = np.concatenate(parts) if parts else np.zeros((0, LEAF + 1), np.int64)
+        counts = np.ones(len(bodies), np.int64)
+        counts[short] = (leaves >= 0).sum(1)
+        counts[list(trees)] = list(map(len, trees.values()))
+        starts = np.cumsum(counts) - counts
+        ids = np.empty(counts.sum(), np.int32)
+        ids[starts[whole >= 0]] = whole[whole >= 0]
+        ids[(starts[short][:, None] + np.arange(LEAF + 1))[leaves >= 0]] = leaves[leaves >= 0]
+        for k, found in trees.items():
+            ids[starts[k] : starts[k] + counts[k]] = found
+        return ids, counts
 
 
 class Codec:
@@ -144,9 +205,13 @@ class Codec:
         self.known_bytes = 0
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def stretch(self, body: bytes) -> list[int]:
-        matches = self.pattern.finditer(body.decode("utf-8", "replace"))
-        return [i for m in matches for i in self.ranks.match(m[0].encode())]
+    def learn(self, unknown: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches one after the other, and the number of each."""
+        found = [[m[0].encode() for m in self.pattern.finditer(x.decode("utf-8", "replace"))] for x in unknown]
+        ids, counts = self.ranks.matches([m for x in found for m in x])
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.cumsum([len(x) for x in found])
+        return ids, np.diff(upto[ends], prepend=0)
 
     def numbers(self, distinct: list[bytes]) -> np.ndarray:
         """Number of every stretch; new ones are encoded."""
@@ -157,12 +222,12 @@ class Codec:
             self.forget()
             return self.numbers(distinct)
         if new:
-            found = [self.stretch(distinct[i]) for i in new]
+            ids, counts = self.learn([distinct[i] for i in new])
             at[new] = np.arange(len(self.known), len(self.known) + len(new))
             self.known.update(zip((distinct[i] for i in new), at[new].tolist()))
             self.known_bytes += size
-            self.at = np.append(self.at, np.cumsum([len(x) for x in found]) + self.at[-1])
-            self.ids = np.append(self.ids, np.fromiter((i for x in found for i in x), np.int32))
+            self.at = np.append(self.at, np.cumsum(counts) + self.at[-1])
+            self.ids = np.append(self.ids, ids)
         return at
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
