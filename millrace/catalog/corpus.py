@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.registry import (
     CHAT_SOURCES, EOS, GATE, JOBS, KEPT, PIECES_SQL, RECIPE, STREAM, TOK, WINDOW, digest, documents, hash_sql, jobs_of, joined,
-    kept_of, recipe_of, register,
+    kept_of, placed_of, recipe_of, register,
 )
 from millrace.functions import text as X
 from millrace.operators import joins, mixture, ordering, pack, quality, tokens
 from millrace.plans import prepare
-from millrace.session import table
+from millrace.session import stored, table
 from millrace.sources import corpora
 
 CHAT_SQL = """string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)"""
@@ -94,7 +94,7 @@ SELECT doc_id, count(ix) AS n_tokens, (count(ix) FILTER (WHERE id = 1)) AS unkno
 FROM kept LEFT JOIN coded USING (doc_id) GROUP BY doc_id""")
 def encode_ids(spark, sf):
     docs = documents(spark, sf)
-    coded = tokens.encode_ids(prepare.tokenized(docs.select("doc_id", "text")).drop("text"), tokens.build_vocab(docs, 500))
+    coded = tokens.encode_ids(prepare.tokenized(docs.select("doc_id", "text")).drop("text"), stored(tokens.build_vocab(docs, 500), "vocab"))
     return coded.select(
         "doc_id", "n_tokens", F.size(F.filter("ids", lambda i: i == tokens.UNKNOWN_ID)).cast("bigint").alias("unknown"),
         digest("ids").alias("content"))
@@ -110,12 +110,72 @@ def encode_ids_by_join(spark, sf):
     return coded.select("doc_id", "n_tokens", digest("ids").alias("content"))
 
 
+CODED_BYTES = f"""{VOCAB},
+long AS (
+  SELECT doc_id, unnest({PIECES_SQL}) AS token, generate_subscripts({PIECES_SQL}, 1) AS ix FROM documents WHERE length(text) >= 50),
+spelt AS (
+  SELECT doc_id, ix, token, CASE WHEN id IS NOT NULL THEN [id + 257] ELSE
+         list_append(list_transform(range(0, strlen(token)), lambda i: ('0x' || substr(hex(token), 2 * i + 1, 2))::INT + 2), 258) END AS ids
+  FROM long LEFT JOIN vocab USING (token)),
+kept AS (SELECT doc_id FROM documents WHERE length(text) >= 50)"""
+
+
+def with_bytes(spark, sf, max_broadcast=tokens.BROADCAST_VOCAB_ROWS):
+    """Documents as ids of 500 pieces, the other pieces spelt in bytes, and that vocabulary."""
+    docs = documents(spark, sf)
+    vocab = stored(tokens.build_vocab(docs, 500, first_id=tokens.FIRST_PIECE_ID), "vocab")
+    tok = prepare.tokenized(docs.select("doc_id", "text")).drop("text", "n_tokens")
+    return tokens.encode_ids(tok, vocab, max_broadcast=max_broadcast, byte_fallback=True), vocab
+
+
+ENCODED_BYTES = f"""WITH {CODED_BYTES}
+SELECT doc_id, coalesce(sum(len(ids)), 0)::BIGINT AS n_ids, (count(ix) FILTER (WHERE ids[-1] = 258)) AS spelt,
+       md5(coalesce(string_agg(array_to_string(ids, ' '), ' ' ORDER BY ix), '')) AS content
+FROM kept LEFT JOIN spelt USING (doc_id) GROUP BY doc_id"""
+
+
+def bytes_result(coded):
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"),
+        F.size(F.filter("ids", lambda i: i == tokens.BYTES_END_ID)).cast("bigint").alias("spelt"), digest("ids").alias("content"))
+
+
+@register("encode_ids_bytes", ENCODED_BYTES)
+def encode_ids_bytes(spark, sf):
+    return bytes_result(with_bytes(spark, sf)[0])
+
+
+@register("encode_ids_bytes_by_join", ENCODED_BYTES)
+def encode_ids_bytes_by_join(spark, sf):
+    return bytes_result(with_bytes(spark, sf, 0)[0])
+
+
+PIECES_BACK = f"""SELECT doc_id, len({PIECES_SQL})::BIGINT AS n_pieces, md5(array_to_string({PIECES_SQL}, ' ')) AS content
+FROM documents WHERE length(text) >= 50"""
+
+
+def pieces_result(back):
+    return back.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), digest("pieces").alias("content"))
+
+
+@register("pieces_of", PIECES_BACK)
+def pieces_of(spark, sf):
+    """Every piece of every text, read back from ids."""
+    return pieces_result(tokens.pieces_of(*with_bytes(spark, sf)))
+
+
+@register("pieces_of_by_join", PIECES_BACK)
+def pieces_of_by_join(spark, sf):
+    coded, vocab = with_bytes(spark, sf)
+    return pieces_result(tokens.pieces_of(coded, vocab, max_broadcast=0))
+
+
 @register("ids_to_tokens", f"""WITH {ENCODED}
 SELECT k.doc_id, md5(coalesce(string_agg(v.token, ' ' ORDER BY ix), '')) AS content
 FROM kept k LEFT JOIN coded c USING (doc_id) LEFT JOIN vocab v USING (id) GROUP BY k.doc_id""")
 def ids_to_tokens(spark, sf):
     docs = documents(spark, sf)
-    vocab = tokens.build_vocab(docs, 500)
+    vocab = stored(tokens.build_vocab(docs, 500), "vocab")
     coded = tokens.encode_ids(prepare.tokenized(docs.select("doc_id", "text")).drop("text"), vocab)
     return tokens.ids_to_tokens(coded, vocab).select("doc_id", F.md5("text").alias("content"))
 
@@ -136,7 +196,7 @@ SELECT doc_id, left(string_agg(v.token, ' ' ORDER BY ix), 400) AS preview
 FROM coded JOIN vocab v USING (id) JOIN docs USING (doc_id) WHERE (pos // 8) % 10 = 0 GROUP BY doc_id""")
 def preview_text(spark, sf):
     docs = documents(spark, sf)
-    vocab = tokens.build_vocab(docs, 500)
+    vocab = stored(tokens.build_vocab(docs, 500), "vocab")
     coded = tokens.encode_ids(prepare.tokenized(docs.select("doc_id", "text")).drop("text"), vocab)
     numbered = ordering.global_row_index(coded, "doc_id").withColumn("batch", F.expr("pos div 8"))
     return tokens.preview_text(numbered, vocab, 10, "batch", 400, "doc_id")
@@ -211,7 +271,7 @@ SELECT source, shard::INT AS shard, sum(take)::BIGINT AS tokens, count(*) FILTER
        count(*) FILTER (WHERE dropped) AS dropped_too_long, max(budget)::BIGINT AS budget, 'pieces' AS tokenizer
 FROM kept GROUP BY source, shard""")
 def shard_info(spark, sf):
-    return quality.shard_info(kept_of(spark, sf), "pieces")
+    return quality.shard_info(placed_of(spark, sf)[0], "pieces")
 
 
 @register("manifest_totals", f"""WITH {KEPT},
@@ -220,7 +280,7 @@ SELECT sum(tokens)::BIGINT AS total_tokens, count(*) AS shards, round(sum(weight
 FROM jobs LEFT JOIN info USING (source, shard)""")
 def manifest_totals(spark, sf):
     docs = table(spark, sf, "documents")
-    totals = quality.manifest_totals(quality.shard_info(kept_of(spark, sf), "pieces"), jobs_of(docs))
+    totals = quality.manifest_totals(quality.shard_info(placed_of(spark, sf)[0], "pieces"), jobs_of(docs))
     return totals.withColumn("total_weight", F.round("total_weight", 6))
 
 
@@ -230,7 +290,7 @@ SELECT source, shard::INT AS shard, coalesce(tokens > 0 AND b = budget AND shard
 FROM jobs LEFT JOIN info USING (source, shard)""")
 def reusable_shards(spark, sf):
     jobs = jobs_of(table(spark, sf, "documents"))
-    info = quality.shard_info(kept_of(spark, sf), "pieces").withColumn("max_doc_tokens", F.lit(GATE)).withColumn(
+    info = quality.shard_info(placed_of(spark, sf)[0], "pieces").withColumn("max_doc_tokens", F.lit(GATE)).withColumn(
         "tokenizer", F.when(F.col("shard") == 1, "other").otherwise(F.col("tokenizer")))
     return quality.reusable_shards(jobs, info, "pieces").select("source", "shard", "reuse")
 
@@ -241,7 +301,7 @@ SELECT name, CASE WHEN source = 'src3' THEN 'missing shard' WHEN source = 'src4'
                   WHEN source = 'src5' THEN 'changed' ELSE 'stored size differs' END AS reason
 FROM info WHERE source IN ('src3', 'src4', 'src5', 'src6')""")
 def check_manifest(spark, sf):
-    info = quality.shard_info(kept_of(spark, sf), "pieces").withColumn("max_doc_tokens", F.lit(GATE)).withColumn(
+    info = quality.shard_info(placed_of(spark, sf)[0], "pieces").withColumn("max_doc_tokens", F.lit(GATE)).withColumn(
         "name", F.concat("source", F.lit("_p"), "shard"))
     stored = F.when(F.col("source") == "src6", 0).otherwise(F.col("tokens") * 4)
     shards = info.where(F.col("source") != "src3").withColumn("stored_bytes", stored.cast("bigint"))
@@ -264,7 +324,7 @@ SELECT source, shard::INT AS shard, sum(take)::BIGINT AS tokens, count(*) FILTER
        (sum(take) % {WINDOW + 1})::BIGINT AS remainder
 FROM kept GROUP BY source, shard""")
 def pack_summary(spark, sf):
-    return pack.pack_summary(kept_of(spark, sf), WINDOW)
+    return pack.pack_summary(placed_of(spark, sf)[0], WINDOW)
 
 
 @register("corpus_windows", f"""WITH {STREAM},
@@ -275,8 +335,9 @@ tot AS (SELECT source, sum(take)::BIGINT AS tokens, count(*) FILTER (WHERE NOT d
 SELECT source, tokens, docs, dropped_too_long, coalesce(windows, 0)::BIGINT AS windows FROM tot LEFT JOIN per USING (source)""")
 def corpus_windows(spark, sf):
     """The flagship: documents to training windows under budgets, counted per source."""
-    kept = kept_of(spark, sf)
-    wins = pack.pack_windows(pack.cut_to_take(kept, eos=EOS), WINDOW).groupBy("source").agg(
+    kept, ids = placed_of(spark, sf)
+    stream = pack.cut_to_take(kept.join(ids, ["source", "shard", "doc_id"]), eos=EOS)
+    wins = pack.pack_windows(stream, WINDOW).groupBy("source").agg(
         F.count(F.lit(1)).alias("windows"))
     per_source = pack.pack_summary(kept, WINDOW, ["source"]).drop("windows", "remainder")
     return per_source.join(wins, "source", "left").withColumn("windows", F.coalesce("windows", F.lit(0)))

@@ -75,6 +75,11 @@ def kept_of(spark: SparkSession, sf: str, block: int = DEFAULT_BLOCK) -> DataFra
     return prepare.budgeted(documents(spark, sf).select("doc_id", "source", "text"), jobs, CHAT_SOURCES, block=block)
 
 
+def placed_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Places of the documents inside their budget, and the ids of all."""
+    return prepare.placed(documents(spark, sf).select("doc_id", "source", "text"), jobs_of(table(spark, sf, "documents")), CHAT_SOURCES)
+
+
 def graded_of(spark: SparkSession, sf: str) -> DataFrame:
     """Graded answers: a document is an answer, its language the benchmark, its source the question."""
     docs, labels = documents(spark, sf), table(spark, sf, "labels")

@@ -7,12 +7,12 @@ from pyspark.sql import types as T
 
 from millrace.catalog.registry import (
     CHAT_SOURCES, EOS, GATE, GRADED, JOBS, KEPT, PIECES_SQL, STREAM, TOK, WINDOW, digest, documents, graded_of, hash_sql, jobs_of,
-    joined, kept_of, new_folder, recipe_of, register,
+    joined, kept_of, new_folder, placed_of, recipe_of, register,
 )
 from millrace.functions import text as X
 from millrace.operators import evals, pack, quality, tokens
 from millrace.plans import prepare
-from millrace.session import table
+from millrace.session import stored, table
 from millrace.sources import corpora, stores
 
 
@@ -94,21 +94,92 @@ SELECT source, shard::INT AS shard, max(name) AS name, sum(take)::BIGINT AS toke
 FROM kept JOIN jobs USING (source, shard) GROUP BY source, shard""")
 def write_manifest(spark, sf):
     folder = new_folder(spark, "manifest")
-    info = quality.shard_info(kept_of(spark, sf), "pieces")
+    info = quality.shard_info(placed_of(spark, sf)[0], "pieces")
     stores.write_manifest(info, jobs_of(table(spark, sf, "documents")), folder)
     return stores.read_manifest(spark, folder)
 
 
-@register("prepare_corpus", f"""WITH {KEPT}
-SELECT source, shard::INT AS shard, sum(take)::BIGINT AS tokens, count(*) FILTER (WHERE NOT dropped) AS docs,
-       count(*) FILTER (WHERE dropped) AS dropped_too_long
-FROM kept GROUP BY source, shard""")
+#: Length gate of the whole job, whose ids are more than its pieces.
+ID_GATE = 4000
+
+
+def coded_sql(vocab_size: int, texts: str, budget: str = "budget_tokens") -> str:
+    """Prepared documents and conversations: ids with byte fallback, budgets over their lengths."""
+    return f"""texts AS ({texts}),
+recipe AS (
+  SELECT source, {budget} AS budget_tokens, shards, sampling_weight, max_doc_tokens FROM (
+    SELECT source, count(*) * 400 AS budget_tokens, 1 + try_cast(substr(source, 4) AS INT) % 3 AS shards,
+           (1 + try_cast(substr(source, 4) AS INT) % 2)::DOUBLE AS sampling_weight, {ID_GATE} AS max_doc_tokens FROM texts WHERE source <> 'chat' GROUP BY source
+    UNION ALL SELECT source, count(*) * 100, 2, 1.0, {ID_GATE} FROM texts WHERE source = 'chat' GROUP BY source)),
+{JOBS.split("),", 1)[1].strip()},
+counts AS (SELECT token, count(*) AS n FROM (SELECT unnest({PIECES_SQL}) AS token FROM texts) GROUP BY token),
+vocab AS (
+  SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 258)::INT AS id FROM counts ORDER BY n DESC, token LIMIT {vocab_size}),
+long AS (
+  SELECT source, doc_id, unnest({PIECES_SQL}) AS token, generate_subscripts({PIECES_SQL}, 1) AS ix FROM texts WHERE length(text) >= 50),
+spelt AS (
+  SELECT source, doc_id, ix, token, id, CASE WHEN id IS NOT NULL THEN [id] ELSE
+         list_append(list_transform(range(0, strlen(token)), lambda i: ('0x' || substr(hex(token), 2 * i + 1, 2))::INT + 2), 258) END AS own
+  FROM long LEFT JOIN vocab USING (token)),
+tok AS (
+  SELECT t.source, t.doc_id, coalesce(flatten(list(own ORDER BY ix) FILTER (own IS NOT NULL)), []::INT[]) AS ids, len(ids)::BIGINT AS n
+  FROM texts t LEFT JOIN spelt s ON t.source = s.source AND t.doc_id = s.doc_id WHERE length(text) >= 50 GROUP BY t.source, t.doc_id),
+sharded AS (
+  SELECT t.*, {hash_sql("0", "doc_id")} % r.shards AS shard, source IN ('src0', 'src1', 'src2', 'chat') AND n >= {ID_GATE} AS dropped
+  FROM tok t JOIN recipe r USING (source)),
+sized AS (SELECT *, CASE WHEN dropped THEN 0 ELSE n + 1 END AS size FROM sharded),
+placed AS (SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY doc_id) - size)::BIGINT AS start FROM sized),
+kept AS (
+  SELECT p.*, j.budget, least(size, budget - start)::BIGINT AS take FROM placed p JOIN jobs j USING (source, shard) WHERE start < budget),
+stored AS (SELECT source, shard, doc_id, list_slice(list_append(ids, 0), 1, take) AS ids FROM kept WHERE NOT dropped),
+digests AS (
+  SELECT source, shard, printf('%x', bit_xor(('0x' || substr(sha256(doc_id || ':' || array_to_string(ids, ' ')), 1, 15))::BIGINT)) AS ids_digest
+  FROM stored GROUP BY source, shard),
+prepared AS (
+  SELECT source, shard::INT AS shard, sum(take)::BIGINT AS tokens, count(*) FILTER (WHERE NOT dropped) AS docs,
+         count(*) FILTER (WHERE dropped) AS dropped_too_long, max(ids_digest) AS ids_digest
+  FROM kept LEFT JOIN digests USING (source, shard) GROUP BY source, shard)"""
+
+
+RENDERED = """SELECT 'chat' AS source, conv_id AS doc_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id"""
+PREPARED = f"SELECT source, doc_id, text FROM documents UNION ALL {RENDERED}"
+
+
+def chats_of(spark, sf):
+    chat = corpora.read_chat(spark, f"{sf}/conversations.parquet", role_map=X.ROLE_MAP_WITH_SYSTEM)
+    return chat.select(F.col("conv_id").alias("doc_id"), F.lit("chat").alias("source"), "messages")
+
+
+def prepared_recipe(docs, chats, budget=None):
+    """The recipe of the documents and one source of conversations; ``budget`` changes budgets."""
+    chat = chats.groupBy("source").agg((F.count(F.lit(1)) * 100).alias("budget_tokens")).select(
+        "source", "budget_tokens", F.lit(2).alias("shards"), F.lit(1.0).alias("sampling_weight"), F.lit(ID_GATE).alias("max_doc_tokens"))
+    both = recipe_of(docs).withColumn("max_doc_tokens", F.lit(ID_GATE)).unionByName(chat)
+    return both if budget is None else both.withColumn("budget_tokens", budget)
+
+
+@register("prepare_corpus", f"WITH {coded_sql(2000, PREPARED)} SELECT * FROM prepared")
 def prepare_corpus(spark, sf):
-    """The whole job: documents to stored ids, placements and manifest."""
-    docs = documents(spark, sf)
+    """The whole job: documents and conversations to stored ids, placements, records and manifest."""
+    docs, chats = documents(spark, sf), stored(chats_of(spark, sf), "chats")
     manifest = prepare.prepare_corpus(
-        spark, docs, recipe_of(docs), new_folder(spark, "corpus"), "pieces", CHAT_SOURCES, vocab_size=2000)
-    return manifest.select("source", "shard", "tokens", "docs", "dropped_too_long")
+        spark, docs, prepared_recipe(docs, chats), new_folder(spark, "corpus"), "pieces", CHAT_SOURCES, vocab_size=2000, chats=chats)
+    return manifest.select("source", "shard", "tokens", "docs", "dropped_too_long", "ids_digest")
+
+
+HALVED = "CASE WHEN source IN ('src1', 'chat') THEN budget_tokens // 2 ELSE budget_tokens END"
+
+
+@register("prepare_corpus_again", f"WITH {coded_sql(500, PREPARED, HALVED)} SELECT *, source NOT IN ('src1', 'chat') AS reused FROM prepared")
+def prepare_corpus_again(spark, sf):
+    """The job run twice into one folder, two sources with half their budget the second time: only these are made anew."""
+    docs, chats, folder = documents(spark, sf), stored(chats_of(spark, sf), "chats"), new_folder(spark, "corpus")
+    run = lambda budget, changed: prepare.prepare_corpus(
+        spark, docs, prepared_recipe(docs, chats, budget), folder, "pieces", CHAT_SOURCES, vocab_size=500, chats=chats, changed=changed)
+    run(None, "refuse")
+    halved = F.when(F.col("source").isin("src1", "chat"), F.expr("budget_tokens div 2")).otherwise(F.col("budget_tokens"))
+    return run(halved, "rewrite").select("source", "shard", "tokens", "docs", "dropped_too_long", "ids_digest", "reused")
 
 
 @register("append_run_log", "SELECT event_type AS run, count(*) * 2 AS rows, round(sum(value) * 2, 4) AS seconds FROM events GROUP BY 1")

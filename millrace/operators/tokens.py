@@ -7,18 +7,25 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
 
-BROADCAST_VOCAB_ROWS = 1_000_000
+#: A vocabulary within both bounds is broadcast, a larger one joined.
+BROADCAST_VOCAB_ROWS, BROADCAST_VOCAB_BYTES = 1_000_000, 64 << 20
 UNKNOWN_ID = 1
 EOS_ID = 0
 FIRST_ID = 2
 EOS_PIECE = "<eos>"
 
+#: With byte fallback the 256 bytes come before the pieces; an id behind the last byte of a piece keeps it apart from the next.
+BYTE_ID = FIRST_ID
+BYTES_END_ID = BYTE_ID + 256
+FIRST_PIECE_ID = BYTES_END_ID + 1
+
 
 def drop_short_text(df: DataFrame, min_chars: int = X.MIN_CHARS, text_col: str = "text") -> DataFrame:
     """Keep texts of at least ``min_chars`` characters; runs before tokenizing."""
@@ -85,39 +92,68 @@ def id_width(vocab_size: int) -> int:
     return 2 if vocab_size < 65535 else 4
 
 
-def _lookup_encoder(tokens: pa.Array, ids: pa.Array, pieces_col: str, out: str):
+def _with_column(batch: pa.RecordBatch, drop: str, column: pa.Array, out: str) -> pa.RecordBatch:
+    names = [n for n in batch.schema.names if n != drop]
+    return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), column], [*names, out])
+
+
+def _lookup_encoder(vocab: Broadcast, pieces_col: str, out: str):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        tokens, ids = vocab.value
         for batch in batches:
             offsets, values = _list_parts(batch.column(batch.schema.get_field_index(pieces_col)))
             found = pc.take(ids, pc.index_in(values, value_set=tokens))
             coded = pa.ListArray.from_arrays(offsets, pc.fill_null(found, pa.scalar(UNKNOWN_ID, pa.int32())))
-            names = [n for n in batch.schema.names if n != pieces_col]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(n)) for n in names] + [coded], [*names, out]
-            )
+            yield _with_column(batch, pieces_col, coded, out)
+
+    return encode
+
+
+def _bytes_encoder(vocab: Broadcast, pieces_col: str, out: str):
+    """Ids of pieces in the vocabulary; of the others their bytes and the id that ends them."""
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        tokens, ids = vocab.value
+        for batch in batches:
+            offsets, values = _list_parts(batch.column(batch.schema.get_field_index(pieces_col)))
+            found = pc.fill_null(pc.take(ids, pc.index_in(values, value_set=tokens)), -1).to_numpy(zero_copy_only=False)
+            unknown = np.flatnonzero(found < 0)
+            body = values.take(pa.array(unknown)).cast(pa.large_binary())
+            sizes = pc.binary_length(body).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = np.ones(len(found), np.int64)
+            counts[unknown] = sizes + 1
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            flat = np.full(upto[-1], BYTES_END_ID, np.int32)
+            flat[upto[:-1][found >= 0]] = found[found >= 0]
+            before = np.cumsum(sizes) - sizes
+            places = np.repeat(upto[:-1][unknown] - before, sizes) + np.arange(sizes.sum())
+            flat[places] = np.frombuffer(b"".join(body.to_pylist()), np.uint8).astype(np.int32) + BYTE_ID
+            coded = pa.ListArray.from_arrays(pa.array(upto[offsets.to_numpy()].astype(np.int32)), pa.array(flat))
+            yield _with_column(batch, pieces_col, coded, out)
 
     return encode
 
 
 def encode_ids(
     df: DataFrame, vocab: DataFrame, pieces_col: str = "ids", out: str | None = None,
-    max_broadcast: int = BROADCAST_VOCAB_ROWS,
+    max_broadcast: int = BROADCAST_VOCAB_ROWS, byte_fallback: bool = False,
 ) -> DataFrame:
     """Replace the array of pieces by an array of ids; unseen pieces get the unknown id.
 
-    A vocabulary of at most ``max_broadcast`` rows (counted first) travels to the tasks once and is
+    With ``byte_fallback`` an unseen piece becomes its UTF-8 bytes, as ids from ``BYTE_ID`` on, and ``BYTES_END_ID``: nothing is
+    lost, and ``pieces_of`` gives every piece back.  The vocabulary's ids then start at ``FIRST_PIECE_ID``.
+
+    A vocabulary of at most ``max_broadcast`` rows and ``BROADCAST_VOCAB_BYTES`` (measured first) is broadcast and
     looked up batch-wise in Arrow.  A larger one is joined: pieces are exploded, joined, and put
     back together by row.  Both give the same rows.
     """
     out = out or pieces_col
     small = _small_vocab(vocab, max_broadcast)
     if small is None:
-        return encode_ids_by_join(df, vocab, pieces_col, out)
+        return encode_ids_by_join(df, vocab, pieces_col, out, byte_fallback=byte_fallback)
     schema = [f for f in df.schema.fields if f.name != pieces_col]
-    return df.mapInArrow(
-        _lookup_encoder(*small, pieces_col, out),
-        T.StructType([*schema, T.StructField(out, T.ArrayType(T.IntegerType()))]),
-    )
+    encoder = _bytes_encoder if byte_fallback else _lookup_encoder
+    return df.mapInArrow(encoder(small, pieces_col, out), T.StructType([*schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def _salted(vocab: DataFrame, salts: int) -> DataFrame:
@@ -130,7 +166,16 @@ def _row_key(df: DataFrame) -> Column:
     return F.struct(F.xxhash64(*df.columns), F.xxhash64(*df.columns, F.lit(1)))
 
 
-def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, out: str, salts: int | None = None) -> DataFrame:
+def piece_bytes(piece: Column) -> Column:
+    """The ids of a piece outside the vocabulary: its bytes, and the end."""
+    body = piece.cast("binary")
+    places = F.sequence(F.lit(1), F.greatest(F.octet_length(piece), F.lit(1)))
+    ids = F.transform(places, lambda i: F.conv(F.hex(F.substring(body, i, F.lit(1))), 16, 10).cast("int") + BYTE_ID)
+    return F.concat(F.when(F.octet_length(piece) > 0, ids).otherwise(F.array().cast("array<int>")), F.array(F.lit(BYTES_END_ID)))
+
+
+def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, out: str, salts: int | None = None,
+                       byte_fallback: bool = False) -> DataFrame:
     """Vocabulary of any size: a shuffle join on the piece, then one group per distinct row.
 
     A frequent piece may be a large part of all rows, so the join key is salted with the place, by as many salts
@@ -141,10 +186,10 @@ def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, out: st
     long = keyed.select("_row", F.posexplode(pieces_col).alias("at", "token")).withColumn(
         "_salt", F.pmod(F.col("at"), F.lit(salts)).cast("int")
     )
+    unseen = piece_bytes(F.col("token")) if byte_fallback else F.array(F.lit(UNKNOWN_ID))
+    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(unseen).alias("ids")
     coded = long.join(_salted(vocab, salts), ["token", "_salt"], "left").groupBy("_row").agg(
-        F.sort_array(F.collect_set(F.struct("at", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))).getField("id").alias(
-            "_coded"
-        )
+        F.flatten(F.sort_array(F.collect_set(F.struct("at", ids))).getField("ids")).alias("_coded")
     )
     return (
         keyed.drop(pieces_col).join(coded, "_row", "left")
@@ -153,15 +198,15 @@ def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, out: st
     )
 
 
-def _small_vocab(vocab: DataFrame, max_rows: int) -> tuple[pa.Array, pa.Array] | None:
-    """(tokens, ids) of a vocabulary within the bound, else None."""
-    held = vocab.select("token", "id").limit(max_rows + 1).toArrow()
-    if held.num_rows > max_rows:
+def _small_vocab(vocab: DataFrame, max_rows: int, max_bytes: int = BROADCAST_VOCAB_BYTES) -> Broadcast | None:
+    """(tokens, ids) of a vocabulary within the bounds, broadcast; else None."""
+    rows = vocab.select("token", "id")
+    n, size = rows.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
+    if n > max_rows or (size or 0) > max_bytes:
         return None
-    table = held.combine_chunks()
+    table = rows.toArrow().combine_chunks()
     columns = [table.column("token").cast(pa.string()), table.column("id").cast(pa.int32())]
-    tokens, ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
-    return tokens, ids
+    return vocab.sparkSession.sparkContext.broadcast(tuple(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns))
 
 
 def _list_parts(col: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -169,8 +214,9 @@ def _list_parts(col: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pc.subtract(col.offsets, col.offsets[0]), col.flatten()
 
 
-def _text_decoder(tokens: pa.Array, ids: pa.Array, ids_col: str, keep: list[str]):
+def _text_decoder(vocab: Broadcast, ids_col: str, keep: list[str]):
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        tokens, ids = vocab.value
         for batch in batches:
             offsets, flat = _list_parts(batch.column(batch.schema.get_field_index(ids_col)))
             found = pc.take(tokens, pc.index_in(flat.cast(pa.int32()), value_set=ids))
@@ -194,7 +240,7 @@ def ids_to_tokens(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", key: st
     small = _small_vocab(vocab, max_broadcast)
     if small is not None:
         schema = T.StructType([df.schema[key], T.StructField("text", T.StringType())])
-        return df.select(key, ids_col).mapInArrow(_text_decoder(*small, ids_col, [key]), schema)
+        return df.select(key, ids_col).mapInArrow(_text_decoder(small, ids_col, [key]), schema)
     return ids_to_tokens_by_join(df, vocab, ids_col, key)
 
 
@@ -209,6 +255,73 @@ def ids_to_tokens_by_join(df: DataFrame, vocab: DataFrame, ids_col: str = "ids",
     return keyed.drop(ids_col).join(texts, "_row", "left").select(key, F.coalesce(F.array_join(F.col("_p.token"), " "), F.lit("")).alias("text"))
 
 
+def _pieces_decoder(vocab: Broadcast, ids_col: str, out: str):
+    """Rows of ids back to rows of pieces: runs of bytes up to their end mark are one piece, special ids none."""
+
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        tokens, ids = vocab.value
+        for batch in batches:
+            offsets, flat = _list_parts(batch.column(batch.schema.get_field_index(ids_col)))
+            number = flat.cast(pa.int32())
+            values, at = number.to_numpy(zero_copy_only=False), offsets.to_numpy()
+            byte = (values >= BYTE_ID) & (values < BYTES_END_ID)
+            known = pc.take(tokens, pc.index_in(number, value_set=ids))
+            # A piece ends at a known id, at an end mark, or where a row cut off inside bytes ends.
+            ends = pc.is_valid(known).to_numpy(zero_copy_only=False) | (values == BYTES_END_ID)
+            edge = np.zeros(len(values) + 1, bool)
+            edge[at] = True
+            ends |= byte & edge[1:]
+            upto = np.concatenate([[0], np.cumsum(byte)])
+            place = np.flatnonzero(ends)
+            spans = np.concatenate([[0], upto[place + 1]]) if len(place) else np.zeros(1, np.int64)
+            body = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(place),
+                [None, pa.py_buffer(np.ascontiguousarray(spans, np.int64)), pa.py_buffer((values[byte] - BYTE_ID).astype(np.uint8).tobytes())],
+            )
+            read = pa.array([x.decode("utf-8", "replace") for x in body.to_pylist()], pa.string())
+            words = pc.coalesce(known.take(pa.array(place)), read)
+            before = np.concatenate([[0], np.cumsum(ends)])
+            yield _with_column(batch, ids_col, pa.ListArray.from_arrays(pa.array(before[at].astype(np.int32)), words), out)
+
+    return decode
+
+
+def pieces_of(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", out: str = "pieces", max_broadcast: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
+    """Ids made with ``byte_fallback`` back to the array of pieces; special ids stand for none.
+
+    Looked up in Arrow while the vocabulary is within its bounds, joined beyond them.
+    """
+    small = _small_vocab(vocab, max_broadcast)
+    if small is not None:
+        schema = [f for f in df.schema.fields if f.name != ids_col]
+        return df.mapInArrow(_pieces_decoder(small, ids_col, out), T.StructType([*schema, T.StructField(out, T.ArrayType(T.StringType()))]))
+    return pieces_of_by_join(df, vocab, ids_col, out)
+
+
+def pieces_of_by_join(df: DataFrame, vocab: DataFrame, ids_col: str, out: str) -> DataFrame:
+    """The same for a vocabulary of any size.
+
+    Bytes are gathered to pieces inside the row first (a piece is one entry: its known id, or its bytes in hex), then known ids are joined.
+    """
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_row", _row_key(df))
+    is_byte = lambda i: (i >= BYTE_ID) & (i < BYTES_END_ID)
+    text = F.array_join(F.transform(ids_col, lambda i: F.when(is_byte(i), F.lpad(F.hex(i - BYTE_ID), 2, "0")).when(
+        i == BYTES_END_ID, F.lit(" ")).otherwise(F.concat(F.lit(" :"), i.cast("string"), F.lit(" ")))), "")
+    entries = F.filter(F.split(text, " "), lambda e: e != "")
+    long = keyed.select("_row", F.posexplode(entries).alias("at", "_entry"))
+    long = long.withColumns({
+        "id": F.when(F.col("_entry").startswith(":"), F.expr("substring(_entry, 2)").cast("int")),
+        "_salt": F.pmod(F.col("at"), F.lit(salts)).cast("int"),
+    })
+    told = long.join(_salted(vocab, salts), ["id", "_salt"], "left").withColumn(
+        "token", F.when(F.col("id").isNull(), F.decode(F.unhex("_entry"), "UTF-8")).otherwise(F.col("token")))
+    pieces = told.where("token is not null").groupBy("_row").agg(
+        F.sort_array(F.collect_set(F.struct("at", "token"))).getField("token").alias("_pieces"))
+    return keyed.drop(ids_col).join(pieces, "_row", "left").withColumn(
+        out, F.coalesce("_pieces", F.array().cast("array<string>"))).drop("_row", "_pieces")
+
+
 def flag_long(tok: DataFrame, max_doc_tokens: int | Column, is_chat: Column) -> DataFrame:
     """Mark chat documents whose length reaches the gate (0 switches it off); text is never gated."""
     gate = F.lit(max_doc_tokens) if isinstance(max_doc_tokens, int) else max_doc_tokens

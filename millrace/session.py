@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to a fresh folder of the shared one and read it back: later uses don't compute it again, and lost executors don't lose it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,19 +15,17 @@ BLOCK_DOCS = 1 << 16
 READ_BYTES = 4 << 20
 
 
-def write_tokens(tok: DataFrame, path: str, order: str = "doc_id", block: int = BLOCK_DOCS, mode: str = "overwrite") -> None:
+def write_tokens(tok: DataFrame, path: str, order: str = "doc_id", block: int = BLOCK_DOCS, mode: str = "overwrite",
+                 by: Sequence[str] = ("source", "shard"), replace_shards: bool = False) -> None:
     """Token table partitioned by (source, shard).
 
     Rows are spread by (source, shard, block of documents), so a big shard is written by many tasks,
-    each with its documents in order.
+    each with its documents in order; there are at most as many files as blocks.  With ``replace_shards`` only the shards that ``tok``
+    holds are replaced, all at once when the job commits.
     """
     blocked = tok.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-    (
-        blocked.repartition("source", "shard", "_block")
-        .sortWithinPartitions("source", "shard", order)
-        .drop("_block")
-        .write.mode(mode).partitionBy("source", "shard").parquet(path)
-    )
+    writer = blocked.repartition(*by, "_block").sortWithinPartitions(*by, order).drop("_block").write.mode(mode)
+    writer.option("partitionOverwriteMode", "dynamic" if replace_shards else "static").partitionBy(*by).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, sources: Sequence[str] | None = None) -> DataFrame:
