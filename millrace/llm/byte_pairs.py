@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.common import ENCODE_BYTES, encoded, gather, passes, utf8
+from millrace.llm.common import encoded, gather, passes, utf8
 from millrace.llm.tokenizing import share, stretches
 
 #: Bytes of a leaf of the tree, bytes that are merged without a heap, and ids whose bytes are gathered at once.
@@ -279,7 +279,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern, cut)
-        for batch in passes(batches, text, ENCODE_BYTES):
+        for batch in passes(batches, text):
             flat, at = own.encode(batch.column(text))
             out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), out], names=[*kept, ids])
