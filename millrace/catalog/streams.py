@@ -33,7 +33,7 @@ def stream_samples(spark, sf):
     rows = table(spark, sf, "documents").select(F.concat(F.lit("k"), F.col("doc_id")).alias("key"), F.col("n_chars").alias("tokens"))
     src = jobs.file_stream(spark, _as_files(spark, rows.unionByName(rows), "arriving"), rows.schema)
     out = new_folder(spark, "samples")
-    jobs.run_to_end(jobs.stream_samples(src, out, new_folder(spark, "state")))
+    jobs.run_to_end(jobs.stream_samples(src, out, new_folder(spark, "state"), settings={"key": "key"}))
     return spark.read.parquet(out).select("key", "tokens")
 
 
@@ -45,7 +45,7 @@ def stream_summary(spark, sf):
     src = jobs.file_stream(spark, _as_files(spark, graded, "graded"), graded.schema)
     out = new_folder(spark, "summary")
     jobs.run_to_end(jobs.stream_summary(src, out, new_folder(spark, "state")))
-    return spark.read.parquet(out).select(
+    return jobs.latest_rows(spark, out, "bench").select(
         "bench", "samples", *[F.round(c, 6).alias(c) for c in ("accuracy", "mean_tokens", "truncated")])
 
 
@@ -55,4 +55,4 @@ def stream_consumption(spark, sf):
     src = jobs.file_stream(spark, _as_files(spark, log, "log"), log.schema)
     out = new_folder(spark, "consumed")
     jobs.run_to_end(jobs.stream_consumption(src, out, new_folder(spark, "state")))
-    return spark.read.parquet(out)
+    return jobs.latest_rows(spark, out, "stage", "source")

@@ -168,20 +168,20 @@ INFO_SCHEMA = T.StructType([
 ])
 
 
-def read_info(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the shards of a prepared folder; none where nothing was prepared."""
+def read_info(spark: SparkSession, path: str) -> DataFrame | None:
+    """Records of the shards of a prepared folder; None where nothing was prepared."""
     try:
-        return spark.read.schema(INFO_SCHEMA).parquet(f"{path}/info")
+        return plan_table(spark.read.schema(INFO_SCHEMA).parquet(f"{path}/info"))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], INFO_SCHEMA)
+        return None
 
 
 def _write_info(info: DataFrame, path: str) -> None:
     """Records of some shards; those of others stay."""
     rows = info.select(*[F.col(f.name).cast(f.dataType) for f in INFO_SCHEMA])
-    rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SHARD).parquet(f"{path}/info")
+    plan_table(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SHARD).parquet(f"{path}/info")
 
 
 def with_digests(jobs: DataFrame, tokenizer: str, version: str) -> DataFrame:
@@ -199,20 +199,20 @@ def ids_digest(shards: DataFrame) -> DataFrame:
     return shards.groupBy(*SHARD).agg(F.lower(F.hex(F.bit_xor(word))).alias("ids_digest"))
 
 
-def finished_shards(spark: SparkSession, jobs: DataFrame, path: str) -> DataFrame:
+def finished_shards(spark: SparkSession, jobs: DataFrame, held: DataFrame, path: str) -> DataFrame:
     """Planned shards that are held as planned: same digest, and as many tokens stored as recorded (only lengths are read)."""
-    held = read_info(spark, path).select(*SHARD, "tokens", F.col("digest").alias("made"))
-    same = jobs.join(held, SHARD).where((F.col("made") == F.col("digest")) & (F.col("tokens") > 0))
+    records = held.select(*SHARD, "tokens", F.col("digest").alias("made"))
+    same = plan_table(jobs.join(records, SHARD).where((F.col("made") == F.col("digest")) & (F.col("tokens") > 0)))
     if same.isEmpty():
         return same.select(*SHARD)
     lengths = stores.read_tokens(spark, f"{path}/tokens").groupBy(*SHARD).agg(F.sum("take").alias("held"))
     return same.join(lengths, SHARD).where(F.col("held") == F.col("tokens")).select(*SHARD)
 
 
-def refuse_changes(spark: SparkSession, jobs: DataFrame, path: str) -> None:
+def refuse_changes(jobs: DataFrame, held: DataFrame, path: str) -> None:
     """Fail if the folder holds shards that this mixture or tokenizer would make otherwise, or not at all."""
-    held = read_info(spark, path).select(*SHARD, F.col("digest").alias("made")).where("made != ''")
-    other = held.join(jobs, SHARD, "left").where(~F.col("made").eqNullSafe(F.col("digest"))).select(*SHARD).take(3)
+    records = held.select(*SHARD, F.col("digest").alias("made")).where("made != ''")
+    other = records.join(jobs, SHARD, "left").where(~F.col("made").eqNullSafe(F.col("digest"))).select(*SHARD).take(3)
     if other:
         raise ValueError(f"{path} holds shards of another mixture, tokenizer or input, such as {other[0]}; use another folder, or changed='rewrite'")
 
@@ -301,11 +301,12 @@ def prepare_corpus(
     """
     if changed not in ("refuse", "rewrite"):
         raise ValueError("changed must be 'refuse' or 'rewrite'")
+    recipe = plan_table(recipe)
     faults = mixture.recipe_faults(recipe).take(1)
     if faults:
         raise ValueError(f"recipe: {faults[0]}")
     jobs = plan_table(mixture.plan_shards(recipe))
-    named = [r["source"] for r in jobs.select("source").distinct().collect()]
+    named = [r["source"] for r in recipe.select("source").collect()]
     texts = all_texts(docs, chat_sources, chats, template).where(F.col("source").isin(named))
     name, key = (tokenizer.name,) * 2 if isinstance(tokenizer, ColumnTokenizer) else (tokenizer, tokenizer)
     if not isinstance(tokenizer, ColumnTokenizer):
@@ -313,15 +314,19 @@ def prepare_corpus(
         key = f"{tokenizer}:{quality.table_fingerprint(vocab, ['token', 'id']).first()['fingerprint']}"
     jobs = with_digests(jobs, key, version)
     recipe_digest = quality.table_fingerprint(jobs, ["name", "weight", "digest"]).first()["fingerprint"]
-    if changed == "refuse":
-        refuse_changes(spark, jobs, path)
-    reused = [(r["source"], r["shard"]) for r in finished_shards(spark, jobs, path).collect()]
+    held = read_info(spark, path)
+    reused, todo = [], jobs
+    if held is not None:
+        if changed == "refuse":
+            refuse_changes(jobs, held, path)
+        reused = [tuple(r) for r in finished_shards(spark, jobs, held, path).collect()]  # at most the recipe's shards
     reused = spark.createDataFrame(reused, "source string, shard int")
-    todo = plan_table(jobs.join(reused, SHARD, "left_anti"))
-    if not todo.isEmpty():
-        sources = [r["source"] for r in todo.select("source").distinct().collect()]
-        make_shards(spark, texts.where(F.col("source").isin(sources)), todo, path, tokenizer, vocab, tokens_per_doc)
-    if not todo.isEmpty() or not _published(spark, path, recipe_digest):
+    if held is not None:
+        todo = plan_table(jobs.join(reused, SHARD, "left_anti"))
+    sources = {r["source"] for r in todo.select("source").collect()}
+    if sources:
+        make_shards(spark, texts.where(F.col("source").isin(list(sources))), todo, path, tokenizer, vocab, tokens_per_doc)
+    if sources or not _published(spark, path, recipe_digest):
         publish(spark, jobs, path, name, mixture_name, recipe_digest)
     made = read_info(spark, path).select(*SHARD, "ids_digest")
     flags = reused.withColumn("reused", F.lit(True))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from millrace.functions import text as X
+from millrace.operators.ordering import keys_equal
 from millrace.operators.tokens import drop_short_text, flag_long, tokenize
 from millrace.sources.corpora import synthetic_columns
 
@@ -19,36 +22,47 @@ def prepare_rows(docs: DataFrame, max_doc_tokens: int = 0, chat: bool = False, m
     return flag_long(tok, max_doc_tokens, F.lit(chat)).where(~F.col("dropped")).drop("dropped")
 
 
-def stream_prepare(src: DataFrame, path: str, checkpoint: str, max_doc_tokens: int = 0, chat: bool = False) -> StreamingQuery:
+#: What a stream does when it is not told otherwise: all that is there, in micro-batches, then it ends.
+ALL_NOW = {"availableNow": True}
+
+
+def stream_prepare(src: DataFrame, path: str, checkpoint: str, max_doc_tokens: int = 0, chat: bool = False, trigger: dict | None = None) -> StreamingQuery:
     """Tokenize arriving documents into an append-only table; packing stays a batch job."""
     return (
         prepare_rows(src, max_doc_tokens, chat)
         .writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode("append").trigger(**trigger or ALL_NOW).start()
     )
 
 
-def stream_samples(src: DataFrame, path: str, checkpoint: str, key: str = "key") -> StreamingQuery:
-    """Append finished samples once each: rows whose key is stored already are skipped.
-
-    Every micro-batch writes its own folder, so a repeated batch after a failure replaces its own
-    output; earlier batches are what a batch is compared with.
+def check_settings(spark: SparkSession, settings: dict[str, object], path: str) -> None:
+    """Keep the settings of a run that starts in ``path``; fail if it was begun with others."""
+    rows = spark.createDataFrame([(k, json.dumps(settings[k], sort_keys=True)) for k in sorted(settings)], "name string, value string")
+    try:
+        held = spark.read.schema(rows.schema).json(path)
+        other = keys_equal(rows, held, "name", "value").select("name").distinct().collect()  # as many as settings
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows.coalesce(1).write.json(path)
+        return
+    if other:
+        raise ValueError(f"{path} was begun with other values of {', '.join(sorted(r['name'] for r in other))}; use another folder")
+
+
+def stream_samples(src: DataFrame, path: str, checkpoint: str, key: str = "key", settings: dict[str, object] | None = None,
+                   trigger: dict | None = None) -> StreamingQuery:
+    """Append finished samples once each: of the rows of a key the first that arrives is stored, whenever others come.
+
+    The keys met so far are the stream's state, spread over the state store's partitions by key; no batch reads what earlier
+    ones wrote.  A restarted run goes on from the checkpoint.  ``settings`` decide what a sample is: a run that is
+    resumed with others fails before it starts.
     """
-    spark = src.sparkSession
-    fields = src.schema
-
-    def keep_new(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        if batch_id > 0:
-            held = spark.read.schema(fields).option("recursiveFileLookup", "false").parquet(path).where(
-                F.col("batch") < batch_id
-            )
-            fresh = fresh.join(held.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
+    if settings is not None:
+        check_settings(src.sparkSession, settings, f"{checkpoint}-settings")
     return (
-        src.writeStream.foreachBatch(keep_new).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        src.dropDuplicates([key]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(**trigger or ALL_NOW).start()
     )
 
 
@@ -67,24 +81,34 @@ def running_consumption(src: DataFrame) -> DataFrame:
     return src.groupBy("stage", "source").agg(F.sum("tokens").cast("bigint").alias("tokens"))
 
 
-def upsert_table(agg: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the running aggregate as a small table, replaced by every micro-batch."""
+def changed_rows(agg: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write of every micro-batch the groups it changed, as ``path/batch=<number>``.
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    A batch that is repeated after a failure replaces its own folder, so nothing is counted twice; ``latest_rows`` reads the table.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        agg.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**trigger or ALL_NOW).start()
     )
 
 
-def stream_summary(src: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return upsert_table(running_summary(src), path, checkpoint)
+def latest_rows(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Latest version of every group that ``changed_rows`` has written."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def stream_summary(src: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    return changed_rows(running_summary(src), path, checkpoint, trigger)
 
 
-def stream_consumption(src: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return upsert_table(running_consumption(src), path, checkpoint)
+def stream_consumption(src: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    return changed_rows(running_consumption(src), path, checkpoint, trigger)
 
 
 def stream_synthetic(spark: SparkSession, rate: int, L: int, vocab: int, seed: int = 0) -> DataFrame:
