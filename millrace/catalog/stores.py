@@ -87,6 +87,20 @@ def read_token_bytes(spark, sf):
     return win.select(F.regexp_extract("folder", r"([^/]+)$", 1).alias("folder"), "win", digest("ids").alias("content"))
 
 
+SKIPPED, MOST = 100, 1000
+
+
+@register("read_token_bytes_part", f"""WITH {STREAM}
+SELECT source || '_p' || shard AS folder, ((place - {SKIPPED}) // 33)::BIGINT AS win, md5(string_agg({_code_sql("tok")}::VARCHAR, ' ' ORDER BY place)) AS content
+FROM stream WHERE place >= {SKIPPED} AND place < {SKIPPED + MOST} GROUP BY source, shard, (place - {SKIPPED}) // 33 HAVING count(*) = 33""")
+def read_token_bytes_part(spark, sf):
+    """Windows of a stretch of every stream: ids passed over at its beginning, and a number of ids from there."""
+    folder = new_folder(spark, "bytes")
+    stores.write_token_bytes(_coded(kept_of(spark, sf)).select("source", "shard", "doc_id", "ids"), folder, 2, 64)
+    win = stores.read_token_bytes(spark, folder, 32, 2, range_bytes=500, skip=SKIPPED, most=MOST)
+    return win.select(F.regexp_extract("folder", r"([^/]+)$", 1).alias("folder"), "win", digest("ids").alias("content"))
+
+
 @register("write_manifest", f"""WITH {KEPT}
 SELECT source, shard::INT AS shard, max(name) AS name, sum(take)::BIGINT AS tokens, count(*) FILTER (WHERE NOT dropped) AS docs,
        count(*) FILTER (WHERE dropped) AS dropped_too_long, max(kept.budget)::BIGINT AS budget, {GATE} AS max_doc_tokens,

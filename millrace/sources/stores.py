@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.flat_tokens import FORMAT, RANGE_BYTES, FlatTokens, little_endian, qualified
+
 BLOCK_DOCS = 1 << 16
-READ_BYTES = 4 << 20
 
 
 def write_tokens(tok: DataFrame, path: str, order: str = "doc_id", block: int = BLOCK_DOCS, mode: str = "overwrite",
@@ -34,120 +35,53 @@ def read_tokens(spark: SparkSession, path: str, sources: Sequence[str] | None =
     return tok if sources is None else tok.where(F.col("source").isin(list(sources)))
 
 
-def _little_endian(width: int) -> np.dtype:
-    return np.dtype({2: "<u2", 4: "<u4", 8: "<u8"}[width])
-
-
 def token_bytes(df: DataFrame, width: int, ids_col: str = "ids", out: str = "payload") -> DataFrame:
     """Token array as little-endian bytes."""
-    dtype = _little_endian(width)
-
-    @F.pandas_udf(T.BinaryType())
-    def pack(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda a: np.asarray(a, dtype=dtype).tobytes())
-
-    return df.withColumn(out, pack(F.col(ids_col)))
+    dtype = little_endian(width)
 
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(ids_col))
+            data = ids.flatten().to_numpy(zero_copy_only=False).astype(dtype).view(np.uint8)
+            ends = pc.multiply(pc.subtract(ids.offsets, ids.offsets[0]).cast(pa.int64()), width).cast(pa.int32())
+            valid = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+            bits = None if valid.all() else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+            body = pa.Array.from_buffers(pa.binary(), len(ids), [bits, ends.buffers()[1], pa.py_buffer(data.tobytes())])
+            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, body], [*names, out])
 
-def _file_system(uri: str):
-    """File system and path of a Spark path, usable inside tasks (local, hdfs, s3, gs)."""
-    from pyarrow import fs
-
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    names = [c for c in df.columns if c != out]
+    return df.mapInArrow(pack, T.StructType([*(df.schema[c] for c in names), T.StructField(out, T.BinaryType())]))
 
 
 def write_token_bytes(tok: DataFrame, path: str, width: int = 4, rows_per_file: int = BLOCK_DOCS,
-                      order: str = "doc_id") -> None:
+                      order: str = "doc_id", mode: str = "append") -> None:
     """Flat little-endian token files per shard: ``<path>/<source>_p<shard>/part-<block>.ds``.
 
-    A shard's stream is the concatenation of its parts by name.  Every block of documents is one
-    file, written under a temporary name by one task and moved into place, so a repeated task only
-    replaces its own file.
+    A shard's stream is the concatenation of its parts by name.  Every block of documents is one file of one task; files get
+    their names when the whole job commits, so a failed or repeated task shows nothing.
     """
-
-    def write(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        from uuid import uuid4
-
-        current, stream, move = None, None, None
-        for pdf in batches:
-            for source, shard, block, payload in zip(pdf["source"], pdf["shard"], pdf["_block"], pdf["payload"]):
-                if (source, shard, block) != current:
-                    if stream is not None:
-                        stream.close()
-                        move()
-                    current = (source, shard, block)
-                    system, folder = _file_system(f"{path}/{source}_p{shard}")
-                    system.create_dir(folder, recursive=True)
-                    final = f"{folder}/part-{int(block):012d}.ds"
-                    tmp = f"{final}.{uuid4().hex}.tmp"
-                    stream = system.open_output_stream(tmp)
-                    move = lambda system=system, tmp=tmp, final=final: system.move(tmp, final)
-                stream.write(payload)
-        if stream is not None:
-            stream.close()
-            move()
-        yield pd.DataFrame({"done": [1]})
-
-    coded = token_bytes(tok, width).withColumn("_block", F.floor(F.col(order) / F.lit(rows_per_file)).cast("bigint"))
+    spark = tok.sparkSession
+    spark.dataSource.register(FlatTokens)
+    blocked = tok.withColumn("block", F.floor(F.col(order) / F.lit(rows_per_file)).cast("bigint"))
     (
-        coded.select("source", "shard", "_block", order, "payload")
-        .repartition("source", "shard", "_block")
-        .sortWithinPartitions("source", "shard", "_block", order)
-        .mapInPandas(write, "done int")
-        .write.format("noop").mode("overwrite").save()
+        blocked.select("source", "shard", "block", order, "ids").repartition("source", "shard", "block")
+        .sortWithinPartitions("source", "shard", "block", order).select("source", "shard", "block", "ids")
+        .write.format(FORMAT).mode(mode).option("width", width).save(qualified(spark, path))
     )
 
 
-def read_token_bytes(spark: SparkSession, path: str, L: int, width: int = 4, range_bytes: int = 64 << 20) -> DataFrame:
+def read_token_bytes(spark: SparkSession, path: str, L: int, width: int = 4, range_bytes: int = RANGE_BYTES,
+                     skip: int = 0, most: int | None = None) -> DataFrame:
     """Windows (folder, win, ids) of ``L + 1`` ids of the streams of flat token files; a stream's open tail is left out.
 
-    The stream of a folder is its files one after the other, by name.  Spark lists the files (lengths only), lengths are summed
-    along the stream, and the stream is cut into ranges of whole windows; a task reads its range from as many files as
-    hold a part of it, so neither many small files nor a huge one lose a window or hold up a task.
+    The stream of a folder is its files one after the other, by name, without its first ``skip`` ids and up to ``most`` from there.  It is cut into
+    ranges of whole windows, and a task reads its range from as many files as hold a part of it, so neither many small files nor a huge
+    one lose a window or hold up a task.
     """
-    dtype, record = _little_endian(width), (L + 1) * width
-    span = max(1, range_bytes // record) * record
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.ds"
-    ).load(path).select("path", F.col("length").alias("size")).where(F.col("size") > 0)
-    files = files.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]+$", 1))
-    stream = Window.partitionBy("folder").orderBy("path")
-    placed = files.withColumns({
-        "start": F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"),
-        "total": F.sum("size").over(Window.partitionBy("folder")),
-    })
-    reach = F.sequence(F.expr(f"start div {span}"), F.expr(f"(start + size - 1) div {span}"))
-    pieces = placed.select("folder", "path", "start", "size", "total", F.explode(reach).alias("part")).repartition(
-        "folder", "part").sortWithinPartitions("folder", "part", "start")
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        key, held, win = None, b"", 0
-        for batch in batches:
-            for folder, name, start, size, total, part in zip(*(c.to_pylist() for c in batch.columns)):
-                if (folder, part) != key:
-                    key, held, win = (folder, part), b"", part * span // record
-                end = min((part + 1) * span, total // record * record)
-                at, last = max(start, part * span), min(start + size, end)
-                system, local = _file_system(name)
-                with system.open_input_file(local) as f:
-                    while at < last:
-                        body = f.read_at(min(READ_BYTES, last - at), at - start)
-                        at += len(body)
-                        held += body
-                        k = len(held) // record
-                        if k:
-                            ids = np.frombuffer(held, dtype, k * (L + 1)).astype(np.int32)
-                            places = pa.array(np.arange(0, (k + 1) * (L + 1), L + 1, dtype=np.int32))
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([folder] * k), pa.array(np.arange(win, win + k)), pa.ListArray.from_arrays(places, pa.array(ids))],
-                                ["folder", "win", "ids"])
-                            held, win = held[k * record:], win + k
-
-    return pieces.mapInArrow(read, "folder string, win bigint, ids array<int>")
+    spark.dataSource.register(FlatTokens)
+    reader = spark.read.format(FORMAT).option("width", width).option("length", L).option("range_bytes", range_bytes).option("skip", skip)
+    return (reader if most is None else reader.option("most", most)).load(qualified(spark, path))
 
 
 def write_manifest(info: DataFrame, jobs: DataFrame, path: str, by: Sequence[str] = ("source", "shard")) -> None:
