@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.session import shared_folder
 
@@ -23,13 +25,65 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
+#: Tables written inside ``scratch`` blocks, innermost last.
+_MADE: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and outlives lost executors."""
     spark, path = df.sparkSession, fresh_folder(df.sparkSession, name)
+    for made in _MADE:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``stored`` writes inside the block; a result that is to stay is written by its caller, inside it, by other means."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+# Sets of keys as bits -------------------------------------------------------------------------
+
+#: Bits per key of a set, and at most so many in all (32 MB): beyond, more keys are taken for members, and the exact join that follows costs more.
+KEY_BITS, MOST_BITS = 8, 1 << 28
+
+
+def key_bits(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A set of non-null 64-bit keys as bitmaps (bucket, bits), and the number of places that keys are hashed to.
+
+    Bitmaps of 4 KB are built by map-side aggregation; all together they hold ``KEY_BITS`` bits a key, up to ``MOST_BITS``.
+    """
+    n = keys.select(key).count()
+    places = min(MOST_BITS, 1 << max(15, (KEY_BITS * n - 1).bit_length()))
+    at = _place(F.col(key), places)
+    return keys.where(F.col(key).isNotNull()).select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(
+        F.bitmap_construct_agg("bit").alias("bits")), places
+
+
+def _place(key: Column, places: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("bigint")), F.lit(places)).cast("bigint") + 1  # places begin at 1
+
+
+def by_bits(df: DataFrame, key: Column, bits: DataFrame, places: int) -> DataFrame:
+    """Adds ``_maybe``: false only where the key is null or not in the set.  The bitmaps are broadcast: 32 MB at most."""
+    at = _place(key, places)
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = df.withColumn("_bucket", F.bitmap_bucket_number(at)).join(
+        F.broadcast(bits.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))), "_bucket", "left")
+    return told.withColumn("_maybe", F.coalesce(key.isNotNull() & (F.getbit(byte, (place % 8).cast("int")) == 1), F.lit(False))).drop("_bucket", "_bits")
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions that the session wants for a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import encoded, passes, utf8, words
-from millrace.llm.sampling import bounded
+from millrace.llm.sampling import bounded_by
 
-SAMPLE = 2500
+#: Rows that are learned from at most, before a factor of two; every label gets an equal part of them, or all its rows.
+SAMPLE = 4000
 BUCKETS = 1 << 14
 RUNS = (2, 3, 4)
 WIDTH = 16
@@ -87,13 +88,14 @@ def counted(docs: DataFrame) -> DataFrame:
             out = []
             for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
                 buckets, n = np.unique(runs_of(found[a:b])[0], return_counts=True)
-                out.append((buckets.astype(np.int32), n.astype(np.float32)))
+                # Two bytes each: buckets are fewer than 2^14, and a count beyond 2^16 - 1 is as good as that.
+                out.append((buckets.astype("<u2").tobytes(), np.minimum(n, 0xFFFF).astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("label"), pa.array([x for x, _ in out], pa.list_(pa.int32())), pa.array([y for _, y in out], pa.list_(pa.float32()))],
+                [batch.column("key"), batch.column("label"), pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())],
                 ["key", "label", "buckets", "counts"],
             )
 
-    return docs.mapInArrow(run, "key string, label string, buckets array<int>, counts array<float>").where(F.size("buckets") > 0)
+    return docs.mapInArrow(run, "key string, label string, buckets binary, counts binary").where(F.octet_length("buckets") > 0)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -110,10 +112,10 @@ def fit(rows: pa.Table, seed: int = 7) -> Model | None:
     y = np.asarray([languages.index(x) for x in labels])
     by_key = np.argsort(np.asarray(rows["key"].to_pylist()), kind="stable")
     y = y[by_key]
-    buckets, counts = rows["buckets"].combine_chunks(), rows["counts"].combine_chunks()
-    at = buckets.offsets.to_numpy() - buckets.offsets[0].as_py()
-    places, n = buckets.flatten().to_numpy(), counts.flatten().to_numpy()
-    parts = [(places[a:b], n[a:b] / n[a:b].sum()) for a, b in zip(at[by_key], at[by_key + 1])]
+    parts = []
+    for places, n in zip(rows["buckets"].take(by_key).to_pylist(), rows["counts"].take(by_key).to_pylist()):
+        n = np.frombuffer(n, "<u2").astype(np.float32)
+        parts.append((np.frombuffer(places, "<u2"), n / n.sum()))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
@@ -155,9 +157,9 @@ def fit(rows: pa.Table, seed: int = 7) -> Model | None:
 
 
 def train(labelled: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model | None:
-    """Fit on a bounded sample of the rows that have a label and an id."""
+    """Fit on a bounded sample of the rows that have a label and an id: rare languages have their part in it."""
     rows = labelled.select(F.col(id_col).cast("string").alias("key"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
-    model = fit(counted(bounded(rows.where("label is not null"), most, "key").select("key", "text", "label")).toArrow())
+    model = fit(counted(bounded_by(rows.where("label is not null and key is not null"), most, "label", "key", "text").select("key", "text", "label")).toArrow())
     pa.default_memory_pool().release_unused()
     return model
 

@@ -11,9 +11,8 @@ source that holds most rows is spread over tasks; only (source, block) totals me
 relation within a bound, beyond it joins by shuffle.
 
 A null text has size 0.  Null is a source of its own, last in order.  Documents of size 0 take 0.  Equal keys fall
-back on doc_id, then size; repeated rows share a key and are taken one after the other.  ``expand`` numbers the rows, so that
-the decision on a row reaches that row, with or without an id; ties beyond size go by a hash of the row.  An empty table gives an empty
-result.  The text, id and source columns are named by parameters; all others are ignored (``mix``) or kept (``expand``).
+back on doc_id, then size; repeated rows share a key and are taken one after the other.  In ``expand`` ties beyond size go by a hash of the
+row, so every row is decided on, with or without an id.  An empty table gives an empty result.  The text, id and source columns are named by parameters; all others are ignored (``mix``) or kept (``expand``).
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
-from millrace.operators.ordering import plan_table
+from millrace.operators.ordering import expand_counts, plan_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BLOCK = 1 << 12
@@ -73,36 +72,44 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return shared.select(*sizes.columns, "weight", target.alias("target"))
 
 
-def mix(
-    docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
-    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_cols: tuple[str, ...] = (),
-) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): ``taken`` words of every document, repeats counted.
+def _symbols(text: Column) -> Column:
+    return F.length(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[^#*$%&|<>]+", "")).cast("bigint")
 
-    ``row_cols`` tell rows of equal id and size apart: they order such ties and are added to the result.
-    """
-    symbols = F.length(F.regexp_replace(F.coalesce(F.col("_text"), F.lit("")), r"[^#*$%&|<>]+", "")).cast("bigint")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"), *row_cols)
-    sized = rows.withColumns({"size": n_words(F.col("_text")), "_symbols": symbols}).drop("_text")
-    keyed = stored(sized.withColumn("_key", exponential_key(F.col("doc_id"), quality_weight(F.col("size"), F.col("_symbols")), seed)).drop("_symbols"), "mix-keys")
+
+def placed(
+    docs: DataFrame, max_epochs: int, seed: str, id_col: str, source_col: str, text_col: str, tie: Column | None = None
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, key, tie, epochs, rest, before): ``before`` words stand before a row in its source's order,
+    of which ``rest`` are taken after the whole epochs.  ``tie`` orders rows of equal id and size."""
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _symbols(F.col(text_col)).alias("symbols"),
+        (F.lit(0).cast("bigint") if tie is None else tie).alias("tie"),
+    )
+    keyed = stored(rows.withColumn("key", exponential_key(F.col("doc_id"), quality_weight(F.col("size"), F.col("symbols")), seed)).drop("symbols"), "mix-keys")
     sizes = keyed.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    planned = plan_table(targets(sizes, max_epochs).withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
+    planned = plan_table(targets(sizes, max_epochs).withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
     quota = F.floor(F.col("target") + F.lit(0.5))
     epochs = F.coalesce(F.floor(quota / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     per_octave = F.ceil(F.col("n_docs") / F.lit(3 * ROWS_PER_BLOCK))
     joined = keyed.withColumnRenamed("source", "_source").join(planned, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
     # floor(octave * n) follows the order of the keys, as the logarithm never decreases.
-    blocked = joined.withColumns({"_epochs": epochs, "_rest": quota - epochs * F.col("source_size"), "_block": F.floor(F.log2("_key") * per_octave)})
-    totals = blocked.groupBy("_rank", "_block").agg(F.sum("size").alias("_total"))
-    by_block = Window.partitionBy("_rank").orderBy("_block")
-    starts = totals.select("_rank", "_block", (F.sum("_total").over(by_block) - F.col("_total")).alias("_start"))
-    inside = Window.partitionBy("_rank", "_block").orderBy("_key", "doc_id", "size", *row_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = blocked.repartition("_rank", "_block").withColumn("_before", F.sum("size").over(inside) - F.col("size"))
-    before = F.col("_start") + F.col("_before")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - before))
-    return local.join(starts, ["_rank", "_block"]).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).cast("bigint").alias("taken"), *row_cols
-    )
+    blocked = joined.withColumns({"epochs": epochs, "rest": quota - epochs * F.col("source_size"), "block": F.floor(F.log2("key") * per_octave)})
+    totals = blocked.groupBy("rank", "block").agg(F.sum("size").alias("total"))
+    by_block = Window.partitionBy("rank").orderBy("block")
+    starts = totals.select("rank", "block", (F.sum("total").over(by_block) - F.col("total")).alias("start"))
+    inside = Window.partitionBy("rank", "block").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = blocked.repartition("rank", "block").withColumn("inside", F.sum("size").over(inside) - F.col("size"))
+    return local.join(starts, ["rank", "block"]).select(
+        "doc_id", "source", "size", "source_size", "target", "key", "tie", "epochs", "rest", (F.col("start") + F.col("inside")).alias("before"))
+
+
+def mix(
+    docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken): ``taken`` words of every document, repeats counted."""
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+    return placed(docs, max_epochs, seed, id_col, source_col, text_col).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -111,14 +118,52 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def expand(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mixed documents themselves: a row per epoch, and the edge document of a source cut to its part."""
+    """The mixed documents themselves: a row per epoch, and the edge document of a source cut to its part.
+
+    A source's order is known from one row, the last one taken: every document before it is taken once more than the whole
+    epochs, every one after it only in these.  So texts stay where they are; only rows equal to a source's last one are gathered, as one row
+    and their number.
+    """
     columns = docs.columns
-    # Maps have no hash.
-    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = stored(docs.withColumns({"_mix_tie": F.xxhash64(*hashed), "_mix_row": F.monotonically_increasing_id()}), "mix-rows")
-    taken = mix(rows, max_epochs, seed, id_col, source_col, text_col, ("_mix_tie", "_mix_row"))
-    met = rows.join(taken.where("taken > 0").select("_mix_row", F.col("size").alias("_size"), F.col("taken").alias("_taken")), "_mix_row")
-    copies = met.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_taken") / F.col("_size")) - 1)))
-    words = F.least(F.col("_size"), F.col("_taken") - F.col("_k") * F.col("_size"))
-    text = F.when(words < F.col("_size"), first_words(F.col(text_col), words.cast("int"))).otherwise(F.col(text_col))
-    return copies.withColumn(text_col, text).select(*columns)
+    # Maps and variants have no hash of their own.
+    tie = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
+    order = ("key", "doc_id", "size", "tie")
+    rows = placed(docs, max_epochs, seed, id_col, source_col, text_col, tie)
+    # The last row taken in part or whole; of equal ones the first, which has the least before it.
+    last = F.max(F.when((F.col("before") < F.col("rest")) & (F.col("size") > 0), F.struct(*order, (-F.col("before")).alias("before"))))
+    edges = plan_table(rows.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max("rest").alias("rest"), last.alias("last")))
+    text = F.col(f"`{text_col}`")
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").alias("own_source"), n_words(text).alias("size"), _symbols(text).alias("symbols"), tie.alias("tie"),
+    ).where("size > 0")
+    keyed = own.withColumn("key", exponential_key(F.col("doc_id"), quality_weight(F.col("size"), F.col("symbols")), seed))
+    at = F.struct(*order)
+    edge = F.struct(*[F.col(f"last.{c}").alias(c) for c in order])
+    side = F.when(F.col("last").isNull() | (at > edge), 1).when(at < edge, -1).otherwise(0)
+    met = keyed.join(edges, F.col("own_source").eqNullSafe(F.col("source"))).withColumn("side", side)
+    copies = F.col("epochs") + F.when(F.col("side") < 0, 1).otherwise(0)
+    whole = met.where("side <> 0").withColumn("n", copies).where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).select("row.*")
+    # Rows equal to the edge share what is left: some whole, one in part.  Their hash finds them before any text is read through.
+    near = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), text.cast("string").alias("text"), F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").alias("own_source"), tie.alias("tie"),
+    ).join(edges, F.col("own_source").eqNullSafe(F.col("source"))).where(F.col("tie") == F.col("last.tie"))
+    near = near.withColumns({"size": n_words(F.col("text")), "symbols": _symbols(F.col("text"))})
+    near = near.withColumn("key", exponential_key(F.col("doc_id"), quality_weight(F.col("size"), F.col("symbols")), seed))
+    equal = near.where(at == edge).groupBy("own_source").agg(
+        F.any_value("row").alias("row"), F.any_value("text").alias("text"), F.max("size").alias("size"), F.max("epochs").alias("epochs"),
+        F.count(F.lit(1)).alias("n"), F.max(F.col("rest") + F.col("last.before")).alias("left"),
+    )
+    equal = equal.withColumn("left", F.least("left", F.col("n") * F.col("size")))
+    parts = F.array(
+        F.struct((F.col("n") * F.col("epochs") + F.expr("left div size")).alias("times"), F.col("size").alias("words")),
+        F.struct(F.when(F.expr("left % size") > 0, F.lit(1)).otherwise(0).cast("bigint").alias("times"), F.expr("left % size").alias("words")),
+    )
+    cut = equal.select(F.col("own_source").alias("cut_source"), "row", "text", "size", F.inline(parts)).where("times > 0")
+    part = F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words").cast("int"))).otherwise(F.col("text"))
+    cut = stored(cut.select("cut_source", "words", "times", "row", part.alias("part")), "mix-edges")  # two rows per source
+    numbers = expand_counts(cut.select(F.col("cut_source").alias("source"), F.col("words").alias("n_words"), "times"), "times", "copy")
+    spread = numbers.join(cut, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("n_words") == F.col("words")))
+    kept = [F.col("part").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns]
+    return whole.unionAll(spread.select(*kept))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import encoded, gather, passes, stored, tasks, utf8, words
+from millrace.llm.common import by_bits, encoded, fresh_folder, gather, key_bits, passes, scratch, stored, tasks, utf8, words
 
 BANDS, ROWS, BITS = 32, 5, 4
 MINIMA = BANDS * ROWS
@@ -341,7 +341,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, id_col:
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = stored(spread.join(shared, "bucket"), "members")
     candidates = members.select("id").distinct()
-    sets = stored(full_sets(source.join(candidates, source["doc_id"] == candidates["id"], "left_semi"), width), "sets")
+    # Texts are not shuffled: bits of the candidates' ids choose which sets are made, and the sets are joined exactly.
+    likely = by_bits(source, F.col("doc_id"), *key_bits(candidates, "id")).where("_maybe").select("doc_id", "text")
+    sets = stored(full_sets(likely, width).join(candidates, "id", "left_semi"), "sets")
     some = stored(classes.join(candidates, "id", "left_semi").select("id", "sig"), "candidates")
     comp = stored(candidates.select("id", F.col("id").alias("comp")), "components")
     for seed in range(STAR_ROUNDS):
@@ -357,10 +359,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, id_col:
 
 
 def keep_first(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stand for their group, all columns kept; of rows that share the standing doc_id one stays."""
-    found = stored(near_duplicates(docs, percent, width, id_col, text_col).select("doc_id", "kept"), "kept")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    twice = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    at = F.col(id_col) == F.col("_twice")
-    return stay.join(twice, at, "left_anti").unionByName(stay.join(twice, at, "left_semi").dropDuplicates([id_col]))
+    """The documents that stand for their group, all columns kept; of rows that share the standing doc_id one stays.
+
+    Ids alone decide; only documents whose id may be among those that go, or stand in several rows, are shuffled for the exact answer.
+    """
+    spark = docs.sparkSession
+    found = fresh_folder(spark, "kept")
+    with scratch(spark):
+        near_duplicates(docs, percent, width, id_col, text_col).select("doc_id", "kept").where("doc_id is not null").write.parquet(found)
+    rows = spark.read.schema("doc_id bigint, kept boolean").parquet(found)
+    decided = rows.groupBy("doc_id").agg((~F.every("kept")).alias("gone"), (F.count_if("kept") > 1).alias("twice"))
+    decided = stored(decided.where("gone or twice"), "decided")
+    whole = docs.select(F.col(id_col).cast("bigint").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    told = by_bits(whole, F.col("key"), *key_bits(decided, "doc_id"))
+    met = told.where("_maybe").select("key", "row").join(decided, F.col("key") == F.col("doc_id"), "left").where("not coalesce(gone, false)")
+    met = stored(met.select("key", "row", F.coalesce("twice", F.lit(False)).alias("twice")), "met")
+    parts = told.where("not _maybe"), met.where("not twice"), met.where("twice").dropDuplicates(["key"])
+    first, *others = (p.select("row.*") for p in parts)
+    for other in others:
+        first = first.unionAll(other)
+    return first

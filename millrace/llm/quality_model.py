@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import encoded, passes, row_sums, stored, utf8, words
-from millrace.llm.sampling import bounded
+from millrace.llm.sampling import bounded, texts_of
 
 POSITIVES, UNLABELLED = 2000, 4000
 SPELLINGS, SHAPES, LENGTHS = 1024, 256, 16
@@ -201,10 +201,11 @@ def fit(pos: np.ndarray, unl: np.ndarray, seed: int = 5) -> Model | None:
 
 def train(docs: DataFrame, positives: DataFrame, most_positive: int = POSITIVES, most_unlabelled: int = UNLABELLED) -> Model | None:
     """Fit on bounded samples: ids of trusted positives, and any rows of docs (doc_id, text) as unlabelled."""
-    chosen = bounded(positives.select("doc_id").withColumn("kind", F.lit(1)), most_positive).unionByName(
-        bounded(docs.select("doc_id").withColumn("kind", F.lit(0)), most_unlabelled, seed=1))
-    # At most 2 * (positives + unlabelled) rows of two numbers.
-    sample = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("key"), "text", "kind"), "quality-sample")
+    chosen = bounded(positives.select("doc_id").distinct().withColumn("kind", F.lit(1)), most_positive).unionByName(
+        bounded(docs.select("doc_id").distinct().withColumn("kind", F.lit(0)), most_unlabelled, seed=1))
+    # At most 2 * (positives + unlabelled) rows, of ids as of texts, however ids repeat.
+    texts = texts_of(docs.select("doc_id", F.col("text").cast("string").alias("text")), chosen, most_positive + most_unlabelled)
+    sample = stored(texts.select(F.col("doc_id").cast("string").alias("key"), "text", "kind"), "quality-sample")
     # Sorted by key, so that reruns agree.
     rows = vectors(sample).toArrow().sort_by("key")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(rows.num_rows, MEANS + RATIOS).astype(np.float64)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import encoded, passes, stored, utf8, words
-from millrace.llm.sampling import bounded
+from millrace.llm.sampling import bounded, texts_of
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 STEM_SIZES = range(4, 9)
@@ -399,10 +399,11 @@ def scored_features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Model:
     """Fit on a bounded sample of (doc_id, text) with labels (doc_id, toxic)."""
-    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     chosen = bounded(marks.where("toxic = 1"), toxic).unionByName(bounded(marks.where("toxic = 0"), clean))
-    # At most 2 * (toxic + clean) rows of two numbers.
-    sample = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("key"), "text", "toxic"), "toxicity-sample")
+    # At most 2 * (toxic + clean) rows, of ids as of texts, however ids repeat.
+    texts = texts_of(docs.select("doc_id", F.col("text").cast("string").alias("text")), chosen, toxic + clean)
+    sample = stored(texts.select(F.col("doc_id").cast("string").alias("key"), "text", "toxic"), "toxicity-sample")
     # Sorted by key, so that reruns agree.
     sets = normal_words(sample).toArrow().sort_by("key")
     marked = sets["toxic"].to_numpy() if sets.num_rows else np.zeros(0)
