@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.catalog.registry import GRADED, TOK, graded_of, hash_sql, register
 from millrace.functions import text as X
 from millrace.operators import evals, joins, ordering, quality, ranking
+from millrace.operators.ordering import plan_table
 from millrace.plans import prepare
 from millrace.session import table
 
@@ -259,6 +260,33 @@ def token_quantiles(spark, sf):
         "truncation_rate", F.round("truncation_rate", 9))
 
 
+@register("value_quantiles", """
+WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+h AS (SELECT *, (n - 1) // 4 AS lo, (n - 1) % 4 AS rest FROM r)
+SELECT lang, max(n_chars) FILTER (WHERE rn = lo) + CASE WHEN max(rest) > 0 THEN
+         (max(n_chars) FILTER (WHERE rn = lo + 1) - max(n_chars) FILTER (WHERE rn = lo)) * max(rest) / 4.0::DOUBLE ELSE 0.0::DOUBLE END AS q25,
+       (max(n_chars) FILTER (WHERE rn = (99 * n + 99) // 100 - 1))::DOUBLE AS p99, (min(n_chars) FILTER (WHERE rn = 0))::DOUBLE AS least
+FROM h GROUP BY lang""")
+def value_quantiles(spark, sf):
+    wanted = {"q25": ("interpolated", 1, 4), "p99": ("nearest", 99, 100), "least": ("nearest", 0, 1)}
+    return evals.value_quantiles(table(spark, sf, "documents"), "n_chars", wanted, "lang")
+
+
+@register("quantile_sketches", """
+SELECT lang, share, true AS within FROM (SELECT DISTINCT lang FROM documents), (VALUES (0.01), (0.5), (0.9), (0.999)) AS v(share)""")
+def quantile_sketches(spark, sf):
+    """Sketches per language and source, merged by language; whether each quantile's rank is within the sketch's error of its share."""
+    docs = table(spark, sf, "documents").select("lang", "source", "n_chars")
+    sketches = evals.merged_sketches(evals.quantile_sketches(docs, "n_chars", "lang", "source"), "lang")
+    shares = [0.01, 0.5, 0.9, 0.999]
+    told = sketches.select("lang", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("share"), evals.sketched_quantile(s).alias("value")) for s in shares])).alias("s")).select("lang", "s.*")
+    ranks = docs.join(plan_table(told), "lang").groupBy("lang", "share").agg(
+        F.avg((F.col("n_chars") < F.col("value")).cast("int")).alias("below"), F.avg((F.col("n_chars") <= F.col("value")).cast("int")).alias("upto"))
+    slack = 2 * evals.SKETCH_ERROR
+    return ranks.select("lang", F.col("share").cast("decimal(4,3)").alias("share"), ((F.col("below") - slack <= F.col("share")) & (F.col("share") <= F.col("upto") + slack)).alias("within"))
+
+
 # The bootstrap by its definition: every replicate draws a Poisson(1) weight per question.
 @register("paired_diff_ci", f"""WITH {GRADED},
 q AS (SELECT bench, id, avg(correct::INT) - avg(truncated::INT) AS d FROM graded GROUP BY bench, id),

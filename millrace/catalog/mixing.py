@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import LANGS, SOURCES, TOK, digest, hash_sql, documents, langs_of, register, sources_of
+from millrace.functions.permutation import PRIME, rounds
 from millrace.operators import batches, joins, mixture, ordering
 from millrace.plans import prepare, training
 from millrace.session import table
@@ -285,6 +286,69 @@ def sample_order(spark, sf):
     return mixture.sample_order(spark, n, n * 3 // 4, 6)
 
 
+def place_sql(x: str, n: str, seed, salt: str = "0", back: bool = False) -> str:
+    """The rounds of a permutation in SQL; states are one-number structs, as the list's members are structs."""
+    order = rounds(seed)[::-1] if back else rounds(seed)
+    constants = ", ".join(f"{{'x': 0::BIGINT, 's': {r.shift}::BIGINT, 'l': {r.low}::BIGINT, 'h': {r.high}::BIGINT, 'a': {r.add}::BIGINT}}" for r in order)
+    other = f"((((r.s + ({salt}) * r.l) % ({n})) - a.x) % ({n}) + ({n})) % ({n})"
+    top = f"greatest(a.x, {other})"
+    h = f"(({top} % {PRIME}) * r.l % {PRIME} + (({top} >> 31) % {PRIME}) * r.h % {PRIME} + r.a + ({salt})) % {PRIME}"
+    swap = f"((({h}) * ({h}) % {PRIME}) >> 11) % 2 = 1"
+    start = f"{{'x': ({x})::BIGINT, 's': 0::BIGINT, 'l': 0::BIGINT, 'h': 0::BIGINT, 'a': 0::BIGINT}}"
+    return f"list_reduce([{constants}], lambda a, r: {{'x': CASE WHEN {swap} THEN {other} ELSE a.x END, 's': 0, 'l': 0, 'h': 0, 'a': 0}}, {start}).x"
+
+
+@register("sample_places", f"""
+WITH n AS (SELECT count(*) AS n, count(*) * 3 // 4 AS k FROM documents),
+s AS (SELECT unnest(range(n)) AS sample, n, k FROM n)
+SELECT sample, {place_sql("sample", "k", 6)} AS pos FROM s WHERE sample < k
+UNION ALL SELECT sample, k + {place_sql("sample - k", "n - k", 6)} FROM s WHERE sample >= k""")
+def sample_places(spark, sf):
+    n = _docs(spark, sf).count()
+    return mixture.sample_places(spark.range(n).withColumnRenamed("id", "sample"), n, n * 3 // 4, 6)
+
+
+@register("samples_at", f"""
+WITH n AS (SELECT count(*) AS n, count(*) * 3 // 4 AS k FROM documents),
+s AS (SELECT unnest(range(n)) AS pos, n, k FROM n)
+SELECT pos, {place_sql("pos", "k", 6, back=True)} AS sample FROM s WHERE pos < k
+UNION ALL SELECT pos, k + {place_sql("pos - k", "n - k", 6, back=True)} FROM s WHERE pos >= k""")
+def samples_at(spark, sf):
+    n = _docs(spark, sf).count()
+    return mixture.samples_at(spark.range(n).withColumnRenamed("id", "pos"), n, n * 3 // 4, 6)
+
+
+WINDOW_LENS = f"""lens AS (SELECT source, count(*) AS len, {hash_sql("0", "right(source, 16)")} % {PRIME} AS salt FROM documents GROUP BY source),
+w AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS win FROM documents)"""
+
+
+@register("window_places", f"""WITH {WINDOW_LENS}
+SELECT source, doc_id, win, {place_sql("win", "len", 9, "salt")} AS place FROM w JOIN lens USING (source)""")
+def window_places(spark, sf):
+    docs = _docs(spark, sf)
+    win = ordering.global_row_index(docs.select("source", "doc_id"), "doc_id", ["source"], "win")
+    lens = docs.groupBy("source").agg(F.count(F.lit(1)).alias("len"))
+    return mixture.window_places(win, lens, 9).select("source", "doc_id", "win", "place")
+
+
+@register("windows_at", f"""WITH {WINDOW_LENS}
+SELECT source, win AS place, {place_sql("win", "len", 9, "salt", True)} AS win FROM w JOIN lens USING (source)""")
+def windows_at(spark, sf):
+    docs = _docs(spark, sf)
+    lens = docs.groupBy("source").agg(F.count(F.lit(1)).alias("len"))
+    places = ordering.global_row_index(docs.select("source", "doc_id"), "doc_id", ["source"], "place").drop("doc_id")
+    return mixture.windows_at(places, lens, 9).select("source", "place", "win")
+
+
+@register("batch_samples", f"""
+WITH n AS (SELECT count(*) AS n FROM documents), p AS (SELECT unnest(range(n * 3 // 2, n * 3)) AS pos, n FROM n)
+SELECT pos, pos // n AS epoch, pos // 8 AS step, {place_sql("pos % n", "n", 12, f"(pos // n) % {PRIME}", True)} AS sample FROM p""")
+def batch_samples(spark, sf):
+    """A run resumed in the middle of its second epoch, up to the end of its third."""
+    n = _docs(spark, sf).count()
+    return mixture.batch_samples(spark, n, n * 3 // 2, n * 3, 12, 8)
+
+
 @register("mix_fractions", f"""
 WITH f AS (SELECT source, count(*) AS n, (substr(source, 4)::INT % 5) / 4.0 AS fraction FROM documents GROUP BY source),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row FROM documents)

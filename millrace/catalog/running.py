@@ -8,7 +8,7 @@ from millrace.catalog.mixing import BINS, _lens, _weights
 from millrace.catalog.registry import LANGS, TOK, documents, langs_of, register
 from millrace.operators import joins, mixture, quality, runs
 from millrace.plans import prepare
-from millrace.session import table
+from millrace.session import stored, table
 
 
 def _blend(spark, sf):
@@ -174,3 +174,20 @@ def epochs_used(spark, sf):
     lens = prepare.tokenized(documents(spark, sf)).groupBy("source").agg(
         F.sum("n_tokens").alias("len"), (F.count(F.lit(1)) * 9000).alias("requested"))
     return runs.epochs_used(lens, L=256).select("source", "epochs", "planned_tokens")
+
+
+@register("changed_blocks", """
+WITH d AS (SELECT source, doc_id, doc_id // 16 AS block FROM documents),
+odd AS (SELECT source, block, 'changed' AS change FROM d WHERE doc_id % 97 = 5
+        UNION SELECT source, block, 'changed' FROM d GROUP BY source, block HAVING bool_or(doc_id % 89 = 3) AND NOT bool_and(doc_id % 89 = 3)),
+gone AS (SELECT source, block, 'removed' AS change FROM d GROUP BY source, block HAVING bool_and(doc_id % 89 = 3)),
+fresh AS (SELECT DISTINCT 'new' AS source, block, 'added' AS change FROM d WHERE doc_id % 211 = 7)
+SELECT source, block::BIGINT AS block, change FROM odd WHERE (source, block) NOT IN (SELECT (source, block) FROM gone)
+UNION ALL SELECT * FROM gone UNION ALL SELECT * FROM fresh""")
+def changed_blocks(spark, sf):
+    """Documents against a copy with some texts changed, some rows taken out and a source added: exactly the blocks that differ."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", "text", "n_chars")
+    kept = docs.where("doc_id % 89 <> 3").withColumn("text", F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    copy = kept.unionByName(docs.where("doc_id % 211 = 7").withColumn("source", F.lit("new")))
+    leaves = [stored(quality.block_digests(t, "doc_id", 16, ["source"]), "leaves") for t in (docs, copy)]
+    return quality.changed_blocks(*leaves, ["source"])

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import hashlib
+from collections.abc import Callable, Iterable, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.functions.seeded import seeded_md5, seeded_unit
+from millrace.functions.seeded import HASH_RANGE, seeded_md5
+from millrace.operators.ordering import block_width, running_offset
+from millrace.session import stored
 
 # Names of the benchmarks, of the one answered by letter, and of those sampled often.
 BENCHMARKS = ("aime24", "aime25", "hmmt25", "amc23", "math500", "gsm8k", "gpqa")
@@ -143,50 +148,138 @@ def wilson_interval(df: DataFrame, correct: str = "correct", n: str = "samples",
     return df.withColumn("ci_low", (middle - spread) / scale).withColumn("ci_high", (middle + spread) / scale)
 
 
+def value_quantiles(df: DataFrame, value: str, quantiles: dict[str, tuple[str, int, int]], *by: str, shares: dict[str, Column] | None = None,
+                    block: int | None = None) -> DataFrame:
+    """Exact quantiles of an integer column per group, from counts per value.
+
+    ``quantiles`` maps a name to ("interpolated" or "nearest", numerator, denominator): the value at rank q (n - 1) between its two
+    neighbours, or the smallest value that a share q of the rows reaches.  Counts combine map-side, their running sum is
+    taken in blocks of values, and a rank is looked up by a comparison; so no task holds the values of a group.  Null values
+    don't count; a group without others has null quantiles.  ``shares`` adds means of 0/1 columns over all rows of a group.
+    """
+    shares = shares or {}
+    ones = [F.sum(c).alias(f"_sum_{k}") for k, c in shares.items()] + [F.count(c).alias(f"_of_{k}") for k, c in shares.items()]
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    # The key stands for the group in joins, so null groups are groups like others.
+    keyed = df.select("*", group.alias("_group"), F.to_json(group, {"ignoreNullFields": "false"}).alias("_key"))
+    counts = keyed.groupBy("_key", F.col(value).cast("bigint").alias("_v")).agg(F.any_value("_group").alias("_group"), F.count(F.lit(1)).alias("_n"), *ones)
+    packed = stored(counts, "value-counts")
+    totals = packed.groupBy("_key").agg(
+        F.any_value("_group").alias("_group"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("_rows"),
+        *[(F.sum(f"_sum_{k}") / F.nullif(F.sum(f"_of_{k}"), F.lit(0))).alias(k) for k in shares])
+    held = packed.where("_v is not null").select("_key", "_v", "_n")
+    placed = running_offset(held, ["_key"], "_v", "_n", "_start", block or block_width(held, "_v"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_n")), F.col("_v"))).cast("double")
+
+    out = []
+    for name, (kind, top, bottom) in quantiles.items():
+        if kind == "nearest":
+            out.append(at(F.greatest(F.expr(f"({top} * _rows + {bottom - 1}) div {bottom} - 1"), F.lit(0))).alias(name))
+            continue
+        whole, rest = F.expr(f"{top} * (_rows - 1) div {bottom}"), F.max(F.expr(f"{top} * (_rows - 1) % {bottom}")) / F.lit(bottom)
+        out.append((at(whole) + F.when(rest > 0, (at(whole + 1) - at(whole)) * rest).otherwise(F.lit(0.0))).alias(name))
+    found = placed.join(totals.select("_key", "_rows"), "_key").groupBy("_key").agg(*out)
+    return totals.join(found, "_key", "left").select(*[F.col(f"_group.{k}").alias(k) for k in by], *quantiles, *shares)
+
+
 def token_quantiles(graded: DataFrame, *by: str) -> DataFrame:
-    """Median (interpolated), p90 (nearest rank) and truncation rate of the answer lengths.
+    """Median (interpolated), p90 (nearest rank) and truncation rate of the answer lengths, exactly."""
+    wanted = {"median_tokens": ("interpolated", 1, 2), "p90_tokens": ("nearest", 9, 10)}
+    return value_quantiles(graded, "tokens", wanted, *by, shares={"truncation_rate": _flag("truncated")})
+
+
+#: Size of a quantile sketch, and its rank error: of a hundred sketches 99 are at most so far off.
+SKETCH_K, SKETCH_ERROR = 400, 0.0075
+
+
+def quantile_sketches(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """A mergeable sketch of a numeric column per group: a few KB, whatever the number of rows.  ``merged_sketches`` adds them up."""
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_K)).alias("sketch"))
+
 
-    Exact: Spark's percentile keeps counts per distinct length, of which there are at most as many
-    as the output limit.
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def sketched_quantile(share: float, sketch: str = "sketch") -> Column:
+    return F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(share))
+
+
+def poisson_weights(seed: int, replicates: int, bench: str, item: str) -> np.ndarray:
+    """Poisson(1) draws of a question in every replicate, by inversion of seeded uniform numbers."""
+    digits = (hashlib.md5(f"{seed}:{r}:{bench}:{item}".encode()).hexdigest()[:8] for r in range(replicates))
+    u = np.fromiter((int(d, 16) for d in digits), np.float64, replicates) / HASH_RANGE
+    return np.searchsorted(POISSON_CDF, u, "right")
+
+
+def _poisson_cdf() -> np.ndarray:
+    out, term, total = [], 0.36787944117144233, 0.0  # exp(-1), the Poisson(1) mass at 0
+    for k in range(12):
+        total += term
+        out.append(total)
+        term /= k + 1
+    return np.asarray(out)
+
+
+POISSON_CDF = _poisson_cdf()
+#: Benchmarks whose sums a task holds before it passes them on.
+HELD_SUMS = 1000
+
+
+def replicate_sums(diff: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(bench, replicate, weights, weighted): sums of the draws and of draws times difference over questions (bench, id, d).
+
+    A task adds up all replicates of its questions in one array per benchmark, so what is shuffled are replicates times tasks, not
+    questions times replicates.
     """
-    return graded.groupBy(*by).agg(
-        F.median("tokens").alias("median_tokens"),
-        F.expr("percentile_disc(0.9) within group (order by tokens)").alias("p90_tokens"),
-        F.avg(_flag("truncated")).alias("truncation_rate"),
-    )
+
+    columns = ["bench", "replicate", "weights", "weighted"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            names, sums = np.repeat(np.asarray(list(held), object), replicates), np.concatenate(list(held.values()), 1)
+            number = np.tile(np.arange(replicates, dtype=np.int32), len(held))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(number), pa.array(sums[0]), pa.array(sums[1])], names=columns)
+
+        for batch in batches:
+            for bench, item, d in zip(*(batch.column(c).to_pylist() for c in ("bench", "id", "d"))):
+                if d is None:
+                    continue
+                if bench not in held and len(held) >= HELD_SUMS:
+                    yield out()
+                    held.clear()
+                w = poisson_weights(seed, replicates, bench, item)
+                sums = held.setdefault(bench, np.zeros((2, replicates)))
+                sums += [w, w * d]
+        if held:
+            yield out()
+
+    parts = diff.select(F.col("bench").cast("string").alias("bench"), F.col("id").cast("string").alias("id"), F.col("d").cast("double").alias("d")).mapInArrow(
+        run, "bench string, replicate int, weights double, weighted double")
+    return parts.groupBy("bench", "replicate").agg(F.sum("weights").alias("weights"), F.sum("weighted").alias("weighted"))
 
 
 def paired_diff_ci(a: DataFrame, b: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Difference of two runs with a 95 % interval by a paired bootstrap over questions.
 
     Samples are averaged per question first; each replicate weights a question by a Poisson(1) draw
-    fixed by (seed, replicate, question), so replicates add up with map-side combining.
+    fixed by (seed, replicate, question), so replicates add up inside the tasks.
     """
     mean = lambda df, name: df.groupBy("bench", "id").agg(F.avg(_flag("correct")).alias(name))
-    diff = mean(a, "_a").join(mean(b, "_b"), ["bench", "id"]).select("bench", "id", (F.col("_a") - F.col("_b")).alias("_d"))
-    cdf, term, total = [], 0.36787944117144233, 0.0  # exp(-1), the Poisson(1) mass at 0
-    for k in range(12):
-        total += term
-        cdf.append(total)
-        term /= k + 1
-    draws = repeat(diff, replicates)
-    u = seeded_unit(seed, F.col("replicate"), F.col("bench"), F.col("id"))
-    weight = sum(((u >= c).cast("int") for c in cdf[1:]), (u >= cdf[0]).cast("int"))
-    means = draws.withColumn("_w", weight).groupBy("bench", "replicate").agg(
-        (F.sum(F.col("_w") * F.col("_d")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m")
-    )
+    diff = mean(a, "_a").join(mean(b, "_b"), ["bench", "id"]).select("bench", "id", (F.col("_a") - F.col("_b")).alias("d"))
+    means = replicate_sums(diff, replicates, seed).withColumn("_m", F.col("weighted") / F.nullif(F.col("weights"), F.lit(0.0)))
     ends = means.groupBy("bench").agg(
         F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high")
     )
-    return diff.groupBy("bench").agg(F.avg("_d").alias("difference"), F.count(F.lit(1)).alias("questions")).join(
+    return diff.groupBy("bench").agg(F.avg("d").alias("difference"), F.count(F.lit(1)).alias("questions")).join(
         ends, "bench"
     )
 
 
-def repeat(df: DataFrame, n: int, out: str = "replicate") -> DataFrame:
-    return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-
 def validate_points(points: DataFrame, steps: DataFrame, benches: DataFrame) -> DataFrame:
     """Broken rules of a result table, one row each.
 

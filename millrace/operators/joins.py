@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordering import plan_table
+from millrace.operators.ordering import DEFAULT_BLOCK, block_width, plan_table
 
 
 def interval_join(
@@ -42,6 +42,37 @@ def interval_join(
     return located.join(right, cond, how).drop("_cell", "_r_cell", *[f"_k_{k}" for k in keys])
 
 
+def carry_join(points: DataFrame, bounds: DataFrame, at: str, start: str, keys: Sequence[str] = (), rows_per_block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Every point with the last boundary at or before it, of the same keys; points before the first boundary, or with a null, are left out.
+
+    Points and boundaries stand in one order, cut into blocks of the position.  Inside a block the last boundary is carried
+    along; the last one of all earlier blocks comes from a table of one row per block.  So a range over most
+    points is as many blocks as it has points for, boundaries are not repeated, and no cell width has to be chosen.  Of boundaries at one
+    place any is taken.
+    """
+    keys, points = list(keys), points.where(F.col(at).isNotNull())
+    for k in keys:
+        points = points.where(F.col(k).isNotNull())
+    width = block_width(points.select(at), at, rows_per_block)
+    carried = [c for c in bounds.columns if c not in keys]
+    block = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint").alias("_block")
+    told = bounds.where(F.col(start).isNotNull()).select(
+        *keys, block(start), F.col(start).cast("bigint").alias("_at"), F.lit(0).alias("_kind"), F.struct(*carried).alias("_bound"))
+    point = F.struct(*points.columns)
+    asked = points.select(*keys, block(at), F.col(at).cast("bigint").alias("_at"), F.lit(1).alias("_kind"), point.alias("_point"))
+    rows = told.withColumn("_point", F.lit(None).cast(asked.schema["_point"].dataType)).unionByName(
+        asked.withColumn("_bound", F.lit(None).cast(told.schema["_bound"].dataType)))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.repartition(*keys, "_block").withColumn("_last", F.last("_bound", ignorenulls=True).over(inside)).where("_kind = 1")
+    # One row per block: its own last boundary, and the one that comes into it from before.
+    last = told.groupBy(*keys, "_block").agg(F.max_by("_bound", "_at").alias("_own"))
+    blocks = asked.select(*keys, "_block").distinct().join(last, [*keys, "_block"], "full")
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    into = blocks.select(*keys, "_block", F.last("_own", ignorenulls=True).over(before).alias("_into"))
+    met = local.join(into, [*keys, "_block"]).withColumn("_bound", F.coalesce("_last", "_into")).where("_bound is not null")
+    return met.select("_point.*", *[F.col(f"_bound.{c}").alias(c) for c in carried])
+
+
 def cumulative_ranges(lens: DataFrame, by: Sequence[str], order: str, size: str = "len") -> DataFrame:
     """``[start, end)`` of every file of a source (a file table is small: one row per file)."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -51,11 +82,16 @@ def cumulative_ranges(lens: DataFrame, by: Sequence[str], order: str, size: str
 
 def locate_window(pos: DataFrame, lens: DataFrame, by: Sequence[str] = ("source",), order: str = "file",
                   width: int | None = None) -> DataFrame:
-    """File of every stream position and the position inside it."""
-    ranges = cumulative_ranges(plan_table(lens), by, order).select(*by, order, "start", "end")
-    return interval_join(pos, ranges, "pos", "start", "end", by, width).withColumn(
-        "inner_pos", F.col("pos") - F.col("start")
-    )
+    """File of every stream position and the position inside it.
+
+    A file may hold most positions: they are told apart by blocks, not by file.  With ``width``, by cells of so many positions.
+    """
+    ranges = cumulative_ranges(plan_table(lens), by, order).select(*by, order, "start", "end").where("start < end")
+    if width is None:
+        found = carry_join(pos, ranges, "pos", "start", by).where((F.col("pos") >= 0) & (F.col("pos") < F.col("end")))
+    else:
+        found = interval_join(pos, ranges, "pos", "start", "end", by, width)
+    return found.withColumn("inner_pos", F.col("pos") - F.col("start"))
 
 
 def files_needed(files: DataFrame, need: DataFrame, by: str = "source", order: str = "file") -> DataFrame:
@@ -98,7 +134,12 @@ def grade_items(gens: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def stage_for_step(steps: DataFrame, stages: DataFrame, width: int | None = None) -> DataFrame:
-    """Latest stage starting at or before each step; the last stage reaches to the last step there is."""
+    """Latest stage starting at or before each step; the last stage reaches to the last step there is.
+
+    With ``width``, found by cells of so many steps instead of carried along the steps.
+    """
+    if width is None:
+        return carry_join(steps, plan_table(stages).select("name", "start_step"), "step", "start_step")
     w = Window.orderBy("start_step")
     open_end = F.coalesce(steps.agg(F.max("step") + 1).scalar(), F.lit(0))
     ranges = plan_table(stages).select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.permutation import PRIME, number_at, place_of
 from millrace.functions.seeded import seeded_int
 from millrace.functions.text import shard_name
 from millrace.operators.ordering import (
@@ -335,6 +336,49 @@ def sample_order(spark: SparkSession, n: int, k: int, seed: int) -> DataFrame:
     return hash_order(rows, seed, ["sample"], (), "pos", (F.col("sample") >= k).cast("int"))
 
 
+# The same orders with direct access ------------------------------------------------------------
+
+
+def _name_salt(by: str) -> Column:
+    """31 bits of the end of a source's name."""
+    return F.pmod(seeded_int(0, F.right(F.col(by), F.lit(NAME_TAIL))), F.lit(PRIME))
+
+
+def sample_places(samples: DataFrame, n: int, k: int, seed: int) -> DataFrame:
+    """Places of samples in a random order of 0..n-1 with the first ``k`` apart: a projection, for any part of the samples."""
+    early = place_of(F.col("sample"), k, seed)
+    late = F.lit(k) + place_of(F.col("sample") - k, n - k, seed)
+    return samples.withColumn("pos", F.when(F.col("sample") < k, early).otherwise(late))
+
+
+def samples_at(places: DataFrame, n: int, k: int, seed: int) -> DataFrame:
+    """Samples that stand at places ``pos`` of that order; a resumed run asks for the places it still needs."""
+    early = number_at(F.col("pos"), k, seed)
+    late = F.lit(k) + number_at(F.col("pos") - k, n - k, seed)
+    return places.withColumn("sample", F.when(F.col("pos") < k, early).otherwise(late))
+
+
+def window_places(win: DataFrame, lens: DataFrame, seed: int, by: str = "source", row: str = "win", out: str = "place") -> DataFrame:
+    """Fixed random order of each source's windows 0..len-1; ``lens`` (source, len) is a planning table."""
+    rows = win.join(plan_table(lens.select(by, F.col("len").alias("_len"))), by)
+    return rows.withColumn(out, place_of(F.col(row), F.col("_len"), seed, _name_salt(by))).drop("_len")
+
+
+def windows_at(places: DataFrame, lens: DataFrame, seed: int, by: str = "source", place: str = "place", out: str = "win") -> DataFrame:
+    """Windows at the places of each source's order, the inverse of ``window_places``."""
+    rows = places.join(plan_table(lens.select(by, F.col("len").alias("_len"))), by)
+    return rows.withColumn(out, number_at(F.col(place), F.col("_len"), seed, _name_salt(by))).drop("_len")
+
+
+def batch_samples(spark: SparkSession, n: int, first: int, last: int, seed: int, batch: int) -> DataFrame:
+    """(pos, epoch, step, sample) of places ``first`` to ``last - 1`` of an endless order that shuffles 0..n-1 anew in every epoch.
+
+    Nothing before ``first`` is computed, so resuming costs nothing.
+    """
+    pos = spark.range(first, last).select(F.col("id").alias("pos"), F.expr(f"id div {n}").alias("epoch"), F.expr(f"id div {batch}").alias("step"))
+    return pos.withColumn("sample", number_at(F.pmod("pos", F.lit(n)), n, seed, F.pmod("epoch", F.lit(PRIME))))
+
+
 def mix_fractions(df: DataFrame, fractions: DataFrame, seed: int = 42, by: str = "source", key: str = "doc_id",
                   block: int = DEFAULT_BLOCK) -> DataFrame:
     """First ``int(fraction * rows)`` rows of every set, concatenated and shuffled."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import plan_table
+
 ZERO = 1e-10  # fixed value: anything smaller counts as zero
 
 
@@ -103,3 +105,63 @@ def table_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
         F.sha2(F.concat_ws(":", F.col("rows").cast("string"), F.col("_x").cast("string"), F.col("_s").cast("string")), 256)
         .alias("fingerprint"),
     )
+
+
+# Digests as a tree ----------------------------------------------------------------------------
+
+
+def _row_word(cols: Sequence[str]) -> Column:
+    """60 bits of a digest of a row; nulls, arrays and numbers by their text."""
+    parts = [F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("")) for c in cols]
+    return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 15), 16, 10).cast("bigint")
+
+
+def _folded(words: DataFrame, by: Sequence[str], word: str, rows: Column) -> DataFrame:
+    """Digest of a group of words in any order, and its rows; counts and sums combine map-side."""
+    told = words.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(word).alias("_x"), F.sum(F.col(word).cast("decimal(38,0)")).alias("_s"), rows.alias("_rows"))
+    text = F.concat_ws(":", *[F.col(c).cast("string") for c in ("_n", "_x", "_s")])
+    return told.select(*by, F.coalesce("_rows", F.lit(0)).alias("rows"), F.sha2(text, 256).alias("digest"))
+
+
+def block_digests(df: DataFrame, order: str, block: int, by: Sequence[str] = ("source", "shard"), cols: Sequence[str] | None = None) -> DataFrame:
+    """Leaves of the tree: (by, block, rows, digest) of every ``block`` keys of a shard; rows of a block have no order."""
+    cols = list(cols or [c for c in df.columns if c not in by])
+    rows = df.select(*by, F.floor(F.col(order) / F.lit(block)).cast("bigint").alias("block"), _row_word(cols).alias("_w"))
+    return _folded(rows, [*by, "block"], "_w", F.count(F.lit(1)))
+
+
+def _above(nodes: DataFrame, by: Sequence[str], child: Sequence[str]) -> DataFrame:
+    """Digests one level up, of the children's names and digests."""
+    named = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in child], F.col("digest"))
+    word = F.conv(F.substring(F.sha2(named, 256), 1, 15), 16, 10).cast("bigint")
+    return _folded(nodes.select(*by, "rows", word.alias("_w")), by, "_w", F.sum("rows"))
+
+
+def shard_digests(blocks: DataFrame, by: Sequence[str] = ("source", "shard")) -> DataFrame:
+    """(by, digest, rows) from the digests of blocks."""
+    return _above(blocks, by, ["block"])
+
+
+def table_digest(shards: DataFrame, by: Sequence[str] = ("source", "shard")) -> DataFrame:
+    """(digest, rows) of the whole table from the digests of shards."""
+    return _above(shards, (), by)
+
+
+def changed_blocks(a: DataFrame, b: DataFrame, by: Sequence[str] = ("source", "shard")) -> DataFrame:
+    """Blocks whose digests differ between two trees of leaves, or that one lacks: (by, block, change).
+
+    Equal tables are told by one row each; otherwise shards are compared, and blocks only of those that differ.
+    """
+    shards_a, shards_b = shard_digests(a, by), shard_digests(b, by)
+    tops = [table_digest(x, by).select("digest").collect() for x in (shards_a, shards_b)]
+    if tops[0] == tops[1]:
+        return a.limit(0).select(*by, "block", F.lit("").alias("change"))
+    key = lambda x, y, names: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names]
+    other = shards_a.alias("a").join(shards_b.alias("b"), key("a", "b", by), "full").where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
+    other = plan_table(other.select(*[F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in by])).alias("o")
+    x, y = (t.alias("t").join(other, key("t", "o", by), "left_semi") for t in (a, b))
+    names = [*by, "block"]
+    met = x.alias("x").join(y.alias("y"), key("x", "y", names), "full").where(~F.col("x.digest").eqNullSafe(F.col("y.digest")))
+    change = F.when(F.col("x.digest").isNull(), "added").when(F.col("y.digest").isNull(), "removed").otherwise("changed")
+    return met.select(*[F.coalesce(F.col(f"x.{c}"), F.col(f"y.{c}")).alias(c) for c in names], change.alias("change"))
