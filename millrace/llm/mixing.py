@@ -149,12 +149,12 @@ def expand(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_c
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), text.cast("string").alias("text"), F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").alias("own_source"), tie.alias("tie"),
     ).join(edges, F.col("own_source").eqNullSafe(F.col("source"))).where(F.col("tie") == F.col("last.tie"))
-    near = near.withColumns({"size": n_words(F.col("text")), "symbols": _symbols(F.col("text"))})
-    near = near.withColumn("key", exponential_key(F.col("doc_id"), quality_weight(F.col("size"), F.col("symbols")), seed))
-    equal = near.where(at == edge).groupBy("own_source").agg(
-        F.any_value("row").alias("row"), F.any_value("text").alias("text"), F.max("size").alias("size"), F.max("epochs").alias("epochs"),
-        F.count(F.lit(1)).alias("n"), F.max(F.col("rest") + F.col("last.before")).alias("left"),
-    )
+    # Grouped with the edge as an aggregate, so that the exact test below is not made on rows whose hash differs.
+    alike = near.groupBy("own_source", "doc_id", "text", "tie").agg(
+        F.any_value("row").alias("row"), F.any_value("last").alias("last"), F.max("epochs").alias("epochs"), F.max("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
+    alike = alike.withColumns({"size": n_words(F.col("text")), "symbols": _symbols(F.col("text"))})
+    alike = alike.withColumn("key", exponential_key(F.col("doc_id"), quality_weight(F.col("size"), F.col("symbols")), seed))
+    equal = alike.where(at == edge).withColumn("left", F.col("rest") + F.col("last.before"))
     equal = equal.withColumn("left", F.least("left", F.col("n") * F.col("size")))
     parts = F.array(
         F.struct((F.col("n") * F.col("epochs") + F.expr("left div size")).alias("times"), F.col("size").alias("words")),
