@@ -8,7 +8,7 @@ from millrace.catalog.registry import LANGS, SOURCES, TOK, digest, hash_sql, doc
 from millrace.functions.permutation import PRIME, rounds
 from millrace.operators import batches, joins, mixture, ordering
 from millrace.plans import prepare, training
-from millrace.session import table
+from millrace.session import stored, table
 
 
 def _docs(spark, sf):
@@ -482,7 +482,7 @@ SELECT pos AS sample, pos // 32 AS step, (pos % 32) // 16 AS micro, (pos % 16) /
 FROM blend JOIN shuffled USING (source, place) WHERE pos < (SELECT count(*) FROM documents) // 16 * 16""")
 def training_samples(spark, sf):
     docs = documents(spark, sf).select("doc_id", "source", "text")
-    tok = prepare.tokenized(docs).drop("text").withColumn("ids", F.concat("ids", F.array(F.lit("<eos>"))))
+    tok = stored(prepare.tokenized(docs).drop("text").withColumn("ids", F.concat("ids", F.array(F.lit("<eos>")))), "tokenized")
     sized = tok.withColumn("_n", F.col("n_tokens") + 1)
     stream = ordering.running_offset(sized, ["source"], "doc_id", "_n", "start")
     sources = sources_of(docs).select("source", "ds", F.col("docs").alias("weight"))

@@ -10,13 +10,14 @@ from millrace.catalog.registry import EOS, PIECES_SQL, TOK, digest, documents, h
 from millrace.functions import text as X
 from millrace.operators import fim, mixture, ordering, pack, sft, spans
 from millrace.plans import prepare
-from millrace.session import table
+from millrace.session import stored, table
 
 L = 200
 
 
 def _tok(spark, sf):
-    return prepare.tokenized(documents(spark, sf).select("doc_id", "source", "text")).drop("text")
+    """Tokenized once, however often a query reads it."""
+    return stored(prepare.tokenized(documents(spark, sf).select("doc_id", "source", "text")).drop("text"), "tokenized")
 
 
 def _order(tok):
@@ -192,7 +193,7 @@ def _packed(spark, sf):
     """Samples of several documents with end tokens inside, one stream per source."""
     tok = _tok(spark, sf).withColumn("ids", F.concat("ids", F.array(F.lit(EOS)))).withColumn("_n", F.col("n_tokens") + 1)
     placed = ordering.running_offset(tok, ["source"], "doc_id", "_n", "start")
-    return pack.pack_windows(placed, L, ["source"]).withColumn("sample", F.concat_ws("/", "source", "win"))
+    return stored(pack.pack_windows(placed, L, ["source"]), "packed").withColumn("sample", F.concat_ws("/", "source", "win"))
 
 
 # Samples as lists of segments, each permuted on its own; empty segments are gone unless last.
@@ -280,6 +281,10 @@ def _sent(spark, sf):
     return spans.sentences_table(documents(spark, sf).select("doc_id", "text"))
 
 
+def _sizes(spark, sf):
+    return spans.sentence_sizes(documents(spark, sf).select("doc_id", "text"))
+
+
 @register("sentences_table", f"""WITH {SENTENCES}
 SELECT doc_id, sent_ord, size, md5(array_to_string(ids, ' ')) AS content FROM sent""")
 def sentences_table(spark, sf):
@@ -334,7 +339,7 @@ SELECT epoch::INT AS epoch, doc_id, start::INT AS start, k::INT AS "end", target
        row_number() OVER (ORDER BY md5('5:' || epoch || ':' || doc_id || ':' || start), epoch, doc_id, start) - 1 AS pos
 FROM walk WHERE closes""")
 def sentence_spans(spark, sf):
-    return spans.sentence_spans(_sent(spark, sf), 128, 2, 0.1, 2, 5)
+    return spans.sentence_spans(_sizes(spark, sf), 128, 2, 0.1, 2, 5)
 
 
 # Without shortened targets the spans follow from a running rule, written here as a recursion over sentences.
@@ -355,4 +360,4 @@ SELECT 0::INT AS epoch, doc_id, start::INT AS start, stop::INT AS "end", block_i
 def block_spans(spark, sf):
     docs = table(spark, sf, "documents")
     titles = docs.select("doc_id", (F.lit(1) + F.col("doc_id") % 9).cast("int").alias("title_size"))
-    return spans.block_spans(_sent(spark, sf), titles, 96, False, 1, 5)
+    return spans.block_spans(_sizes(spark, sf), titles, 96, False, 1, 5)

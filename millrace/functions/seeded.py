@@ -7,6 +7,8 @@ buckets that two passes over the data always agree on.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def seeded_int(seed, *keys: Column) -> Column:
     return hash_prefix(seeded_md5(seed, *keys))
 
 
+def seeded_number(seed, *keys) -> int:
+    """``seeded_int`` of plain values, for code inside tasks."""
+    return int(hashlib.md5(":".join(map(str, (seed, *keys))).encode()).hexdigest()[:8], 16)
+
+
 def seeded_unit(seed, *keys: Column) -> Column:
     """Uniform DOUBLE in [0, 1)."""
     return seeded_int(seed, *keys) / F.lit(float(HASH_RANGE))

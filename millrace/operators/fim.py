@@ -43,23 +43,28 @@ def permuted(text: Column, unchanged: Column, fim: Fim, rate: float | Column, *k
     a = seeded_below(length + 1, fim.seed, F.lit("cut0"), *keys).cast("int")
     b = seeded_below(length + 1, fim.seed, F.lit("cut1"), *keys).cast("int")
     lo, hi = F.least(a, b), F.greatest(a, b)
-    pre = fim.encode(F.substr(text, F.lit(1), lo))
-    mid = fim.encode(F.substr(text, lo + 1, hi - lo))
-    suf = fim.encode(F.substr(text, hi + 1, length - hi))
+    parts = F.struct(
+        fim.encode(F.substr(text, F.lit(1), lo)).alias("pre"), fim.encode(F.substr(text, lo + 1, hi - lo)).alias("mid"),
+        fim.encode(F.substr(text, hi + 1, length - hi)).alias("suf"), unchanged.alias("unchanged"),
+    )
     drawn = seeded_unit(fim.seed, F.lit("fim"), *keys) < rate
-    if fim.keep_length:
-        # The suffix gives way for what the three marks and the cuts add; a text without room stays as it is.
-        over = F.size(pre) + F.size(mid) + F.size(suf) + 3 - F.size(unchanged)
-        drawn = drawn & ((over <= 0) | (F.size(suf) > over))
-        suf = F.when(over > 0, F.slice(suf, 1, F.greatest(F.size(suf) - over, F.lit(0)))).otherwise(
-            F.concat(suf, F.array_repeat(F.lit(fim.pad), F.greatest(-over, F.lit(0)))))
-    p, m, s = (F.array(F.lit(x)) for x in (fim.prefix, fim.middle, fim.suffix))
-    order = F.when(
-        seeded_unit(fim.seed, F.lit("spm"), *keys) < fim.spm_rate, F.concat(p, s, suf, m, pre, mid)
-    ).otherwise(F.concat(p, pre, s, suf, m, mid))
     if fim.no_fim_prefix is not None:
         drawn = drawn & ~F.startswith(text, F.lit(fim.no_fim_prefix))
-    return F.when(drawn, order).otherwise(unchanged)
+    spm = seeded_unit(fim.seed, F.lit("spm"), *keys) < fim.spm_rate
+    p, m, s = (F.array(F.lit(x)) for x in (fim.prefix, fim.middle, fim.suffix))
+
+    def ordered(part: Column) -> Column:
+        pre, mid, suf, room = part["pre"], part["mid"], part["suf"], F.lit(True)
+        if fim.keep_length:
+            # The suffix gives way for what the three marks and the cuts add; a text without room stays as it is.
+            over = F.size(pre) + F.size(mid) + F.size(suf) + 3 - F.size(part["unchanged"])
+            room = (over <= 0) | (F.size(suf) > over)
+            suf = F.when(over > 0, F.slice(suf, 1, F.greatest(F.size(suf) - over, F.lit(0)))).otherwise(
+                F.concat(suf, F.array_repeat(F.lit(fim.pad), F.greatest(-over, F.lit(0)))))
+        return F.when(room, F.when(spm, F.concat(p, s, suf, m, pre, mid)).otherwise(F.concat(p, pre, s, suf, m, mid))).otherwise(part["unchanged"])
+
+    # Bound to a name by a list of one, so that each part is tokenized once, and none of a text that stays as it is.
+    return F.when(drawn, F.transform(F.array(parts), ordered)[0]).otherwise(unchanged)
 
 
 def fim_permute(df: DataFrame, fim: Fim, text_col: str = "text", key: str = "doc_id", out: str = "ids") -> DataFrame:

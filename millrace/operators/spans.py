@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as X
 from millrace.functions.arrays import int_slice
-from millrace.functions.seeded import seeded_int
-from millrace.operators.ordering import hash_order, repeat_epochs, running_offset
+from millrace.functions.seeded import seeded_number
+from millrace.operators.ordering import hash_order, running_offset
 
 LONG_SENTENCE = 512  # fixed value: documents with a longer sentence give no spans
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]*"
@@ -55,44 +57,59 @@ def item_slice(tok: DataFrame, doc_id: int | tuple[int, int] | None = None, offs
     return tok.withColumn(ids_col, int_slice(F.col(ids_col), offset, size))
 
 
-def _spans(sizes: Column, closes: Callable[[Column, Column, Column], Column], target: Callable[[Column], Column]) -> Column:
-    """Cut a document's sentence sizes into spans (start, end, target) by a running rule.
+SPANS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "target")]))
+ARROW_SPANS = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "target")]))
 
-    ``closes(length, sentences, remaining)`` compares against the span's own target, which
-    ``target(number of the span)`` gives.
-    """
-    n = F.size(sizes)
-    zero = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).cast("bigint").alias("len"),
-        target(F.lit(0)).cast("int").alias("target"),
-        F.array().cast("array<struct<start:int,end:int,target:int>>").alias("spans"),
-    )
 
-    def step(s, size):
-        length = s["len"] + size
-        done = s["at"] + 1
-        close = ((length >= s["target"]) & closes(length, done - s["start"], n - done)) | (done == n)
-        span = F.struct(s["start"].alias("start"), done.alias("end"), s["target"].alias("target"))
-        shut = F.struct(
-            done.alias("at"), done.alias("start"), F.lit(0).cast("bigint").alias("len"),
-            target(F.size(s["spans"]) + 1).cast("int").alias("target"), F.array_append(s["spans"], span).alias("spans"),
-        )
-        grow = F.struct(
-            done.alias("at"), s["start"].alias("start"), length.alias("len"), s["target"].alias("target"),
-            s["spans"].alias("spans"),
-        )
-        return F.when(close, shut).otherwise(grow)
+def cut_spans(sizes: list[int], closes: Callable[[int, int, int], bool], target: Callable[[int], int]) -> list[tuple[int, int, int]]:
+    """Spans (start, end, target) of a document's sentences: a span of ``target(its number)`` tokens or more closes if
+    ``closes(sentences, left)`` allows, and at the document's end."""
+    out, start, length, aim, n = [], 0, 0, target(0), len(sizes)
+    for done, size in enumerate(sizes, 1):
+        length += size
+        if done == n or (length >= aim and closes(done - start, n - done)):
+            out.append((start, done, aim))
+            start, length, aim = done, 0, target(len(out))
+    return out
+
 
-    return F.aggregate(sizes, zero, step)["spans"]
+def sentence_sizes(docs: DataFrame, splitter: Callable[[Column], Column] = sentences,
+                   tokenizer: Callable[[Column], Column] = X.pieces) -> DataFrame:
+    """(doc_id, sizes): tokens of every sentence of a document in order, without a shuffle; empty sentences have no place."""
+    sizes = F.transform(splitter(F.col("text")), lambda s: F.size(tokenizer(s)))
+    return docs.select("doc_id", F.filter(sizes, lambda n: n > 0).alias("sizes")).where(F.size("sizes") > 0)
 
 
 def _sizes_by_document(sent: DataFrame) -> DataFrame:
-    """One row per document with its sentence sizes in order (numbers only, no text)."""
+    """One row per document with its sentence sizes in order, from a table that has them or from one of sentences."""
+    if "sizes" in sent.columns:
+        return sent
     return sent.groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("sent_ord", "size"))).getField("size").alias("sizes")
     )
 
 
+def _with_spans(docs: DataFrame, epochs: int, least: int, closes: Callable[[int, int], bool], target: Callable[[int, dict], Callable[[int], int]]) -> DataFrame:
+    """(epoch, doc_id, spans) of documents with ``least`` sentences or more and none too long; numbers only go through Python."""
+    schema = T.StructType([T.StructField("epoch", T.IntegerType(), False), docs.schema["doc_id"], T.StructField("spans", SPANS)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            rows, epoch, found = [], [], []
+            for k, row in enumerate(batch.to_pylist()):
+                sizes = row["sizes"]
+                if len(sizes) < least or max(sizes, default=0) > LONG_SENTENCE:
+                    continue
+                for e in range(epochs):
+                    rows.append(k)
+                    epoch.append(e)
+                    found.append([dict(zip(("start", "end", "target"), s)) for s in cut_spans(sizes, closes, target(e, row))])
+            ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(epoch, pa.int32()), ids, pa.array(found, ARROW_SPANS)], ["epoch", "doc_id", "spans"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def _until_enough(spans: DataFrame, max_samples: int | None) -> DataFrame:
     """Whole epochs until ``max_samples`` are reached."""
     if max_samples is None:
@@ -111,18 +128,17 @@ def sentence_spans(sent: DataFrame, max_len: int, min_sent: int = 2, short_prob:
     and at the document's end.  One target in ``1 / short_prob`` is shortened at random.
     """
     ratio = round(1 / short_prob) if short_prob > 0 else 0
-    docs = repeat_epochs(_sizes_by_document(sent), epochs).where(
-        (F.size("sizes") >= min_sent) & ~F.exists("sizes", lambda s: s > LONG_SENTENCE)
-    )
 
-    def target(k: Column) -> Column:
-        if not ratio:
-            return F.lit(max_len)
-        draw = seeded_int(seed, F.col("epoch"), F.col("doc_id"), k)
-        return F.when(F.pmod(draw, F.lit(ratio)) == 0, 2 + F.pmod(draw, F.lit(max_len - 1))).otherwise(max_len)
+    def target(epoch: int, row: dict) -> Callable[[int], int]:
+        def of(k: int) -> int:
+            draw = seeded_number(seed, epoch, row["doc_id"], k) if ratio else 1
+            return 2 + draw % (max_len - 1) if ratio and draw % ratio == 0 else max_len
 
-    rule = lambda length, held, left: (left > 1) & (held >= min_sent)
-    spans = docs.select("epoch", "doc_id", F.explode(_spans(F.col("sizes"), rule, target)).alias("s"))
+        return of
+
+    docs = _sizes_by_document(sent).where(F.col("doc_id").isNotNull())
+    cut = _with_spans(docs, epochs, min_sent, lambda held, left: left > 1 and held >= min_sent, target)
+    spans = cut.select("epoch", "doc_id", F.explode("spans").alias("s"))
     return hash_order(
         _until_enough(spans.select("epoch", "doc_id", "s.start", "s.end", "s.target"), max_samples),
         seed, ["epoch", "doc_id", "start"],
@@ -136,13 +152,9 @@ def block_spans(sent: DataFrame, titles: DataFrame, max_len: int, one_sent: bool
     ``titles`` has (doc_id, title_size).  ``block_id`` numbers the blocks of an epoch in document order.
     """
     least = 1 if one_sent else 2
-    docs = repeat_epochs(_sizes_by_document(sent).join(titles, "doc_id"), epochs).where(
-        (F.size("sizes") >= least) & ~F.exists("sizes", lambda s: s > LONG_SENTENCE)
-    )
-    rule = lambda length, held, left: left >= least
-    cut = docs.select(
-        "epoch", "doc_id", _spans(F.col("sizes"), rule, lambda k: max_len - F.col("title_size")).alias("spans")
-    ).withColumn("_n", F.size("spans").cast("bigint"))
+    docs = _sizes_by_document(sent).join(titles.select("doc_id", "title_size"), "doc_id")
+    cut = _with_spans(docs, epochs, least, lambda held, left: left >= least, lambda epoch, row: lambda k: max_len - row["title_size"])
+    cut = cut.withColumn("_n", F.size("spans").cast("bigint"))
     placed = running_offset(cut, ["epoch"], "doc_id", "_n", "_first")
     spans = placed.select("epoch", "doc_id", "_first", F.posexplode("spans").alias("_k", "s")).select(
         "epoch", "doc_id", "s.start", "s.end", (F.col("_first") + F.col("_k")).alias("block_id")
