@@ -6,10 +6,10 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from millrace.catalog.registry import EOS, PIECES_SQL, TOK, digest, documents, hash_sql, joined, register
+from millrace.catalog.registry import EOS, PIECES_SQL, TOK, digest, documents, hash_sql, joined, new_folder, register
 from millrace.functions import text as X
 from millrace.operators import fim, mixture, ordering, pack, sft, spans
-from millrace.plans import prepare
+from millrace.plans import prepare, stored_plans
 from millrace.session import stored, table
 
 L = 200
@@ -361,3 +361,14 @@ def block_spans(spark, sf):
     docs = table(spark, sf, "documents")
     titles = docs.select("doc_id", (F.lit(1) + F.col("doc_id") % 9).cast("int").alias("title_size"))
     return spans.block_spans(_sizes(spark, sf), titles, 96, False, 1, 5)
+
+
+@register("sample_index_stored", f"""WITH {ORDER}
+SELECT place // {L} AS sample, pos, offs::BIGINT AS "offset" FROM stream, total WHERE place % {L} = 0 AND place <= t - 1""")
+def sample_index_stored(spark, sf):
+    """The index as a later run reads it: built by the first call, found by the second."""
+    folder = new_folder(spark, "plans")
+    docs = _tok(spark, sf).select("doc_id", F.col("n_tokens").alias("size"))
+    for _ in range(2):
+        index = stored_plans.stored_sample_index(spark, folder, docs, 2, 3, L)
+    return index

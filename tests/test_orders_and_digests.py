@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from bisect import bisect_right
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.permutation import number_at, place_of
 from millrace.functions.seeded import seeded_unit
-from millrace.operators import evals, joins, mixture, quality
+from millrace.operators import evals, joins, mixture, pack, quality
+from millrace.plans import stored_plans
 
 
 def plan(df):
@@ -177,3 +179,29 @@ def test_changed_blocks_are_named_exactly(spark):
     tops = [quality.table_digest(quality.shard_digests(leaves(t))).first() for t in (a, a.repartition(3))]
     assert tops[0] == tops[1] and tops[0]["rows"] == 600
     assert quality.changed_blocks(leaves(a), leaves(a.limit(0))).where("change = 'removed'").count() == leaves(a).count()
+
+
+# Stored plans ---------------------------------------------------------------------------------
+
+
+def test_plans_are_built_once_per_parameters_and_input(spark, tmp_path):
+    folder = str(tmp_path / "plans")
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 17 + 1).alias("size"))
+    run = lambda d=docs, seed=1, L=16: stored_plans.stored_sample_index(spark, folder, d, 2, seed, L)
+    names = lambda: sorted(os.listdir(folder))
+    first = run()
+    made = names()
+    times = {n: os.stat(f"{folder}/{n}").st_mtime_ns for n in made}
+    again = run(docs.repartition(7))
+    assert names() == made and {n: os.stat(f"{folder}/{n}").st_mtime_ns for n in made} == times
+    assert "Exchange" not in plan(again) and again.exceptAll(first).isEmpty()
+    want = pack.sample_index(mixture.doc_order(docs, 2, 1, False), 16)
+    assert want.exceptAll(again).isEmpty() and again.exceptAll(want).isEmpty()
+    run(L=8)
+    assert len(names()) == len(made) + 1  # the order is shared
+    run(seed=2)
+    run(docs.withColumn("size", F.col("size") + 1))
+    assert len(names()) == len(made) + 5
+    assert not [n for n in names() if n.startswith("_")]
+    lens = spark.createDataFrame([(0, 40), (1, 25)], "ds int, len bigint")
+    assert stored_plans.stored_epoch_index(spark, folder, None, lens, 65, 3).count() == stored_plans.stored_epoch_index(spark, folder, None, lens, 65, 3).count() == 65
