@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 from uuid import uuid4
@@ -40,7 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables that ``stored`` writes inside the block; a result that is to stay is written by its caller, inside it, by other means."""
+    """Delete the tables that ``stored`` writes inside the block, which writes what is to stay by other means."""
     made: list[str] = []
     _MADE.append(made)
     try:
@@ -50,6 +52,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in made:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        let_go(spark)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Give memory of the driver back after a stage of many jobs: its plans, the shuffles they hold on executors, and what numpy and Arrow keep."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 # Sets of keys as bits -------------------------------------------------------------------------

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import encoded, passes, utf8, words
+from millrace.llm.common import encoded, let_go, passes, utf8, words
 from millrace.llm.sampling import bounded_by
 
 #: Rows that are learned from at most, before a factor of two; every label gets an equal part of them, or all its rows.
@@ -160,7 +160,7 @@ def train(labelled: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", lang_
     """Fit on a bounded sample of the rows that have a label and an id: rare languages have their part in it."""
     rows = labelled.select(F.col(id_col).cast("string").alias("key"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
     model = fit(counted(bounded_by(rows.where("label is not null and key is not null"), most, "label", "key", "text").select("key", "text", "label")).toArrow())
-    pa.default_memory_pool().release_unused()
+    let_go(labelled.sparkSession)
     return model
 
 

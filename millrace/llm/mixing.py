@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import let_go, stored
 from millrace.operators.ordering import expand_counts, plan_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -163,6 +163,7 @@ def expand(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_c
     cut = equal.select(F.col("own_source").alias("cut_source"), "row", "text", "size", F.inline(parts)).where("times > 0")
     part = F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words").cast("int"))).otherwise(F.col("text"))
     cut = stored(cut.select("cut_source", "words", "times", "row", part.alias("part")), "mix-edges")  # two rows per source
+    let_go(docs.sparkSession)
     numbers = expand_counts(cut.select(F.col("cut_source").alias("source"), F.col("words").alias("n_words"), "times"), "times", "copy")
     spread = numbers.join(cut, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("n_words") == F.col("words")))
     kept = [F.col("part").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns]
