@@ -365,9 +365,9 @@ def flatten_results(spark, sf):
     metrics = F.map_from_arrays(
         F.array(F.lit("mean"), F.lit("longest"), F.lit("mean_stderr")), F.array("mean", "longest", F.coalesce("mean_stderr", F.lit(0.0))))
     one = stats.select("bench", F.concat(F.lit("suite|"), F.col("bench"), F.lit(":"), F.col("id"), F.lit("|0")).alias("task"), metrics.alias("m"))
-    files = one.groupBy("bench").agg(F.map_from_entries(F.collect_list(F.struct("task", "m"))).alias("r"))
-    whole = F.map_concat("r", F.create_map(F.lit("all"), F.create_map(F.lit("mean"), F.lit(1.0))))
-    results = files.select(F.to_json(F.struct(whole.alias("results"))).alias("json"))
+    # A result file per task.
+    whole = F.map_concat(F.create_map("task", "m"), F.create_map(F.lit("all"), F.create_map(F.lit("mean"), F.lit(1.0))))
+    results = one.select(F.to_json(F.struct(whole.alias("results"))).alias("json"))
     return evals.flatten_results(results).withColumn("value", F.round("value", 9))
 
 

@@ -21,6 +21,8 @@ REPEATED = ("aime24", "aime25", "hmmt25", "amc23")
 CHOICE_BENCH = "gpqa"
 # Fixed value: tokens of one training step.
 TOKENS_PER_STEP = 524288
+# Fixed value: data set and, behind a colon, subtask in the name of a task.
+TASK_PATTERN = r"\|(.*?)(?::(.*?))?\|"
 # Fixed value: normal quantile of a 95 % interval.
 Z95 = 1.96
 
@@ -311,14 +313,13 @@ def flatten_results(results: DataFrame, json_col: str = "json") -> DataFrame:
     ``json`` holds ``{"results": {task: {metric: value}}}``; the task ``all`` and ``_stderr`` metrics
     are left out, tasks without two bars too.
     """
-    pattern = r"\|([^|:]*)(?::([^|]*))?\|"
     parsed = F.from_json(json_col, "struct<results: map<string, map<string, double>>>")["results"]
     tasks = results.select(F.explode(parsed).alias("task", "metrics")).where(
-        (F.col("task") != "all") & F.col("task").rlike(pattern)
+        (F.col("task") != "all") & F.col("task").rlike(TASK_PATTERN)
     )
     long = tasks.select(
-        "task", F.regexp_extract("task", pattern, 1).alias("dataset"),
-        F.nullif(F.regexp_extract("task", pattern, 2), F.lit("")).alias("subtask"),
+        "task", F.regexp_extract("task", TASK_PATTERN, 1).alias("dataset"),
+        F.nullif(F.regexp_extract("task", TASK_PATTERN, 2), F.lit("")).alias("subtask"),
         F.explode("metrics").alias("metric", "value"),
     ).where(~F.contains(F.col("metric"), F.lit("_stderr")))
     return long.select(
