@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+from functools import cache
 from uuid import uuid4
 
 from pyspark import SparkConf
@@ -47,11 +49,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return _local_folder()  # driver and executors are one process
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder.rstrip("/")
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="millrace-shared-")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to a fresh folder of the shared one and read it back: later uses don't compute it again, and lost executors don't lose it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
