@@ -42,11 +42,11 @@ def texts_of(docs: DataFrame, chosen: DataFrame, most: int, seed: int = 0) -> Da
 def bounded_by(rows: DataFrame, most: int, label: str, *keys: str, seed: int = 0) -> DataFrame:
     """About ``most`` rows in all, chosen by a hash of ``keys``: an equal part of them for every label, or all rows of a label that has fewer.
 
-    Never more than twice as many: of rows that share their keys only as many as the bound are taken.
+    Rows of equal label and keys count as one in the result, so that it stays near the bound however they repeat.
     """
     counts = plan_table(rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
     labels = max(1, counts.count())
     chosen = counts.select(F.col(label).alias("_label"), F.greatest(F.lit(1.0), F.lit(HASH_SPAN) * max(1, most // labels) / F.col("_n")).alias("_share"))
     own = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(HASH_SPAN))
     met = rows.join(chosen, F.col(label).eqNullSafe(F.col("_label"))).where(own < F.col("_share")).drop("_label", "_share")
-    return met.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(2 * most)
+    return met.dropDuplicates([label, *keys])
