@@ -55,3 +55,16 @@ def split_before(arr: Column, marker) -> Column:
     starts = F.concat(F.array(F.lit(0)), F.transform(marks, lambda m: m + 1))
     ends = F.concat(marks, F.array(n))
     return F.zip_with(starts, ends, lambda a, b: F.slice(arr, a + 1, b - a))
+
+
+def packed(arr: Column) -> Column:
+    """An array of strings for the way through a shuffle: one text, and the array itself only where a blank or a null in it forbids that.
+
+    An array spends 16 bytes or more on every short string, the text one.
+    """
+    plain = (F.size(arr) > 0) & ~F.exists(arr, lambda x: x.isNull() | F.contains(x, F.lit(" ")))
+    return F.struct(F.when(plain, F.array_join(arr, " ")).alias("text"), F.when(~F.coalesce(plain, F.lit(False)), arr).alias("rest"))
+
+
+def unpacked(col: Column) -> Column:
+    return F.coalesce(F.split(col["text"], " ", -1), col["rest"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
+from millrace.functions.arrays import packed, unpacked
 
 #: A vocabulary within both bounds is broadcast, a larger one joined.
 BROADCAST_VOCAB_ROWS, BROADCAST_VOCAB_BYTES = 1_000_000, 64 << 20
@@ -20,6 +21,8 @@ UNKNOWN_ID = 1
 EOS_ID = 0
 FIRST_ID = 2
 EOS_PIECE = "<eos>"
+#: Values of a list column, and bytes of its pieces, that one Arrow pass works on; only a single longer row makes a larger pass.
+PASS_VALUES = 1 << 19
 
 #: With byte fallback the 256 bytes come before the pieces; an id behind the last byte of a piece keeps it apart from the next.
 BYTE_ID = FIRST_ID
@@ -93,14 +96,49 @@ def id_width(vocab_size: int) -> int:
 
 
 def _with_column(batch: pa.RecordBatch, drop: str, column: pa.Array, out: str) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n != drop]
+    names = [n for n in batch.schema.names if n not in (drop, KNOWN)]
     return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), column], [*names, out])
 
 
-def _lookup_encoder(vocab: Broadcast, pieces_col: str, out: str):
+#: Column of the vocabulary's rows that a row's values meet, where the vocabulary is joined.
+KNOWN = "_known"
+
+#: (tokens, ids) that the values of a batch are looked up in.
+Lookup = Callable[[pa.RecordBatch], tuple[pa.Array, pa.Array]]
+
+
+def _whole(vocab: Broadcast) -> Lookup:
+    return lambda batch: vocab.value
+
+
+def _met(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+    """What a row meets holds for all rows of its batch."""
+    tokens, ids = batch.column(batch.schema.get_field_index(KNOWN)).flatten().flatten()
+    return tokens, ids
+
+
+def _passes(batches: Iterable[pa.RecordBatch], col: str, most: int = PASS_VALUES) -> Iterable[pa.RecordBatch]:
+    """The batches cut so that the values of a list column, and their bytes, stay near ``most``."""
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index(col))
+        at = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values
+        if pa.types.is_string(values.type) and len(values):
+            at = at + np.frombuffer(values.buffers()[1], np.int32)[values.offset :][at]
+        first = 0
+        while first < batch.num_rows:
+            last = int(np.searchsorted(at, at[first] + most, "right")) - 1
+            last = min(max(last, first + 1), batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last
+    # A worker lives on after its task; what Arrow keeps for later would add to the next stage's needs.
+    pa.default_memory_pool().release_unused()
+
+
+def _lookup_encoder(lookup: Lookup, pieces_col: str, out: str):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        tokens, ids = vocab.value
-        for batch in batches:
+        for batch in _passes(batches, pieces_col):
+            tokens, ids = lookup(batch)
             offsets, values = _list_parts(batch.column(batch.schema.get_field_index(pieces_col)))
             found = pc.take(ids, pc.index_in(values, value_set=tokens))
             coded = pa.ListArray.from_arrays(offsets, pc.fill_null(found, pa.scalar(UNKNOWN_ID, pa.int32())))
@@ -109,16 +147,16 @@ def _lookup_encoder(vocab: Broadcast, pieces_col: str, out: str):
     return encode
 
 
-def _bytes_encoder(vocab: Broadcast, pieces_col: str, out: str):
+def _bytes_encoder(lookup: Lookup, pieces_col: str, out: str):
     """Ids of pieces in the vocabulary; of the others their bytes and the id that ends them."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        tokens, ids = vocab.value
-        for batch in batches:
+        for batch in _passes(batches, pieces_col):
+            tokens, ids = lookup(batch)
             offsets, values = _list_parts(batch.column(batch.schema.get_field_index(pieces_col)))
             found = pc.fill_null(pc.take(ids, pc.index_in(values, value_set=tokens)), -1).to_numpy(zero_copy_only=False)
             unknown = np.flatnonzero(found < 0)
-            body = values.take(pa.array(unknown)).cast(pa.large_binary())
+            body = pc.fill_null(values.take(pa.array(unknown)), "").cast(pa.large_binary())
             sizes = pc.binary_length(body).to_numpy(zero_copy_only=False).astype(np.int64)
             counts = np.ones(len(found), np.int64)
             counts[unknown] = sizes + 1
@@ -127,13 +165,22 @@ def _bytes_encoder(vocab: Broadcast, pieces_col: str, out: str):
             flat[upto[:-1][found >= 0]] = found[found >= 0]
             before = np.cumsum(sizes) - sizes
             places = np.repeat(upto[:-1][unknown] - before, sizes) + np.arange(sizes.sum())
-            flat[places] = np.frombuffer(b"".join(body.to_pylist()), np.uint8).astype(np.int32) + BYTE_ID
+            flat[places] = _body(body).astype(np.int32) + BYTE_ID
             coded = pa.ListArray.from_arrays(pa.array(upto[offsets.to_numpy()].astype(np.int32)), pa.array(flat))
             yield _with_column(batch, pieces_col, coded, out)
 
     return encode
 
 
+def _body(column: pa.Array) -> np.ndarray:
+    """All bytes of a large_binary column without nulls, one value after the other."""
+    if not len(column):
+        return np.zeros(0, np.uint8)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+
+
 def encode_ids(
     df: DataFrame, vocab: DataFrame, pieces_col: str = "ids", out: str | None = None,
     max_broadcast: int = BROADCAST_VOCAB_ROWS, byte_fallback: bool = False,
@@ -143,17 +190,21 @@ def encode_ids(
     With ``byte_fallback`` an unseen piece becomes its UTF-8 bytes, as ids from ``BYTE_ID`` on, and ``BYTES_END_ID``: nothing is
     lost, and ``pieces_of`` gives every piece back.  The vocabulary's ids then start at ``FIRST_PIECE_ID``.
 
-    A vocabulary of at most ``max_broadcast`` rows and ``BROADCAST_VOCAB_BYTES`` (measured first) is broadcast and
-    looked up batch-wise in Arrow.  A larger one is joined: pieces are exploded, joined, and put
-    back together by row.  Both give the same rows.
+    A vocabulary of at most ``max_broadcast`` rows and ``BROADCAST_VOCAB_BYTES`` (measured first) is broadcast, a larger one
+    joined to the distinct pieces of every row.  Both are looked up in Arrow, a bounded number of pieces at a time, and
+    give the same rows.
     """
     out = out or pieces_col
     small = _small_vocab(vocab, max_broadcast)
     if small is None:
         return encode_ids_by_join(df, vocab, pieces_col, out, byte_fallback=byte_fallback)
-    schema = [f for f in df.schema.fields if f.name != pieces_col]
+    return _encoded(df, _whole(small), pieces_col, out, byte_fallback)
+
+
+def _encoded(df: DataFrame, lookup: Lookup, pieces_col: str, out: str, byte_fallback: bool) -> DataFrame:
+    schema = [f for f in df.schema.fields if f.name not in (pieces_col, KNOWN)]
     encoder = _bytes_encoder if byte_fallback else _lookup_encoder
-    return df.mapInArrow(encoder(small, pieces_col, out), T.StructType([*schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(encoder(lookup, pieces_col, out), T.StructType([*schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def _salted(vocab: DataFrame, salts: int) -> DataFrame:
@@ -166,36 +217,26 @@ def _row_key(df: DataFrame) -> Column:
     return F.struct(F.xxhash64(*df.columns), F.xxhash64(*df.columns, F.lit(1)))
 
 
-def piece_bytes(piece: Column) -> Column:
-    """The ids of a piece outside the vocabulary: its bytes, and the end."""
-    body = piece.cast("binary")
-    places = F.sequence(F.lit(1), F.greatest(F.octet_length(piece), F.lit(1)))
-    ids = F.transform(places, lambda i: F.conv(F.hex(F.substring(body, i, F.lit(1))), 16, 10).cast("int") + BYTE_ID)
-    return F.concat(F.when(F.octet_length(piece) > 0, ids).otherwise(F.array().cast("array<int>")), F.array(F.lit(BYTES_END_ID)))
+def _with_met(df: DataFrame, vocab: DataFrame, values: Column, key: str, salts: int | None = None) -> DataFrame:
+    """Every row with ``KNOWN``: the rows (token, id) of the vocabulary whose ``key`` is among the row's distinct ``values``.
+
+    A frequent value is in most rows, so the join is salted with the row's hash, by as many salts as there are shuffle partitions.
+    Rows that share a hash share what they meet, which is right for either, as the vocabulary is the same for all.
+    """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_row", F.xxhash64(*df.columns))
+    met = keyed.select("_row", F.explode(F.array_distinct(values)).alias(key)).withColumn("_salt", F.pmod("_row", F.lit(salts)).cast("int"))
+    known = met.join(_salted(vocab, salts), [key, "_salt"]).groupBy("_row").agg(
+        F.collect_set(F.struct("token", F.col("id").cast("int").alias("id"))).alias(KNOWN))
+    lists = [f.name for f in df.schema.fields if f.dataType in (T.ArrayType(T.StringType()), T.ArrayType(T.StringType(), False))]
+    rows = keyed.withColumns({c: packed(F.col(c)) for c in lists}).join(known, "_row", "left").drop("_row")
+    return rows.withColumns({c: unpacked(F.col(c)) for c in lists})
 
 
 def encode_ids_by_join(df: DataFrame, vocab: DataFrame, pieces_col: str, out: str, salts: int | None = None,
                        byte_fallback: bool = False) -> DataFrame:
-    """Vocabulary of any size: a shuffle join on the piece, then one group per distinct row.
-
-    A frequent piece may be a large part of all rows, so the join key is salted with the place, by as many salts
-    as there are shuffle partitions.
-    """
-    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_row", _row_key(df))
-    long = keyed.select("_row", F.posexplode(pieces_col).alias("at", "token")).withColumn(
-        "_salt", F.pmod(F.col("at"), F.lit(salts)).cast("int")
-    )
-    unseen = piece_bytes(F.col("token")) if byte_fallback else F.array(F.lit(UNKNOWN_ID))
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(unseen).alias("ids")
-    coded = long.join(_salted(vocab, salts), ["token", "_salt"], "left").groupBy("_row").agg(
-        F.flatten(F.sort_array(F.collect_set(F.struct("at", ids))).getField("ids")).alias("_coded")
-    )
-    return (
-        keyed.drop(pieces_col).join(coded, "_row", "left")
-        .withColumn(out, F.coalesce("_coded", F.array().cast("array<int>")))
-        .drop("_coded", "_row")
-    )
+    """Vocabulary of any size: a shuffle join on the distinct pieces of every row; pieces outside it are not shuffled again."""
+    return _encoded(_with_met(df, vocab, F.col(pieces_col), "token", salts), _met, pieces_col, out, byte_fallback)
 
 
 def _small_vocab(vocab: DataFrame, max_rows: int, max_bytes: int = BROADCAST_VOCAB_BYTES) -> Broadcast | None:
@@ -217,7 +258,7 @@ def _list_parts(col: pa.Array) -> tuple[pa.Array, pa.Array]:
 def _text_decoder(vocab: Broadcast, ids_col: str, keep: list[str]):
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         tokens, ids = vocab.value
-        for batch in batches:
+        for batch in _passes(batches, ids_col):
             offsets, flat = _list_parts(batch.column(batch.schema.get_field_index(ids_col)))
             found = pc.take(tokens, pc.index_in(flat.cast(pa.int32()), value_set=ids))
             # Special ids have no text: cut them out and move the offsets accordingly.
@@ -255,20 +296,25 @@ def ids_to_tokens_by_join(df: DataFrame, vocab: DataFrame, ids_col: str = "ids",
     return keyed.drop(ids_col).join(texts, "_row", "left").select(key, F.coalesce(F.array_join(F.col("_p.token"), " "), F.lit("")).alias("text"))
 
 
-def _pieces_decoder(vocab: Broadcast, ids_col: str, out: str):
+def _is_byte(i: Column) -> Column:
+    return (i >= BYTE_ID) & (i < BYTES_END_ID)
+
+
+def _pieces_decoder(lookup: Lookup, ids_col: str, out: str):
     """Rows of ids back to rows of pieces: runs of bytes up to their end mark are one piece, special ids none."""
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        tokens, ids = vocab.value
-        for batch in batches:
+        for batch in _passes(batches, ids_col):
+            tokens, ids = lookup(batch)
             offsets, flat = _list_parts(batch.column(batch.schema.get_field_index(ids_col)))
             number = flat.cast(pa.int32())
             values, at = number.to_numpy(zero_copy_only=False), offsets.to_numpy()
             byte = (values >= BYTE_ID) & (values < BYTES_END_ID)
             known = pc.take(tokens, pc.index_in(number, value_set=ids))
-            # A piece ends at a known id, at an end mark, or where a row cut off inside bytes ends.
+            # A piece ends at a known id, at an end mark, or where bytes are cut off by the row's end or an id that is no byte.
             ends = pc.is_valid(known).to_numpy(zero_copy_only=False) | (values == BYTES_END_ID)
-            edge = np.zeros(len(values) + 1, bool)
+            edge = np.ones(len(values) + 1, bool)
+            edge[:-1] = ~byte & (values != BYTES_END_ID)
             edge[at] = True
             ends |= byte & edge[1:]
             upto = np.concatenate([[0], np.cumsum(byte)])
@@ -278,48 +324,41 @@ def _pieces_decoder(vocab: Broadcast, ids_col: str, out: str):
                 pa.large_binary(), len(place),
                 [None, pa.py_buffer(np.ascontiguousarray(spans, np.int64)), pa.py_buffer((values[byte] - BYTE_ID).astype(np.uint8).tobytes())],
             )
-            read = pa.array([x.decode("utf-8", "replace") for x in body.to_pylist()], pa.string())
-            words = pc.coalesce(known.take(pa.array(place)), read)
+            words = pc.coalesce(known.take(pa.array(place)), _utf8(body))
             before = np.concatenate([[0], np.cumsum(ends)])
             yield _with_column(batch, ids_col, pa.ListArray.from_arrays(pa.array(before[at].astype(np.int32)), words), out)
 
     return decode
 
 
+def _utf8(body: pa.Array) -> pa.Array:
+    """Bytes as text; those that are no UTF-8, cut off inside a letter, with marks in place of what is missing."""
+    try:
+        return body.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in body.to_pylist()], pa.string())
+
+
 def pieces_of(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", out: str = "pieces", max_broadcast: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
     """Ids made with ``byte_fallback`` back to the array of pieces; special ids stand for none.
 
     Looked up in Arrow while the vocabulary is within its bounds, joined beyond them.
     """
     small = _small_vocab(vocab, max_broadcast)
-    if small is not None:
-        schema = [f for f in df.schema.fields if f.name != ids_col]
-        return df.mapInArrow(_pieces_decoder(small, ids_col, out), T.StructType([*schema, T.StructField(out, T.ArrayType(T.StringType()))]))
-    return pieces_of_by_join(df, vocab, ids_col, out)
+    if small is None:
+        return pieces_of_by_join(df, vocab, ids_col, out)
+    return _decoded(df, _whole(small), ids_col, out)
 
 
-def pieces_of_by_join(df: DataFrame, vocab: DataFrame, ids_col: str, out: str) -> DataFrame:
-    """The same for a vocabulary of any size.
+def _decoded(df: DataFrame, lookup: Lookup, ids_col: str, out: str) -> DataFrame:
+    schema = [f for f in df.schema.fields if f.name not in (ids_col, KNOWN)]
+    return df.mapInArrow(_pieces_decoder(lookup, ids_col, out), T.StructType([*schema, T.StructField(out, T.ArrayType(T.StringType()))]))
 
-    Bytes are gathered to pieces inside the row first (a piece is one entry: its known id, or its bytes in hex), then known ids are joined.
-    """
-    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_row", _row_key(df))
-    is_byte = lambda i: (i >= BYTE_ID) & (i < BYTES_END_ID)
-    text = F.array_join(F.transform(ids_col, lambda i: F.when(is_byte(i), F.lpad(F.hex(i - BYTE_ID), 2, "0")).when(
-        i == BYTES_END_ID, F.lit(" ")).otherwise(F.concat(F.lit(" :"), i.cast("string"), F.lit(" ")))), "")
-    entries = F.filter(F.split(text, " "), lambda e: e != "")
-    long = keyed.select("_row", F.posexplode(entries).alias("at", "_entry"))
-    long = long.withColumns({
-        "id": F.when(F.col("_entry").startswith(":"), F.expr("substring(_entry, 2)").cast("int")),
-        "_salt": F.pmod(F.col("at"), F.lit(salts)).cast("int"),
-    })
-    told = long.join(_salted(vocab, salts), ["id", "_salt"], "left").withColumn(
-        "token", F.when(F.col("id").isNull(), F.decode(F.unhex("_entry"), "UTF-8")).otherwise(F.col("token")))
-    pieces = told.where("token is not null").groupBy("_row").agg(
-        F.sort_array(F.collect_set(F.struct("at", "token"))).getField("token").alias("_pieces"))
-    return keyed.drop(ids_col).join(pieces, "_row", "left").withColumn(
-        out, F.coalesce("_pieces", F.array().cast("array<string>"))).drop("_row", "_pieces")
+
+def pieces_of_by_join(df: DataFrame, vocab: DataFrame, ids_col: str, out: str) -> DataFrame:
+    """The same for a vocabulary of any size: the distinct ids of every row that are no bytes are joined, bytes stay in their row."""
+    known = F.filter(ids_col, lambda i: ~_is_byte(i) & (i != BYTES_END_ID))
+    return _decoded(_with_met(df, vocab, known, "id"), _met, ids_col, out)
 
 
 def flag_long(tok: DataFrame, max_doc_tokens: int | Column, is_chat: Column) -> DataFrame:
