@@ -16,7 +16,7 @@ from millrace.functions.permutation import PRIME, number_at, place_of
 from millrace.functions.seeded import seeded_int
 from millrace.functions.text import shard_name
 from millrace.operators.ordering import (
-    DEFAULT_BLOCK, expand_counts, global_row_index, hash_order, plan_table, repeat_epochs, running_offset,
+    DEFAULT_BLOCK, expand_counts, global_row_index, hash_order, hash_order_counts, plan_table, repeat_epochs, running_offset,
 )
 
 QUOTA_MARGIN = 1.005  # fixed value: samples asked for beyond the exact share
@@ -195,7 +195,7 @@ def epoch_index(spark: SparkSession, w: DataFrame | None, lens: DataFrame, n: in
     epoch = lens.agg(F.sum("len").cast("bigint")).first()[0]
     lens = plan_table(lens.select("ds", "len"))
     if w is None:
-        mixed = hash_order(expand_counts(lens, "len", "sample"), seed, ["ds", "sample"])
+        mixed = hash_order_counts(lens, "len", "sample", epoch or 0, seed)
     else:
         base = blend_greedy(spark, w, epoch, limit).join(lens, "ds")
         base = base.select(F.col("pos").alias("place"), "ds", F.pmod("sample", "len").cast("bigint").alias("sample"))

@@ -22,6 +22,8 @@ DEFAULT_BLOCK = 1 << 16
 HASH_DIGITS = 4
 PLAN_ROWS = 100_000
 EXPAND_CHUNK = 1 << 16
+#: Rows that a task expands or sorts in ``hash_order_counts``, on average.
+TASK_ROWS = 1 << 21
 
 
 def plan_table(df: DataFrame, max_rows: int = PLAN_ROWS) -> DataFrame:
@@ -146,6 +148,32 @@ def hash_order(
     return dense_index(hashed, prefix, order, by, out).drop("_md5")
 
 
+def hash_order_counts(df: DataFrame, count: str, item: str, total: int, seed, out: str = "pos") -> DataFrame:
+    """``hash_order(expand_counts(df, count, item), seed, [keys, item])``, where ``total`` is the sum of the counts.
+
+    Only numbers are shuffled, a few bytes a row: the task that expands a chunk gathers its places in each block of hashes, and
+    hashes are computed again behind the shuffle.  Blocks and tasks hold a bounded number of rows on average.
+    """
+    keys = [c for c in df.columns if c != count]
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+    digits = 3 if total <= TASK_ROWS << 12 else HASH_DIGITS
+    rows = F.col(count).cast("bigint")
+    chunks = df.where(rows > 0).select(*keys, rows.alias("_rows"), F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.floor((rows - 1) / F.lit(EXPAND_CHUNK)))).alias("_chunk")).repartition(n, *keys, "_chunk")
+    number = (F.col("_chunk") * EXPAND_CHUNK + F.col("_at")).cast("bigint")
+    last = F.least(F.lit(EXPAND_CHUNK), F.col("_rows") - F.col("_chunk") * EXPAND_CHUNK).cast("int") - 1
+    md5 = lambda: seeded_md5(seed, *[F.col(k) for k in keys], number)
+    placed = chunks.select(*keys, "_chunk", F.explode(F.sequence(F.lit(0), last)).alias("_at")).withColumn(
+        "_block", F.conv(F.substring(md5(), 1, digits), 16, 10).cast("int"))
+    # The chunk's rows are in one task already, so they meet without a shuffle.
+    held = placed.groupBy(*keys, "_chunk", "_block").agg(F.collect_list((F.col("_at") - (EXPAND_CHUNK >> 1)).cast("smallint")).alias("_held")).repartition(n, "_block")
+    starts = _block_starts(held.groupBy("_block").agg(F.sum(F.size("_held")).cast("bigint").alias("_total")), [])
+    again = held.select(*keys, "_chunk", "_block", F.explode("_held").alias("_at")).withColumn("_at", F.col("_at") + (EXPAND_CHUNK >> 1)).select(
+        *keys, number.alias(item), "_block", F.unhex(md5()).alias("_md5"))
+    local = again.withColumn("_local", F.row_number().over(Window.partitionBy("_block").orderBy("_md5", *keys, item)).cast("bigint") - 1)
+    return _attach(local.drop("_md5"), starts, [], out)
+
+
 def order_by_key(df: DataFrame, *keys: str) -> DataFrame:
     """Total order of a result by its keys."""
     return df.orderBy(*keys)
