@@ -11,6 +11,7 @@ are integers below 2^62, so other engines compute the same.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -43,14 +44,20 @@ def _walk(x: Column, n: Column, order: list[Round], salt: Column) -> Column:
 
     prime = F.lit(PRIME).cast("bigint")
 
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        """A list of one gives the value a name, so that it is computed once however often it is used."""
+        return F.transform(F.array(value), use)[0]
+
     def step(at: Column, r: Column) -> Column:
         # The shift is below 2^59, the salted part below 2^62.
-        other = F.pmod(F.pmod(r["shift"] + salt * r["low"], n) - at, n)
-        top = F.greatest(at, other)
-        low = F.pmod(F.pmod(top, prime) * r["low"], prime)
-        high = F.pmod(F.pmod(F.shiftright(top, 31), prime) * r["high"], prime)
-        h = F.pmod(low + high + r["add"] + salt, prime)
-        return F.when(F.pmod(F.shiftright(F.pmod(h * h, prime), 11), F.lit(2)) == 1, other).otherwise(at)
+        def swapped(other: Column) -> Column:
+            top = F.greatest(at, other)
+            low = F.pmod(F.pmod(top, prime) * r["low"], prime)
+            high = F.pmod(F.pmod(F.shiftright(top, 31), prime) * r["high"], prime)
+            swap = lambda h: F.pmod(F.shiftright(F.pmod(h * h, prime), 11), F.lit(2)) == 1
+            return F.when(bound(F.pmod(low + high + r["add"] + salt, prime), swap), other).otherwise(at)
+
+        return bound(F.pmod(F.pmod(r["shift"] + salt * r["low"], n) - at, n), swapped)
 
     return F.when(n > 0, F.aggregate(constants, x.cast("bigint"), step))
 

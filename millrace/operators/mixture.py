@@ -358,16 +358,21 @@ def samples_at(places: DataFrame, n: int, k: int, seed: int) -> DataFrame:
     return places.withColumn("sample", F.when(F.col("pos") < k, early).otherwise(late))
 
 
+def _lengths(lens: DataFrame, by: str) -> DataFrame:
+    """Lengths with the salt of every source, computed here and not in each round of each row."""
+    return plan_table(lens.select(by, F.col("len").alias("_len"), _name_salt(by).alias("_salt")))
+
+
 def window_places(win: DataFrame, lens: DataFrame, seed: int, by: str = "source", row: str = "win", out: str = "place") -> DataFrame:
     """Fixed random order of each source's windows 0..len-1; ``lens`` (source, len) is a planning table."""
-    rows = win.join(plan_table(lens.select(by, F.col("len").alias("_len"))), by)
-    return rows.withColumn(out, place_of(F.col(row), F.col("_len"), seed, _name_salt(by))).drop("_len")
+    rows = win.join(_lengths(lens, by), by)
+    return rows.withColumn(out, place_of(F.col(row), F.col("_len"), seed, F.col("_salt"))).drop("_len", "_salt")
 
 
 def windows_at(places: DataFrame, lens: DataFrame, seed: int, by: str = "source", place: str = "place", out: str = "win") -> DataFrame:
     """Windows at the places of each source's order, the inverse of ``window_places``."""
-    rows = places.join(plan_table(lens.select(by, F.col("len").alias("_len"))), by)
-    return rows.withColumn(out, number_at(F.col(place), F.col("_len"), seed, _name_salt(by))).drop("_len")
+    rows = places.join(_lengths(lens, by), by)
+    return rows.withColumn(out, number_at(F.col(place), F.col("_len"), seed, F.col("_salt"))).drop("_len", "_salt")
 
 
 def batch_samples(spark: SparkSession, n: int, first: int, last: int, seed: int, batch: int) -> DataFrame:
