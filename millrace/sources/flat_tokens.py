@@ -7,7 +7,7 @@ that readers don't see and reports it; only when all tasks have ended does the c
 job's files are removed.  A repeated task writes files of its own, of which the commit sees one set.
 
 Reading gives windows (folder, win, ids) of ``length + 1`` ids.  Files are listed with their sizes when the read is planned (no
-contents); the streams are cut into ranges of whole windows, one per task, each read from as many files as hold a part of it.
+contents); the streams are cut into ranges of whole windows, each read from as many files as hold a part of it; a task reads one range, or several short ones.
 
 Options: ``width`` (2, 4 or 8 bytes an id), and for reading ``length``, ``range_bytes``, ``skip`` and ``most`` (ids passed over at the beginning
 of every folder's stream, and taken from there at most).
@@ -31,6 +31,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 FORMAT = "flat_tokens"
 READ_BYTES = 4 << 20
 RANGE_BYTES = 64 << 20
+#: Tasks that short ranges are dealt to.
+TASKS = 64
 #: Files that a commit names, or removes, at a time.
 RENAMES = 16
 
@@ -129,7 +131,7 @@ def _listed(path: str) -> list[tuple[str, int]]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Windows from ``first`` on of one folder: (file, place in it, bytes) one after the other."""
 
     folder: str
@@ -158,15 +160,39 @@ def ranges(files: list[tuple[str, int]], record: int, width: int, range_bytes: i
     return out
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads, range by range."""
+
+    held: list[Range]
+
+
+def by_task(found: list[Range]) -> list[Ranges]:
+    """Ranges dealt to tasks: about ``TASKS`` of them, and more only where a task would get over ``RANGE_BYTES``."""
+    sizes = [sum(n for _, _, n in r.spans) for r in found]
+    most, out, left = min(RANGE_BYTES, -(-sum(sizes) // TASKS)), [], 0
+    for r, n in zip(found, sizes):
+        if left < n or not out:
+            out.append(Ranges([]))
+            left = max(most, n)
+        out[-1].held.append(r)
+        left -= n
+    return out
+
+
 class Reader(DataSourceReader):
     def __init__(self, path: str, width: int, length: int, range_bytes: int, skip: int, most: int | None):
         self.path, self.width, self.length, self.range_bytes, self.skip, self.most = path, width, length, range_bytes, skip, most
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         record = (self.length + 1) * self.width
-        return ranges(_listed(self.path), record, self.width, self.range_bytes, self.skip, self.most) or [Range("", 0, [])]
+        return by_task(ranges(_listed(self.path), record, self.width, self.range_bytes, self.skip, self.most)) or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.held:
+            yield from self._windows(part)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def _windows(self, partition: Range) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
         dtype, n = little_endian(self.width), self.length + 1
         held, win, record = b"", partition.first, (self.length + 1) * self.width

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.ordering import plan_table
 from millrace.sources.flat_tokens import FORMAT, RANGE_BYTES, FlatTokens, little_endian, qualified
 
 BLOCK_DOCS = 1 << 16
@@ -59,11 +60,19 @@ def write_token_bytes(tok: DataFrame, path: str, width: int = 4, rows_per_file:
     """Flat little-endian token files per shard: ``<path>/<source>_p<shard>/part-<block>.ds``.
 
     A shard's stream is the concatenation of its parts by name.  Every block of documents is one file of one task; files get
-    their names when the whole job commits, so a failed or repeated task shows nothing.
+    their names when the whole job commits, so a failed or repeated task shows nothing.  A block is as many times ``rows_per_file`` keys wide
+    as the shard has one of so many, so that a file holds about ``rows_per_file`` rows, however many shards the keys are dealt to.
     """
     spark = tok.sparkSession
     spark.dataSource.register(FlatTokens)
-    blocked = tok.withColumn("block", F.floor(F.col(order) / F.lit(rows_per_file)).cast("bigint"))
+    key, rows = F.col(order), F.lit(rows_per_file)
+    shards = tok.groupBy(F.col("source").alias("_s"), F.col("shard").alias("_p")).agg(
+        F.floor(F.min(key) / rows).alias("_low"), F.floor(F.max(key) / rows).alias("_high"), F.ceil(F.count(key) / rows).alias("_files"))
+    wide = plan_table(shards.select("_s", "_p", "_low", F.ceil((F.col("_high") - F.col("_low") + 1) / F.greatest("_files", F.lit(1))).alias("_wide")))
+    each = F.floor(key / rows)
+    # Named by its first block: a later write of later keys takes none of these names.
+    first = F.col("_low") + F.floor((each - F.col("_low")) / F.col("_wide")) * F.col("_wide")
+    blocked = tok.join(wide, tok["source"].eqNullSafe(wide["_s"]) & tok["shard"].eqNullSafe(wide["_p"])).withColumn("block", first.cast("bigint"))
     (
         blocked.select("source", "shard", "block", order, "ids").repartition("source", "shard", "block")
         .sortWithinPartitions("source", "shard", "block", order).select("source", "shard", "block", "ids")
