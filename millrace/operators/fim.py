@@ -39,14 +39,18 @@ class Fim:
 
 def permuted(text: Column, unchanged: Column, fim: Fim, rate: float | Column, *keys: Column) -> Column:
     """Tokens of one text: prefix, suffix and middle around two random cuts, or ``unchanged``."""
-    length = F.length(text)
-    a = seeded_below(length + 1, fim.seed, F.lit("cut0"), *keys).cast("int")
-    b = seeded_below(length + 1, fim.seed, F.lit("cut1"), *keys).cast("int")
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    parts = F.struct(
-        fim.encode(F.substr(text, F.lit(1), lo)).alias("pre"), fim.encode(F.substr(text, lo + 1, hi - lo)).alias("mid"),
-        fim.encode(F.substr(text, hi + 1, length - hi)).alias("suf"), unchanged.alias("unchanged"),
-    )
+    def cuts(text: Column) -> Column:
+        length = F.length(text)
+        drawn_cut = lambda name: seeded_below(length + 1, fim.seed, F.lit(name), *keys).cast("int")
+        return F.struct(text.alias("text"), length.alias("length"), drawn_cut("cut0").alias("a"), drawn_cut("cut1").alias("b"))
+
+    def split(c: Column) -> Column:
+        lo, hi = F.least(c["a"], c["b"]), F.greatest(c["a"], c["b"])
+        return F.struct(
+            fim.encode(F.substr(c["text"], F.lit(1), lo)).alias("pre"), fim.encode(F.substr(c["text"], lo + 1, hi - lo)).alias("mid"),
+            fim.encode(F.substr(c["text"], hi + 1, c["length"] - hi)).alias("suf"), unchanged.alias("unchanged"),
+        )
+
     drawn = seeded_unit(fim.seed, F.lit("fim"), *keys) < rate
     if fim.no_fim_prefix is not None:
         drawn = drawn & ~F.startswith(text, F.lit(fim.no_fim_prefix))
@@ -63,8 +67,9 @@ def permuted(text: Column, unchanged: Column, fim: Fim, rate: float | Column, *k
                 F.concat(suf, F.array_repeat(F.lit(fim.pad), F.greatest(-over, F.lit(0)))))
         return F.when(room, F.when(spm, F.concat(p, s, suf, m, pre, mid)).otherwise(F.concat(p, pre, s, suf, m, mid))).otherwise(part["unchanged"])
 
-    # Bound to a name by a list of one, so that each part is tokenized once, and none of a text that stays as it is.
-    return F.when(drawn, F.transform(F.array(parts), ordered)[0]).otherwise(unchanged)
+    # Bound to names by lists of one, so that each cut is hashed and each part tokenized once, and none of a text that stays as it is.
+    named = F.transform(F.transform(F.transform(F.array(text), cuts), split), ordered)
+    return F.when(drawn, named[0]).otherwise(unchanged)
 
 
 def fim_permute(df: DataFrame, fim: Fim, text_col: str = "text", key: str = "doc_id", out: str = "ids") -> DataFrame:
@@ -117,14 +122,14 @@ def fim_sample(samples: DataFrame, fim: Fim, eos="<eos>", pad="<pad>", key: str
         tail = F.when(~p["end"], F.array(F.lit(split_id if split_id is not None else eos))).when(
             ~p["last"], F.array(F.lit(eos))).otherwise(F.slice(p["part"], 1, 0))
         return F.struct(
-            p["part"].alias("part"), fim.decode(p["part"]).alias("text"), p["i"].alias("i"), p["j"].alias("j"),
+            p["part"].alias("part"), p["i"].alias("i"), p["j"].alias("j"),
             rate.alias("rate"), gone.alias("gone"), tail.alias("tail"),
         )
 
     staged = staged.withColumn("_parts", F.filter(F.transform("_parts", with_text), lambda p: ~p["gone"]))
     mixed = F.flatten(F.transform(
         "_parts",
-        lambda p: F.concat(permuted(p["text"], p["part"], fim, p["rate"], k, p["i"], p["j"]), p["tail"]),
+        lambda p: F.concat(permuted(fim.decode(p["part"]), p["part"], fim, p["rate"], k, p["i"], p["j"]), p["tail"]),
     ))
     width = F.size(ids_col)
     return (
