@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.registry import EOS, PIECES_SQL, TOK, digest, documents, hash_sql, joined, new_folder, register
 from millrace.functions import text as X
+from millrace.functions.arrays import packed, unpacked
 from millrace.operators import fim, mixture, ordering, pack, sft, spans
 from millrace.plans import prepare, stored_plans
 from millrace.session import stored, table
@@ -52,7 +53,7 @@ def _stream(spark, sf):
     tok = _tok(spark, sf)
     placed = ordering.running_offset(
         _order(tok).withColumn("_g", F.lit(0)), ["_g"], "pos", "size", "start").drop("_g")
-    return placed.join(tok.select("doc_id", "ids"), "doc_id")
+    return placed.join(tok.select("doc_id", packed(F.col("ids")).alias("ids")), "doc_id").withColumn("ids", unpacked(F.col("ids")))
 
 
 @register("sample_text", f"""WITH {ORDER},
@@ -82,7 +83,9 @@ chunks AS (SELECT batch, chunk::BIGINT AS chunk, md5(string_agg(tok, ' ' ORDER B
 
 
 def _batched(spark, sf):
-    return ordering.global_row_index(_tok(spark, sf), "doc_id").withColumn("batch", F.expr("pos div 16"))
+    tok = _tok(spark, sf)
+    numbered = ordering.global_row_index(tok.withColumn("ids", packed(F.col("ids"))), "doc_id").withColumn("batch", F.expr("pos div 16"))
+    return numbered.withColumn("ids", unpacked(F.col("ids")))
 
 
 @register("chunk_batch", f"WITH {CHUNKS} SELECT batch, chunk, content FROM chunks")

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.arrays import PAD, counting, int_slice, pad_to, restart_positions
+from millrace.functions.arrays import PAD, counting, int_slice, packed, pad_to, restart_positions, unpacked
 from millrace.operators.ordering import DEFAULT_BLOCK, running_offset
 
 SHARD_KEYS = ("source", "shard")
@@ -59,11 +60,14 @@ def assemble_windows(
     begin = win * stride
     part = int_slice(ids, F.greatest(begin - start, F.lit(0)), F.least(F.lit(width), width + begin - start))
     parts = touched.select(*by, "win", F.greatest(start - begin, F.lit(0)).cast("int").alias("at"), part.alias("part"))
+    texts = isinstance(stream.schema[ids_col].dataType.elementType, T.StringType)
+    if texts:
+        parts = parts.withColumn("part", packed(F.col("part")))
     return (
         parts.repartition(*by, "win")
         .groupBy(*by, "win")
         .agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
-        .select(*by, "win", F.flatten(F.col("parts.part")).alias("ids"))
+        .select(*by, "win", F.flatten(F.transform("parts.part", unpacked) if texts else F.col("parts.part")).alias("ids"))
     )
 
 
@@ -150,7 +154,10 @@ def chunk_batch(
     A batch has a fixed number of rows, so its running offset is a local window.
     """
     sized = tok.withColumn("_size", F.size(ids_col).cast("bigint"))
-    placed = running_offset(sized, [batch_col], order, "_size", "start", block)
+    texts = isinstance(tok.schema[ids_col].dataType.elementType, T.StringType)
+    placed = running_offset(sized.withColumn(ids_col, packed(F.col(ids_col))) if texts else sized, [batch_col], order, "_size", "start", block)
+    if texts:
+        placed = placed.withColumn(ids_col, unpacked(F.col(ids_col)))
     chunks = sample_text(placed, L, [batch_col], 1, True, ids_col).withColumnRenamed("sample", "chunk")
     if not drop_last:
         return chunks
