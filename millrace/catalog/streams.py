@@ -10,10 +10,12 @@ from millrace.session import table
 from millrace.streaming import jobs
 
 
-def _as_files(spark, df, name: str, parts: int = 4):
+def _as_stream(spark, sf, df, name: str, batches: int = 4):
+    """The rows as files that arrive in four micro-batches; as many files as the texts have splits, so none grows with the table."""
     folder = new_folder(spark, name)
-    df.repartition(parts).write.parquet(folder)
-    return folder
+    files = max(batches, table(spark, sf, "documents").rdd.getNumPartitions())
+    df.repartition(files).write.parquet(folder)
+    return jobs.file_stream(spark, folder, df.schema, per_trigger=-(-files // batches))
 
 
 @register("stream_prepare", f"""
@@ -21,7 +23,7 @@ SELECT doc_id, len({PIECES_SQL})::BIGINT AS n_tokens, md5(array_to_string({PIECE
 FROM documents WHERE length(text) >= 50 AND len({PIECES_SQL}) < 900""")
 def stream_prepare(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    src = jobs.file_stream(spark, _as_files(spark, docs, "docs"), docs.schema)
+    src = _as_stream(spark, sf, docs, "docs")
     out = new_folder(spark, "prepared")
     jobs.run_to_end(jobs.stream_prepare(src, out, new_folder(spark, "state"), 900, True))
     return spark.read.parquet(out).select("doc_id", "n_tokens", digest("ids").alias("content"))
@@ -31,7 +33,7 @@ def stream_prepare(spark, sf):
 def stream_samples(spark, sf):
     """Every sample arrives twice; each is stored once."""
     rows = table(spark, sf, "documents").select(F.concat(F.lit("k"), F.col("doc_id")).alias("key"), F.col("n_chars").alias("tokens"))
-    src = jobs.file_stream(spark, _as_files(spark, rows.unionByName(rows), "arriving"), rows.schema)
+    src = _as_stream(spark, sf, rows.unionByName(rows), "arriving")
     out = new_folder(spark, "samples")
     jobs.run_to_end(jobs.stream_samples(src, out, new_folder(spark, "state"), settings={"key": "key"}))
     return spark.read.parquet(out).select("key", "tokens")
@@ -42,7 +44,7 @@ SELECT bench, count(*) AS samples, round(100.0 * sum(correct::INT) / count(*), 6
        round(100.0 * sum(truncated::INT) / count(*), 6) AS truncated FROM graded GROUP BY bench""")
 def stream_summary(spark, sf):
     graded = graded_of(spark, sf)
-    src = jobs.file_stream(spark, _as_files(spark, graded, "graded"), graded.schema)
+    src = _as_stream(spark, sf, graded, "graded")
     out = new_folder(spark, "summary")
     jobs.run_to_end(jobs.stream_summary(src, out, new_folder(spark, "state")))
     return jobs.latest_rows(spark, out, "bench").select(
@@ -52,7 +54,7 @@ def stream_summary(spark, sf):
 @register("stream_consumption", f"WITH {STAGES} SELECT stage, source, tokens FROM consumed")
 def stream_consumption(spark, sf):
     log = _log(spark, sf)
-    src = jobs.file_stream(spark, _as_files(spark, log, "log"), log.schema)
+    src = _as_stream(spark, sf, log, "log")
     out = new_folder(spark, "consumed")
     jobs.run_to_end(jobs.stream_consumption(src, out, new_folder(spark, "state")))
     return jobs.latest_rows(spark, out, "stage", "source")
