@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from uuid import uuid4
 
@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import shared_folder
 
@@ -59,12 +60,29 @@ def let_go(spark: SparkSession) -> None:
     """Give memory of the driver back after a stage of many jobs: its plans, the shuffles they hold on executors, and what numpy and Arrow keep."""
     gc.collect()
     spark._jvm.java.lang.System.gc()
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what Arrow and the C library keep of freed memory."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
     if trim is not None:
         trim(0)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` whose workers give memory back after every task: they live on, and what they keep adds to the next stage's needs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 # Sets of keys as bits -------------------------------------------------------------------------
 
 #: Bits per key of a set, and at most so many in all (32 MB): beyond, more keys are taken for members, and the exact join that follows costs more.
@@ -113,18 +131,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def passes(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of each stay near ``most`` bytes."""
+def passes(batches: Iterator[pa.RecordBatch], text: str | Callable[[pa.RecordBatch], pa.Array] = "text", most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each stay near ``most`` bytes; ``text`` names their column or finds it."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, at = utf8(batch.column(text))
+        _, at = utf8(text(batch) if callable(text) else batch.column(text))
         first = 0
         while first < batch.num_rows:
             last = int(np.searchsorted(at, at[first] + most, "right")) - 1
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+        del batch, at  # before the next batch is read
     # A worker lives on after its task; what Arrow keeps for later would add to the next stage's needs.
     pa.default_memory_pool().release_unused()
 

@@ -14,7 +14,7 @@ all are.  Empty tables give empty results, repeated rows equal predictions; othe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import encoded, let_go, passes, utf8, words
+from millrace.llm.common import encoded, in_arrow, let_go, passes, utf8, words
 from millrace.llm.sampling import bounded_by
 
 #: Rows that are learned from at most, before a factor of two; every label gets an equal part of them, or all its rows.
@@ -95,7 +95,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 ["key", "label", "buckets", "counts"],
             )
 
-    return docs.mapInArrow(run, "key string, label string, buckets binary, counts binary").where(F.octet_length("buckets") > 0)
+    return in_arrow(docs, run, "key string, label string, buckets binary, counts binary").where(F.octet_length("buckets") > 0)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -166,15 +166,18 @@ def train(labelled: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", lang_
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Add lang_pred, score and rejected to all columns; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score", "rejected")
+    return _predicted(docs.drop("lang_pred", "score", "rejected"), model, lambda batch: batch.column(text_col))
+
+
+def _predicted(docs: DataFrame, model: Model | None, text_of: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in passes(batches, text_col):
-            text = batch.column(text_col).cast(pa.large_string())
+        for batch in passes(batches, text_of):
+            text = text_of(batch).cast(pa.large_string())
             data, at = utf8(text)
             letters = has_letter(text, data, at)
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
@@ -196,10 +199,14 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             rejected = ~known | (score < (model.threshold if model else 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score), pa.array(rejected)], [*columns, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The documents whose prediction is not rejected, with their own columns."""
-    whole = docs.select(F.col(text_col).alias("_text"), F.struct(*[F.col(c) for c in docs.columns]).alias("_own"))
-    return predict(whole, model, "_text").where(~F.col("rejected")).select("_own.*")
+    """The documents whose prediction is not rejected, with their own columns.  A text that is one of them is sent to the workers once."""
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("_own")
+    if text_col in docs.columns:
+        told = _predicted(docs.select(own), model, lambda batch: batch.column("_own").field(text_col))
+    else:
+        told = predict(docs.select(F.col(text_col).alias("_text"), own), model, "_text")
+    return told.where(~F.col("rejected")).select("_own.*")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_bits, encoded, fresh_folder, gather, key_bits, passes, scratch, stored, tasks, utf8, words
+from millrace.llm.common import by_bits, encoded, fresh_folder, gather, in_arrow, key_bits, passes, scratch, stored, tasks, utf8, words
 
 BANDS, ROWS, BITS = 32, 5, 4
 MINIMA = BANDS * ROWS
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 ["doc_id", "n_shingles", "digest", "bands", "sig"],
             )
 
-    return docs.mapInArrow(run, SIGNED)
+    return in_arrow(docs, run, SIGNED)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -142,7 +142,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"), width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return docs.mapInArrow(run, "id bigint, shingles binary")
+    return in_arrow(docs, run, "id bigint, shingles binary")
 
 
 # Components -----------------------------------------------------------------------------------
@@ -205,7 +205,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     # Every salted group begins with its hub, as null sorts first; the hub of another salt is the same set.
     met = members.unionByName(hubs).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return met.mapInArrow(run, "a bigint, b bigint")
+    return in_arrow(met, run, "a bigint, b bigint")
 
 
 def best_pivots(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
@@ -219,7 +219,7 @@ def best_pivots(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
             keep = pa.array(value >= least)
             yield pa.RecordBatch.from_arrays([batch.column("id").filter(keep), batch.column("pivot").filter(keep), pa.array(value).filter(keep)], ["id", "pivot", "value"])
 
-    valued = met.select("id", "pivot", "sig", "other").mapInArrow(run, "id bigint, pivot bigint, value double")
+    valued = in_arrow(met.select("id", "pivot", "sig", "other"), run, "id bigint, pivot bigint, value double")
     return valued.groupBy("id").agg(F.max(F.struct("value", "pivot")).alias("m")).select(F.col("id").alias("a"), F.col("m.pivot").alias("b"))
 
 
@@ -279,7 +279,7 @@ def spanning(rows: DataFrame, payload: str, load, compare, joined: bool) -> Data
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return in_arrow(rows, run, "a bigint, b bigint")
 
 
 class Postings:

@@ -14,7 +14,7 @@ fails the job.  Repeated rows are separate pieces.  An empty table gives an empt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import ENCODE_BYTES, passes, tasks
-from millrace.llm.tokenizing import encoder, share
+from millrace.llm.common import ENCODE_BYTES, in_arrow, passes, tasks
+from millrace.llm.tokenizing import encoding, share
 
 SIZE = 2048
 PER_GROUP = 8192
@@ -35,25 +35,27 @@ def pieces(docs: DataFrame, vocabulary_path: str, end: int = 0, size: int = SIZE
     vocabulary = share(docs.sparkSession, vocabulary_path)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    def cut(batch: pa.RecordBatch, encode: Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, at = encode(batch.column("text"), end)
+        lengths = np.diff(at)
+        count = -(-lengths // size)
+        row = np.repeat(np.arange(len(lengths)), count)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        head = (lengths - 1) % size + 1
+        start = np.where(piece > 0, head[row] + (piece - 1) * size, 0)
+        length = np.where(piece > 0, size, head[row])
+        bounds = np.append(at[row] + start, at[-1])
+        body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds * 4), pa.py_buffer(ids.astype("<u4"))])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), body.cast(pa.binary())],
+            ["doc_id", "piece", "start", "length", "ids"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
-        for batch in passes(batches, most=ENCODE_BYTES):
-            ids, at = encode.encode(batch.column("text"), end)
-            lengths = np.diff(at)
-            count = -(-lengths // size)
-            row = np.repeat(np.arange(len(lengths)), count)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            head = (lengths - 1) % size + 1
-            start = np.where(piece > 0, head[row] + (piece - 1) * size, 0)
-            length = np.where(piece > 0, size, head[row])
-            bounds = np.append(at[row] + start, at[-1])
-            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds * 4), pa.py_buffer(ids.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), body.cast(pa.binary())],
-                ["doc_id", "piece", "start", "length", "ids"],
-            )
-
-    return source.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+        with encoding(vocabulary) as told:
+            yield from map(lambda batch: cut(batch, told.encode), passes(batches, most=ENCODE_BYTES))  # no batch is held while the next is read
+
+    return in_arrow(source, run, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
 
 
 class Sequences:
@@ -115,7 +117,7 @@ def pack(rows: DataFrame, groups: int, size: int = SIZE, keys: tuple[str, ...] =
             keep = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], [*kept, "sequence_id", "offset"])
 
-    return placed.mapInArrow(run, schema)
+    return in_arrow(placed, run, schema)
 
 
 def groups_for(documents: int, per_group: int = PER_GROUP) -> int:

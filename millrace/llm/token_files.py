@@ -28,8 +28,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ENCODE_BYTES, fresh_folder, passes, stored, tasks
-from millrace.llm.tokenizing import encoder, share
+from millrace.llm.common import ENCODE_BYTES, fresh_folder, in_arrow, passes, stored, tasks
+from millrace.llm.tokenizing import encoding, share
 from millrace.operators.ordering import running_offset
 
 MAGIC = b"MRDAC001"
@@ -142,17 +142,17 @@ def encoded_documents(docs: DataFrame, vocabulary: Broadcast, end: int, shards:
     bounds = np.unique(np.asarray(found or [], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
-        for batch in passes(batches, most=ENCODE_BYTES):
-            ids, starts = encode.encode(batch.column("text"), end)
-            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(starts * kind.itemsize), pa.py_buffer(ids.astype(kind))])
-            number = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, number).astype(np.int32)), batch.column("doc_id"), body.cast(pa.binary())],
-                ["shard", "doc_id", "ids"],
-            )
-
-    return source.mapInArrow(run, "shard int, doc_id bigint, ids binary")
+        with encoding(vocabulary) as told:
+            for batch in passes(batches, most=ENCODE_BYTES):
+                ids, starts = told.encode(batch.column("text"), end)
+                body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(starts * kind.itemsize), pa.py_buffer(ids.astype(kind))])
+                number = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.searchsorted(bounds, number).astype(np.int32)), batch.column("doc_id"), body.cast(pa.binary())],
+                    ["shard", "doc_id", "ids"],
+                )
+
+    return in_arrow(source, run, "shard int, doc_id bigint, ids binary")
 
 
 def write_tokens(

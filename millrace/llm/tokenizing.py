@@ -2,7 +2,7 @@
 
 The pre-tokenizers of the byte-level and word-end vocabularies never join characters over a blank that
 follows a visible character, over a single line end, or between a letter and a punctuation mark; texts are cut
-there and every distinct stretch is encoded once per worker.  Where a cut might matter (blanks of other
+there and every distinct stretch is encoded once per task.  Where a cut might matter (blanks of other
 kinds, apostrophes, bars of special tokens) none is made: a longer stretch only costs time.  Stretches of
 Latin letters go straight to the vocabulary's merges, all others through the whole tokenizer.  Results
 equal those of encoding the whole text.
@@ -11,6 +11,8 @@ equal those of encoding the whole text.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import SparkSession
 
 from millrace.llm.common import encoded, gather, strings, utf8
 
-#: Stretches a worker remembers; when full, it forgets all and goes on.
+#: Stretches a task remembers; when full, it forgets all and goes on.
 REMEMBERED = 1 << 18
 
 _LOADED: dict[int, "Encoder"] = {}
@@ -40,6 +42,16 @@ def encoder(vocabulary: Broadcast) -> "Encoder":
     return _LOADED[key]
 
 
+@contextmanager
+def encoding(vocabulary: Broadcast) -> Iterator["Encoder"]:
+    """The worker's encoder for one task: the vocabulary stays loaded, the stretches met are forgotten at the end, as the worker lives on."""
+    own = encoder(vocabulary)
+    try:
+        yield own
+    finally:
+        own.forget()
+
+
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 MARK = np.zeros(256, bool)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, mixing, near_dedup, quality_model, toxicity
+from millrace.llm import language_id, mixing, near_dedup, packing, quality_model, toxicity
 from millrace.llm.common import by_bits, fresh_folder, key_bits, scratch, stored
+from millrace.llm.queries import vocabulary
 from millrace.llm.sampling import bounded_by, texts_of
 
 
@@ -92,3 +94,29 @@ def test_first_of_group_with_clashing_names_and_repeated_ids(spark):
     assert Counter(r.doc_id for r in got.collect()) == Counter([1, 4, None, 5, 6])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftAnti" not in plan
+
+
+def test_workers_forget_after_a_task(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text number "), F.col("id")).alias("text")).coalesce(1)
+    path = vocabulary("byte_bpe_50k.json")
+    assert packing.pieces(docs, path).count() == 40
+
+    def kept(batches):
+        from millrace.llm import tokenizing
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"loaded": [len(tokenizing._LOADED)], "known": [sum(len(e.known) for e in tokenizing._LOADED.values())]})
+
+    found = spark.range(0, 64, 1, 64).mapInArrow(kept, "loaded long, known long").collect()
+    assert any(r.loaded for r in found) and not any(r.known for r in found)
+
+
+def test_a_text_is_sent_to_the_language_model_once(spark):
+    docs = spark.createDataFrame([(1, "the house is old"), (2, None), (3, "das haus ist alt")], "doc_id long, text string").withColumn("lang", F.when(F.col("doc_id") < 3, "en").otherwise("de"))
+    model = language_id.train(docs)
+    got = language_id.keep_known(docs, model)
+    want = {r.doc_id for r in language_id.predict(docs, model).where("not rejected").collect()}
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in docs.collect() if r.doc_id in want} and want == {1, 3}
+    assert {r.doc_id for r in language_id.keep_known(docs, model, "TEXT").collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" not in plan
