@@ -41,6 +41,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that are not read any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that ``stored`` writes inside the block, which writes what is to stay by other means."""
@@ -50,9 +57,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _MADE.remove(made)
-        for path in made:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(spark, *made)
         let_go(spark)
 
 

@@ -3,13 +3,15 @@
 Vectors are assigned to centroids fitted on a bounded sample.  What a vector has beyond its centroid is scaled to length 1 and
 rotated by a random orthogonal matrix; its signs are packed into bits, and two numbers are kept: the length and the
 inner product of the rotated vector with its own signs.  For a query the packed bits and these numbers give
-an unbiased estimate of the inner product, and with it of the distance, with an error bound.  A vector is looked at exactly
-only if its lower bound beats the k-th upper bound of the query so far.
+an unbiased estimate of the inner product, and with it of the distance, with an error bound.  Bounds of a tile of queries and
+vectors are one product of matrices.  A vector is looked at exactly only if its lower bound beats the k-th distance of the query so far.
 
 Of equal vectors only the k + 1 of smallest id are indexed, and equal queries are asked once, which changes no result and
 keeps a vector shared by many rows from growing into pairs.  Queries probe the nearest clusters; how many is measured:
 ``CALIBRATION`` queries are answered by brute force against all vectors, and the probes chosen reach
-``RECALL`` of their neighbours.  Clusters are cut into blocks of vectors and of queries.
+``RECALL`` of their neighbours.  Clusters are put together to groups, or cut into several, and a task holds up to ``QUERY_BLOCK`` queries
+that probe its group while the group's vectors pass by: a query is sent once to a group, not to every cluster it probes, and vectors
+are sent once per block of queries.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those without an id or of another
 length than most.  Repeated rows (equal id and vector) count once, as queries and as neighbours; an id with several different
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import stored
+from millrace.llm.common import fresh_folder, in_arrow, let_go, remove, stored, tasks
 
 SAMPLE = 16_384
 MOST_CLUSTERS = 4096
@@ -35,21 +38,27 @@ RECALL = 0.96
 QUERY_BITS = 6
 #: Width of the error bound in standard deviations.
 EPSILON = 3.0
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 4096
+#: Vectors of a group of clusters, and queries that a task holds.
+LEAST_GROUP, MOST_GROUP, QUERY_BLOCK = 4096, 1 << 18, 1 << 16
 ROWS_AT_ONCE = 2048
+#: Queries and vectors of a tile, and the share of its pairs from which on distances are made for the whole tile.
+TILE, DENSE = (256, 2048), 1 / 16
+#: Numbers that one batch or one matrix of distances holds.
+AT_ONCE = 1 << 21
 
 
 @dataclass
 class Index:
-    """Centroids, rotation, and the table (cluster, vec_id, body, code, length, own) of all vectors."""
+    """Centroids, rotation, and the table (cluster, vec_id, body, code, length, own) of all vectors, whose bodies hold numbers of ``kind``."""
 
     centroids: np.ndarray
     rotation: np.ndarray
     rows: DataFrame
+    kind: str
 
 
-def bodies(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), size)
+def bodies(column: pa.Array, size: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), size).astype(np.float64)
 
 
 def distances2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -59,8 +68,9 @@ def distances2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)]
+    step = max(1, AT_ONCE // k)
     for _ in range(rounds):
-        own = distances2(x, c).argmin(1)
+        own = np.concatenate([distances2(x[a : a + step], c).argmin(1) for a in range(0, len(x), step)])
         n = np.bincount(own, minlength=k)
         order = np.argsort(own, kind="stable")
         at = np.concatenate([[0], np.cumsum(n)])[:-1]
@@ -73,22 +83,23 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarra
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): vectors that take part, as doubles."""
+    """(vec_id, v): vectors that take part, as doubles; those of floats are packed as floats again."""
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & fine)
 
 
-def packed_vectors(rows: DataFrame) -> DataFrame:
-    """Doubles as bytes."""
+def packed_vectors(rows: DataFrame, kind: str) -> DataFrame:
+    """Doubles as bytes of numbers of ``kind``, which holds them without loss."""
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column("v")
             at = v.offsets.to_numpy()
-            flat = v.values.to_numpy(zero_copy_only=False)
-            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(v), [None, pa.py_buffer(at.astype(np.int64) * 8), pa.py_buffer(np.ascontiguousarray(flat))])
+            flat = v.values.to_numpy(zero_copy_only=False).astype(kind)
+            body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(v), [None, pa.py_buffer(at.astype(np.int64) * width), pa.py_buffer(np.ascontiguousarray(flat))])
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), body.cast(pa.binary())], ["vec_id", "body"])
 
     return rows.mapInArrow(run, "vec_id bigint, body binary")
@@ -109,12 +120,12 @@ def words_of(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, pad)))).view(np.uint64)
 
 
-def build(rows: DataFrame, size: int) -> Index:
+def build(rows: DataFrame, size: int, kind: str) -> Index:
     """Index all rows (vec_id, body) of vectors with ``size`` components."""
     n = rows.count()
     share = min(1.0, SAMPLE / max(1, n))
     picked = rows.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < F.lit(max(1, round(share * (1 << 20))))).select("body").limit(2 * SAMPLE).toArrow()
-    x = bodies(picked["body"].combine_chunks(), size) if picked.num_rows else np.zeros((1, size))
+    x = bodies(picked["body"].combine_chunks(), size, kind) if picked.num_rows else np.zeros((1, size))
     x = np.unique(x, axis=0)
     k = int(max(1, min(MOST_CLUSTERS, len(x), round(n**0.5 / 2))))
     centroids = k_means(x, k)
@@ -126,14 +137,14 @@ def build(rows: DataFrame, size: int) -> Index:
         for whole in batches:
             for a in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(a, ROWS_AT_ONCE)
-                x = bodies(batch.column("body"), size)
+                x = bodies(batch.column("body"), size, kind)
                 own = distances2(x, centroids).argmin(1)
                 bits, length, along = coded(x, own, centroids, rotation)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own.astype(np.int32)), batch.column("vec_id"), batch.column("body"), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(along)],
                     ["cluster", "vec_id", "body", "code", "length", "own"])
 
-    return Index(centroids, rotation, stored(rows.mapInArrow(run, "cluster int, vec_id bigint, body binary, code binary, length double, own double"), "vector-index"))
+    return Index(centroids, rotation, stored(rows.mapInArrow(run, "cluster int, vec_id bigint, body binary, code binary, length double, own double"), "vector-index"), kind)
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -146,14 +157,14 @@ def probes_needed(index: Index, asked: DataFrame, size: int, k: int) -> int:
     some = asked.orderBy(F.xxhash64("body", F.lit(1)), "body").limit(CALIBRATION).toArrow()
     if not some.num_rows:
         return 1
-    q = bodies(some["body"].combine_chunks(), size)
-    shared = index.rows.sparkSession.sparkContext.broadcast(q)
+    q = bodies(some["body"].combine_chunks(), size, index.kind)
+    shared, kind = index.rows.sparkSession.sparkContext.broadcast(q), index.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         best: list[list[tuple[float, int, int]]] = [[] for _ in q]
         for batch in batches:
-            x = bodies(batch.column("body"), size)
+            x = bodies(batch.column("body"), size, kind)
             ids, cluster = batch.column("vec_id").to_numpy(), batch.column("cluster").to_numpy()
             d = distances2(q, x)
             for i in range(len(q)):
@@ -172,111 +183,196 @@ def probes_needed(index: Index, asked: DataFrame, size: int, k: int) -> int:
     return int(need[min(len(need) - 1, int(np.ceil(RECALL * len(need))) - 1)])
 
 
-def probed(asked: DataFrame, index: Index, probes: int, size: int) -> DataFrame:
-    """(cluster, body): every query once per probed cluster."""
-    shared = asked.sparkSession.sparkContext.broadcast(index.centroids)
+@dataclass
+class Groups:
+    """Where the clusters' vectors are searched: cluster c in the groups ``begin[c]`` to ``begin[c] + parts[c] - 1``, of several by hash of the id."""
+
+    begin: np.ndarray
+    parts: np.ndarray
+
+
+def groups_of(counts: np.ndarray, most: int) -> Groups:
+    """Neighbouring clusters together up to ``most`` vectors, and a larger cluster in parts of its own."""
+    begin, parts, at, held = np.zeros(len(counts), np.int32), np.maximum(1, -(-counts // most)).astype(np.int32), -1, most + 1
+    for c, (n, cut) in enumerate(zip(counts.tolist(), parts.tolist())):
+        if cut > 1 or held + n > most:
+            at, held = at + 1, 0
+        begin[c], held = at, held + n
+        if cut > 1:
+            at, held = at + cut - 1, most + 1
+    return Groups(begin, parts)
+
+
+def probed(asked: DataFrame, index: Index, groups: Groups, probes: int, size: int) -> DataFrame:
+    """(x, asked, body, clusters): every query once per group, with those of the group's clusters that it probes."""
+    shared, kind = asked.sparkSession.sparkContext.broadcast((index.centroids, groups)), index.kind
+    step = max(1, min(ROWS_AT_ONCE, AT_ONCE // len(index.centroids), AT_ONCE // size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids = shared.value
+        centroids, groups = shared.value
         for whole in batches:
-            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(a, ROWS_AT_ONCE)
-                d = distances2(bodies(batch.column("body"), size), centroids)
-                near = np.argsort(d, axis=1)[:, :probes].astype(np.int32)
-                row = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), batch.column("body").take(pa.array(row))], ["cluster", "body"])
-
-    return asked.mapInArrow(run, "cluster int, body binary")
+            for a in range(0, whole.num_rows, step):
+                batch = whole.slice(a, step)
+                near = np.argsort(distances2(bodies(batch.column("body"), size, kind), centroids), axis=1)[:, :probes]
+                parts = groups.parts[near.ravel()]
+                row, cluster = np.repeat(np.repeat(np.arange(batch.num_rows), near.shape[1]), parts), np.repeat(near.ravel(), parts)
+                x = groups.begin[cluster] + np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                order = np.lexsort((cluster, x, row))
+                row, x, cluster = row[order], x[order].astype(np.int32), cluster[order].astype("<u2")
+                at = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (x[1:] != x[:-1])]))
+                ends = np.append(at, len(row))
+                # Bodies are repeated for a bounded part of the rows at once.
+                rows = max(1, AT_ONCE // size)
+                for b in range(0, len(at), rows):
+                    here, cut = at[b : b + rows], ends[b : b + rows + 1]
+                    who = pa.array(row[here])
+                    lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(here), [None, pa.py_buffer((cut - cut[0]).astype(np.int64) * 2), pa.py_buffer(cluster[cut[0] : cut[-1]])])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x[here]), batch.column("asked").take(who), batch.column("body").take(who), lists.cast(pa.binary())], ["x", "asked", "body", "clusters"])
+
+    return asked.mapInArrow(run, "x int, asked bigint, body binary, clusters binary")
 
 
 class Asked:
-    """Queries of one cluster: rotated, cut to a few bits per component, with the best distances found so far."""
+    """Queries of one cluster: rotated, cut to a few bits per component, with the best distances found so far.
+
+    ``d`` and ``found`` may be given: rows ``of`` them are these queries', which other clusters have changed before.
+    """
 
-    def __init__(self, q: np.ndarray, centroid: np.ndarray, rotation: np.ndarray, k: int):
+    def __init__(self, q: np.ndarray, centroid: np.ndarray, rotation: np.ndarray, k: int, d: np.ndarray | None = None, found: np.ndarray | None = None, of: np.ndarray | None = None):
         self.q, self.k = q, k
         rest = q - centroid
-        self.length = np.sqrt((rest * rest).sum(1))
-        turned = (rest / np.where(self.length > 0, self.length, 1)[:, None]) @ rotation.T
-        self.low = turned.min(1)
-        self.step = np.maximum((turned.max(1) - self.low) / ((1 << QUERY_BITS) - 1), 1e-300)
-        level = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
-        self.total = level.sum(1, dtype=np.int64)
-        self.planes = [words_of(np.packbits(level >> b & 1, axis=1, bitorder="little")) for b in range(QUERY_BITS)]
-        self.best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q]
+        length = np.sqrt((rest * rest).sum(1))
+        turned = (rest / np.where(length > 0, length, 1)[:, None]) @ rotation.T
+        low = turned.min(1)
+        step = np.maximum((turned.max(1) - low) / ((1 << QUERY_BITS) - 1), 1e-300)
+        level = np.rint((turned - low[:, None]) / step[:, None])
+        # The lower bound length^2 + length'^2 - 2 length length' (cos + spread + step) is the inner product of ``near`` and a vector's row in ``meet``.
+        cut = (step[:, None] * level + low[:, None]) * length[:, None]
+        self.near = np.column_stack([-cut, np.ones(len(q)), length, length * step, length * length])
+        self.q2 = (q * q).sum(1)
+        self.d = np.full((len(q), k), np.inf) if d is None else d
+        self.found = np.zeros((len(q), k), np.int64) if found is None else found
+        self.of = np.arange(len(q)) if of is None else of
+
+    @property
+    def best(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(d[d < np.inf], found[d < np.inf]) for d, found in zip(self.d[self.of], self.found[self.of])]
 
     def meet(self, ids: np.ndarray, x: np.ndarray, code: np.ndarray, length: np.ndarray, own: np.ndarray) -> None:
         size = x.shape[1]
-        ones = np.bitwise_count(code).sum(1, dtype=np.int64)
-        spread = EPSILON * np.sqrt(np.maximum(1 - own * own, 0)) / np.where(own > 0, own, 1) / np.sqrt(max(1, size - 1))
-        for i in range(len(self.q)):
-            # Sum of the query's levels under the set bits, then the inner product with signs +-1 / sqrt(size).
-            under = sum(np.bitwise_count(code & plane[i]).sum(1, dtype=np.int64) << b for b, plane in enumerate(self.planes))
-            inner = (self.step[i] * (2 * under - self.total[i]) + self.low[i] * (2 * ones - size)) / np.sqrt(size)
-            cos = inner / np.where(own > 0, own, 1)
-            both = 2 * length * self.length[i]
-            middle = length * length + self.length[i] ** 2
-            error = both * (spread + self.step[i])
-            near = middle - both * cos
-            d, found = self.best[i]
-            limit = np.inf if len(d) < self.k else d[-1] ** 2
-            if len(near) >= self.k:
-                limit = min(limit, np.partition(near + error, self.k - 1)[self.k - 1])
-            look = np.flatnonzero(near - error <= limit * (1 + 1e-9) + 1e-12)
-            d = np.concatenate([d, exact(x[look], self.q[i])])
-            found = np.concatenate([found, ids[look]])
-            keep = np.lexsort((found, d))[: self.k]
-            self.best[i] = d[keep], found[keep]
+        signs = np.unpackbits(np.ascontiguousarray(code).view(np.uint8), axis=1, count=size, bitorder="little") * 2.0 - 1
+        along = np.where(own > 0, own, 1)
+        spread = EPSILON * np.sqrt(np.maximum(1 - own * own, 0)) / along / np.sqrt(max(1, size - 1))
+        far = np.column_stack([signs * (2 * length / along / np.sqrt(size))[:, None], length * length, -2 * length * spread, -2 * length, np.ones(len(x))])
+        x2 = (x * x).sum(1)
+        # Single precision where squares neither overflow nor vanish in it; ``slack`` is more than what is lost by rounding.
+        most = max(float(self.q2.max()), float(x2.max()), float(self.near[:, -1].max()), float((length * length).max()))
+        kind = np.float32 if 1e-20 < most < 1e20 else np.float64
+        slack = 64 * size * float(np.finfo(kind).eps) * most
+        near, q, far, xs = self.near.astype(kind), self.q.astype(kind), far.astype(kind), x.astype(kind)
+        for a in range(0, len(q), TILE[0]):
+            for b in range(0, len(x), TILE[1]):
+                self._tile(slice(a, a + TILE[0]), ids[b : b + TILE[1]], x[b : b + TILE[1]], x2[b : b + TILE[1]], near, far[b : b + TILE[1]], q, xs[b : b + TILE[1]], slack)
+
+    def _tile(self, at: slice, ids: np.ndarray, x: np.ndarray, x2: np.ndarray, near: np.ndarray, far: np.ndarray, q: np.ndarray, xs: np.ndarray, slack: float) -> None:
+        of = self.of[at]
+        limit = self.d[of, -1] ** 2
+        limit = limit * (1 + 1e-9) + slack
+        look = near[at] @ far.T <= limit[:, None].astype(near.dtype)
+        if np.count_nonzero(look) > DENSE * look.size:
+            d2 = self.q2[at][:, None].astype(q.dtype) + x2.astype(q.dtype) - 2 * (q[at] @ xs.T)
+            short = np.flatnonzero(np.isinf(limit))
+            if len(short) and len(x) > self.k:
+                limit[short] = np.partition(d2[short], self.k - 1, axis=1)[:, self.k - 1].astype(np.float64) * (1 + 1e-6) + 2 * slack
+            look &= d2 <= limit[:, None].astype(d2.dtype) + d2.dtype.type(slack)
+        i, j = np.nonzero(look)
+        if not len(i):
+            return
+        d = np.concatenate([exact(x[j[a : a + AT_ONCE // 64]], self.q[at][i[a : a + AT_ONCE // 64]]) for a in range(0, len(i), AT_ONCE // 64)])
+        # The best of the rows that were met, old and new ones together.
+        met, i = np.unique(i, return_inverse=True)
+        whose = np.concatenate([np.repeat(np.arange(len(met)), self.k), i])
+        d, found = np.concatenate([self.d[of[met]].ravel(), d]), np.concatenate([self.found[of[met]].ravel(), ids[j]])
+        order = np.lexsort((found, d, whose))
+        first = np.searchsorted(whose[order], np.arange(len(met)))
+        keep = order[first[:, None] + np.arange(self.k)]
+        self.d[of[met]], self.found[of[met]] = d[keep], found[keep]
+
+
+class Block:
+    """Queries that a task holds, and which of them probe a cluster."""
+
+    def __init__(self, asked: np.ndarray, q: np.ndarray, clusters: list[bytes], k: int):
+        self.asked, self.q = asked, q
+        lists = [np.frombuffer(c, "<u2") for c in clusters]
+        cluster, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(c) for c in lists])
+        order = np.argsort(cluster, kind="stable")
+        self.cluster, self.row = cluster[order], row[order]
+        self.d, self.found = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)
+
+    def of(self, cluster: int, centroid: np.ndarray, rotation: np.ndarray) -> Asked | None:
+        rows = self.row[np.searchsorted(self.cluster, cluster) : np.searchsorted(self.cluster, cluster, "right")]
+        return Asked(self.q[rows], centroid, rotation, self.d.shape[1], self.d, self.found, rows) if len(rows) else None
+
+    def answers(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.asked), ROWS_AT_ONCE):
+            d = self.d[a : a + ROWS_AT_ONCE]
+            i, j = np.nonzero(d < np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(self.asked[a + i]), pa.array(self.found[a + i, j]), pa.array(d[i, j])], ["asked", "vec_id", "score"])
 
 
 def search(index: Index, asked: DataFrame, probes: int, size: int, k: int) -> DataFrame:
-    """(body, vec_id, score): for each query the ``k`` nearest of the vectors in every block it meets."""
-    shared = asked.sparkSession.sparkContext.broadcast((index.centroids, index.rotation))
-    queries = probed(asked, index, probes, size)
-    counts = index.rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.join(queries.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")), "cluster")
-    block = lambda n, by: F.ceil(F.col(n) / F.lit(by)).cast("int")
-    counts = counts.select("cluster", block("n", VECTOR_BLOCK).alias("xs"), block("m", QUERY_BLOCK).alias("ys"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    """(asked, vec_id, score): for each query (asked, body) the ``k`` nearest of the vectors in every group it probes."""
+    spark = asked.sparkSession
+    held = index.rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row per cluster
+    counts = np.zeros(len(index.centroids), np.int64)
+    counts[held["cluster"].to_numpy()] = held["n"].to_numpy()
+    groups = groups_of(counts, int(min(MOST_GROUP, max(LEAST_GROUP, -(-counts.sum() // (4 * tasks(spark)))))))
+    queries = probed(asked, index, groups, probes, size)
+    shared, kind = spark.sparkContext.broadcast((index.centroids, index.rotation)), index.kind
+    # A row per group and per cluster: both tables are local and small.
+    blocks = queries.groupBy("x").agg(F.count(F.lit(1)).alias("m")).toArrow()
+    blocks = F.broadcast(spark.createDataFrame(pa.table({"x": blocks["x"], "ys": pa.array(-(-blocks["m"].to_numpy() // QUERY_BLOCK), pa.int32())}), "x int, ys int"))
+    places = F.broadcast(spark.createDataFrame(pa.table({"cluster": np.arange(len(counts), dtype=np.int32), "begin": groups.begin, "parts": groups.parts}), "cluster int, begin int, parts int"))
     part = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
-    none = {"vec_id": F.lit(None).cast("bigint"), "code": F.lit(None).cast("binary"), "length": F.lit(None).cast("double"), "own": F.lit(None).cast("double")}
-    cols = ["cluster", "x", "y", "role", "vec_id", "body", "code", "length", "own"]
-    told = index.rows.join(counts, "cluster").select("*", part("vec_id", "xs").alias("x"), every("ys").alias("y"), F.lit(1).alias("role")).select(*cols)
-    wants = queries.join(counts, "cluster").select("*", part("body", "ys").alias("y"), every("xs").alias("x"), F.lit(0).alias("role")).withColumns(none).select(*cols)
+    cols = ["x", "y", "role", "cluster", "id", "body", "code", "length", "own"]
+    told = index.rows.join(places, "cluster").withColumn("x", F.col("begin") + part("vec_id", "parts")).join(blocks, "x").select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(1).alias("role"), F.col("vec_id").alias("id")).select(*cols)
+    wants = queries.join(blocks, "x").select(
+        "x", part("asked", "ys").alias("y"), F.lit(0).alias("role"), F.lit(-1).alias("cluster"), F.col("asked").alias("id"), "body", F.col("clusters").alias("code"),
+        F.lit(None).cast("double").alias("length"), F.lit(None).cast("double").alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, rotation = shared.value
-        key, held, asking = None, [], None
-
-        def answers() -> Iterator[pa.RecordBatch]:
-            if asking is not None:
-                n = [len(d) for d, _ in asking.best]
-                who = np.repeat(np.arange(len(n)), n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([asking.q[i].tobytes() for i in who], pa.binary()), pa.array(np.concatenate([f for _, f in asking.best])), pa.array(np.concatenate([d for d, _ in asking.best]))],
-                    ["body", "vec_id", "score"])
-
+        key, parts, block, cluster, asking = None, [], None, None, None
         for batch in batches:
-            k4 = np.stack([batch.column(c).to_numpy() for c in ("cluster", "x", "y", "role")])
+            k4 = np.stack([batch.column(c).to_numpy() for c in ("x", "y", "role", "cluster")])
             cut = np.concatenate([[0], np.flatnonzero((k4[:, 1:] != k4[:, :-1]).any(0)) + 1, [k4.shape[1]]])
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                here = tuple(k4[:3, a])
-                if here != key:
-                    yield from answers()
-                    key, held, asking = here, [], None
+                if (here := tuple(k4[:2, a].tolist())) != key:
+                    if block is not None:
+                        yield from block.answers()
+                    key, parts, block, cluster, asking = here, [], None, None, None
                 rows = batch.slice(a, b - a)
-                x = bodies(rows.column("body"), size)
-                if k4[3, a] == 0:
-                    held.append(x)
+                x = bodies(rows.column("body"), size, kind)
+                if k4[2, a] == 0:
+                    parts.append((rows.column("id").to_numpy(), x, rows.column("code").to_pylist()))
                     continue
-                if asking is None and held:
-                    asking = Asked(np.concatenate(held), centroids[key[0]], rotation, k)
+                if block is None and parts:
+                    block = Block(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [c for p in parts for c in p[2]], k)
+                    parts = []
+                if block is not None and k4[3, a] != cluster:
+                    cluster = int(k4[3, a])
+                    asking = block.of(cluster, centroids[cluster], rotation)
                 if asking is not None:
-                    code = words_of(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(x), -1))
-                    asking.meet(rows.column("vec_id").to_numpy(), x, code, rows.column("length").to_numpy(), rows.column("own").to_numpy())
-        yield from answers()
+                    code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+                    asking.meet(rows.column("id").to_numpy(), x, code, rows.column("length").to_numpy(), rows.column("own").to_numpy())
+        if block is not None:
+            yield from block.answers()
 
-    met = told.unionByName(wants).repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "role")
-    return met.mapInArrow(run, "body binary, vec_id bigint, score double")
+    met = told.unionByName(wants).repartition("x", "y").sortWithinPartitions("x", "y", "role", "cluster")
+    return in_arrow(met, run, "asked bigint, vec_id bigint, score double")
 
 
 def first(rows: DataFrame, n: int, by: list[str], order: list[Column | str], out: str) -> DataFrame:
@@ -292,13 +388,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], empty)
     size = sizes["size"]
+    spark = vectors.sparkSession
+    kind = "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "<f8"
     # Without repeated rows the k + 1 of one vector are k + 1 ids.
-    whole = stored(packed_vectors(rows.where(F.size("v") == size)).dropDuplicates(["vec_id", "body"]), "vectors")
-    index = build(first(whole, k + 1, ["body"], ["vec_id"], "_n").drop("_n"), size)
-    queries = whole.where(is_query).select(F.col("vec_id").alias("query_id"), "body")
-    asked = stored(queries.select("body").distinct(), "asked")
+    paths = fresh_folder(spark, "vectors"), fresh_folder(spark, "unique")
+    packed_vectors(rows.where(F.size("v") == size), kind).dropDuplicates(["vec_id", "body"]).write.parquet(paths[0])
+    whole = spark.read.schema("vec_id bigint, body binary").parquet(paths[0])
+    first(whole, k + 1, ["body"], ["vec_id"], "_n").drop("_n").write.parquet(paths[1])
+    unique = spark.read.schema("vec_id bigint, body binary").parquet(paths[1])
+    let_go(spark)  # shuffles of whole vectors
+    index = build(unique, size, kind)
+    queries = stored(whole.where(is_query).select(F.col("vec_id").alias("query_id"), "body"), "queries")
+    asked = stored(queries.select("body").distinct().withColumn("asked", F.monotonically_increasing_id()), "asked")
     probes = probes or probes_needed(index, asked, size, k)
+    remove(spark, *paths)  # their vectors are in the index and among the queries
+    let_go(spark)
     found = search(index, asked, probes, size, k + 1)
-    top = first(found, k + 1, ["body"], ["score", "vec_id"], "_n").drop("_n")
-    met = queries.join(top, "body").where("vec_id <> query_id")
+    top = first(found, k + 1, ["asked"], ["score", "vec_id"], "_n").drop("_n")
+    met = queries.join(asked, "body").select("query_id", "asked").join(top, "asked").where("vec_id <> query_id")
     return first(met, k, ["query_id"], ["score", "vec_id"], "rank").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -102,6 +102,38 @@ def test_estimates_stay_inside_their_bounds():
     assert len(set(want) & set(asked.best[0][1])) >= 9
 
 
+def test_queries_are_sent_once_to_a_group_of_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1500, 16)).astype("f4")
+    v[:600] = v[0] + rng.normal(size=(600, 16)).astype("f4") * 0.01  # a cluster larger than a group
+    rows = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(v)], "vec_id bigint, body binary")
+    asked = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("asked"), "body").repartition(3)
+    index = nearest.build(rows, 16, "<f4")
+    n = len(index.centroids)
+    held = np.zeros(n, np.int64)
+    for r in index.rows.groupBy("cluster").count().collect():
+        held[r.cluster] = r["count"]
+    groups = nearest.groups_of(held, 200)
+    last = int((groups.begin + groups.parts).max())
+    load = np.zeros(last)
+    for c in range(n):
+        load[groups.begin[c] : groups.begin[c] + groups.parts[c]] += held[c] / groups.parts[c]
+    assert load.max() <= 200 and last < n and groups.parts.max() > 1
+    sent = nearest.probed(asked, index, groups, n, 16)
+    assert sent.count() == sent.select("x", "asked").distinct().count() == 300 * last < 300 * n
+    monkeypatch.setattr(nearest, "LEAST_GROUP", 200)
+    monkeypatch.setattr(nearest, "MOST_GROUP", 200)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 64)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    w, hits = v.astype(float), 0
+    got = nearest.nearest(df, F.col("vec_id") % 5 == 0, probes=n).collect()
+    assert len(got) == 3000 and len({(r.query_id, r.vec_id) for r in got}) == 3000
+    for q in range(0, 1500, 5):
+        d = np.sqrt(((w - w[q]) ** 2).sum(1))
+        hits += len({r.vec_id for r in got if r.query_id == q} & {i for _, i in sorted((d[i], i) for i in range(1500) if i != q)[:10]})
+    assert hits >= 0.98 * 3000
+
+
 # 2 --------------------------------------------------------------------------------------------
 
 
