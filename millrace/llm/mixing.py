@@ -164,7 +164,7 @@ def expand(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_c
     part = F.when(F.col("words") < F.col("size"), first_words(F.col("text"), F.col("words").cast("int"))).otherwise(F.col("text"))
     cut = stored(cut.select("cut_source", "words", "times", "row", part.alias("part")), "mix-edges")  # two rows per source
     let_go(docs.sparkSession)
-    numbers = expand_counts(cut.select(F.col("cut_source").alias("source"), F.col("words").alias("n_words"), "times"), "times", "copy")
-    spread = numbers.join(cut, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("n_words") == F.col("words")))
+    # Rows come along with their numbers: a join with the exploded numbers would broadcast these, as Spark takes them for two rows per source.
+    spread = expand_counts(cut, "times", "copy", by=["cut_source", "words"])
     kept = [F.col("part").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns]
     return whole.unionAll(spread.select(*kept))

@@ -223,6 +223,14 @@ def best_pivots(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return valued.groupBy("id").agg(F.max(F.struct("value", "pivot")).alias("m")).select(F.col("id").alias("a"), F.col("m.pivot").alias("b"))
 
 
+def in_shared_buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, id) of the buckets that hold more than one class."""
+    spread = classes.select("id", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    # Spark takes an explode for one row each, 32 times too few here, and would broadcast all buckets of a table that looks small.
+    return spread.hint("merge").join(shared.hint("merge"), "bucket")
+
+
 def open_buckets(members: DataFrame, comp: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """Members (bucket, id, comp), and of buckets with more than one component a pivot chosen by hash."""
     met = members.join(comp, "id")
@@ -337,9 +345,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, id_col:
     linked = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
     classes = signed.where(linked).groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
     classes = stored(classes, "classes")
-    spread = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stored(spread.join(shared, "bucket"), "members")
+    members = stored(in_shared_buckets(classes), "members")
     candidates = members.select("id").distinct()
     # Texts are not shuffled: bits of the candidates' ids choose which sets are made, and the sets are joined exactly.
     likely = by_bits(source, F.col("doc_id"), *key_bits(candidates, "id")).where("_maybe").select("doc_id", "text")

@@ -37,11 +37,11 @@ def plan_table(df: DataFrame, max_rows: int = PLAN_ROWS) -> DataFrame:
     return df if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
 
 
-def expand_counts(df: DataFrame, count: str, out: str, chunk: int = EXPAND_CHUNK) -> DataFrame:
+def expand_counts(df: DataFrame, count: str, out: str, chunk: int = EXPAND_CHUNK, by: Sequence[str] | None = None) -> DataFrame:
     """``count`` rows numbered from 0 for every input row.
 
     Chunk numbers are exploded and spread first, so a row that stands for billions is expanded by
-    many tasks.
+    many tasks.  ``by`` names the columns that are hashed for it, where rows hold more than their keys.
     """
     keep = [c for c in df.columns if c != count]
     rows = F.col(count).cast("bigint")
@@ -50,7 +50,7 @@ def expand_counts(df: DataFrame, count: str, out: str, chunk: int = EXPAND_CHUNK
     )
     first = F.col("_chunk") * chunk
     last = F.least(first + chunk, F.col("_rows")) - 1
-    return chunks.repartition(*keep, "_chunk").select(*keep, F.explode(F.sequence(first, last)).alias(out))
+    return chunks.repartition(*(keep if by is None else by), "_chunk").select(*keep, F.explode(F.sequence(first, last)).alias(out))
 
 
 def block_width(df: DataFrame, order: str, rows_per_block: int = DEFAULT_BLOCK) -> int:

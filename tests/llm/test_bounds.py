@@ -45,6 +45,29 @@ def test_key_bits_lose_no_key(spark):
     assert by_bits(keys, F.col("k"), *key_bits(keys.limit(0), "k")).where("_maybe").count() == 0
 
 
+def broadcast_parts(df):
+    """The plan's parts that are broadcast, a text each."""
+    lines, parts = df._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
+            parts.append("\n".join(lines[i:end]))
+    return parts
+
+
+def test_no_exploded_rows_are_broadcast(spark):
+    classes = stored(spark.range(50).select("id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.xxhash64(k, F.col("id") % 30)).alias("bands")), "classes")
+    members = near_dedup.in_shared_buckets(classes)
+    assert not [p for p in broadcast_parts(members) if "Generate" in p]
+    assert sorted({r.id for r in members.collect()}) == [*range(20), *range(30, 50)] and members.count() == 40 * 32
+    docs = spark.createDataFrame([(None, "one two three", "a", "en")] * 50 + [(i, "four five", "b", "en") for i in range(30)], "doc_id long, text string, source string, lang string")
+    mixed = mixing.expand(docs)
+    assert not [p for p in broadcast_parts(mixed) if "Generate" in p]
+    taken = {r.source: r.t for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    assert {r.source: r.t for r in mixed.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("t")).collect()} == taken
+
+
 def test_scratch_tables_are_deleted(spark):
     with scratch(spark):
         inner = stored(spark.range(3), "inner").inputFiles()
