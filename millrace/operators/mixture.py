@@ -200,7 +200,8 @@ def epoch_index(spark: SparkSession, w: DataFrame | None, lens: DataFrame, n: in
         base = blend_greedy(spark, w, epoch, limit).join(lens, "ds")
         base = base.select(F.col("pos").alias("place"), "ds", F.pmod("sample", "len").cast("bigint").alias("sample"))
         mixed = hash_order(base, seed, ["place"]).drop("place")
-    return repeat_epochs(mixed, epochs_for(n, epoch)).select(
+    epochs = epochs_for(n, epoch)
+    return repeat_epochs(mixed, epochs, last=F.col("pos") < n - (epochs - 1) * epoch).select(
         (F.col("epoch") * F.lit(epoch) + F.col("pos")).cast("bigint").alias("pos"), "ds", "sample"
     ).where(F.col("pos") < n)
 

@@ -10,11 +10,16 @@ group in one task); the join back uses the same keys, so the rows are shuffled o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.functions.md5 import md5_numbers, md5_prefixes
 from millrace.functions.seeded import seeded_md5
 
 DEFAULT_BLOCK = 1 << 16
@@ -22,8 +27,8 @@ DEFAULT_BLOCK = 1 << 16
 HASH_DIGITS = 4
 PLAN_ROWS = 100_000
 EXPAND_CHUNK = 1 << 16
-#: Rows that a task expands or sorts in ``hash_order_counts``, on average.
-TASK_ROWS = 1 << 21
+#: Rows that a block of ``hash_order_counts`` holds at most, on average, and numbers that it hashes and rows that it returns at once.
+TASK_ROWS, HASH_CHUNK, PLACED_ROWS = 1 << 21, 1_000_000, 1 << 16
 
 
 def plan_table(df: DataFrame, max_rows: int = PLAN_ROWS) -> DataFrame:
@@ -151,27 +156,103 @@ def hash_order(
 def hash_order_counts(df: DataFrame, count: str, item: str, total: int, seed, out: str = "pos") -> DataFrame:
     """``hash_order(expand_counts(df, count, item), seed, [keys, item])``, where ``total`` is the sum of the counts.
 
-    Only numbers are shuffled, a few bytes a row: the task that expands a chunk gathers its places in each block of hashes, and
-    hashes are computed again behind the shuffle.  Blocks and tasks hold a bounded number of rows on average.
+    Only numbers are shuffled, two to three bytes a row: a task hashes a chunk of numbers and deals their places to blocks of hashes;
+    behind the shuffle hashes are computed again, and a block, whose rows are bounded on average, is sorted by itself.
     """
     keys = [c for c in df.columns if c != count]
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
-    digits = 3 if total <= TASK_ROWS << 12 else HASH_DIGITS
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (TASK_ROWS << 2)))
+    bits = min(4 * HASH_DIGITS, max(6, ((total - 1) // TASK_ROWS).bit_length()))
+    chunk = HASH_CHUNK if bits <= 12 else 10 * HASH_CHUNK
     rows = F.col(count).cast("bigint")
-    chunks = df.where(rows > 0).select(*keys, rows.alias("_rows"), F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.floor((rows - 1) / F.lit(EXPAND_CHUNK)))).alias("_chunk")).repartition(n, *keys, "_chunk")
-    number = (F.col("_chunk") * EXPAND_CHUNK + F.col("_at")).cast("bigint")
-    last = F.least(F.lit(EXPAND_CHUNK), F.col("_rows") - F.col("_chunk") * EXPAND_CHUNK).cast("int") - 1
-    md5 = lambda: seeded_md5(seed, *[F.col(k) for k in keys], number)
-    placed = chunks.select(*keys, "_chunk", F.explode(F.sequence(F.lit(0), last)).alias("_at")).withColumn(
-        "_block", F.conv(F.substring(md5(), 1, digits), 16, 10).cast("int"))
-    # The chunk's rows are in one task already, so they meet without a shuffle.
-    held = placed.groupBy(*keys, "_chunk", "_block").agg(F.collect_list((F.col("_at") - (EXPAND_CHUNK >> 1)).cast("smallint")).alias("_held")).repartition(n, "_block")
-    starts = _block_starts(held.groupBy("_block").agg(F.sum(F.size("_held")).cast("bigint").alias("_total")), [])
-    again = held.select(*keys, "_chunk", "_block", F.explode("_held").alias("_at")).withColumn("_at", F.col("_at") + (EXPAND_CHUNK >> 1)).select(
-        *keys, number.alias(item), "_block", F.unhex(md5()).alias("_md5"))
-    local = again.withColumn("_local", F.row_number().over(Window.partitionBy("_block").orderBy("_md5", *keys, item)).cast("bigint") - 1)
-    return _attach(local.drop("_md5"), starts, [], out)
+    head = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.lit(""))
+    chunks = df.where(rows > 0).select(*keys, head.alias("_head"), rows.alias("_rows"), F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.floor((rows - 1) / F.lit(chunk)))).alias("_chunk")).repartition(n, *keys, "_chunk")
+    own = [df.schema[k] for k in keys]
+    fields = lambda kinds: [T.StructField(k, kind) for k, kind in kinds.items()]
+    dealt = T.StructType([*own, *fields({"_head": T.StringType(), "_chunk": T.LongType(), "_block": T.IntegerType(), "_high": T.BinaryType(), "_low": T.BinaryType()})])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (at, rows, head) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_chunk", "_rows", "_head")))):
+                numbers = np.arange(at * chunk, min((at + 1) * chunk, rows))
+                block = md5_prefixes(head.encode(), numbers, bits)
+                place = np.argsort(block, kind="stable")
+                held = np.bincount(block, minlength=1 << bits)
+                full = np.flatnonzero(held)
+                ends = np.append(0, np.cumsum(held[full]))
+                binary = lambda x: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]).cast(pa.binary())
+                same = batch.take(pa.array(np.full(len(full), i)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(same.column(k) for k in keys), same.column("_head"), same.column("_chunk"), pa.array(full.astype(np.int32)), binary((place >> 16).astype(np.uint8)), binary(place.astype("<u2"))],
+                    dealt.names)
+
+    def count_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("_block"), pc.cast(pc.binary_length(batch.column("_high")), pa.int64())], ["_block", "_total"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blocks in batch.column("_totals").to_pylist():
+                at = np.array([(x["_block"], x["_total"]) for x in blocks], np.int64).reshape(-1, 2)
+                at = at[np.argsort(at[:, 0])]
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0].astype(np.int32)), pa.array(np.cumsum(at[:, 1]) - at[:, 1])], ["_block", "_before"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+        for batch in batches:
+            blocks = batch.column("_block").to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if a == b:
+                    continue
+                if blocks[a] != block:
+                    yield from _places(parts, keys, chunk, placed)
+                    block, parts = blocks[a], []
+                parts.append(batch.slice(a, b - a))
+        yield from _places(parts, keys, chunk, placed)
+
+    placed = T.StructType([*own, *fields({item: T.LongType(), out: T.LongType()})])
+    # Both that read ``held`` read all its columns, so that it is shuffled once.
+    held = chunks.mapInArrow(deal, dealt).repartition(n, "_block")
+    totals = held.mapInArrow(count_held, "_block int, _total bigint").groupBy("_block").agg(F.sum("_total").alias("_total"))
+    starts = totals.agg(F.collect_list(F.struct("_block", "_total")).alias("_totals")).mapInArrow(sums, "_block int, _before bigint")
+    return held.join(F.broadcast(starts), "_block", "left").sortWithinPartitions("_block", "_head", "_chunk").mapInArrow(place, placed)
+
+
+def _places(parts: list[pa.RecordBatch], keys: list[str], chunk: int, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Rows of one block in the order of their hashes, keys and number."""
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    flat = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind)
+    n = pc.binary_length(rows.column("_high")).to_numpy()
+    low, high = flat("_low", "<u2"), flat("_high", np.uint8)
+    numbers = np.repeat(rows.column("_chunk").to_numpy() * chunk, n) + (high.astype(np.int64) << 16 | low)
+    ends = np.append(0, np.cumsum(n))
+    heads = rows.column("_head").to_pylist()
+    edges = [0, *(i for i in range(1, len(heads)) if heads[i] != heads[i - 1]), len(heads)]
+    first = np.concatenate([md5_numbers(heads[a].encode(), numbers[ends[a] : ends[b]]) for a, b in zip(edges[:-1], edges[1:])])
+    order = np.argsort(first)
+    own = np.repeat(np.arange(len(heads), dtype=np.int32), n)
+    even = np.flatnonzero(first[order[1:]] == first[order[:-1]])
+    if len(even):
+        # Rows whose first 64 bits are those of another one stand together; the rest of the hash decides, then the keys, then the number.
+        at = np.union1d(even, even + 1)
+        alike = order[at]
+        last, head = np.empty(len(at), np.uint64), np.asarray(np.cumsum([i > 0 and heads[i] != heads[i - 1] for i in range(len(heads))]))[own[alike]]
+        for h in np.unique(head).tolist():
+            last[head == h] = md5_numbers(heads[edges[h]].encode(), numbers[alike[head == h]], last=True)
+        held = [tuple((v is not None, v) for v in r) for r in zip(*(rows.column(k).to_pylist() for k in keys))] or [()] * len(heads)
+        rank = {r: i for i, r in enumerate(sorted(set(held)))}
+        ranks = np.array([rank[r] for r in held])[own[alike]]
+        order[at] = alike[np.lexsort((numbers[alike], ranks, last, first[alike]))]
+    before = rows.column("_before")[0].as_py()
+    told = rows.select(keys)
+    for a in range(0, len(order), PLACED_ROWS):
+        here = order[a : a + PLACED_ROWS]
+        same = told.take(pa.array(own[here])).combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [*(same.column(k).chunk(0) for k in keys), pa.array(numbers[here]), pa.array(np.arange(before + a, before + a + len(here)))], schema.names)
 
 
 def order_by_key(df: DataFrame, *keys: str) -> DataFrame:
@@ -189,9 +270,12 @@ def restore_order(results: DataFrame, requests: DataFrame, key: str, place: str)
     return results.join(requests.select(key, place), key).orderBy(place)
 
 
-def repeat_epochs(df: DataFrame, epochs: int, out: str = "epoch") -> DataFrame:
-    """Every row once per epoch."""
-    return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+def repeat_epochs(df: DataFrame, epochs: int, out: str = "epoch", last: Column | None = None) -> DataFrame:
+    """Every row once per epoch; with ``last`` the last epoch has only the rows for which it is true."""
+    numbers = F.sequence(F.lit(0), F.lit(epochs - 1))
+    if last is not None:
+        numbers = F.when(last, numbers).otherwise(F.sequence(F.lit(0), F.lit(epochs - 2)) if epochs > 1 else F.array().cast("array<int>"))
+    return df.withColumn(out, F.explode(numbers))
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

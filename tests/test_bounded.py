@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.catalog import streams
 from millrace.functions.arrays import packed, unpacked
+from millrace.functions.md5 import md5_numbers, md5_prefixes
 from millrace.operators import fim, mixture, ordering, pack, tokens
 from millrace.sources import flat_tokens, stores
 
@@ -59,6 +64,37 @@ def test_counts_in_hash_order_without_shuffling_hashes(spark):
     assert "collect_list" in plan_of(order)
 
 
+def test_many_numbers_are_hashed_together():
+    numbers = np.array([0, 9, 10, 999_999, 1_000_000, 123_456_789, 10**12 + 7, 10**17 + 3])
+    for head in (b"", b"11:2:", b"x" * 52 + b":", b"x" * 60 + b":", b"y" * 200, "5:\u00e4:".encode()):
+        want = [int(hashlib.md5(head + str(k).encode()).hexdigest(), 16) for k in numbers.tolist()]
+        assert md5_numbers(head, numbers).tolist() == [w >> 64 for w in want]
+        assert md5_numbers(head, numbers, last=True).tolist() == [w & (1 << 64) - 1 for w in want]
+        assert md5_prefixes(head, numbers, 9).tolist() == [w >> 119 for w in want]
+
+
+def test_counts_in_hash_order_with_repeated_and_null_keys(spark):
+    lens = spark.createDataFrame([(0, "a", 1200), (0, "a", 1200), (None, "a", 700), (7, None, 30), (None, "7", 40), (3, "b", None), (4, "b", -5)], "ds int, name string, len bigint")
+    got = ordering.hash_order_counts(lens, "len", "sample", 3170, 5)
+    want = ordering.hash_order(ordering.expand_counts(lens, "len", "sample"), 5, ["ds", "name", "sample"])
+    rows = lambda df: sorted(map(repr, df.select("ds", "name", "sample", "pos").collect()))
+    assert rows(got) == rows(want) and got.schema["ds"].dataType == lens.schema["ds"].dataType
+    got.collect()
+    plan = plan_of(got)
+    assert "ReusedExchange" in plan and "md5(" not in plan  # hashed once before the shuffle, in Python
+    assert ordering.hash_order_counts(lens.limit(0), "len", "sample", 0, 5).count() == 0
+
+
+def test_the_last_epoch_is_cut_before_rows_are_repeated(spark):
+    lens = spark.createDataFrame([(0, 30), (1, 12)], "ds int, len bigint")
+    for n in (0, 5, 42, 43, 84, 100):
+        order = mixture.epoch_index(spark, None, lens, n, 5)
+        assert sorted(r.pos for r in order.collect()) == [*range(n)]
+    df = spark.range(10)
+    assert Counter(r.id for r in ordering.repeat_epochs(df, 3, last=F.col("id") < 4).collect()) == {i: 3 if i < 4 else 2 for i in range(10)}
+    assert ordering.repeat_epochs(df, 1, last=F.col("id") < 4).count() == 4
+
+
 def test_salt_of_a_source_is_not_hashed_in_rounds(spark):
     places = spark.createDataFrame([("a", 0), ("b", 1)], "source string, place bigint")
     lens = spark.createDataFrame([("a", 5), ("b", 9)], "source string, len bigint")
